@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, pieces, secret_scan, sql
+from . import chat, decontaminate, ngram_join, pieces, secret_scan, sql
 
 #: Vocabulary of the SentencePiece queries.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -20,6 +20,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), MODEL_PATH)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -34,7 +38,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_decontamination, op8_secret_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op5_decontamination, op8_secret_scan, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
