@@ -67,7 +67,22 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM reach WHERE
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN degree ON x = d.doc_id
 """
 
+SUBSTRING = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+low AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(range(k, k + 50)) AS x FROM win JOIN low USING (s) WHERE doc_id > m)),
+words AS (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS x FROM d),
+kept AS (
+  SELECT doc_id, string_agg(v, ' ' ORDER BY x) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, x) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, len(d.w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES = {
+    "op3_substring_dedup": SUBSTRING,
     "op2_ngram_jaccard_join": JACCARD,
     "op5_decontamination": DECONTAMINATION,
     "op10_chat_format": CHAT,
