@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, ngram_join, pieces, secret_scan, sql, substring_dedup
+from . import chat, decontaminate, ngram_join, pieces, secret_scan, sql, substring_dedup, toxicity
 
 #: Vocabulary of the SentencePiece queries.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("spans")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -42,7 +46,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_substring_dedup, op5_decontamination, op8_secret_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_substring_dedup, op4_toxicity, op5_decontamination, op8_secret_scan, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
