@@ -23,13 +23,14 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Units whose ids a worker remembers; beyond that the memory is emptied and filled anew.
-CACHE_UNITS = 400_000
+#: Units whose ids a worker remembers in each of two generations; when the younger is full, the older one goes.
+CACHE_UNITS = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -76,6 +77,10 @@ class Model:
         self.score = [s for _, s, _ in pieces]
         self.byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.longest = max([1, *map(len, self.ids)])
+        self.edges = ahocorasick.Automaton()  # the lattice: pieces by their ends
+        for p in self.ids:
+            self.edges.add_word(p, p)
+        self.edges.make_automaton()
         lowest = min([0.0, *(self.score[i] for i in self.ids.values())])
         self.penalty = lowest - 10.0  # of a character outside the vocabulary
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces]
@@ -146,7 +151,7 @@ class Model:
 
     def _allowed(self, a: str, b: str) -> bool:
         if (a, b) not in self._pair:
-            if len(self._pair) > 1_000_000:
+            if len(self._pair) > 250_000:
                 self._pair.clear()
             self._pair[a, b] = self._merges(a + b) == [a, b]
         return self._pair[a, b]
@@ -156,50 +161,60 @@ class Model:
             self._whole[piece] = len(self._merges(piece)) == 1
         return self._whole[piece]
 
-    def stream(self, chars: Iterable[str]) -> Iterator[str]:
-        """Pieces of a normalised text, given character by character; yields them as they are final."""
+    def stream(self, text: Iterable[str]) -> Iterator[str]:
+        """Pieces of a normalised text, given in strings of any length; yields them as they are final."""
         keep = self.longest
         tail = ""  # characters from the last committed boundary on
-        total = [0.0]  # best score up to each position of tail
-        back: list[int] = [0]  # start of the best last piece
-        look = 2 * keep
-        for c in chars:
-            tail += c
-            self._step(tail, total, back)
-            if len(tail) >= look:
-                done = self._meeting(back, keep)
-                if done:
+        back = [0]  # start of the best last piece up to each position of tail
+        total = [0.0]  # and the best score; unigram only
+        extend = self._extend_merges if self.kind == BPE else self._extend_scores
+        for part in text:
+            for at in range(0, len(part), 4 * keep):
+                tail += part[at : at + 4 * keep]
+                extend(tail, back, total)
+                if len(tail) > 4 * keep and (done := self._meeting(back, keep)):
                     yield from self._pieces(tail, back, done)
-                    tail, base = tail[done:], total[done]
-                    total = [x - base for x in total[done:]]
+                    tail, total = tail[done:], total[done:]
                     back = [0, *(x - done for x in back[done + 1 :])]
-                look = len(tail) + keep
         yield from self._pieces(tail, back, len(tail))
 
-    def _step(self, tail: str, total: list[float], back: list[int]) -> None:
-        end = len(tail)
-        best, at = None, end - 1
-        for start in range(max(0, end - self.longest), end):
-            piece = tail[start:end]
-            i = self.ids.get(piece)
-            if i is None or total[start] == float("-inf"):
+    def _extend_merges(self, tail: str, back: list[int], total: list[float]) -> None:
+        """Last pieces of the positions of `tail` that have none yet; the one allowed piece, or a single character."""
+        first, settled = len(back), -1
+        back.extend(range(first - 1, len(tail)))
+        low = max(0, first - self.longest)
+        ids, pair, whole = self.ids, self._pair, self._whole
+        for at, piece in self.edges.iter(tail[low:]):  # by end, the longest first
+            end = at + low + 1
+            if end == settled or end < first:
+                continue
+            if not (whole.get(piece) or self._reachable(piece)):
                 continue
-            if self.kind == BPE:
-                # paths that start at a committed boundary have their left neighbour settled already
-                if self._reachable(piece) and (start == 0 or self._joins(tail, back, start, piece)):
-                    best, at = 0.0, start
-                    break
-            elif best is None or total[start] + self.score[i] > best:
-                best, at = total[start] + self.score[i], start
-        if best is None:
-            # a character outside the vocabulary is a piece of its own
-            best, at = (0.0, end - 1) if self.kind == BPE else (total[end - 1] + self.penalty, end - 1)
-        total.append(best)
-        back.append(at)
-
-    def _joins(self, tail: str, back: list[int], start: int, piece: str) -> bool:
-        left = tail[back[start] : start]
-        return left not in self.ids or self._allowed(left, piece)
+            start = end - len(piece)
+            if start:  # a path that starts at a committed boundary has its left neighbour settled already
+                left = tail[back[start] : start]
+                if not (pair.get((left, piece)) or left not in ids or self._allowed(left, piece)):
+                    continue
+            back[end] = start
+            settled = end
+
+    def _extend_scores(self, tail: str, back: list[int], total: list[float]) -> None:
+        """Best last pieces of the positions of `tail` that have none yet; the longest of equal ones."""
+        first = len(back)
+        low = max(0, first - self.longest)
+        found: list[list[str]] = [[] for _ in range(len(tail) + 1)]
+        for at, piece in self.edges.iter(tail[low:]):
+            found[at + low + 1].append(piece)
+        for end in range(first, len(tail) + 1):
+            best, start = None, end - 1
+            for piece in found[end]:
+                value = total[end - len(piece)] + self.score[self.ids[piece]]
+                if best is None or value > best:
+                    best, start = value, end - len(piece)
+            if best is None:  # a character outside the vocabulary is a piece of its own
+                best = total[end - 1] + self.penalty
+            total.append(best)
+            back.append(start)
 
     def _meeting(self, back: list[int], keep: int) -> int:
         """The last boundary that the paths of all positions that can still be continued pass through."""
@@ -221,7 +236,7 @@ class Model:
 
     def unit_ids(self, unit: str) -> list[int]:
         out: list[int] = []
-        for piece in self.stream(unit):
+        for piece in self.stream((unit,)):
             i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
@@ -231,26 +246,16 @@ class Model:
                 out.append(self.unknown)
         return out
 
-    def encode(self, text: str, cache: dict[str, bytes] | None = None) -> np.ndarray:
+    def encode(self, text: str, memory: Memory | None = None) -> np.ndarray:
         """The ids of a text as int32."""
         norm = self.normalise(text)
         if not norm:
             return np.zeros(0, np.int32)
         if self.cut is None or not self.byte:
             return np.asarray(self.unit_ids(norm), np.int32)
-        cache = {} if cache is None else cache
         units = self.cut.findall(norm)
-        try:  # most texts hold known units only
-            return np.frombuffer(b"".join([cache[u] for u in units]), np.int32)
-        except KeyError:
-            pass
-        for u in units:
-            if u not in cache:
-                if len(cache) >= CACHE_UNITS:
-                    cache.clear()
-                    return np.concatenate([np.asarray(self.unit_ids(x), np.int32) for x in units])
-                cache[u] = np.asarray(self.unit_ids(u), np.int32).tobytes()
-        return np.frombuffer(b"".join([cache[u] for u in units]), np.int32)
+        memory = Memory(self) if memory is None else memory
+        return np.frombuffer(b"".join(map(memory.young.__getitem__, units)), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids. Byte pieces are joined before they are read as UTF-8."""
@@ -261,13 +266,42 @@ class Model:
         return raw.decode("utf-8", "replace")
 
 
-_loaded: dict[str, tuple[Model, dict]] = {}
+class _Young(dict):
+    """Ids of units as bytes; asks for what it lacks."""
+
+    def __init__(self, memory: Memory):
+        super().__init__()
+        self.memory = memory
+
+    def __missing__(self, unit: str) -> bytes:
+        m = self.memory
+        ids = m.old.get(unit)
+        if ids is None:
+            ids = np.asarray(m.model.unit_ids(unit), np.int32).tobytes()
+        if len(unit) <= 64:  # longer ones hardly come again
+            if len(self) >= CACHE_UNITS:
+                m.old = dict(self)
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
+class Memory:
+    """Two generations of remembered units, of bounded size."""
+
+    def __init__(self, model: Model):
+        self.model, self.old = model, {}
+        self.young = _Young(self)
+
+
+_loaded: dict[str, tuple[Model, Memory]] = {}
 
 
-def _model(key: str, data: bytes) -> tuple[Model, dict]:
+def _model(key: str, data: bytes) -> tuple[Model, Memory]:
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Model.parse(data), {}
+        model = Model.parse(data)
+        _loaded[key] = model, Memory(model)
     return _loaded[key]
 
 
@@ -296,14 +330,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_tokens long, ids array<int>, n_chars long, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = _model(key, held.value)
+        model, memory = _model(key, held.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 ids, chars, same = [], [], []
                 for text in part.column(1):
                     t = text.as_py() or ""
-                    one = model.encode(t, cache)
+                    one = model.encode(t, memory)
                     back = model.decode(one.tolist())
                     ids.append(one)
                     chars.append(len(back))
