@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, ngram_join, pieces, secret_scan, sql, substring_dedup, toxicity
+from . import chat, decontaminate, hamming, licences, ngram_join, pieces, quality, secret_scan, sql, substring_dedup, toxicity
 
 #: Vocabulary of the SentencePiece queries.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -37,16 +37,41 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.binarise(_table(spark, sf_dir, "embeddings"))
+    return hamming.top_k(codes, codes.filter("id % 20 = 0")).withColumnRenamed("query", "vec_id")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.rotate(_table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard_join, op3_substring_dedup, op4_toxicity, op5_decontamination, op8_secret_scan, op10_chat_format)}
+    every = (
+        op1_sentencepiece,
+        op2_ngram_jaccard_join,
+        op3_substring_dedup,
+        op4_toxicity,
+        op5_decontamination,
+        op6_license_scan,
+        op7_quality_classifier,
+        op8_secret_scan,
+        op9_topk_search,
+        op10_chat_format,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

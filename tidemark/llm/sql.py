@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licences import TEMPLATES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DECONTAMINATION = rf"""
@@ -81,7 +83,41 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, len(d.w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(n.replace("'", "''"), t.replace("'", "''")) for n, t in TEMPLATES.items())
+_WORDS = r"regexp_extract_all(translate(t, '" + _UPPER + "', '" + _LOWER + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LICENCES = rf"""
+WITH templates(name, t) AS (VALUES {_TEMPLATES}),
+bigrams AS (SELECT name, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS b FROM (SELECT name, {_WORDS} AS w FROM templates)),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
+parts AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n(?:[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n)+')) AS t FROM documents),
+real_parts AS (SELECT doc_id, t FROM parts WHERE len({_WORDS}) > 0),
+units AS (
+  SELECT doc_id, t FROM lines
+  UNION ALL SELECT doc_id, t FROM real_parts WHERE len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]'))) > 1
+  UNION ALL SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM real_parts GROUP BY doc_id HAVING count(*) > 1)),
+numbered AS (SELECT row_number() OVER () AS u, doc_id, {_WORDS} AS w FROM units),
+grams AS (SELECT u, doc_id, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS a FROM numbered WHERE len(w) > 1),
+scored AS (
+  SELECT u, doc_id, name, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM grams JOIN bigrams ON len(a) * 3 >= len(b) * 2 AND len(b) * 3 >= len(a) * 2),
+best AS (SELECT doc_id, name, dice FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY u ORDER BY dice DESC, name) = 1),
+found AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, '|' ORDER BY name) AS names, max(dice) AS top FROM best GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_units, coalesce(names, '') AS licences, coalesce(top, 0.0)::DOUBLE AS best_dice
+FROM documents d LEFT JOIN found USING (doc_id)
+"""
+
+TOP_K = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
+d AS (
+  SELECT q.vec_id, r.vec_id AS neighbour, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(q.b[i] - r.b[i]))) AS INTEGER) AS distance
+  FROM c q JOIN c r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS INTEGER) AS rank, neighbour, distance
+FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) <= 10
+"""
+
 ORACLES = {
+    "op6_license_scan": LICENCES,
+    "op9_topk_search": TOP_K,
     "op3_substring_dedup": SUBSTRING,
     "op2_ngram_jaccard_join": JACCARD,
     "op5_decontamination": DECONTAMINATION,
