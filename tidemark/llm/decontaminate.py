@@ -151,3 +151,21 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
         held, last = spark.sparkContext.broadcast(block), b == len(blocks) - 1
         out = out.mapInArrow(scanner(uuid.uuid4().hex, held, b == 0, last), schema if last else state)
     return out
+
+
+def drop(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs`, all columns, in which no window of an item occurs; a null text stays. Each block of
+    the benchmark is one pass, without a shuffle."""
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def filterer(key: str, held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(key, held.value, window)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.scan(t.as_py())[1] for t in batch.column(at)], pa.bool_()))
+
+        return run
+
+    for block in _blocks(items, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(filterer(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)), schema)
+    return docs

@@ -95,6 +95,13 @@ class Field:
         return out
 
 
+    def read(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+        """The words of some texts, the marginal of each, and the texts' scores."""
+        words = Words(offsets, raw, _LETTERS, LOWER)
+        p = marginals(self.emissions(word_features(words)), words.row, self.pair)
+        return words, p, _logistic(summaries(p, words.row) @ self.score)
+
+
 def sequences(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and place in it of every word; `row` are the documents' first words."""
     size = np.diff(row)
@@ -291,9 +298,7 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
                 own = [batch.column(k).slice(first, last - first) for k in (0, 1)]
                 values, spans = np.full(last - first, prior), [[] for _ in range(last - first)]
                 if f is not None:
-                    words = Words(offsets, raw, _LETTERS, LOWER)
-                    p = marginals(f.emissions(word_features(words)), words.row, f.pair)
-                    values = _logistic(summaries(p, words.row) @ f.score)
+                    words, p, values = f.read(offsets, raw)
                     hot = np.flatnonzero(p >= 0.5)
                     if len(hot):
                         new = np.concatenate([[True], (np.diff(hot) != 1) | (np.diff(words.doc[hot]) != 0)])
@@ -308,8 +313,30 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
     return docs.select(id_col, _labelled.held_out(id_col).alias("held_out"), text_col).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES) -> DataFrame:
-    """Fits the field on a bounded sample of the labelled documents outside the held-out fold, and scores all."""
+def _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes) -> tuple[Field | None, float]:
+    """The field, and the share of toxic rows among the labelled ones."""
     table = _labelled.sample(docs, labels, label_col, rows, most_bytes, id_col, text_col)
     n = {k.decode(): int(v) for k, v in (table.schema.metadata or {}).items()}
-    return score(docs, fit(table), id_col, text_col, threshold, prior=(n.get("n1", 0) + 0.0) / max(1, n.get("n0", 0) + n.get("n1", 0)))
+    return fit(table), n.get("n1", 0) / max(1, n.get("n0", 0) + n.get("n1", 0))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES) -> DataFrame:
+    """Fits the field on a bounded sample of the labelled documents outside the held-out fold, and scores all."""
+    field, prior = _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes)
+    return score(docs, field, id_col, text_col, threshold, prior)
+
+
+def drop(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES) -> DataFrame:
+    """The rows of `docs`, all columns, with a score below `threshold`; without a field all of them. One pass, no shuffle."""
+    field, _ = _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes)
+    if field is None:
+        return docs
+    held, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, offsets, raw in chunks(batch.column(at)):
+                clean = held.value.read(offsets, raw)[2] < threshold
+                yield batch.slice(first, last - first).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
