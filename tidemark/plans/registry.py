@@ -1,4 +1,4 @@
-"""All registered queries outside the llm subpackage."""
+"""All registered queries outside the llm subpackage, with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
@@ -6,13 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 #: The query that entry() runs.
-FLAGSHIP = ""
+FLAGSHIP = "q_window_merge_timeline"
+
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import q_dedupe, q_events, q_intervals, q_metrics, q_scoring, q_series, q_sources  # noqa: F401  (they register)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
