@@ -21,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows per Arrow batch, where it is the default, which suits narrow rows but not whole documents."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) == 10000:
+        spark.conf.set(key, str(rows))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of `df`, written to a table in the shared folder and read from there.
 

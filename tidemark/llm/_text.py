@@ -6,13 +6,15 @@ bounded size, so a Python object per word is never made.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one kernel call handles; a longer single text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 #: An odd multiplier and its inverse mod 2**64, and a random value for each byte.
@@ -58,7 +60,7 @@ _inv = np.ones(0, dtype=np.uint64)
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        if n > 4 * CHUNK_BYTES:  # one very long text: not kept
+        if n > 8 * CHUNK_BYTES:  # one very long text: not kept
             return _powers(n, _BASE), _powers(n, _BASE_INV)
         size = max(n, CHUNK_BYTES)
         _pow, _inv = _powers(size, _BASE), _powers(size, _BASE_INV)
@@ -145,3 +147,20 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * powers, out=total[1:])
     return mix((total[n:] - total[:-n]) * inverse[:m])
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which a worker gives freed memory back: workers stay for later stages, beside other processes."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return tidied

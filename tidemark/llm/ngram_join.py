@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import components, written
-from ._text import LOWER, NOT_SPACE, Words, chunks, mix, ngrams
+from ._text import LOWER, NOT_SPACE, Words, chunks, mix, ngrams, tidy
 
 #: Words of a shingle, and the similarity in per cent.
 WORDS, PERCENT = 5, 80
@@ -36,7 +36,7 @@ WORDS, PERCENT = 5, 80
 SLOTS = 1 << 20
 _SLICE = 1 << 15
 #: Shingles of one block of the join (8 bytes each); larger ones are joined by parts.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 #: Posting lists up to this long are looked at pair by pair; in longer ones neighbours by size are tied.
 LIST_ROWS = 4096
 
@@ -94,7 +94,7 @@ def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, np.iinfo(np.int32).max).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
     schema = "slice int, counts binary"
-    parts = docs.select(text).mapInArrow(count, schema).repartition(SLOTS // _SLICE, "slice").mapInArrow(add, schema)
+    parts = docs.select(text).mapInArrow(tidy(count), schema).repartition(SLOTS // _SLICE, "slice").mapInArrow(tidy(add), schema)
     out = np.zeros(SLOTS, np.int32)
     for r in parts.toLocalIterator():  # SLOTS / _SLICE rows of fixed size
         out[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["counts"], np.int32)
@@ -118,7 +118,7 @@ def _described(docs: DataFrame, id_col: str, text: str, n: int, percent: int, sk
                     prefix.append(in_order(s, order)[: size - -(-percent * size // 100) + 1].tobytes() if size else b"")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.binary())], names=["id", "n", "node", "check", "prefix"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n long, node long, check long, prefix binary")
+    return docs.select(id_col, text).mapInArrow(tidy(run), f"id {dict(docs.dtypes)[id_col]}, n long, node long, check long, prefix binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def _postings(classes: DataFrame) -> DataFrame:
                         names=["token", "node", "n", "pos"],
                     )
 
-    return classes.select("node", "n", "prefix").mapInArrow(run, "token long, node long, n int, pos int")
+    return classes.select("node", "n", "prefix").mapInArrow(tidy(run), "token long, node long, n int, pos int")
 
 
 def _need(a, b, percent: int):
@@ -205,7 +205,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
             yield rows(lists(*held))
 
     ordered = postings.repartition("token").sortWithinPartitions("token", "n", "node")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 class Trie:
@@ -266,7 +266,8 @@ def tree_join(sets: list[np.ndarray], weights: np.ndarray, sides: np.ndarray | N
     by_set = np.lexsort((rank, owner))
     flat = owner[by_set] * (len(shared) + 1) + rank[by_set]  # ascending: (set, rank)
     begin = np.searchsorted(owner[by_set], np.arange(count + 1))
-    rows = [rank[by_set][begin[k] : begin[k + 1]] for k in range(count)]
+    ordered = rank[by_set]
+    rows = [ordered[begin[k] : begin[k + 1]] for k in range(count)]
     have = np.diff(begin)  # shared shingles of each set
     by_token = np.lexsort((owner, rank))
     holders, first = owner[by_token], np.searchsorted(rank[by_token], np.arange(len(shared) + 1))
@@ -303,13 +304,14 @@ def tree_join(sets: list[np.ndarray], weights: np.ndarray, sides: np.ndarray | N
         alive, overlap = alive[ok], overlap[ok]
         if len(alive):
             ends = [c[0] for c in children[1:]] + [hi]
-            todo += [(c, depth, e, alive, overlap) for c, e in zip(children, ends)]
+            # the largest subtree comes last, when nothing else needs its parent's overlaps: only a
+            # logarithmic number of them is held however deep the tree is
+            todo += sorted(((c, depth, e, alive, overlap) for c, e in zip(children, ends)), key=lambda x: x[0][0] - x[2])
     return label, links
 
 
 def _joined(members: DataFrame, docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
     """(node, label, links) of every class in every block. `members`: block, side, both, node, first (a row's id), docs."""
-    kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("first"), F.col(text).alias("t"))
     found = members.join(texts, "first").select("block", "side", "both", "node", "docs", "t")
 
@@ -348,8 +350,8 @@ def _joined(members: DataFrame, docs: DataFrame, id_col: str, text: str, n: int,
         if rows:
             yield finish()
 
-    wide = found.mapInArrow(sets, "block string, side int, both boolean, node long, docs long, shingles binary")
-    return wide.repartition("block").sortWithinPartitions("block").mapInArrow(join, "node long, label long, links long")
+    wide = found.mapInArrow(tidy(sets), "block string, side int, both boolean, node long, docs long, shingles binary")
+    return wide.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(join), "node long, label long, links long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:

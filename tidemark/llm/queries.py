@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, hamming, licences, ngram_join, pieces, quality, secret_scan, sql, substring_dedup, toxicity
+from ._tables import small_batches
 
 #: Vocabulary of the SentencePiece queries.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
