@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of each class that a model is fitted on, and the bytes of the longest text among them.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32 << 10
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 32 << 10
 
 
 def held_out(id_col: str) -> Column:
@@ -22,23 +21,21 @@ def spread(id_col: str) -> Column:
     return F.xxhash64(F.lit("sample"), F.col(id_col))
 
 
-def _texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, most_bytes: int) -> pa.Table:
+def _texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, most_bytes: int) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= most_bytes)
-    return texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).toArrow()
+    return texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])  # chosen: a bounded number of ids
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
-    """(id, y, text) of at most `rows` labelled rows of each class outside the held-out fold, and the
-    classes' shares in `y`'s metadata. The choice is by a hash of the id, so it is spread over all rows."""
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """(id, text, y) of at most `rows` labelled rows of each class outside the held-out fold, and the number of all
+    such rows of each class. The choice is by a hash of the id, so it is spread over all rows."""
     usable = labels.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     parts = [usable.filter(F.col("y") == y).orderBy(spread("id"), "id").limit(rows) for y in (0, 1)]
-    chosen = reduce(DataFrame.union, parts)
-    shares = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
-    table = _texts(docs, chosen, id_col, text_col, most_bytes)
-    return table.replace_schema_metadata({"n0": str(shares.get(0, 0)), "n1": str(shares.get(1, 0))})
+    counts = {0: 0, 1: 0} | {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
+    return _texts(docs, reduce(DataFrame.union, parts), id_col, text_col, most_bytes), counts
 
 
-def unlabelled(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
+def unlabelled(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) of at most `rows` documents outside the held-out fold, by a hash of the id."""
     ids = docs.filter(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
     return _texts(docs, ids.orderBy(spread("id"), "id").limit(rows), id_col, text_col, most_bytes)

@@ -159,11 +159,18 @@ def fit(good: np.ndarray, mixed: np.ndarray, steps: int = 600) -> Model:
     return model
 
 
-def _table_measures(text: pa.ChunkedArray) -> np.ndarray:
-    column = text.cast(pa.large_string()).combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    parts = [measures(o, r) for _, _, o, r in chunks(column)]
-    return np.concatenate(parts) if parts else np.zeros((0, len(MEASURES)))
+def measured(texts: DataFrame) -> np.ndarray:
+    """The measures of the column `text` of a bounded number of rows, taken by the executors; ordered by `id`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, offsets, raw in chunks(batch.column(1)):
+                x = measures(offsets, raw)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), values], names=["id", "x"])
+
+    rows = texts.select("id", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, x array<double>").collect()
+    return np.array([r["x"] for r in sorted(rows, key=lambda r: r["id"])]).reshape(-1, len(MEASURES))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -189,9 +196,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES) -> DataFrame:
     """Fits on bounded samples of trusted positives and of all documents, both outside the held-out fold, and scores all."""
-    import pyarrow.compute as pc
-
-    labelled = _labelled.sample(docs, labels, label_col, rows, most_bytes, id_col, text_col)
-    good = _table_measures(labelled.filter(pc.equal(labelled.column("y"), 1)).column("text"))
-    mixed = _table_measures(_labelled.unlabelled(docs, rows, most_bytes, id_col, text_col).column("text"))
+    labelled, _ = _labelled.sample(docs, labels, label_col, rows, most_bytes, id_col, text_col)
+    good = measured(labelled.filter("y = 1"))
+    mixed = measured(_labelled.unlabelled(docs, rows, most_bytes, id_col, text_col))
     return score(docs, fit(good, mixed) if len(good) and len(mixed) else None, id_col, text_col, threshold)

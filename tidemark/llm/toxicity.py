@@ -14,6 +14,7 @@ The chain runs over sequences of 64 words, so that all sequences of a batch adva
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _labelled
-from ._text import _BYTE, LOWER, Words, _tables, byte_class, chunks, mix, ngrams
+from ._text import _BYTE, LOWER, Words, _tables, byte_class, chunks, mix, ngrams, tidy
 
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.3
@@ -169,41 +170,42 @@ def _unlike(words: Words) -> np.ndarray:
     return out
 
 
-def fit(table: pa.Table, epochs: int = 25, rate: float = 0.5) -> Field | None:
-    """The field of a sample (id, y, text); None unless it has both classes."""
-    y = table.column("y").to_numpy()
+def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epochs: int = 25, rate: float = 0.5) -> Field | None:
+    """The field of a sample's labels and texts; None unless it has both classes. `counts`: rows of each class in all."""
     if not (y == 1).any() or not (y == 0).any():
         return None
-    text = table.column("text").cast(pa.large_string()).combine_chunks()
-    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-    features, sizes, alike = [], [], []
+    sizes, alike = [], []
     for _, _, offsets, raw in chunks(text):
         words = Words(offsets, raw, _LETTERS, LOWER)
-        features.append(word_features(words))
         sizes.append(np.diff(words.row))
         alike.append(_unlike(words))
-    features, size, alike = np.concatenate(features, axis=1), np.concatenate(sizes), np.concatenate(alike)
+    size, alike = np.concatenate(sizes), np.concatenate(alike)
     row = np.concatenate([[0], np.cumsum(size)])
-    doc = np.repeat(np.arange(len(size)), size)
-
-    # documents of a feature, near copies once
+    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
     _, first = np.unique(alike, return_index=True)
     once = np.zeros(len(size), bool)
     once[first] = True
-    kept = once[doc]
-    names, toxic_docs, clean_docs = [], [], []
-    for f in features:
-        use = kept & (f != 0)
-        order = np.lexsort((doc[use], f[use]))
-        h, d = f[use][order], doc[use][order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[new], d[new]
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        names.append(h[edge])
-        toxic_docs.append(np.add.reduceat(y[d] == 1, edge, dtype=np.int64) if len(edge) else edge)
-        clean_docs.append(np.add.reduceat(y[d] == 0, edge, dtype=np.int64) if len(edge) else edge)
-    names, n1, n0 = np.concatenate(names), np.concatenate(toxic_docs), np.concatenate(clean_docs)
+
+    # documents of each feature by class, near copies once
+    names, n1, n0 = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for lo, hi, offsets, raw in chunks(text):
+        words = Words(offsets, raw, _LETTERS, LOWER)
+        use = np.flatnonzero(once[lo:hi][words.doc])
+        seen, toxic = [names], [np.stack([n1, n0])]
+        for f in word_features(words):
+            own = use[f[use] != 0]
+            own = own[np.lexsort((words.doc[own], f[own]))]
+            h, d = f[own], words.doc[own]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            is_toxic = y[lo + d[new]] == 1
+            seen.append(h[new])
+            toxic.append(np.stack([is_toxic, ~is_toxic]).astype(np.int64))
+        every, counts_of = np.concatenate(seen), np.concatenate(toxic, axis=1)
+        names, at = np.unique(every, return_inverse=True)
+        n1, n0 = (np.bincount(at, weights=c, minlength=len(names)).astype(np.int64) for c in counts_of)
+    if not len(names):
+        return None
     all1, all0 = max(1, int((y[first] == 1).sum())), max(1, int((y[first] == 0).sum()))
     odds = np.log((n1 + 0.5) / (all1 + 1)) - np.log((n0 + 0.5) / (all0 + 1))
     gain = n1 / all1 * np.maximum(odds, 0)
@@ -214,57 +216,63 @@ def fit(table: pa.Table, epochs: int = 25, rate: float = 0.5) -> Field | None:
     keys = np.unique(np.concatenate([names[common], names[best[gain[best] > 0]]]))
     field = Field(keys, np.zeros(len(keys)), -3.0, np.zeros((2, 2)), np.zeros(3))
     spans = np.unique(names[telling])
+    del names, n1, n0, odds, gain, every, counts_of
     marked = np.zeros(len(doc), bool)
-    for f in features:
-        marked |= np.isin(f, spans)
+    at = np.empty((1 + len(PREFIXES), len(doc)), np.int32)
+    for lo, hi, offsets, raw in chunks(text):
+        part = slice(row[lo], row[hi])
+        for k, f in enumerate(word_features(Words(offsets, raw, _LETTERS, LOWER))):
+            marked[part] |= np.isin(f, spans)
+            at[k, part] = field.lookup(f)
+    at[at < 0] = len(keys)  # a weight that stays 0
     state = (marked & (y[doc] == 1)).astype(float)
 
-    # the sequences, as rows of feature numbers
+    # sequences, a row each
     seq, place = sequences(row)
-    at = np.stack([field.lookup(f) for f in features])
-    del features
     total = int(seq[-1]) + 1 if len(seq) else 0
     valid = np.zeros((total, SEQUENCE), bool)
     valid[seq, place] = True
-    gold = np.zeros((total, SEQUENCE))
-    gold[seq, place] = state
-    known = at >= 0
-    flat_at, flat_word = at[known], np.broadcast_to(np.arange(at.shape[1]), at.shape)[known]
+    gold = np.zeros((total, SEQUENCE), bool)
+    gold[seq, place] = state > 0
     both = valid[:, 1:]
-    seen = np.zeros((2, 2))
-    for i in (0, 1):
-        for j in (0, 1):
-            seen[i, j] = ((gold[:, :-1] == i) & (gold[:, 1:] == j) & both).sum()
-    n = max(1, len(doc))
-    square = np.full(len(keys), 1e-8)
-    square_pair, square_bias = np.full((2, 2), 1e-8), 1e-8
+    seen = np.array([[((gold[:, :-1] == i) & (gold[:, 1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)], float)
     scale = max(1.0, state.sum())  # gradients per labelled word
+    weights, square = np.zeros(len(keys) + 1), np.full(len(keys) + 1, 1e-8)
+    square_pair, square_bias = np.full((2, 2), 1e-8), 1e-8
+
+    def emissions() -> np.ndarray:
+        out = np.full(len(doc), field.bias)
+        for k in at:
+            out += weights[k]
+        return out
+
+    grid = np.zeros((total, SEQUENCE))
     for _ in range(epochs):
-        emission = field.bias + np.bincount(flat_word, weights=field.weights[flat_at], minlength=n)[: len(doc)]
-        grid = np.zeros((total, SEQUENCE))
-        grid[seq, place] = emission
+        grid[seq, place] = emissions()
         forward, backward = messages(grid, valid, field.pair)
-        p = _logistic((forward + backward)[seq, place])
-        error = (state - p) / scale
-        step = np.bincount(flat_at, weights=error[flat_word], minlength=len(keys)) - 1e-4 * field.weights
+        error = (state - _logistic((forward + backward)[seq, place])) / scale
+        step = -1e-4 * weights
+        for k in at:
+            step += np.bincount(k, weights=error, minlength=len(weights))
+        step[-1] = 0.0
         square += step**2
-        field.weights += rate * step / np.sqrt(square)
+        weights += rate * step / np.sqrt(square)
         grad = error.sum()
         square_bias += grad**2
         field.bias += rate * grad / np.sqrt(square_bias)
-        right = grid[:, 1:] + backward[:, 1:]
-        logs = np.stack([np.zeros_like(right) + field.pair[0, 0], right + field.pair[0, 1], forward[:, :-1] + field.pair[1, 0], forward[:, :-1] + right + field.pair[1, 1]])
-        logs -= logs.max(axis=0)
-        probs = np.exp(logs)
-        probs /= probs.sum(axis=0)
-        expected = (probs * both).sum(axis=(1, 2)).reshape(2, 2)
+        right = (grid + backward)[:, 1:]
+        left = forward[:, :-1]
+        logs = [right * j + left * i + field.pair[i, j] for i in (0, 1) for j in (0, 1)]
+        norm = np.logaddexp(np.logaddexp(logs[0], logs[1]), np.logaddexp(logs[2], logs[3]))
+        expected = np.array([np.exp(x - norm)[both].sum() for x in logs]).reshape(2, 2)
         grad = (seen - expected) / scale - 1e-4 * field.pair
         square_pair += grad**2
         field.pair = field.pair + rate * grad / np.sqrt(square_pair)
-    p = marginals(field.bias + np.bincount(flat_word, weights=field.weights[flat_at], minlength=n)[: len(doc)], row, field.pair)
+    p = marginals(emissions(), row, field.pair)
+    field.weights = weights[:-1]
     # the document's score: classes weighted as in all labelled rows
-    meta = {k.decode(): int(v) for k, v in (table.schema.metadata or {}).items() if k in (b"n0", b"n1")}
-    share = np.array([meta.get("n0", 1), meta.get("n1", 1)]) / np.array([(y == 0).sum(), (y == 1).sum()])
+    own = np.array([(y == 0).sum(), (y == 1).sum()])
+    share = np.array([counts.get(0, 1), counts.get(1, 1)]) / own if counts else np.ones(2)
     weight = share[y]
     weight = weight / weight.mean()
     x, beta = summaries(p, row), np.zeros(3)
@@ -314,10 +322,19 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
 
 
 def _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes) -> tuple[Field | None, float]:
-    """The field, and the share of toxic rows among the labelled ones."""
-    table = _labelled.sample(docs, labels, label_col, rows, most_bytes, id_col, text_col)
-    n = {k.decode(): int(v) for k, v in (table.schema.metadata or {}).items()}
-    return fit(table), n.get("n1", 0) / max(1, n.get("n0", 0) + n.get("n1", 0))
+    """The field, and the share of toxic rows among the labelled ones. The sample, of bounded size, is fitted in one task."""
+    chosen, counts = _labelled.sample(docs, labels, label_col, rows, most_bytes, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            order = np.argsort(np.concatenate([b.column(0).to_numpy() for b in got]), kind="stable")  # the same field in every run
+            y = np.concatenate([b.column(1).to_numpy() for b in got])[order]
+            text = pa.concat_arrays([b.column(2) for b in got]).take(pa.array(order))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(y, text, counts))], pa.binary())], names=["field"])
+
+    made = chosen.select("id", "y", "text").repartition(1).mapInArrow(tidy(run), "field binary").collect()
+    return pickle.loads(made[0]["field"]) if made else None, counts[1] / max(1, counts[0] + counts[1])
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES) -> DataFrame:
