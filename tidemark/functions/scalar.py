@@ -248,20 +248,26 @@ def context_integrity(start, end, anchor, seg_in, seg_out, fragments: int = 1, c
     )
 
 
-def duration_allowed(duration, anchor_type, reason, integrity, low: float = 3.0, high: float = 20.0, hero: float = 40.0, preserved: Column | None = None) -> Column:
-    """Macro bounds, with room for saved short clips, heroes and documented exceptions; a millisecond of slack."""
-    d = col(duration)
-    inside = (d >= low - 0.001) & (d <= high + 0.001)
-    is_hero = col(anchor_type).isin("hero_play", "hero", "finale") & (d <= hero + 0.001)
-    documented = (F.trim(F.coalesce(col(reason), F.lit(""))) != "") & (col(integrity) >= 0.75) & (d <= hero + 0.001)
-    out = inside | F.coalesce(is_hero, F.lit(False)) | F.coalesce(documented, F.lit(False))
-    return out if preserved is None else out | preserved
-
-
-def audio_overlap(compatibility, impact) -> Column:
-    """direct, or a J or L cut where the pictures go together well."""
-    c = col(compatibility)
-    return F.when(c < 0.80, "direct").when(col(impact), "j_cut").otherwise("l_cut")
+def duration_allowed(duration, anchor_type, reason, integrity, preferred: tuple[float, float] = (2.0, 10.0), hero: float = 12.0, least_integrity: float = 0.70, preserved: Column | None = None, short: float = 30.0) -> Column:
+    """The preferred bounds; a saved short clip up to `short`; a hero, or a documented exception that keeps its context, up to
+    `hero`. A millisecond of slack."""
+    d, (low, high) = col(duration), preferred
+    documented = (F.trim(F.coalesce(col(reason), F.lit(""))) != "") & (col(integrity) >= least_integrity)
+    excused = F.coalesce(col(anchor_type).isin("hero_play", "hero", "finale"), F.lit(False)) | F.coalesce(documented, F.lit(False))
+    ordinary = (d <= hero + 0.001) & ((d <= high + 0.001) | excused)
+    rest = ordinary if preserved is None else F.when(preserved, d <= short + 0.001).otherwise(ordinary)
+    return (d >= low - 0.001) & rest
+
+
+def audio_overlap(compatibility, impact, j_ms, l_ms, bounds: tuple[int, int] = (100, 250), tail_ms: int = 400) -> Column:
+    """struct(mode, ms): direct across impacts and unlike pictures; else a J cut, or an L cut where only one is asked for."""
+    low, high = max(100, bounds[0]), min(250, bounds[1], tail_ms)
+    j, l = col(j_ms), col(l_ms)
+    asked = F.when(j > 0, j).when(l > 0, l).otherwise(low)
+    ms = F.least(F.lit(high), F.greatest(F.lit(low), asked)).cast("int")
+    direct = F.struct(F.lit("direct").alias("mode"), F.lit(0).alias("ms"))
+    cut = F.struct(F.when((j > 0) | (l <= 0), "j_cut").otherwise("l_cut").alias("mode"), ms.alias("ms"))
+    return F.when(col(impact) | (col(compatibility) < 0.80) | F.lit(high < low), direct).otherwise(cut)
 
 
 def anchor_window(start, end, anchor, width: float = 6.0) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 
 # Default weights.
-CANDIDATE_WEIGHTS: dict[str, float] = {"human_selection_prior": 0.30, "combat_intensity": 0.20, "motion": 0.15, "audio_activity": 0.15, "visual_activity": 0.10, "continuity": 0.05, "uniqueness": 0.05}
-VARIANT_WEIGHTS: dict[str, float] = {"payoff_score": 0.30, "human_selection_prior": 0.15, "combat_intensity": 0.12, "action_density": 0.10, "continuity": 0.08, "visual_novelty": 0.07, "motion": 0.06, "audio_activity": 0.05, "danger_score": 0.04, "uniqueness": 0.03}
+CANDIDATE_WEIGHTS: dict[str, float] = {"human_selection_prior": 0.30, "combat_intensity": 0.20, "motion": 0.10, "audio_activity": 0.10, "visual_activity": 0.10, "continuity": 0.10, "uniqueness": 0.10}
+VARIANT_WEIGHTS: dict[str, float] = {"payoff_score": 0.25, "human_selection_prior": 0.15, "combat_intensity": 0.12, "action_density": 0.12, "continuity": 0.10, "visual_novelty": 0.08, "motion": 0.06, "audio_activity": 0.05, "danger_score": 0.04, "uniqueness": 0.03}
 MAX_RAPID_BONUS = 0.18
 
 
@@ -75,11 +75,14 @@ def selection_order(short: Column, preferred: Column, score: str, continuity: st
     return [bucket.asc(), F.desc(score), F.desc(continuity), F.asc(id_col)]
 
 
+# The energy wanted at shares of the timeline, linear in between.
+ENERGY_CURVE = ((0.0, 0.30), (0.20, 0.50), (0.45, 0.68), (0.60, 0.82), (0.85, 0.90), (1.0, 1.0))
+
+
 def energy_target(relative: str | Column) -> Column:
-    """The energy wanted at a share of the timeline, linear between fixed points."""
-    x = S.col(relative)
-    points = [(0.0, 0.35), (0.20, 0.50), (0.45, 0.75), (0.60, 0.55), (0.85, 0.90), (1.0, 1.0)]
-    out = F.when(x <= 0, points[0][1])
-    for (a, ya), (b, yb) in zip(points, points[1:]):
-        out = out.when(x <= b, ya + (x - a) / (b - a) * (yb - ya))
-    return out.otherwise(points[-1][1])
+    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), S.col(relative)))
+    out = None
+    for (a, ya), (b, yb) in zip(ENERGY_CURVE, ENERGY_CURVE[1:]):
+        part = ya + (x - a) / (b - a) * (yb - ya)
+        out = F.when(x < b, part) if out is None else out.when(x < b, part)
+    return out.otherwise(ENERGY_CURVE[-1][1])

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scoring import ENERGY_CURVE
 from .streams import sorted_scan
 
 
@@ -38,44 +40,82 @@ def _double():
     return T.DoubleType()
 
 
-def beam_edit(df: DataFrame, keys: Sequence[str], width: int = 16, levels: int = 14, budget: float = 60.0, low: float = 45.0, expansions: int = 8192) -> DataFrame:
-    """(keys, ord, variant_id, timeline_in, timeline_out, score): the best edit a beam search finds for each project.
+# Weights of an expansion's score.
+BEAM_WEIGHTS = {"highlight_quality": 0.35, "music_fit": 0.25, "transition_compatibility": 0.15, "diversity": 0.15, "energy_curve_fit": 0.10}
 
-    `df`: variant_id, duration, final_score, duplicate_group, source, environment. States grow by one variant a level; a
-    state never takes a group or variant twice nor passes the budget. The number of expansions of a whole search is
-    bounded, and ties go by score, then by the variants' ids. An edit shorter than `low` only counts if none is longer."""
-    schema = df.select(*keys).schema.simpleString()[7:-1].replace(":", " ") + ", ord int, variant_id string, timeline_in double, timeline_out double, score double"
+
+def beam_edit(df: DataFrame, keys: Sequence[str], width: int = 16, shots: tuple[int, int] = (8, 14), seconds: tuple[float, float] = (45.0, 60.0), expansions: int = 8192, recent: int = 2, longest: float = 10.0, verified: int = 0, hero_margin: float = 0.05) -> DataFrame:
+    """(keys, ord, variant_id, timeline_in, timeline_out, section, score): the best edit of a bounded beam search.
+
+    `df` has, per variant: variant_id, duration, final_score, duplicate_group, source, environment, and optionally
+    energy (of the music at its target, 0.5 without), compatibility (0.65), context (1), penalty (0), sync (0), is_hero, preserved,
+    verified_kill_count. A state never uses a group or variant twice, passes the time, takes a third long shot
+    in a row, or an unverified variant where `verified` are asked for. The number of expansions is bounded over the
+    whole search; ties go by elapsed time, then variant ids. A project without a complete edit gives no rows."""
+    schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", ord int, variant_id string, timeline_in double, timeline_out double, section string, score double"
     names = list(keys)
+    defaults = {"energy": 0.5, "compatibility": 0.65, "context": 1.0, "penalty": 0.0, "sync": 0.0, "is_hero": False, "preserved": False, "verified_kill_count": 0.0}
+    curve = np.array(ENERGY_CURVE)
+    w = BEAM_WEIGHTS
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["final_score", "variant_id"], ascending=[False, True]).to_dict("records")
-        beam: list[tuple[float, float, tuple[int, ...]]] = [(0.0, 0.0, ())]
-        best, left = None, expansions
-        for _ in range(levels):
-            grown = []
-            for score, elapsed, chosen in beam:
-                groups = {rows[i]["duplicate_group"] for i in chosen}
-                recent = [rows[i] for i in chosen[-2:]]
-                for i, r in enumerate(rows):
+        table = pdf.assign(**{k: v for k, v in defaults.items() if k not in pdf})
+        table = table.sort_values(["final_score", "verified_kill_count", "variant_id"], ascending=[False, False, True])
+        rows = table.to_dict("records")
+        floor = max((r["final_score"] for r in rows if not r["is_hero"]), default=0.0) - hero_margin
+
+        def grown(state: tuple, i: int) -> tuple | None:
+            score, elapsed, chosen = state
+            r = rows[i]
+            total = elapsed + r["duration"]
+            if i in chosen or total > seconds[1] + 1e-6 or r["verified_kill_count"] < verified:
+                return None
+            if any(rows[c]["duplicate_group"] == r["duplicate_group"] for c in chosen):
+                return None
+            long = lambda x: x["duration"] > longest and not x["preserved"]
+            if long(r) and len(chosen) >= 2 and all(long(rows[c]) for c in chosen[-2:]):
+                return None
+            share = total / max(seconds[1], total, 1.0)
+            fit = min(1.0, max(0.0, 1.0 - abs(r["energy"] - np.interp(share, curve[:, 0], curve[:, 1]))))
+            last = [rows[c] for c in chosen[-recent:]]
+            variety = 1.0 - 0.5 * any(x["source"] == r["source"] for x in last) - 0.5 * any(x["environment"] == r["environment"] for x in last)
+            gain = w["highlight_quality"] * min(1.0, max(0.0, r["final_score"])) + (w["music_fit"] + w["energy_curve_fit"]) * fit + w["transition_compatibility"] * r["compatibility"] + w["diversity"] * variety
+            gain += 0.12 * (share >= 0.85 and r["is_hero"] and r["final_score"] >= floor) - 0.10 * (1.0 - r["context"]) - 0.08 * r["penalty"] - 0.04 * min(1.0, abs(r["sync"]))
+            return score + gain, total, (*chosen, i)
+
+        beam, complete, left = [(0.0, 0.0, ())], [], expansions
+        for level in range(shots[1] + 1):
+            complete += [s for s in beam if shots[0] <= len(s[2]) and seconds[0] <= s[1] <= seconds[1]]
+            if level == shots[1]:
+                break
+            following = []
+            for state in beam:
+                own = []
+                for i in range(len(rows)):
                     if left <= 0:
                         break
-                    if i in chosen or r["duplicate_group"] in groups or elapsed + r["duration"] > budget + 1e-6:
-                        continue
-                    left -= 1
-                    variety = 1.0 - 0.5 * any(x["source"] == r["source"] for x in recent) - 0.5 * any(x["environment"] == r["environment"] for x in recent)
-                    grown.append((score + 0.65 * r["final_score"] + 0.35 * variety, elapsed + r["duration"], (*chosen, i)))
-            if not grown:
+                    if (new := grown(state, i)) is not None:
+                        own.append(new)
+                        left -= 1
+                following += sorted(own, key=lambda s: (-s[0], -rows[s[2][-1]]["final_score"], rows[s[2][-1]]["variant_id"]))[:width]
+            if not following:
                 break
-            beam = sorted(grown, key=lambda s: (-s[0], [rows[i]["variant_id"] for i in s[2]]))[:width]
-            for s in beam:
-                rank = (s[1] >= low, s[0])
-                if best is None or rank > best[0]:
-                    best = (rank, s)
+            beam = sorted(following, key=lambda s: (-s[0], -s[1], [rows[i]["variant_id"] for i in s[2]]))[:width]
+        if not complete:
+            return pd.DataFrame(columns=[*names, "ord", "variant_id", "timeline_in", "timeline_out", "section", "score"])
+        best = max(complete, key=lambda s: (s[0], sum(rows[i]["context"] for i in s[2]), s[1]))
+        plain = [s for s in complete if not rows[s[2][-1]]["is_hero"]]
+        if plain:  # a hero that closes about as well as the best ordinary edit is preferred
+            mark = rows[max(plain, key=lambda s: s[0])[2][-1]]["final_score"] - hero_margin
+            heroes = [s for s in complete if rows[s[2][-1]]["is_hero"] and rows[s[2][-1]]["final_score"] >= mark]
+            best = max(heroes, key=lambda s: s[0], default=best)
         out, at = [], 0.0
-        for n, i in enumerate(best[1][2] if best else (), 1):
-            out.append({**{k: pdf[k].iloc[0] for k in names}, "ord": n, "variant_id": rows[i]["variant_id"], "timeline_in": at, "timeline_out": at + rows[i]["duration"], "score": best[1][0]})
+        for n, i in enumerate(best[2], 1):
+            share = at / best[1]
+            part = "finale" if n == len(best[2]) or share >= 0.85 else "build" if share < 0.20 else "rise" if share < 0.45 else "release" if share < 0.60 else "escalation"
+            out.append((*(pdf[k].iloc[0] for k in names), n, rows[i]["variant_id"], at, at + rows[i]["duration"], part, best[0]))
             at += rows[i]["duration"]
-        return pd.DataFrame(out, columns=[*names, "ord", "variant_id", "timeline_in", "timeline_out", "score"])
+        return pd.DataFrame(out, columns=[*names, "ord", "variant_id", "timeline_in", "timeline_out", "section", "score"])
 
     return df.groupBy(*keys).applyInPandas(search, schema)
 

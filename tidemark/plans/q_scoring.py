@@ -20,7 +20,7 @@ def candidates(spark, d):
 
 
 _CAND = """c AS (SELECT p_partkey AS id, p_brand AS brand, p_size / 50 AS prior, (p_retailprice - 900) / 1200 AS combat, (p_partkey % 11) / 10 AS motion, (p_partkey % 13) / 12 AS audio, (p_partkey % 17) / 16 AS visual, (p_partkey % 7) / 6 AS cont, 1 / (1 + p_partkey % 3) AS uniq FROM part),
-s AS (SELECT *, 0.30::DOUBLE * greatest(0, least(1, prior)) + 0.20::DOUBLE * greatest(0, least(1, combat)) + 0.15::DOUBLE * motion + 0.15::DOUBLE * audio + 0.10::DOUBLE * visual + 0.05::DOUBLE * cont + 0.05::DOUBLE * uniq AS score FROM c)"""
+s AS (SELECT *, 0.30::DOUBLE * greatest(0, least(1, prior)) + 0.20::DOUBLE * greatest(0, least(1, combat)) + 0.10::DOUBLE * motion + 0.10::DOUBLE * audio + 0.10::DOUBLE * visual + 0.10::DOUBLE * cont + 0.10::DOUBLE * uniq AS score FROM c)"""
 
 
 @query(f"WITH {_CAND} SELECT id, round(score, 5) AS score FROM s")
@@ -41,7 +41,7 @@ def q_penalty_score(spark, d):
     return rows.select("id", *[F.round(p[v], 5).alias(k) for k, v in pick.items()])
 
 
-_TERMS = " + ".join(f"round({w}::DOUBLE * greatest(0, least(1, {c})), 6)" for w, c in ((0.30, "combat"), (0.15, "prior"), (0.12, "combat"), (0.10, "motion"), (0.08, "cont"), (0.07, "visual"), (0.06, "motion"), (0.05, "audio"), (0.04, "audio"), (0.03, "uniq")))
+_TERMS = " + ".join(f"round({w}::DOUBLE * greatest(0, least(1, {c})), 6)" for w, c in ((0.25, "combat"), (0.15, "prior"), (0.12, "combat"), (0.12, "motion"), (0.10, "cont"), (0.08, "visual"), (0.06, "motion"), (0.05, "audio"), (0.04, "audio"), (0.03, "uniq")))
 
 
 @query(f"""WITH {_CAND}, v AS (SELECT *, round(least(0.18::DOUBLE, (id % 10) / 10.0::DOUBLE * 0.18::DOUBLE), 6) AS bonus FROM s)
@@ -81,7 +81,7 @@ def q_greedy_edit(spark, d):
 def beam(spark, d):
     c = O.score_candidates(candidates(spark, d)).filter("id < 400")
     v = c.select("brand", F.col("id").cast("string").alias("variant_id"), (3.0 + F.col("id") % 9).alias("duration"), "final_score", (F.col("id") % 19).cast("string").alias("duplicate_group"), (F.col("id") % 5).cast("string").alias("source"), (F.col("id") % 3).cast("string").alias("environment"))
-    return selection.beam_edit(v, ["brand"], width=8, levels=8, budget=30.0, low=20.0)
+    return selection.beam_edit(v, ["brand"], width=8, shots=(3, 8), seconds=(20.0, 30.0), expansions=4096)
 
 
 @query()
@@ -134,7 +134,7 @@ w AS (SELECT id, s, e, a, greatest(s, a - 3) AS lo, least(e, a + 3) AS hi FROM o
 x AS (SELECT *, CASE WHEN hi - lo < 6 AND lo <> s THEN greatest(s, hi - 6) ELSE lo END AS p, CASE WHEN hi - lo < 6 AND lo = s THEN least(e, lo + 6) ELSE hi END AS q FROM w),
 y AS (SELECT *, abs(p - s) <= 0.001 AND abs(q - e) <= 0.001 AS whole, greatest(0, least(1, (a - p) / 1.5)) AS setup, greatest(0, least(1, q - a)) AS tail FROM x)
 SELECT id, round(p, 3) AS source_in, round(q, 3) AS source_out, round(CASE WHEN whole THEN 1 WHEN setup < 1 OR tail < 1 THEN 0 ELSE greatest(0, least(1, 0.45 + 0.2 * setup + 0.2 * tail + 0.15 * greatest(0, least(1, (q - p) / 3)))) END, 6)::DOUBLE AS integrity,
- (q - p BETWEEN 2.999 AND 20.001) AS allowed FROM y""")
+ (q - p BETWEEN 1.999 AND 10.001) AS allowed FROM y""")
 def q_anchor_window(spark, d):
     o = table(spark, d, "orders")
     s = (F.col("o_orderkey") % 97) / 3
