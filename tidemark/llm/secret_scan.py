@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._text import tidy
+
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 BASE = KINDS[:3]
 
@@ -132,7 +134,8 @@ def is_jwt(token: str) -> bool:
         return False
     if not isinstance(h, dict) or not isinstance(p, dict) or not isinstance(h.get("alg"), str):
         return False
-    return h["alg"] == "none" if not sign else _decode64(sign) is not None
+    unsigned = h["alg"].lower() == "none"
+    return not sign if unsigned else bool(sign) and _decode64(sign) is not None
 
 
 def confirmed_spans(text: str) -> list[Span]:
@@ -206,7 +209,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 names=[id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -219,4 +222,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out = [t if not t or not (s := base_spans(t) + confirmed_spans(t)) else redacted(t, s) for t in texts]
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
