@@ -37,6 +37,8 @@ SLOTS = 1 << 20
 _SLICE = 1 << 15
 #: Shingles of one block of the join (8 bytes each); larger ones are joined by parts.
 BLOCK_SHINGLES = 1_000_000
+#: Bits of the filter that says which texts the join needs: 16 for each, at most 16 MB; beyond that it lets more through.
+FILTER_BITS = 1 << 27
 #: Posting lists up to this long are looked at pair by pair; in longer ones neighbours by size are tied.
 LIST_ROWS = 4096
 
@@ -310,10 +312,62 @@ def tree_join(sets: list[np.ndarray], weights: np.ndarray, sides: np.ndarray | N
     return label, links
 
 
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(hashes.view(np.uint64))
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bytes in which two bits are set for each id. Tasks send the slices they have set; the result has bits / 8 bytes."""
+    width = min(1 << 16, bits // 8)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(bits, bool)
+        for batch in batches:
+            for place in _places(batch.column(0).to_numpy(), bits):
+                flags[place] = True
+        packed = np.packbits(flags).reshape(-1, width)
+        used = np.flatnonzero(packed.any(axis=1))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed[k].tobytes() for k in used], pa.binary())], names=["slice", "bits"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(raw, np.uint8)
+                sums[k] = sums[k] | part if k in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "bits"])
+
+    schema = "slice int, bits binary"
+    parts = ids.select(F.xxhash64("first")).mapInArrow(tidy(mark), schema).repartition("slice").mapInArrow(tidy(either), schema)
+    out = np.zeros((bits // 8 // width, width), np.uint8)
+    for r in parts.toLocalIterator():  # FILTER_BITS / 8 bytes at most
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _needed(docs: DataFrame, members: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(first, t) of the documents that are members, and few others: the rest need not be shuffled to be joined away."""
+    bits = int(min(FILTER_BITS, max(1 << 16, 1 << (16 * members.count()).bit_length())))
+    held = docs.sparkSession.sparkContext.broadcast(_filter(members, bits))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = held.value
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for place in _places(batch.column(2).to_numpy(), bits):
+                ok &= (flags[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    texts = docs.select(F.col(id_col).alias("first"), F.col(text).alias("t"), F.xxhash64(id_col).alias("h"))
+    return texts.mapInArrow(tidy(keep), f"first {dict(docs.dtypes)[id_col]}, t string")
+
+
 def _joined(members: DataFrame, docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
     """(node, label, links) of every class in every block. `members`: block, side, both, node, first (a row's id), docs."""
-    texts = docs.select(F.col(id_col).alias("first"), F.col(text).alias("t"))
-    found = members.join(texts, "first").select("block", "side", "both", "node", "docs", "t")
+    found = members.join(_needed(docs, members, id_col, text), "first").select("block", "side", "both", "node", "docs", "t")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,16 +413,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     component_id is the smallest id reachable by links, the own one included; n_links counts the
     other rows directly linked. A null or empty text, or one of white space alone, has the empty set
-    and links with nothing. Equal rows link as any two of equal sets. A row with a null id links like
-    others and never names a component unless all ids in it are null. Columns other than the two named
-    are not looked at; an empty table gives an empty result.
+    and links with nothing. Equal rows link as any two of equal sets. A row without an id is counted
+    (n_shingles) but links with nothing; its component_id is null. Columns other than the two named are not
+    looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(_sketch(docs, text_col, words))
     described = _described(docs, id_col, text_col, words, percent, sketch)
     # the classes: equal sets, with one prefix each
     meta = written(described)
-    classes = meta.filter("n > 0").groupBy("node", "check", "n").agg(F.min(F.struct("id", "prefix")).alias("x"), F.count("*").alias("docs"))
+    classes = meta.filter("n > 0 and id is not null").groupBy("node", "check", "n").agg(F.min(F.struct("id", "prefix")).alias("x"), F.count("*").alias("docs"))
     classes = written(classes.select("node", "n", F.col("x.id").alias("first"), F.col("x.prefix").alias("prefix"), "docs"))
     edges = _candidates(_postings(classes), percent)
     blocks = components(edges)
@@ -383,7 +437,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     summary = heads.join(named, "node", "left").join(counted, "node", "left").select(
         "node", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links")
     )
-    rows = meta.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    rows = meta.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("node")).alias("node"))
     return rows.join(summary, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
     )
