@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._text import tidy
+
 #: Words of a pattern.
 WINDOW = 10
 #: Bytes of benchmark text that one automaton is built from; a larger benchmark is scanned in blocks of this size.
@@ -149,7 +151,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     out = docs.select(id_col, text_col)
     for b, block in enumerate(blocks):
         held, last = spark.sparkContext.broadcast(block), b == len(blocks) - 1
-        out = out.mapInArrow(scanner(uuid.uuid4().hex, held, b == 0, last), schema if last else state)
+        out = out.mapInArrow(tidy(scanner(uuid.uuid4().hex, held, b == 0, last)), schema if last else state)
     return out
 
 
@@ -167,5 +169,5 @@ def drop(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
         return run
 
     for block in _blocks(items, item_col, item_text_col, block_bytes):
-        docs = docs.mapInArrow(filterer(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)), schema)
+        docs = docs.mapInArrow(tidy(filterer(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block))), schema)
     return docs

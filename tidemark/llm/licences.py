@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import LOWER, Words, byte_class, chunks, ngrams
+from ._text import LOWER, Words, byte_class, chunks, ngrams, tidy
 
 THRESHOLD = 0.8
 
@@ -158,4 +158,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                 )
 
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_units long, licences string, best_dice double, found array<struct<name:string,dice:double,start:long,end:long>>"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._text import tidy
+
 SPACE = "▁"
 #: Units whose ids a worker remembers in each of two generations; when the younger is full, the older one goes.
 CACHE_UNITS = 150_000
@@ -350,7 +352,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     names=[id_col, "n_tokens", "ids", "n_chars", "round_trip"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -368,4 +370,4 @@ def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
             out = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_col, "text"])
 
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"{id_col} {dict(tokens.dtypes)[id_col]}, text string")
+    return tokens.select(id_col, ids_col).mapInArrow(tidy(run), f"{id_col} {dict(tokens.dtypes)[id_col]}, text string")

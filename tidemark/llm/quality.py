@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _labelled
-from ._text import LOWER, NOT_SPACE, Words, byte_class, chunks, ngrams
+from ._text import LOWER, NOT_SPACE, Words, byte_class, chunks, ngrams, tidy
 
 #: From this score on a document counts as good.
 THRESHOLD = 0.7
@@ -169,7 +169,7 @@ def measured(texts: DataFrame) -> np.ndarray:
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), values], names=["id", "x"])
 
-    rows = texts.select("id", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, x array<double>").collect()
+    rows = texts.select("id", "text").mapInArrow(tidy(run), f"id {dict(texts.dtypes)['id']}, x array<double>").collect()
     return np.array([r["x"] for r in sorted(rows, key=lambda r: r["id"])]).reshape(-1, len(MEASURES))
 
 
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([*own, pa.array(values), pa.array((values >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int"
-    return docs.select(id_col, _labelled.held_out(id_col).alias("held_out"), text_col).mapInArrow(run, schema)
+    return docs.select(id_col, _labelled.held_out(id_col).alias("held_out"), text_col).mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES) -> DataFrame:

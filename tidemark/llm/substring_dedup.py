@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import NOT_SPACE, Words, chunks, mix, ngrams, rolling
+from ._text import NOT_SPACE, Words, chunks, mix, ngrams, rolling, tidy
 
 #: Words of a repeat, and of an anchor.
 WINDOW, GRAM = 50, 12
@@ -122,7 +122,7 @@ def _split(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 if out is not None:
                     yield out
 
-    return texts.mapInArrow(run, _ROW)
+    return texts.mapInArrow(tidy(run), _ROW)
 
 
 class _Groups:
@@ -203,7 +203,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
         if held is not None and (out := groups.step(held, None)) is not None and out.num_rows:
             yield out
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, part long, start int, size int")
+    return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(tidy(run), "doc long, part long, start int, size int")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -250,4 +250,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                     digest.append(hashlib.sha256(kept[-1]).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string())], names=[id_col, "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return both.mapInArrow(cut, f"{id_col} {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return both.mapInArrow(tidy(cut), f"{id_col} {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept_sha256 string, kept string")

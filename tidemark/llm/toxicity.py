@@ -318,7 +318,7 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([*own, pa.array(values), pa.array((values >= threshold).astype(np.int32)), pa.array(spans, span)], names=[id_col, "held_out", "score", "predicted", "spans"])
 
     schema = f"{id_col} {kind}, held_out boolean, score double, predicted int, spans array<struct<start:long,end:long>>"
-    return docs.select(id_col, _labelled.held_out(id_col).alias("held_out"), text_col).mapInArrow(run, schema)
+    return docs.select(id_col, _labelled.held_out(id_col).alias("held_out"), text_col).mapInArrow(tidy(run), schema)
 
 
 def _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes) -> tuple[Field | None, float]:
@@ -356,4 +356,4 @@ def drop(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
                 clean = held.value.read(offsets, raw)[2] < threshold
                 yield batch.slice(first, last - first).filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
