@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, ngram_join, pieces, secret_scan, toxicity
-from tidemark.llm._tables import written
+from tidemark.llm._tables import small_batches, written
 from tidemark.llm.queries import MODEL_PATH
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,6 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _table(spark, sf_dir, "documents") if docs is None else docs
 
 
