@@ -27,13 +27,13 @@ def rules(df: DataFrame, key: str) -> DataFrame:
     """(key, ord, rule_id, label, detector_type, roi, thresholds): the rules of a workflow; a single detector is the rule
     ``rule-1``. Repeated ids get ``-2``, ``-3``, and so on in order."""
     w = F.col("workflow")
-    whole = F.struct(F.lit(0).alias("pos"), F.struct(F.lit("rule-1").alias("id"), w["detector"]["event_label"].alias("label"), w["detector"]["detector_type"].alias("kind"), w["detector"]["roi"].alias("roi"), w["detector"]["thresholds"].alias("thresholds")).alias("r"))
+    whole = F.struct(F.lit(0).alias("pos"), F.struct(F.lit("rule-1").alias("_id"), w["detector"]["event_label"].alias("label"), w["detector"]["detector_type"].alias("kind"), w["detector"]["roi"].alias("roi"), w["detector"]["thresholds"].alias("thresholds")).alias("r"))
     several = F.transform(
         w["rules"],
         lambda x, i: F.struct(
             i.alias("pos"),
             F.struct(
-                x["id"].alias("id"),
+                x["id"].alias("_id"),
                 F.coalesce(x["label"], x["event_label"], x["detector"]["event_label"]).alias("label"),
                 F.coalesce(x["detector"]["detector_type"], x["detector_type"], x["type"], F.lit("template_match")).alias("kind"),
                 F.coalesce(x["detector"]["roi"], x["roi"]).alias("roi"),
@@ -42,9 +42,9 @@ def rules(df: DataFrame, key: str) -> DataFrame:
         ),
     )
     rows = df.filter("workflow is not null").select(key, F.explode(F.when(F.size(w["rules"]) > 0, several).otherwise(F.array(whole))).alias("e")).select(key, F.col("e.pos").alias("ord"), "e.r.*")
-    base = F.coalesce("id", F.lit("rule"))
+    base = F.coalesce("_id", F.lit("rule"))
     n = F.row_number().over(Window.partitionBy(key, base).orderBy("ord"))
-    return rows.withColumn("n", n).select(key, "ord", F.when(F.col("n") == 1, base).otherwise(F.concat(base, F.lit("-"), F.col("n"))).alias("rule_id"), "label", F.col("kind").alias("detector_type"), "roi", "thresholds")
+    return rows.withColumn("_n", n).select(key, "ord", F.when(F.col("_n") == 1, base).otherwise(F.concat(base, F.lit("-"), F.col("_n"))).alias("rule_id"), "label", F.col("kind").alias("detector_type"), "roi", "thresholds")
 
 
 def violations(df: DataFrame, key: str) -> DataFrame:
