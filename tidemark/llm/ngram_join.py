@@ -20,6 +20,7 @@ is one shingle of all of them. Two documents link when their Jaccard similarity
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ _SLICE = 1 << 15
 BLOCK_SHINGLES = 1_000_000
 #: Bits of the filter that says which texts the join needs: 16 for each, at most 16 MB; beyond that it lets more through.
 FILTER_BITS = 1 << 27
+#: Candidate pairs that a task gathers before it sends on what connects them.
+PAIRS = 100_000
 #: Posting lists up to this long are looked at pair by pair; in longer ones neighbours by size are tied.
 LIST_ROWS = 4096
 
@@ -164,11 +167,30 @@ def _ties(node: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> lis
     return out
 
 
+def _forest(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs that connect what `pairs` connects, without circles."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that tie the classes of each posting list which can link. Lists arrive sorted, so a task holds one batch."""
+    """Edges (a, b) that tie the classes of each posting list which can link. Lists arrive sorted; a task holds one batch,
+    and PAIRS pairs of which it sends on a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64)]
+        held, gathered = [np.zeros(0, np.int64) for _ in range(4)], set()
 
         def lists(token, node, n, pos):
             edge = np.flatnonzero(token[1:] != token[:-1]) + 1
@@ -186,7 +208,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
             return set(out)
 
         def rows(pairs):
-            pairs = [p for p in pairs if p[0] != p[1]]
+            pairs = _forest(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -196,15 +218,19 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
                 continue
             cut = int(np.searchsorted(token, token[-1]))  # the last list may go on in the next batch
             if cut:
-                yield rows(lists(*(h[:cut] for h in held)))
+                gathered |= lists(*(h[:cut] for h in held))
             elif len(token) > 4 * LIST_ROWS:  # a list longer than a batch: tied neighbour by neighbour
                 node, n = held[1], held[2]
                 near = np.flatnonzero(100 * n[:-1] >= percent * n[1:])
-                yield rows(set(zip(node[near].tolist(), node[near + 1].tolist())))
+                gathered |= set(zip(node[near].tolist(), node[near + 1].tolist()))
                 cut = len(token) - 1 - 2 * LIST_ROWS  # its end stays, and is longer than LIST_ROWS: tied likewise
             held = [h[cut:] for h in held]
+            if len(gathered) >= PAIRS:
+                yield rows(gathered)
+                gathered = set()
         if len(held[0]):
-            yield rows(lists(*held))
+            gathered |= lists(*held)
+        yield rows(gathered)
 
     ordered = postings.repartition("token").sortWithinPartitions("token", "n", "node")
     return ordered.mapInArrow(tidy(run), "a long, b long").distinct()
@@ -349,7 +375,8 @@ def _filter(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _needed(docs: DataFrame, members: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(first, t) of the documents that are members, and few others: the rest need not be shuffled to be joined away."""
+    """(first, z) of the documents that are members, and few others: the rest need not be shuffled to be joined away.
+    z is the compressed text, a third of the size of its shingles."""
     bits = int(min(FILTER_BITS, max(1 << 16, 1 << (16 * members.count()).bit_length())))
     held = docs.sparkSession.sparkContext.broadcast(_filter(members, bits))
 
@@ -359,53 +386,52 @@ def _needed(docs: DataFrame, members: DataFrame, id_col: str, text: str) -> Data
             ok = np.ones(batch.num_rows, bool)
             for place in _places(batch.column(2).to_numpy(), bits):
                 ok &= (flags[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-            yield batch.select([0, 1]).filter(pa.array(ok))
+            batch = batch.filter(pa.array(ok))
+            packed = [zlib.compress(t.as_buffer(), 1) if t.is_valid else b"" for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["first", "z"])
 
     texts = docs.select(F.col(id_col).alias("first"), F.col(text).alias("t"), F.xxhash64(id_col).alias("h"))
-    return texts.mapInArrow(tidy(keep), f"first {dict(docs.dtypes)[id_col]}, t string")
+    return texts.mapInArrow(tidy(keep), f"first {dict(docs.dtypes)[id_col]}, z binary")
 
 
 def _joined(members: DataFrame, docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
     """(node, label, links) of every class in every block. `members`: block, side, both, node, first (a row's id), docs."""
-    found = members.join(_needed(docs, members, id_col, text), "first").select("block", "side", "both", "node", "docs", "t")
+    found = members.join(_needed(docs, members, id_col, text), "first").select("block", "side", "both", "node", "docs", "z")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, offsets, raw in chunks(batch.column(5)):
-                own = batch.slice(first, last - first)
-                every = list(shingle_sets(offsets, raw, n))
-                # rows may share an id: the text must be the one of the class
-                same = pa.array([bool(len(s)) and identity(s)[0] == x for s, x in zip(every, own.column(3).to_pylist())], pa.bool_())
-                blobs = pa.array([s.tobytes() for s in every], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(5)), blobs], names=["block", "side", "both", "node", "docs", "shingles"]).filter(same)
+    def sets(packed: list[bytes]) -> list[np.ndarray]:
+        out = []
+        for first in range(0, len(packed), 64):
+            texts = pa.array([zlib.decompress(z) if z else b"" for z in packed[first : first + 64]], pa.large_binary()).cast(pa.large_string())
+            for _, _, offsets, raw in chunks(texts):
+                out += shingle_sets(offsets, raw, n)
+        return out
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, {}
-
-        def finish():
-            nodes = list(rows)
-            got = [rows[x] for x in nodes]
-            sides = np.array([r[0] for r in got])
-            label, links = tree_join([np.frombuffer(r[3], np.uint64) for r in got], np.array([r[2] for r in got], np.int64), sides if got[0][1] else None, percent)
+        key, rows = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            # rows may share an id: the text must be the one of the class; and may be repeated
+            got = {r[0]: (r, s) for r, s in zip(rows, sets([r[4] for r in rows])) if len(s) and identity(s)[0] == r[0]}
+            if not got:
+                return
+            nodes, own = list(got), [r for r, _ in got.values()]
+            sides = np.array([r[1] for r in own]) if own[0][2] else None
+            label, links = tree_join([s for _, s in got.values()], np.array([r[3] for r in own], np.int64), sides, percent)
             least: dict[int, int] = {}
             for k, x in enumerate(label.tolist()):
                 least[x] = min(least.get(x, nodes[k]), nodes[k])
-            lab = [least[x] for x in label.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lab, pa.int64()), pa.array(links)], names=["node", "label", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least[x] for x in label.tolist()], pa.int64()), pa.array(links, pa.int64())], names=["node", "label", "links"])
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(6)]
-            for block, side, both, node, many, blob in zip(*columns):
+            for block, side, both, node, many, packed in zip(*columns):
                 if block != key:
-                    if rows:
-                        yield finish()
-                    key, rows = block, {}
-                rows[node] = (side, both, many, blob)
-        if rows:
-            yield finish()
-
-    wide = found.mapInArrow(tidy(sets), "block string, side int, both boolean, node long, docs long, shingles binary")
-    return wide.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(join), "node long, label long, links long")
+                    yield from finish()
+                    key, rows = block, []
+                rows.append((node, side, both, many, packed))
+        yield from finish()
+
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(join), "node long, label long, links long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
