@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import dedupe, events, fsm, intervals, joins, media, metrics, render, scoring, selection, series, sinks
+from tidemark.operators import dedupe, events, fsm, intervals, joins, media, metrics, render, reports, scoring, selection, series, sinks
 from tidemark.plans import projects
 from tidemark.sources import config, media_index, workflow
 from tidemark.sources.frames import RawFrames
@@ -483,3 +483,63 @@ def test_render_commands(spark):
     assert rows(render.preflight(s, ledger), "rule") == [("range",), ("within",)]
     graphs = make(spark, [(a, m) for a in (True, False) for m in (True, False)], "a boolean, m boolean").withColumn("g", render.audio_graph("a", "m", F.lit(2.0)))
     assert len({r["g"] for r in graphs.collect()}) == 4
+
+
+# -- reports and pictures ------------------------------------------------------------------------
+
+
+def test_gold_metrics_per_source_and_pooled(spark):
+    d, g = make(spark, [("a", 1.0), ("b", 5.0), ("b", 99.0)], "s string, t double"), make(spark, [("a", 5.1), ("b", 1.1)], "s string, t double")
+    windows = make(spark, [("a", 0.0, 10.0), ("b", 0.0, 10.0)], "s string, start double, end double")
+    assert rows(reports.gold_metrics(d, g, "s", "t", 0.5, windows), "key", "tp", "fp", "fn") == [("ALL", 0, 2, 2), ("a", 0, 1, 1), ("b", 0, 1, 1)]
+    assert ("ALL", 2, 0, 0) in rows(reports.gold_metrics(d, g, "s", "t", 0.5, windows, pooled=True), "key", "tp", "fp", "fn")
+
+
+def test_boundaries_are_neutral_without_samples(spark):
+    seg = make(spark, [(1, "s", 2.0, "ads", "e", "x", 0.9), (2, "s", 50.0, "", "e", "x", 0.9)], "id int, k string, source_in double, view string, environment string, source string, variant_motion double")
+    smp = make(spark, [("s", 1.6, 0.2, 0.4, 0.6, 0.1, 0.8), ("s", 2.5, 0.4, 0.4, 0.6, 0.1, 0.6)], "k string, t double, motion double, brightness double, visual double, audio double, activity double")
+    got = {r["id"]: r["descriptor"] for r in reports.boundary(seg, smp, "k", ["id"], "source_in").collect()}
+    assert got[1]["motion_strength"] == pytest.approx(0.3) and got[1]["impact_strength"] == pytest.approx(0.7) and got[1]["confidence"] == 0.8 and got[1]["motion_direction"] == "forward" and got[1]["ads_state"] == "ads"
+    assert (got[2]["motion_strength"], got[2]["impact_strength"], got[2]["confidence"], got[2]["motion_direction"]) == (0.5, 0.0, 0.25, "neutral")
+
+
+def test_impacts(spark):
+    c = make(spark, [(1, "s", 10.0), (2, "s", 20.0)], "id int, k string, t double")
+    e = make(spark, [("s", 9.5, 0.9), ("s", 9.9, 0.5), ("s", 10.05, 0.8), ("s", 20.2, 0.9)], "k string, at double, score double")
+    assert rows(reports.impact_times(c, e, "k", ["id"]), "id", "impact") == [(1, 10.05), (2, None)]
+
+
+def test_music_stays_without_a_sure_boundary(spark):
+    b = make(spark, [(19.3, 0.9, True), (74.4, 0.8, True), (18.9, 0.95, False), (19.1, 0.6, True)], "t double, confidence double, supported boolean")
+    assert tuple(reports.music_interval(b, 19.0, 74.252, 230.0).first()) == (19.3, 74.252, True)
+    assert tuple(reports.music_interval(b.filter("not supported"), 19.0, 74.252, 230.0).first()) == (19.0, 74.252, False)
+
+
+def test_documents(spark):
+    r = make(spark, [("p", 1, None)], "k string, shots int, x double")
+    assert reports.document(r, ["k"], "v1").first()["report"] == '{"report_version":"v1","shots":1}'
+    assert [x["line"] for x in reports.markdown(r, ["k"]).orderBy("ord").collect()] == ["| shots | 1 |", "| x | unavailable |"]
+    placed = make(spark, [("p", 1, "v", 10.0, 16.0)], "k string, ord int, variant_id string, timeline_in double, timeline_out double")
+    v = make(spark, [("v", 2.0, 8.0, 5.0, "kill", 29.25, 0.8)], "variant_id string, source_in double, source_out double, anchor_t double, anchor_type string, target double, context double")
+    shot = reports.shots(placed, v, ["k"], 19.0).first()
+    assert (shot["event_timeline"], shot["event_sync"], shot["context"]) == (13.0, 0.25, 1.0)
+
+
+def test_picture_kernels(spark):
+    black, orange = np.zeros((4, 4, 3), np.uint8), np.full((4, 4, 3), (255, 120, 0), np.uint8)
+    assert media.orange_ratio(orange) == 1.0 and media.orange_ratio(black) == 0.0 and media.orange_ratio(np.full((2, 2, 3), (0, 0, 255))) == 0.0
+    assert media.region_change(None, black) == 0.0 and media.region_change(black, np.full_like(black, 17)) == pytest.approx(0.2) and media.region_change(black, np.full_like(black, 255)) == 1.0
+    assert media.border_red_change(black, np.full((4, 4, 3), (51, 0, 0), np.uint8)) == pytest.approx(0.8)
+    assert media.region(np.zeros((10, 20)), (0.5, 0.0, 0.5, 0.2)).shape == (2, 1)
+    frame = np.random.default_rng(1).random((30, 30))
+    assert media.template_hits(frame, frame[5:12, 6:13], 0.99)[0][:2] == (6, 5) and media.best_match(frame, [frame[2:9, 3:9]]) == pytest.approx(1.0)
+    f = make(spark, [("s", n, 4, 4, bytearray(x.tobytes())) for n, x in enumerate([black, orange])], "k string, n int, width int, height int, pixels binary")
+    out = media.frame_channels(f, ["k"], ["n"], {"whole": (0.0, 0.0, 1.0, 1.0)}).orderBy("n").collect()
+    assert (out[0]["whole"], out[0]["orange"]) == (0.0, 0.0) and out[1]["whole"] == 1.0 and out[1]["orange"] == 1.0
+
+
+def test_rows_and_density(spark):
+    d = make(spark, [("f", 0, 10.0, 5.0, 4.0), ("f", 0, 20.0, 5.0, 4.0), ("f", 0, 30.0, 5.0, 4.0), ("f", 1, 10.0, 50.0, 4.0)], "k string, row int, x double, y double, size double")
+    assert rows(media.row_geometry(d, ["k"]), "row", "n", "y_score", "size_score", "spacing_score") == [(0, 3, 1.0, 1.0, 1.0), (1, 1, 1.0, 1.0, 1.0)]
+    w = make(spark, [("s", float(x)) for x in range(5)], "k string, flux double")
+    assert rows(media.waveform_density(w, ["k"]).filter("active"), "flux") == [(3.0,), (4.0,)]

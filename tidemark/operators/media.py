@@ -104,3 +104,112 @@ def usable_image(pixels: str | Column, width: str, height: str) -> Column:
     """At least 2x2 and not constant."""
     p = F.col(pixels) if isinstance(pixels, str) else pixels
     return (F.col(width) >= 2) & (F.col(height) >= 2) & (F.size(F.array_distinct(p)) > 1)
+
+
+def orange_ratio(rgb: np.ndarray) -> float:
+    """Share of pixels with a hue of at most 36 or at least 340 degrees, and saturation and value of at least 80 of 255."""
+    x = np.asarray(rgb, float).reshape(-1, 3)
+    if not len(x):
+        return 0.0
+    top, low = x.max(axis=1), x.min(axis=1)
+    spread = np.where(top - low > 0, top - low, 1.0)
+    r, g, b = x.T
+    hue = np.select([top == r, top == g], [(g - b) / spread % 6, (b - r) / spread + 2], (r - g) / spread + 4) * 30.0
+    saturation = np.where(top > 0, (top - low) / np.where(top > 0, top, 1.0) * 255.0, 0.0)
+    return float((((hue <= 18) | (hue >= 170)) & (saturation >= 80) & (top >= 80)).mean())
+
+
+def region(frame: np.ndarray, bounds: tuple[float, float, float, float]) -> np.ndarray:
+    """A region given in shares of the frame, at least a pixel wide and high."""
+    height, width = frame.shape[:2]
+    x = sorted(int(round(min(1.0, max(0.0, v)) * width)) for v in (bounds[0], bounds[2]))
+    y = sorted(int(round(min(1.0, max(0.0, v)) * height)) for v in (bounds[1], bounds[3]))
+    return frame[y[0] : max(y[1], y[0] + 1), x[0] : max(x[1], x[0] + 1)]
+
+
+def region_change(before: np.ndarray | None, now: np.ndarray) -> float:
+    """Three times the mean absolute difference over 255, clamped; 0 without a frame before of the same shape."""
+    if before is None or before.shape != now.shape or not now.size:
+        return 0.0
+    return float(min(1.0, np.abs(now.astype(np.int16) - before.astype(np.int16)).mean() / 255.0 * 3.0))
+
+
+def border_red_change(before: np.ndarray | None, now: np.ndarray, width: int = 2) -> float:
+    """Four times the change of the mean excess of red in the border, clamped."""
+    if before is None or before.shape != now.shape or not now.size:
+        return 0.0
+
+    def excess(f: np.ndarray) -> float:
+        edge = np.concatenate([x.reshape(-1, 3) for x in (f[:width], f[-width:], f[:, :width], f[:, -width:])]).astype(float)
+        return float(np.maximum(edge[:, 0] - np.maximum(edge[:, 1], edge[:, 2]), 0.0).mean() / 255.0)
+
+    return min(1.0, abs(excess(now) - excess(before)) * 4.0)
+
+
+def frame_channels(frames: DataFrame, keys: list[str], order: list[str], regions: dict[str, tuple[float, float, float, float]], pixels: str = "pixels") -> DataFrame:
+    """(keys, order, a change per named region, damage_border_change, orange) of rows of RGB frames (width, height, pixels)."""
+    from pyspark.sql import Window
+
+    rows = frames.withColumn("_before", F.lag(pixels).over(Window.partitionBy(*keys).orderBy(*order)))
+    kinds, names = dict(frames.dtypes), [*keys, *order]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + "".join(f", {n} double" for n in regions) + ", damage_border_change double, orange double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: dict[str, list[float]] = {n: [] for n in [*regions, "damage_border_change", "orange"]}
+            for raw, last, w, h in zip(pdf[pixels], pdf["_before"], pdf["width"], pdf["height"]):
+                now = np.frombuffer(raw, np.uint8).reshape(h, w, 3)
+                old = None if last is None or len(last) != len(raw) else np.frombuffer(last, np.uint8).reshape(h, w, 3)
+                for n, bounds in regions.items():
+                    out[n].append(region_change(None if old is None else region(old, bounds), region(now, bounds)))
+                out["damage_border_change"].append(border_red_change(old, now))
+                out["orange"].append(orange_ratio(now))
+            yield pdf[names].assign(**out)
+
+    return rows.select(*names, "width", "height", pixels, "_before").mapInPandas(run, schema)
+
+
+def template_hits(frame: np.ndarray, template: np.ndarray, threshold: float, most: int = 32) -> list[tuple[int, int, float]]:
+    """(x, y, score) of the places where a template matches best locally, the best first, `most` at most."""
+    f, t = np.asarray(frame, float), np.asarray(template, float)
+    if t.shape[0] > f.shape[0] or t.shape[1] > f.shape[1] or t.std() <= 1e-6:
+        return []
+    views = np.lib.stride_tricks.sliding_window_view(f, t.shape)
+    centred, means = t - t.mean(), views.mean(axis=(2, 3), keepdims=True)
+    spread = np.sqrt(((views - means) ** 2).sum(axis=(2, 3))) * np.sqrt((centred**2).sum())
+    score = np.divide(((views - means) * centred).sum(axis=(2, 3)), spread, out=np.zeros(spread.shape), where=spread > 1e-9)
+    padded = np.pad(score, 1, constant_values=-2.0)
+    around = np.max([padded[y : y + score.shape[0], x : x + score.shape[1]] for y in range(3) for x in range(3) if (y, x) != (1, 1)], axis=0)
+    ys, xs = np.nonzero((score >= threshold) & (score >= around))
+    found = sorted(((int(x), int(y), float(score[y, x])) for y, x in zip(ys, xs)), key=lambda h: (-h[2], h[1], h[0]))
+    return found[:most]
+
+
+def resampled(image: np.ndarray, scale: float) -> np.ndarray:
+    """An image at another scale, by the nearest pixel."""
+    h, w = image.shape[:2]
+    rows = np.minimum(h - 1, (np.arange(max(2, round(h * scale))) / scale).astype(int))
+    columns = np.minimum(w - 1, (np.arange(max(2, round(w * scale))) / scale).astype(int))
+    return image[rows][:, columns]
+
+
+def best_match(frame: np.ndarray, templates: list[np.ndarray], scales: tuple[float, ...] = (0.8, 0.9, 1.0, 1.1, 1.2)) -> float:
+    """The best score of any template at any scale."""
+    return max((template_score(frame, resampled(t, s)) for t in templates for s in scales), default=0.0)
+
+
+def row_geometry(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, n, y_score, size_score, spacing_score) of detections grouped into rows (row, x, y, size): how level, alike and
+    evenly spaced they are."""
+    from pyspark.sql import Window
+
+    gap = F.col("x") - F.lag("x").over(Window.partitionBy(*keys, "row").orderBy("x"))
+    even = lambda c: F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.stddev_pop(c), F.avg(c)), F.lit(0.0)))
+    level = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.stddev_pop("y"), F.avg("size")), F.lit(0.0)))
+    return df.withColumn("_gap", gap).groupBy(*keys, "row").agg(F.count("*").alias("n"), level.alias("y_score"), even("size").alias("size_score"), even("_gap").alias("spacing_score"))
+
+
+def waveform_density(df: DataFrame, keys: list[str], flux: str = "flux", share: float = 0.75) -> DataFrame:
+    """Adds active: whether a frame's flux is at least the given percentile of its key."""
+    level = df.groupBy(*keys).agg(F.percentile(flux, share).alias("_level"))
+    return df.join(level, keys).withColumn("active", F.col(flux) >= F.col("_level")).drop("_level")

@@ -140,3 +140,17 @@ def energy_regions(df: DataFrame, keys, t: str, value: str, width: float) -> Dat
     r = over(keys, ["_r"])
     role = F.when(F.col("energy") == "high", "climax").when((F.col("energy") == "medium") & (F.lead("energy").over(r) == "high"), "build_up").when((F.col("energy") == "medium") & (F.lag("energy").over(r) == "high"), "release").when(F.col("energy") == "low", "calm").otherwise("steady")
     return regions.withColumn("role", role).drop("_r")
+
+
+def fallback_window(df: DataFrame, keys, t: str, value: str, width: float, length: str) -> DataFrame:
+    """(keys, start, end): `width` around the highest sample (the earliest of equal ones), inside [0, length]."""
+    best = df.groupBy(*keys).agg(F.max_by(t, F.struct(F.col(value), -F.col(t))).alias("_t"), F.max(length).alias("_l"))
+    start = F.greatest(F.lit(0.0), F.least(F.col("_t") - width / 2, F.col("_l") - width))
+    return best.select(*keys, start.alias("start"), F.least(F.col("_l"), start + width).alias("end"))
+
+
+def trimmed_range(df: DataFrame, keys, t: str, dark: str, limit: float = 0.90, least: float = 1.0) -> DataFrame:
+    """(keys, start, end, trimmed): a candidate's range without dark edges; as it was if less than `least` would be left."""
+    whole = df.groupBy(*keys).agg(F.min(t).alias("_a"), F.max(t).alias("_b"), F.min(F.when(F.col(dark) < limit, F.col(t))).alias("_c"), F.max(F.when(F.col(dark) < limit, F.col(t))).alias("_d"))
+    keep = F.coalesce(F.col("_d") - F.col("_c") >= least, F.lit(False))
+    return whole.select(*keys, F.when(keep, F.col("_c")).otherwise(F.col("_a")).alias("start"), F.when(keep, F.col("_d")).otherwise(F.col("_b")).alias("end"), keep.alias("trimmed"))
