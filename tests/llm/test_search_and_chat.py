@@ -74,8 +74,9 @@ TURNS = [
 ]
 
 
-@pytest.mark.parametrize("part", [2, 3, 256])
-def test_rotation_equals_a_plain_rendering(spark, part):
+@pytest.mark.parametrize("part,span", [(2, 2), (3, 4096), (256, 1)])
+def test_rotation_equals_a_plain_rendering(spark, monkeypatch, part, span):
+    monkeypatch.setattr(chat, "SPAN", span)
     turns = spark.createDataFrame([(c, t, r, x, 1, "s", 0.5) for c, t, r, x in TURNS], "conv_id long, turn long, role string, text string, n int, part string, offset double")
     out = chat.digest(chat.rotate(turns, part_turns=part))
     assert multiset(out, "conv_id", "participant", "part", "n_turns", "n_own", "offset", "n_chars", "rendered", "mask") == render(TURNS, part)

@@ -17,6 +17,10 @@ PART_TURNS = 256
 SCENE = ("system",)
 
 
+#: Turn numbers that are ranked in one task; a conversation with more is ranked by several.
+SPAN = 4096
+
+
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS, scene: tuple[str, ...] = SCENE) -> DataFrame:
     """One row per conversation, participant and part of `part_turns` turns.
 
@@ -27,52 +31,66 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, scene: tuple[str, ...
     first; repeated rows are all kept. `mask` has [start, end) code points of the rendering of the part;
     `offset` is where the part starts in the whole rendering, so parts joined in order give all of it.
 
-    A conversation is never gathered whole: turns are numbered by a sort that can spill, and a
-    row holds `part_turns` turns at most.
+    No task holds a conversation. Turns are ranked within spans of turn numbers, and spans by their sizes; texts
+    are gathered by part; what spans a whole conversation, the offsets, is computed from lengths alone.
     """
+    is_scene = F.coalesce(F.col("role").isin(*scene), F.lit(False)) if scene else F.lit(False)
+    kind = dict(turns.dtypes)["conv_id"]
+    conv = ["c", "lost"]  # the id, and whether it is missing: keys that are never null
     t = turns.select(
-        "conv_id",
+        F.coalesce("conv_id", F.lit("0").cast(kind)).alias("c"),
+        F.col("conv_id").isNull().alias("lost"),
         F.col("turn").alias("turn"),
+        F.coalesce(F.floor(F.col("turn") / SPAN).cast("long"), F.lit(-(1 << 62))).alias("span"),
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
         F.coalesce("text", F.lit("")).alias("body"),
-        F.col("role").alias("role"),
+        is_scene.alias("scene"),
+        (F.col("role").isNotNull() & (F.trim("role") != "") & ~is_scene).alias("voice"),
     )
-    is_scene = F.coalesce(F.col("role").isin(*scene), F.lit(False)) if scene else F.lit(False)
-    is_voice = F.col("role").isNotNull() & (F.trim("role") != "") & ~is_scene
-    order = Window.partitionBy("conv_id").orderBy("turn", "speaker", "body")
-    numbered = t.withColumn("n", F.row_number().over(order) - 1).withColumn("scene", is_scene)
-    parts = numbered.groupBy("conv_id", F.floor(F.col("n") / part_turns).cast("int").alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("n", "speaker", "body", "scene"))).alias("items"),
-    )
-    voices = t.filter(is_voice).select("conv_id", F.col("role").alias("participant")).distinct()
-    both = parts.withColumnRenamed("conv_id", "c").join(voices, F.col("c").eqNullSafe(F.col("conv_id"))).drop("c")
+    sizes = t.groupBy(*conv, "span").agg(F.count("*").alias("size"))
+    before = Window.partitionBy(*conv).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*conv, "span", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy(*conv, "span").orderBy("turn", "speaker", "body"))
+    numbered = t.withColumn("place", place).join(first, [*conv, "span"]).withColumn("n", F.col("first") + F.col("place") - 1)
+    numbered = numbered.withColumn("part", F.floor(F.col("n") / part_turns).cast("int"))
+
+    # lengths: of each part for any user, and what a participant's own turns differ by
+    length = lambda who: F.when(F.col("scene"), F.char_length("speaker") + len(OPEN + SEP)).otherwise(F.char_length(who) + len(f"{OPEN}user name={SEP}"))
+    spoken = numbered.groupBy(*conv, "part", "speaker", "scene", "voice").agg(F.count("*").alias("many"), F.sum(F.char_length("body") + len(CLOSE)).alias("chars"))
+    base = spoken.groupBy(*conv, "part").agg(F.sum(F.col("chars") + F.col("many") * length("speaker")).alias("base"))
+    own = spoken.filter("voice").select(*conv, "part", F.col("speaker").alias("participant"), (F.col("many") * (len(f"{OPEN}assistant{SEP}") - length("speaker"))).alias("less"))
+    voices = own.select(*conv, "participant").distinct()
+    sized = base.join(voices, conv).join(own, [*conv, "part", "participant"], "left").withColumn("n_chars", (F.col("base") + F.coalesce("less", F.lit(0))).cast("long"))
+    along = Window.partitionBy(*conv, "participant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.select(*conv, "part", "participant", "n_chars", F.coalesce(F.sum("n_chars").over(along), F.lit(0).cast("long")).alias("offset"))
+
+    parts = numbered.groupBy(*conv, "part").agg(F.array_sort(F.collect_list(F.struct("n", "speaker", "body", "scene"))).alias("items"))
+    both = parts.join(sized, [*conv, "part"])
 
     def head(x: Column) -> Column:
-        own = x["speaker"] == F.col("participant")
-        return F.when(x["scene"], F.concat(F.lit(OPEN), x["speaker"], F.lit(SEP))).when(own, F.lit(f"{OPEN}assistant{SEP}")).otherwise(F.concat(F.lit(f"{OPEN}user name="), x["speaker"], F.lit(SEP)))
+        mine = x["speaker"] == F.col("participant")
+        return F.when(x["scene"], F.concat(F.lit(OPEN), x["speaker"], F.lit(SEP))).when(mine, F.lit(f"{OPEN}assistant{SEP}")).otherwise(F.concat(F.lit(f"{OPEN}user name="), x["speaker"], F.lit(SEP)))
 
-    # the length of each turn's head and body, then running totals
     rendered = F.array_join(F.transform("items", lambda x: F.concat(head(x), x["body"], F.lit(CLOSE))), "")
-    sized = F.transform("items", lambda x: F.struct(F.char_length(head(x)).alias("h"), (F.char_length(x["body"]) + len(CLOSE)).alias("b"), (~x["scene"] & (x["speaker"] == F.col("participant"))).alias("own")))
+    pieces = F.transform("items", lambda x: F.struct(F.char_length(head(x)).alias("h"), (F.char_length(x["body"]) + len(CLOSE)).alias("b"), (~x["scene"] & (x["speaker"] == F.col("participant"))).alias("own")))
     start = F.expr("cast(struct(0L as at, cast(array() as array<struct<start:bigint,end:bigint>>) as mask) as struct<at:bigint,mask:array<struct<start:bigint,end:bigint>>>)")
     walk = F.aggregate(
-        "sized",
+        "pieces",
         start,
         lambda acc, x: F.struct(
             (acc["at"] + x["h"] + x["b"]).cast("bigint").alias("at"),
             F.when(x["own"], F.concat(acc["mask"], F.array(F.struct((acc["at"] + x["h"]).cast("bigint").alias("start"), (acc["at"] + x["h"] + x["b"]).cast("bigint").alias("end"))))).otherwise(acc["mask"]).alias("mask"),
         ),
     )
-    done = both.withColumn("sized", sized).withColumn("walk", walk)
-    before = Window.partitionBy("conv_id", "participant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    done = both.withColumn("pieces", pieces).withColumn("walk", walk)
     return done.select(
-        "conv_id",
+        F.when(~F.col("lost"), F.col("c")).alias("conv_id"),
         "participant",
         "part",
         F.size("items").cast("long").alias("n_turns"),
         F.size("walk.mask").cast("long").alias("n_own"),
-        F.coalesce(F.sum("walk.at").over(before), F.lit(0).cast("long")).alias("offset"),
-        F.col("walk.at").alias("n_chars"),
+        "offset",
+        "n_chars",
         rendered.alias("rendered"),
         F.col("walk.mask").alias("mask"),
     )
