@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -32,7 +33,7 @@ from ._text import tidy
 
 SPACE = "▁"
 #: Units whose ids a worker remembers in each of two generations; when the younger is full, the older one goes.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 250_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -186,19 +187,21 @@ class Model:
         back.extend(range(first - 1, len(tail)))
         low = max(0, first - self.longest)
         ids, pair, whole = self.ids, self._pair, self._whole
-        for at, piece in self.edges.iter(tail[low:]):  # by end, the longest first
+        for at, piece in self.edges.iter(tail[low:] if low else tail):  # by end, the longest first
             end = at + low + 1
             if end == settled or end < first:
                 continue
-            if not (whole.get(piece) or self._reachable(piece)):
-                continue
             start = end - len(piece)
             if start:  # a path that starts at a committed boundary has its left neighbour settled already
                 left = tail[back[start] : start]
-                if not (pair.get((left, piece)) or left not in ids or self._allowed(left, piece)):
+                fits = pair.get((left, piece))
+                if fits is None:
+                    fits = left not in ids or self._allowed(left, piece)
+                if not fits:
                     continue
-            back[end] = start
-            settled = end
+            if whole.get(piece) or self._reachable(piece):
+                back[end] = start
+                settled = end
 
     def _extend_scores(self, tail: str, back: list[int], total: list[float]) -> None:
         """Best last pieces of the positions of `tail` that have none yet; the longest of equal ones."""
@@ -248,6 +251,25 @@ class Model:
                 out.append(self.unknown)
         return out
 
+    def _unit_bytes(self, unit: str) -> bytes:
+        """The ids of a unit as bytes of int32. A unit that fits the window is walked in one go."""
+        if self.kind != BPE or len(unit) > 4 * self.longest:
+            return np.asarray(self.unit_ids(unit), np.int32).tobytes()
+        back = [0]
+        self._extend_merges(unit, back, [])
+        out, end, ids = array("i"), len(unit), self.ids
+        while end:
+            start = back[end]
+            piece = unit[start:end]
+            i = ids.get(piece)
+            if i is not None:
+                out.append(i)
+            else:
+                out.extend(self.byte[b] for b in reversed(piece.encode("utf-8", "replace")))
+            end = start
+        out.reverse()
+        return out.tobytes()
+
     def encode(self, text: str, memory: Memory | None = None) -> np.ndarray:
         """The ids of a text as int32."""
         norm = self.normalise(text)
@@ -279,7 +301,7 @@ class _Young(dict):
         m = self.memory
         ids = m.old.get(unit)
         if ids is None:
-            ids = np.asarray(m.model.unit_ids(unit), np.int32).tobytes()
+            ids = m.model._unit_bytes(unit)
         if len(unit) <= 64:  # longer ones hardly come again
             if len(self) >= CACHE_UNITS:
                 m.old = dict(self)
