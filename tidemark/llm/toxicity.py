@@ -5,8 +5,8 @@ a toxic span if one of its features (the word, or a prefix of 3 to 8 bytes, whic
 forms) is found in toxic documents almost only. Near copies count once there. The field has two states
 and learns, from these labels, a weight for each feature and for each pair of neighbouring states.
 
-Forward-backward gives every word's marginal. A document's score is a logistic function of its highest
-marginal and of their sum, fitted on the documents' own labels; offsets are those of runs of words whose
+Forward-backward gives every word's marginal. A document's score is a logistic function of its two
+highest marginals and of the sum of all, fitted on the documents' own labels; offsets are those of runs of words whose
 marginal is at least one half.
 
 The chain runs over sequences of 64 words, so that all sequences of a batch advance together.
@@ -145,31 +145,51 @@ def marginals(emission: np.ndarray, row: np.ndarray, pair: np.ndarray) -> np.nda
 
 
 def summaries(p: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Per document: 1, the log odds of its highest marginal, the log of one plus their sum."""
-    out = np.zeros((len(row) - 1, 3))
-    out[:, 0] = 1.0
-    full = np.flatnonzero(np.diff(row) > 0)
-    out[:, 1] = -12.0
+    """Per document: 1, the log odds of its highest and second highest marginal, the log of one plus their sum."""
+    out = np.tile([1.0, -12.0, -12.0, 0.0], (len(row) - 1, 1))
+    size = np.diff(row)
+    full = np.flatnonzero(size > 0)
     if len(full):
-        top = np.clip(np.maximum.reduceat(p, row[:-1][full]), 6e-6, 1 - 6e-6)
-        out[full, 1] = np.log(top / (1 - top))
-        out[full, 2] = np.log1p(np.add.reduceat(p, row[:-1][full]))
+        begin = row[:-1][full]
+        doc = np.repeat(np.arange(len(full)), size[full])
+        top = np.maximum.reduceat(p, begin)
+        at = np.flatnonzero(p == top[doc])
+        rest = p.copy()
+        rest[at[np.unique(doc[at], return_index=True)[1]]] = 0.0
+        for k, best in ((1, top), (2, np.maximum.reduceat(rest, begin))):
+            best = np.clip(best, 6e-6, 1 - 6e-6)
+            out[full, k] = np.log(best / (1 - best))
+        out[full, 3] = np.log1p(np.add.reduceat(p, begin))
     return out
 
 
 # -- fitting ----------------------------------------------------------------------------
 
 
-def _unlike(words: Words) -> np.ndarray:
-    """A number per document that near copies mostly share: the least hash of its three-word runs."""
+def _sketch(words: Words, parts: int = 6) -> np.ndarray:
+    """Numbers of each document, of which near copies share most likely at least one: least hashes of its three-word runs."""
     grams = ngrams(words.hashes(), 3)
-    out = np.zeros(len(words.row) - 1, np.uint64)
+    out = np.zeros((len(words.row) - 1, parts), np.uint64)
     for k in range(len(out)):
         lo, hi = words.row[k], words.row[k + 1]
-        out[k] = grams[lo : hi - 2].min() if hi - lo >= 3 else np.uint64(k)
+        own = grams[lo : hi - 2] if hi - lo >= 3 else np.array([k], np.uint64)
+        for p in range(parts):
+            out[k, p] = mix(own + np.uint64(p)).min()
     return out
 
 
+def _first_of_copies(sketch: np.ndarray) -> np.ndarray:
+    """True for the first of the documents that are tied by shared numbers."""
+    label = np.arange(len(sketch))
+    for _ in range(4):
+        for column in sketch.T:
+            order = np.argsort(column, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], column[order][1:] != column[order][:-1]]))
+            least = np.minimum.reduceat(label[order], edge)
+            label[order] = np.repeat(least, np.diff(np.append(edge, len(order))))
+    return label == np.arange(len(label))
+
+
 def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epochs: int = 25, rate: float = 0.5) -> Field | None:
     """The field of a sample's labels and texts; None unless it has both classes. `counts`: rows of each class in all."""
     if not (y == 1).any() or not (y == 0).any():
@@ -178,13 +198,11 @@ def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epo
     for _, _, offsets, raw in chunks(text):
         words = Words(offsets, raw, _LETTERS, LOWER)
         sizes.append(np.diff(words.row))
-        alike.append(_unlike(words))
+        alike.append(_sketch(words))
     size, alike = np.concatenate(sizes), np.concatenate(alike)
     row = np.concatenate([[0], np.cumsum(size)])
     doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    _, first = np.unique(alike, return_index=True)
-    once = np.zeros(len(size), bool)
-    once[first] = True
+    once = _first_of_copies(alike)
 
     # documents of each feature by class, near copies once
     names, n1, n0 = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -206,7 +224,7 @@ def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epo
         n1, n0 = (np.bincount(at, weights=c, minlength=len(names)).astype(np.int64) for c in counts_of)
     if not len(names):
         return None
-    all1, all0 = max(1, int((y[first] == 1).sum())), max(1, int((y[first] == 0).sum()))
+    all1, all0 = max(1, int((y[once] == 1).sum())), max(1, int((y[once] == 0).sum()))
     odds = np.log((n1 + 0.5) / (all1 + 1)) - np.log((n0 + 0.5) / (all0 + 1))
     gain = n1 / all1 * np.maximum(odds, 0)
     telling = (n1 >= max(3, SUPPORT * all1)) & (odds > 3.0) & (n1 / all1 > 20 * n0 / all0)
@@ -214,7 +232,7 @@ def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epo
     common = np.argsort(-(n0 + n1), kind="stable")[: FEATURES // 2]
     best = np.argsort(-gain, kind="stable")[: FEATURES // 2]
     keys = np.unique(np.concatenate([names[common], names[best[gain[best] > 0]]]))
-    field = Field(keys, np.zeros(len(keys)), -3.0, np.zeros((2, 2)), np.zeros(3))
+    field = Field(keys, np.zeros(len(keys)), -3.0, np.zeros((2, 2)), np.zeros(4))
     spans = np.unique(names[telling])
     del names, n1, n0, odds, gain, every, counts_of
     marked = np.zeros(len(doc), bool)
@@ -275,8 +293,8 @@ def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epo
     share = np.array([counts.get(0, 1), counts.get(1, 1)]) / own if counts else np.ones(2)
     weight = share[y]
     weight = weight / weight.mean()
-    x, beta = summaries(p, row), np.zeros(3)
-    ridge = np.diag([1e-6, 1e-2, 1e-2]) * len(y) ** 0.5
+    x, beta = summaries(p, row), np.zeros(4)
+    ridge = np.diag([1e-6, 1e-2, 1e-2, 1e-2]) * len(y) ** 0.5
     for _ in range(30):
         q = _logistic(x @ beta)
         h = (x * (weight * q * (1 - q) + 1e-9)[:, None]).T @ x + ridge
