@@ -394,8 +394,8 @@ def test_settings_file(tmp_path):
 def test_workflows_in_both_dialects(spark):
     roi = '{"coordinate_space": "normalized", "x1": 0.1, "y1": 0.1, "x2": 0.5, "y2": 0.5}'
     texts = [
-        (1, f'{{"schema": "{workflow.SCHEMA_ID}", "detector": {{"detector_type": "skull_row", "event_label": "KILL", "roi": {roi}, "thresholds": {{"a": 0.5}}}}}}'),
-        (2, f'{{"schema": "{workflow.SCHEMA_ID}", "rules": [{{"id": "r", "label": "A", "type": "template_match", "roi": {roi}}}, {{"id": "r", "label": "B", "detector": {{"detector_type": "x", "roi": {roi.replace("0.5", "1.5")}}}}}], "edit_rules": {{"merge_gap_seconds": 1.0, "long_gap_bridge_seconds": 2.0}}}}'),
+        (1, f'{{"schema": "own{workflow.SCHEMA_ENDS}", "detector": {{"detector_type": "skull_row", "event_label": "KILL", "roi": {roi}, "thresholds": {{"a": 0.5}}}}}}'),
+        (2, f'{{"schema": "own{workflow.SCHEMA_ENDS}", "rules": [{{"id": "r", "label": "A", "type": "template_match", "roi": {roi}}}, {{"id": "r", "label": "B", "detector": {{"detector_type": "x", "roi": {roi.replace("0.5", "1.5")}}}}}], "edit_rules": {{"merge_gap_seconds": 1.0, "long_gap_bridge_seconds": 2.0}}}}'),
         (3, '{"schema": "other"}'), (4, "no json"),
     ]
     w = workflow.parse(make(spark, texts, "id int, text string"), "text")

@@ -132,7 +132,7 @@ class Settings:
     v5_max_sequences_per_candidate: int = 1
     v5_sequence_context_s: float = 1.25
     v5_min_rapid_context_tail_s: float = 0.25
-    v6_profile_id: str = "cfl_bf6_1920x1200_v1"
+    v6_profile_id: str = ""
     v6_detector_version: str = "v6-skull-row-5-calibrated-y-gate"
     v6_coarse_fps: float = 12.0
     v6_dense_fps: float = 60.0
@@ -143,7 +143,6 @@ class Settings:
     template_decode_height: int = 720
     template_cache_enabled: bool = True
     full_highlight_target: float = 230.0
-    fast_montage_target: Any = "music"
     weights: Mapping[str, float] = field(default_factory=dict)
     v2_weights: Mapping[str, float] = field(default_factory=dict)
     beam_weights: Mapping[str, float] = field(default_factory=dict)

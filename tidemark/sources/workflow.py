@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA_ID = "game-montage-workflow-v1"
+#: How the schema id of a workflow ends.
+SCHEMA_ENDS = "-workflow-v1"
 _ROI = "struct<coordinate_space:string,x1:double,y1:double,x2:double,y2:double>"
 _DETECTOR = f"struct<detector_type:string,event_label:string,roi:{_ROI},templates:array<struct<kind:string,file:string>>,positive_samples:array<string>,negative_samples:array<string>,thresholds:map<string,double>>"
 #: The union of both dialects: a detector beside the rules, or rules that hold their detector in place.
@@ -20,7 +21,7 @@ WORKFLOW = (
 def parse(df: DataFrame, text: str) -> DataFrame:
     """Adds `workflow`; null for text that is no JSON or has another schema id."""
     w = F.from_json(F.col(text), WORKFLOW)
-    return df.withColumn("workflow", w).withColumn("workflow", F.when(F.col("workflow.schema") == SCHEMA_ID, F.col("workflow")))
+    return df.withColumn("workflow", w).withColumn("workflow", F.when(F.col("workflow.schema").endswith(SCHEMA_ENDS), F.col("workflow")))
 
 
 def rules(df: DataFrame, key: str) -> DataFrame:
