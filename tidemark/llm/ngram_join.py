@@ -463,6 +463,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     summary = heads.join(named, "node", "left").join(counted, "node", "left").select(
         "node", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links")
     )
+    # written, so that the last join is of two plain tables, and a class with very many copies can be split
+    summary = written(summary)
     rows = meta.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("node")).alias("node"))
     return rows.join(summary, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
