@@ -85,7 +85,7 @@ class Model:
     prior: float
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(b, x[:, k], side="right") + k * (BINS + 1) for k, b in enumerate(self.borders)], axis=1)
+        return np.stack([np.searchsorted(b, x[:, k], side="left") + k * (BINS + 1) for k, b in enumerate(self.borders)], axis=1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return self.weights[self.bins(x)].sum(axis=1) + self.bias
@@ -125,7 +125,7 @@ def estimate_prior(good: np.ndarray, mixed: np.ndarray) -> float:
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
-def fit(good: np.ndarray, mixed: np.ndarray, steps: int = 600) -> Model:
+def fit(good: np.ndarray, mixed: np.ndarray, steps: int = 4000, prior_steps: int = 300) -> Model:
     """The model of the measures of trusted positives and of unlabelled rows."""
     both = np.concatenate([good, mixed])
     borders = []
@@ -139,7 +139,7 @@ def fit(good: np.ndarray, mixed: np.ndarray, steps: int = 600) -> Model:
     scores: tuple[list, list] = ([], [])
     for own in ([half[0], half[1]], [~half[0], ~half[1]]) if min(len(good), len(mixed)) > 1 else ([np.ones(len(good), bool), np.ones(len(mixed), bool)],):
         model.weights, model.bias = np.zeros_like(model.weights), 0.0
-        _descend(model, gb[own[0]], mb[own[1]], lambda a, b: (-_logistic(-a) / len(a), _logistic(b) / len(b)), steps // 2)
+        _descend(model, gb[own[0]], mb[own[1]], lambda a, b: (-_logistic(-a) / len(a), _logistic(b) / len(b)), prior_steps)
         other = [~x if (~x).any() else x for x in own]
         scores[0].append(model.logits(good[other[0]]))
         scores[1].append(model.logits(mixed[other[1]]))
