@@ -33,9 +33,33 @@ def written(df: DataFrame) -> DataFrame:
 
     Unlike cached or locally checkpointed rows, they survive lost executors.
     """
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As written, and the table's path, for drop()."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+#: Tables that this process has written and not dropped, in order.
+_paths: list[str] = []
+
+
+def tables() -> list[str]:
+    return list(_paths)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing reads any more: what was made from them is written itself, or saved by the caller."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _paths:
+            _paths.remove(path)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -46,9 +70,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    now = written(now)
-    state = None
+    (now, path), state = written_at(now), None
     for _ in range(MAX_ROUNDS):
+        old = path
         # large star: every larger neighbour of a node is tied to the node's smallest neighbour
         both = now.union(now.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"))
@@ -56,7 +80,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: every smaller neighbour, and the node, is tied to the smallest
         least = now.groupBy("u").agg(F.min("v").alias("m"))
         now = now.join(least, "u").select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
-        now = written(now)
+        now, path = written_at(now)
+        drop(edges.sparkSession, [old])
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
             break
