@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, ngram_join, pieces, secret_scan, toxicity
-from tidemark.llm._tables import small_batches, written
+from tidemark.llm._tables import drop, small_batches, tables, written
 from tidemark.llm.queries import MODEL_PATH
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -71,7 +71,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over the table documents, each written as Parquet and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), tables()
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        drop(spark, [t for t in tables()[:-1] if t not in before])  # what the stage itself needed, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
