@@ -26,7 +26,7 @@ SELECT source_id, clip_no, round(s, 6) AS source_in, round(e, 6) AS source_out,
 def q_window_merge_timeline(spark, d):
     """Event windows merged per source, bridged, and laid end to end."""
     clips = I.timeline(I.bridge(merged(spark, d), ["source_id"], 1.5, 0.0, F.lit(720.0)), ["start"], ["source_id"])
-    return clips.select("source_id", "clip_no", F.round("start", 6).alias("source_in"), F.round("end", 6).alias("source_out"), r6("timeline_in"), r6("timeline_out"), F.array_join(F.transform("event_id", lambda x: x.cast("string")), ",").alias("event_ids"))
+    return clips.select("source_id", F.col("clip_no").cast("long").alias("clip_no"), F.round("start", 6).alias("source_in"), F.round("end", 6).alias("source_out"), r6("timeline_in"), r6("timeline_out"), F.array_join(F.transform("event_id", lambda x: x.cast("string")), ",").alias("event_ids"))
 
 
 _X = """x AS (SELECT o_custkey % 150 AS source_id, o_orderkey AS ord, (o_orderkey % 700)::DOUBLE AS x0, (o_orderkey % 700 + 1 + o_custkey % 5)::DOUBLE AS x1, o_orderpriority AS reason FROM orders WHERE o_orderkey % 10 = 0)"""

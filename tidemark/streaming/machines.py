@@ -35,7 +35,8 @@ def count_machine(states: DataFrame, vanish: float, key: str = "source_id") -> D
                 rows.append((name[0], r.event_id, last, int(high), int(r.count_now), delta, "event" if delta == 1 else "request"))
                 high = int(r.count_now)
         state.update((last, int(high)))
-        yield pd.DataFrame(rows, columns=[key, "event_id", "t", "before", "after", "delta", "kind"])
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, "event_id", "t", "before", "after", "delta", "kind"])
 
     renamed = states.withColumnRenamed("count", "count_now")  # count is a method of a named tuple
     return renamed.groupBy(key).applyInPandasWithState(advance, out, "last double, high int", "append", GroupStateTimeout.NoTimeout)
@@ -56,7 +57,8 @@ def edges(df: DataFrame, release: float, key: str = "source_id") -> DataFrame:
                 rows.append((name[0], r.event_id, float(r.t)))
             active, missed = True, None
         state.update((active, missed))
-        yield pd.DataFrame(rows, columns=[key, "event_id", "t"])
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, "event_id", "t"])
 
     return df.groupBy(key).applyInPandasWithState(advance, f"{key} {kinds[key]}, event_id {kinds['event_id']}, t double", "active boolean, missed double", "append", GroupStateTimeout.NoTimeout)
 
