@@ -22,12 +22,13 @@ def _around(queries: DataFrame, samples: DataFrame, keys: Sequence[str], q: str,
         both, by = both.withColumn("_band", F.floor(F.col("_x") / width).cast("long")), [*keys, "_band"]
     w = Window.partitionBy(*by)
     before = F.last("_s", ignorenulls=True).over(w.orderBy("_x", "_query").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_s", ignorenulls=True).over(w.orderBy("_x", F.desc("_query")).rowsBetween(0, Window.unboundedFollowing))
+    # backwards, as a frame to the end of the partition would be gone through anew for every row
+    after = F.last("_s", ignorenulls=True).over(w.orderBy(F.desc("_x"), "_query").rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("_before", before).withColumn("_after", after).filter("_query = 1")
     if width is not None:
         ends = both.groupBy(*by).agg(F.max_by("_s", F.when(F.col("_query") == 0, F.col("_x"))).alias("_l"), F.min_by("_s", F.when(F.col("_query") == 0, F.col("_x"))).alias("_f"))
-        bands = Window.partitionBy(*keys).orderBy("_band")
-        carried = ends.select(*by, F.last("_l", ignorenulls=True).over(bands.rowsBetween(Window.unboundedPreceding, -1)).alias("_l"), F.first("_f", ignorenulls=True).over(bands.rowsBetween(1, Window.unboundedFollowing)).alias("_f"))
+        bands = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*by, F.last("_l", ignorenulls=True).over(bands(F.asc("_band"))).alias("_l"), F.last("_f", ignorenulls=True).over(bands(F.desc("_band"))).alias("_f"))
         found = found.join(carried, by).withColumn("_before", F.coalesce("_before", "_l")).withColumn("_after", F.coalesce("_after", "_f"))
     return found.select(*keys, "_row.*", F.col("_before"), F.col("_after"))
 

@@ -93,7 +93,8 @@ def trim_edges(df: DataFrame, keys, order, dark: str, limit: float = 0.90) -> Da
     w = over(keys, order)
     light = F.col(dark) < limit
     seen = F.max(F.when(light, 1).otherwise(0))
-    marked = df.withColumn("_before", seen.over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", seen.over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])  # a frame to the end would be gone through anew for every row
+    marked = df.withColumn("_before", seen.over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", seen.over(back.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.filter("_before = 1 and _after = 1").drop("_before", "_after")
 
 
