@@ -103,7 +103,13 @@ def evidence_map(channels: Sequence[str] = tuple(FAMILIES)) -> Column:
     return F.map_filter(every, lambda _, v: v > 0)
 
 
-def channel(evidence: str | Column, name: str) -> Column:
+#: Evidence as a map column, or as the channels' own columns, which need no look-ups.
+Evidence = str | Column | Mapping[str, Column]
+
+
+def channel(evidence: Evidence, name: str) -> Column:
+    if isinstance(evidence, Mapping):
+        return evidence[name]
     return F.coalesce(F.try_element_at(col(evidence), F.lit(name)), F.lit(0.0))
 
 
@@ -112,7 +118,7 @@ def noisy_or(values: str | Column) -> Column:
     return 1 - F.aggregate(col(values), F.lit(1.0), lambda r, v: r * (1 - clamp(v)))
 
 
-def family_maxima(evidence: str | Column, families: Mapping[str, str] = FAMILIES) -> Column:
+def family_maxima(evidence: Evidence, families: Mapping[str, str] = FAMILIES) -> Column:
     """The largest channel of each family, as an array (families without evidence give 0)."""
     by: dict[str, list[str]] = {}
     for name, family in families.items():
@@ -121,9 +127,9 @@ def family_maxima(evidence: str | Column, families: Mapping[str, str] = FAMILIES
     return F.array(*best)
 
 
-def classify(evidence: str | Column, threshold: float = 0.35, weak: float = 0.55) -> Column:
+def classify(evidence: Evidence, threshold: float = 0.35, weak: float = 0.55) -> Column:
     """struct(type, semantic): the first rule whose indicator is corroborated by another family, else a visual fallback with 0."""
-    e = col(evidence)
+    e = evidence if isinstance(evidence, Mapping) else col(evidence)
     out = None
     for label, indicator, companions in RULES:
         own = clamp(channel(e, indicator))
@@ -135,7 +141,7 @@ def classify(evidence: str | Column, threshold: float = 0.35, weak: float = 0.55
     return out.otherwise(F.struct(fallback_type(e).alias("type"), F.lit(0.0).alias("semantic")))
 
 
-def fallback_type(evidence: str | Column) -> Column:
+def fallback_type(evidence: Evidence) -> Column:
     c = lambda n: channel(evidence, n)
     visual = F.greatest(*map(c, ("reward_roi_change", "killfeed_change", "objective_roi_change", "luminance_change", "visual_novelty")))
     return (

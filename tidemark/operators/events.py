@@ -13,11 +13,13 @@ from .streams import sorted_scan
 
 def fuse(samples: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Evidence samples (a column per channel) as events: confidence over families, strength, label, flags. Weak ones go."""
-    e = samples.withColumn("evidence", S.evidence_map())
-    e = e.filter(F.size("evidence") > 0).withColumn("confidence", S.clamp(S.noisy_or(S.family_maxima("evidence")))).filter(F.col("confidence") >= threshold)
-    e = e.withColumn("strength", S.clamp(0.70 * F.col("confidence") + 0.30 * F.array_max(F.map_values("evidence"))))
+    clamped = samples.withColumns({f"_{c}": F.coalesce(S.clamp(c), F.lit(0.0)) for c in S.FAMILIES})
+    own = {c: F.col(f"_{c}") for c in S.FAMILIES}
+    e = clamped.withColumn("confidence", S.clamp(S.noisy_or(S.family_maxima(own)))).filter((F.col("confidence") >= threshold) & (F.col("confidence") > 0))
+    e = e.withColumn("strength", S.clamp(0.70 * F.col("confidence") + 0.30 * F.greatest(*own.values())))
+    e = e.withColumn("_c", S.classify(own, threshold)).withColumn("evidence", S.evidence_map())
     e = e.withColumn("flags", F.array_sort(F.map_keys(F.map_filter("evidence", lambda _, v: v >= threshold))))
-    return e.withColumn("_c", S.classify("evidence", threshold)).withColumn("type", F.col("_c.type")).withColumn("semantic", F.col("_c.semantic")).drop("_c")
+    return e.withColumn("type", F.col("_c.type")).withColumn("semantic", F.col("_c.semantic")).drop("_c", *[f"_{c}" for c in S.FAMILIES])
 
 
 def refractory_groups(df: DataFrame, keys: Sequence[str], t: str, window: float, tie: Sequence[str] = (), out: str = "grp") -> DataFrame:
