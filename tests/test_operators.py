@@ -543,3 +543,28 @@ def test_rows_and_density(spark):
     assert rows(media.row_geometry(d, ["k"]), "row", "n", "y_score", "size_score", "spacing_score") == [(0, 3, 1.0, 1.0, 1.0), (1, 1, 1.0, 1.0, 1.0)]
     w = make(spark, [("s", float(x)) for x in range(5)], "k string, flux double")
     assert rows(media.waveform_density(w, ["k"]).filter("active"), "flux") == [(3.0,), (4.0,)]
+
+
+def test_box_and_beam_queries_see_every_row(spark, tmp_path):
+    from tidemark.plans import registry
+
+    boxes = [(n, 1, n % 3, float(n * 7 % 50), 0.01 * (n % 11), 100.0 + n * 13 % 997) for n in range(1, 601)]
+    make(spark, boxes, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_discount double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept = []
+    for n, line, supp, q, disc, _ in sorted(boxes, key=lambda b: (-b[5], b[0])):
+        x1, y1, x2, y2 = q, disc * 400, q + 6 + line, disc * 400 + 9
+        clear = True
+        for f, _, a1, b1, a2, b2 in kept:
+            common = max(0, min(x2, a2) - max(x1, a1)) * max(0, min(y2, b2) - max(y1, b1))
+            apart = (((x1 + x2 - a1 - a2) / 2) ** 2 + ((y1 + y2 - b1 - b2) / 2) ** 2) ** 0.5
+            clear &= f != supp or (common / ((x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - common) < 0.25 and apart > 0.7 * max(x2 - x1, y2 - y1, a2 - a1, b2 - b1))
+        if clear:
+            kept.append((supp, n * 10 + line, x1, y1, x2, y2))
+    assert any(k[1] >= 3000 for k in kept)
+    assert rows(registry.queries()["q_box_suppression_all"](spark, str(tmp_path)), "frame", "id") == sorted((k[:2] for k in kept), key=repr)
+
+    parts = [(n, "b", 1 + n % 7 if n < 400 else 50, 900.0 if n < 400 else 2100.0) for n in range(1, 801)]
+    make(spark, parts, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    ids = [int(r["variant_id"]) for r in registry.queries()["q_beam_edit"](spark, str(tmp_path)).collect()]
+    assert 3 <= len(ids) <= 8 and min(ids) >= 400
+    assert registry.queries()["q_validate_edit"](spark, str(tmp_path)).filter("rule = 'total'").count() == 0

@@ -44,14 +44,14 @@ def _double():
 BEAM_WEIGHTS = {"highlight_quality": 0.35, "music_fit": 0.25, "transition_compatibility": 0.15, "diversity": 0.15, "energy_curve_fit": 0.10}
 
 
-def beam_edit(df: DataFrame, keys: Sequence[str], width: int = 16, shots: tuple[int, int] = (8, 14), seconds: tuple[float, float] = (45.0, 60.0), expansions: int = 8192, recent: int = 2, longest: float = 10.0, verified: int = 0, hero_margin: float = 0.05) -> DataFrame:
+def beam_edit(df: DataFrame, keys: Sequence[str], width: int = 16, shots: tuple[int, int] = (8, 14), seconds: tuple[float, float] = (45.0, 60.0), expansions: int | None = 8192, recent: int = 2, longest: float = 10.0, verified: int = 0, hero_margin: float = 0.05) -> DataFrame:
     """(keys, ord, variant_id, timeline_in, timeline_out, section, score): the best edit of a bounded beam search.
 
     `df` has, per variant: variant_id, duration, final_score, duplicate_group, source, environment, and optionally
     energy (of the music at its target, 0.5 without), compatibility (0.65), context (1), penalty (0), sync (0), is_hero, preserved,
     verified_kill_count. A state never uses a group or variant twice, passes the time, takes a third long shot
     in a row, or an unverified variant where `verified` are asked for. The number of expansions is bounded over the
-    whole search; ties go by elapsed time, then variant ids. A project without a complete edit gives no rows."""
+    whole search (None: by width, shots and variants alone); ties go by elapsed time, then variant ids. A project without a complete edit gives no rows."""
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", ord int, variant_id string, timeline_in double, timeline_out double, section string, score double"
     names = list(keys)
     defaults = {"energy": 0.5, "compatibility": 0.65, "context": 1.0, "penalty": 0.0, "sync": 0.0, "is_hero": False, "preserved": False, "verified_kill_count": 0.0}
@@ -83,7 +83,7 @@ def beam_edit(df: DataFrame, keys: Sequence[str], width: int = 16, shots: tuple[
             gain += 0.12 * (share >= 0.85 and r["is_hero"] and r["final_score"] >= floor) - 0.10 * (1.0 - r["context"]) - 0.08 * r["penalty"] - 0.04 * min(1.0, abs(r["sync"]))
             return score + gain, total, (*chosen, i)
 
-        beam, complete, left = [(0.0, 0.0, ())], [], expansions
+        beam, complete, left = [(0.0, 0.0, ())], [], float("inf") if expansions is None else expansions
         for level in range(shots[1] + 1):
             complete += [s for s in beam if shots[0] <= len(s[2]) and seconds[0] <= s[1] <= seconds[1]]
             if level == shots[1]:

@@ -79,9 +79,9 @@ def q_greedy_edit(spark, d):
 
 
 def beam(spark, d):
-    c = O.score_candidates(candidates(spark, d)).filter("id < 400")
+    c = O.score_candidates(candidates(spark, d))
     v = c.select("brand", F.col("id").cast("string").alias("variant_id"), (3.0 + F.col("id") % 9).alias("duration"), "final_score", (F.col("id") % 19).cast("string").alias("duplicate_group"), (F.col("id") % 5).cast("string").alias("source"), (F.col("id") % 3).cast("string").alias("environment"))
-    return selection.beam_edit(v, ["brand"], width=8, shots=(3, 8), seconds=(20.0, 30.0), expansions=4096)
+    return selection.beam_edit(v, ["brand"], width=8, shots=(3, 8), seconds=(20.0, 30.0), expansions=None)
 
 
 @query()
@@ -113,10 +113,18 @@ walk AS (SELECT frame, i, [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS kept, tr
     OR sqrt(((r.x1 + r.x2 - k.x1 - k.x2) / 2) ** 2 + ((r.y1 + r.y2 - k.y1 - k.y2) / 2) ** 2) <= 0.7::DOUBLE * greatest(r.x2 - r.x1, r.y2 - r.y1, k.x2 - k.x1, k.y2 - k.y1))) = 0 AS f))
 SELECT r.frame, r.id FROM walk JOIN r USING (frame, i) WHERE ok""")
 def q_box_suppression(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey < 300")
+    return selection.suppress_hits(boxes(table(spark, d, "lineitem").filter("l_orderkey < 300")), ["frame"], "score", "id").select("frame", "id")
+
+
+@query()
+def q_box_suppression_all(spark, d):
+    """All boxes; the query above has the bound of its SQL."""
+    return selection.suppress_hits(boxes(table(spark, d, "lineitem")), ["frame"], "score", "id").select("frame", "id")
+
+
+def boxes(li):
     y = F.col("l_discount") * 400
-    b = li.select((F.col("l_suppkey") % 50).alias("frame"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x1"), y.alias("y1"), (F.col("l_quantity") + 6 + F.col("l_linenumber")).alias("x2"), (y + 9).alias("y2"), F.col("l_extendedprice").alias("score"))
-    return selection.suppress_hits(b, ["frame"], "score", "id").select("frame", "id")
+    return li.select((F.col("l_suppkey") % 50).alias("frame"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x1"), y.alias("y1"), (F.col("l_quantity") + 6 + F.col("l_linenumber")).alias("x2"), (y + 9).alias("y2"), F.col("l_extendedprice").alias("score"))
 
 
 @query(f"""WITH {EVENTS_SQL}, e AS (SELECT *, lag(type) OVER w AS pt, lag(confidence) OVER w AS pc, lag(semantic) OVER w AS ps FROM ev WINDOW w AS (PARTITION BY source_id ORDER BY t, event_id))
