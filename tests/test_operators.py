@@ -568,3 +568,17 @@ def test_box_and_beam_queries_see_every_row(spark, tmp_path):
     ids = [int(r["variant_id"]) for r in registry.queries()["q_beam_edit"](spark, str(tmp_path)).collect()]
     assert 3 <= len(ids) <= 8 and min(ids) >= 400
     assert registry.queries()["q_validate_edit"](spark, str(tmp_path)).filter("rule = 'total'").count() == 0
+
+
+def test_exclusion_queries_see_every_order(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tidemark.plans import registry
+
+    at = [(n, 5, datetime(2024, 1, 1) + timedelta(hours=h), "purchase", 50.0, '{"k": 1}') for n, h in ((1, 7.5), (2, 100.0))]
+    make(spark, at, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    make(spark, [(7, 155, "1-URGENT"), (10, 6, "5-LOW")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {n: registry.queries()[f"q_{n}_all"](spark, str(tmp_path)).collect() for n in ("exclusion_anti", "exclusion_reason", "excluded_windows")}
+    assert [r["event_id"] for r in found["exclusion_anti"]] == [2]
+    assert [(r["source_id"], r["reason"]) for r in found["exclusion_reason"]] == [(5, "1-URGENT")]
+    assert [(r["before"], r["kept"]) for r in found["excluded_windows"]] == [(2, 1)]

@@ -30,10 +30,12 @@ def q_window_merge_timeline(spark, d):
 
 
 _X = """x AS (SELECT o_custkey % 150 AS source_id, o_orderkey AS ord, (o_orderkey % 700)::DOUBLE AS x0, (o_orderkey % 700 + 1 + o_custkey % 5)::DOUBLE AS x1, o_orderpriority AS reason FROM orders WHERE o_orderkey % 10 = 0)"""
+_X_ALL = _X.replace(" WHERE o_orderkey % 10 = 0", "")
 
 
-def exclusions(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 0")
+def exclusions(spark, d, whole=False):
+    """Orders as exclusions; without `whole` the tenth that the SQL of the three older queries has."""
+    o = table(spark, d, "orders") if whole else table(spark, d, "orders").filter("o_orderkey % 10 = 0")
     x0 = (F.col("o_orderkey") % 700).cast("double")
     return I.valid_exclusions(o.select((F.col("o_custkey") % 150).alias("source_id"), F.col("o_orderkey").alias("ord"), x0.alias("x0"), (x0 + 1 + F.col("o_custkey") % 5).alias("x1"), F.col("o_orderpriority").alias("reason")))
 
@@ -56,6 +58,24 @@ def q_excluded_windows(spark, d):
     return w.agg(F.count("*").alias("before")).join(kept.agg(F.count("*").alias("kept")))
 
 
+@query(f"""WITH {EVENTS_SQL}, {_X_ALL} SELECT event_id FROM ev WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.source_id = ev.source_id AND ev.t >= x0 AND ev.t < x1)""")
+def q_exclusion_anti_all(spark, d):
+    return I.excluded_points(events(spark, d), exclusions(spark, d, True), "source_id", "t", 4.0).select("event_id")
+
+
+@query(f"""WITH {_MERGED}, {_X_ALL} SELECT w.source_id, round(a, 6) AS start, round(b, 6) AS "end", arg_min(reason, ord) AS reason FROM w JOIN x ON x.source_id = w.source_id AND b > x0 AND a < x1 GROUP BY ALL""")
+def q_exclusion_reason_all(spark, d):
+    w = merged(spark, d)
+    return I.exclusion_reasons(w, exclusions(spark, d, True), "source_id", ["source_id", "start", "end"], 8.0).select("source_id", r6("start"), r6("end"), "reason")
+
+
+@query(f"""WITH {_MERGED}, {_X_ALL} SELECT (SELECT count(*) FROM w) AS before, count(*) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.source_id = w.source_id AND b > x0 AND a < x1)""")
+def q_excluded_windows_all(spark, d):
+    w = merged(spark, d)
+    kept = I.drop_excluded(w, exclusions(spark, d, True), "source_id", ["source_id", "start", "end"], 8.0)
+    return w.agg(F.count("*").alias("before")).join(kept.agg(F.count("*").alias("kept")))
+
+
 @query(f"""WITH {_MERGED} SELECT event_id FROM ev WHERE type <> 'kill' AND EXISTS (SELECT 1 FROM w WHERE w.source_id = ev.source_id AND ev.t BETWEEN a AND b)""")
 def q_interval_semi(spark, d):
     return I.points_within(events(spark, d).filter("type <> 'kill'"), merged(spark, d), "source_id", "t", 8.0).select("event_id")
