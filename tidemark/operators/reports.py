@@ -118,15 +118,17 @@ def impact_times(confirmed: DataFrame, evidence: DataFrame, key: str, ids: Seque
     return confirmed.select(*ids).join(best, list(ids), "left").select(*ids, F.col("_b.impact").alias("impact"))
 
 
-def music_interval(boundaries: DataFrame, start: float, end: float, most: float, shift: float = 0.5, least: float = 0.70) -> DataFrame:
-    """One row (music_in, music_out, changed): an interval whose start or end moves to a boundary (t, confidence, supported)
+def music_interval(boundaries: DataFrame, start: float, end: float, most: float, shift: float = 0.5, least: float = 0.70, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (music_in, music_out, changed), or one of each key in `boundaries`: an interval whose start or end moves to a boundary (t, confidence, supported)
     that is sure enough and at most `shift` away; of several the surest, then the nearest. Without one it stays."""
     sure = boundaries.filter(F.col("supported") & (F.col("confidence") >= least) & F.col("t").between(0, most))
     sides = F.array(F.struct(F.lit("in").alias("side"), F.lit(float(start)).alias("edge")), F.struct(F.lit("out").alias("side"), F.lit(float(end)).alias("edge")))
-    moves = sure.select("t", "confidence", F.explode(sides).alias("e")).select("t", "confidence", "e.*").filter((F.abs(F.col("t") - F.col("edge")) <= shift) & (F.abs(F.col("t") - F.col("edge")) > 1e-9))
-    best = moves.agg(F.max_by(F.struct("side", "t"), F.struct("confidence", -F.abs(F.col("t") - F.col("edge")), F.col("side"))).alias("b"))
+    moves = sure.select(*keys, "t", "confidence", F.explode(sides).alias("e")).select(*keys, "t", "confidence", "e.*").filter((F.abs(F.col("t") - F.col("edge")) <= shift) & (F.abs(F.col("t") - F.col("edge")) > 1e-9))
+    best = moves.groupBy(*keys).agg(F.max_by(F.struct("side", "t"), F.struct("confidence", -F.abs(F.col("t") - F.col("edge")), F.col("side"))).alias("b"))
+    if keys:  # a key without a move stays
+        best = boundaries.select(*keys).distinct().join(best, list(keys), "left")
     moved = lambda side, edge: F.when(F.col("b.side") == side, F.col("b.t")).otherwise(F.lit(float(edge)))
-    out = best.select(F.round(moved("in", start), 3).alias("music_in"), F.round(moved("out", end), 3).alias("music_out"), F.col("b").isNotNull().alias("changed"))
+    out = best.select(*keys, F.round(moved("in", start), 3).alias("music_in"), F.round(moved("out", end), 3).alias("music_out"), F.col("b").isNotNull().alias("changed"))
     return out.withColumn("changed", F.col("changed") & (F.col("music_out") > F.col("music_in")))
 
 

@@ -154,21 +154,46 @@ def q_tolerance_priority(spark, d):
 j AS (SELECT event_id, ev.t, (SELECT max(t) FROM s WHERE s.t <= ev.t) AS a, (SELECT min(t) FROM s WHERE s.t >= ev.t) AS b FROM ev)
 SELECT event_id, round(CASE WHEN a IS NULL THEN y.v WHEN b IS NULL OR a = b THEN x.v ELSE x.v + (j.t - a) / (b - a) * (y.v - x.v) END, 2) AS v FROM j LEFT JOIN s x ON x.t = a LEFT JOIN s y ON y.t = b""")
 def q_interp(spark, d):
+    return _interp(spark, d, order_days(spark, d).filter("day < 60"))
+
+
+@query(f"""WITH {EVENTS_SQL}, {ORDER_DAYS_SQL}, s AS (SELECT day::DOUBLE * 12 AS t, total AS v FROM od),
+j AS (SELECT event_id, ev.t, (SELECT max(t) FROM s WHERE s.t <= ev.t) AS a, (SELECT min(t) FROM s WHERE s.t >= ev.t) AS b FROM ev)
+SELECT event_id, round(CASE WHEN a IS NULL THEN y.v WHEN b IS NULL OR a = b THEN x.v ELSE x.v + (j.t - a) / (b - a) * (y.v - x.v) END, 2) AS v FROM j LEFT JOIN s x ON x.t = a LEFT JOIN s y ON y.t = b""")
+def q_interp_all(spark, d):
+    """Samples of all days; the query above has the bound of its SQL."""
+    return _interp(spark, d, order_days(spark, d))
+
+
+def _interp(spark, d, days):
     q = events(spark, d).select("event_id", "t").withColumn("track", F.lit(1))
-    s = order_days(spark, d).filter("day < 60").select(F.lit(1).alias("track"), (F.col("day").cast("double") * 12).alias("t"), F.col("total").alias("v"))
+    s = days.select(F.lit(1).alias("track"), (F.col("day").cast("double") * 12).alias("t"), F.col("total").alias("v"))
     return J.interpolate(q, s, ["track"], "t", "t", "v", "v_at", 24.0).select("event_id", F.round("v_at", 2).alias("v"))
 
 
 _POINTS = "p AS (SELECT DISTINCT floor(t * 2) / 2 + 0.25 AS t, CASE type WHEN 'objective' THEN 'strong_beat' WHEN 'danger_climax' THEN 'bar' WHEN 'impact_event' THEN 'beat' ELSE 'onset' END AS type, CASE type WHEN 'objective' THEN 4.0::DOUBLE WHEN 'danger_climax' THEN 3.5::DOUBLE WHEN 'impact_event' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS rank FROM ev WHERE source_id < 5 AND type <> 'kill')"
+_POINTS_ALL = _POINTS.replace("source_id < 5 AND ", "")
 
 
 @query(f"""WITH {EVENTS_SQL}, {_POINTS}, a AS (SELECT event_id, t, confidence >= 0.5 AND strength >= 0.5 AS strong FROM ev WHERE type = 'kill'),
 c AS (SELECT event_id, a.t AS hint, p.t, row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN strong THEN -rank ELSE 0 END, abs(p.t - a.t), p.t) AS i FROM a JOIN p ON CASE WHEN strong THEN type IN ('strong_beat', 'bar') ELSE type IN ('beat', 'onset') END)
 SELECT event_id, round(CASE WHEN abs(t - hint) <= 0.75 THEN t ELSE hint END, 6) AS target, round(CASE WHEN abs(t - hint) <= 0.75 THEN t - hint ELSE 0 END, 6) AS "offset" FROM c WHERE i = 1""")
 def q_anchor_target(spark, d):
+    return _anchors(spark, d, "source_id < 5 and type <> 'kill'")
+
+
+@query(f"""WITH {EVENTS_SQL}, {_POINTS_ALL}, a AS (SELECT event_id, t, confidence >= 0.5 AND strength >= 0.5 AS strong FROM ev WHERE type = 'kill'),
+c AS (SELECT event_id, a.t AS hint, p.t, row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN strong THEN -rank ELSE 0 END, abs(p.t - a.t), p.t) AS i FROM a JOIN p ON CASE WHEN strong THEN type IN ('strong_beat', 'bar') ELSE type IN ('beat', 'onset') END)
+SELECT event_id, round(CASE WHEN abs(t - hint) <= 0.75 THEN t ELSE hint END, 6) AS target, round(CASE WHEN abs(t - hint) <= 0.75 THEN t - hint ELSE 0 END, 6) AS "offset" FROM c WHERE i = 1""")
+def q_anchor_target_all(spark, d):
+    """Points of all sources; the query above has the bound of its SQL."""
+    return _anchors(spark, d, "type <> 'kill'")
+
+
+def _anchors(spark, d, of):
     e = events(spark, d)
     kind = F.when(F.col("type") == "objective", "strong_beat").when(F.col("type") == "danger_climax", "bar").when(F.col("type") == "impact_event", "beat").otherwise("onset")
     rank = F.when(F.col("type") == "objective", 4.0).when(F.col("type") == "danger_climax", 3.5).when(F.col("type") == "impact_event", 2.0).otherwise(1.0)
-    p = e.filter("source_id < 5 and type <> 'kill'").select((F.floor(F.col("t") * 2) / 2 + 0.25).alias("t"), kind.alias("type"), rank.alias("rank")).distinct()
+    p = e.filter(of).select((F.floor(F.col("t") * 2) / 2 + 0.25).alias("t"), kind.alias("type"), rank.alias("rank")).distinct()
     a = e.filter("type = 'kill'").select("event_id", "t", ((F.col("confidence") >= 0.5) & (F.col("strength") >= 0.5)).alias("strong"))
     return J.anchor_targets(a, p, ["event_id"], "t", "strong", 0.75).select("event_id", r6("target"), r6("offset"))

@@ -77,6 +77,15 @@ def q_music_interval(spark, d):
     return R.music_interval(b, 100.0, 400.0, 720.0, 40.0, 0.3)
 
 
+@query(f"""WITH {EVENTS_SQL}, s AS (SELECT source_id, t, confidence, k % 2 = 0 AS supported FROM ev), m AS (SELECT source_id, t, confidence, side, edge FROM s, (VALUES ('in', 100.0::DOUBLE), ('out', 400.0::DOUBLE)) AS v(side, edge) WHERE supported AND confidence >= 0.3 AND abs(t - edge) <= 40),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, abs(t - edge), side DESC) = 1)
+SELECT source_id, round(coalesce(CASE WHEN side = 'in' THEN t END, 100), 3) AS music_in, round(coalesce(CASE WHEN side = 'out' THEN t END, 400), 3) AS music_out, side IS NOT NULL AS changed FROM (SELECT DISTINCT source_id FROM s) LEFT JOIN b USING (source_id)""")
+def q_music_interval_all(spark, d):
+    """An interval per source; the query above is of one source, as its SQL."""
+    b = events(spark, d).select("source_id", "t", "confidence", (F.col("k") % 2 == 0).alias("supported"))
+    return R.music_interval(b, 100.0, 400.0, 720.0, 40.0, 0.3, ["source_id"])
+
+
 @query(f"""WITH {EVENTS_SQL} SELECT event_id, round(CASE WHEN t / 720 < 0.2 THEN 0.3 + t / 720 / 0.2 * 0.2 WHEN t / 720 < 0.45 THEN 0.5 + (t / 720 - 0.2) / 0.25 * 0.18 WHEN t / 720 < 0.6 THEN 0.68 + (t / 720 - 0.45) / 0.15 * 0.14 WHEN t / 720 < 0.85 THEN 0.82 + (t / 720 - 0.6) / 0.25 * 0.08 ELSE 0.9 + (t / 720 - 0.85) / 0.15 * 0.1 END, 6)::DOUBLE AS target,
   CASE WHEN t / 720 >= 0.85 THEN 'finale' WHEN t / 720 < 0.2 THEN 'build' WHEN t / 720 < 0.45 THEN 'rise' WHEN t / 720 < 0.6 THEN 'release' ELSE 'escalation' END AS section FROM ev""")
 def q_energy_curve(spark, d):
