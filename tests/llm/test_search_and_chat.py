@@ -32,6 +32,19 @@ def test_search_equals_brute_force(spark, seed, block):
     assert multiset(out, "query", "rank", "neighbour", "distance") == brute(index, queries, 10)
 
 
+@pytest.mark.parametrize("copies", [2, 11, 30])
+def test_own_rows_take_no_place(spark, copies):
+    rng = np.random.default_rng(copies)
+    near = [(i, int(c)) for i, c in enumerate(rng.integers(0, 1 << 63, 60, dtype=np.uint64), 1)]
+    index = [(0, 5)] * copies + [(0, 4)] * copies + near + [(i, 5) for i in range(100, 104)]
+    make = lambda rows: spark.createDataFrame([(i, signed(c)) for i, c in rows], "id long, code long")
+    out = hamming.top_k(make(index), make(index), 10)
+    found = multiset(out.filter("query > 0"), "query", "rank", "neighbour", "distance")
+    assert found == brute(index, [x for x in index if x[0]], 10)
+    own = hamming.top_k(make(index), make([(0, 5)]), 10)
+    assert multiset(own, "query", "rank", "neighbour", "distance") == brute(index, [(0, 5)], 10)
+
+
 def test_search_of_few_rows_and_nulls(spark):
     make = lambda rows: spark.createDataFrame(rows, "id long, code long")
     index = make([(1, 0), (2, 3), (3, None), (None, 5)])

@@ -43,7 +43,9 @@ class Index:
         edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
         self.codes, self.first = codes[edge], np.append(edge, len(codes))
         self.ids = ids
-        self.many = np.minimum(np.diff(self.first), k + 1)  # more rows of a code than that cannot all be among k
+        self.many = np.minimum(np.diff(self.first), k)  # more rows of a code than that cannot all be among k
+        self.by_id = np.argsort(ids, kind="stable")
+        self.sorted_ids = ids[self.by_id]
         bits = int(np.clip(np.ceil(np.log2(max(2, len(self.codes)))), 4, 16))
         m = -(-64 // bits)
         borders = [64 * j // m for j in range(m + 1)]
@@ -66,10 +68,25 @@ class Index:
         return self._masks[width, r]
 
     def search(self, own: int | None, code: np.uint64, k: int) -> list[tuple[int, int]]:
-        """(distance, id) of the k nearest rows other than row `own`, nearest first, ties by id."""
+        """(distance, id) of the k nearest rows other than those of id `own`, nearest first, ties by id."""
+        mine, held = self._own(own)
+        many = self.many[mine]
+        self.many[mine] = np.minimum(np.diff(self.first)[mine] - held, k)  # the query's own rows do not count
+        try:
+            return self._nearest(own, code, k, dict(zip(mine.tolist(), held.tolist())))
+        finally:
+            self.many[mine] = many
+
+    def _own(self, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the codes that rows of id `own` have, and how many such rows each has."""
+        if own is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lo, hi = np.searchsorted(self.sorted_ids, [own, own + 1])
+        return np.unique(np.searchsorted(self.first, self.by_id[lo:hi], "right") - 1, return_counts=True)
+
+    def _nearest(self, own: int | None, code: np.uint64, k: int, held: dict[int, int]) -> list[tuple[int, int]]:
         verified, distances = [], []
         counts = np.zeros(65, np.int64)
-        want = k + 1  # the query's own row may be among them
         m = len(self.segments)
         found = 0
         for r in range(max(b - a for a, b, _, _ in self.segments) + 1):
@@ -90,7 +107,7 @@ class Index:
                         found += len(new)
                         counts += np.bincount(d, weights=self.many[new], minlength=65).astype(np.int64)
                 covered = m * r + j
-                if counts[: covered + 1].sum() >= want or found == len(self.codes):
+                if counts[: covered + 1].sum() >= k or found == len(self.codes):
                     break
             else:
                 continue
@@ -99,11 +116,11 @@ class Index:
             return []
         at, d = np.concatenate(verified), np.concatenate(distances)
         self.seen[at] = False
-        kth = int(np.searchsorted(np.cumsum(counts), min(want, counts.sum())))
+        kth = int(np.searchsorted(np.cumsum(counts), min(k, counts.sum())))
         near = d <= kth
         out = []
         for c, x in zip(at[near].tolist(), d[near].tolist()):
-            out += [(x, i) for i in self.ids[self.first[c] : self.first[c] + self.many[c]].tolist() if i != own]
+            out += [(x, i) for i in self.ids[self.first[c] : self.first[c] + self.many[c] + held.get(c, 0)].tolist() if i != own]
         return sorted(out)[:k]
 
 
