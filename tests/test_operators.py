@@ -582,3 +582,22 @@ def test_exclusion_queries_see_every_order(spark, tmp_path):
     assert [r["event_id"] for r in found["exclusion_anti"]] == [2]
     assert [(r["source_id"], r["reason"]) for r in found["exclusion_reason"]] == [(5, "1-URGENT")]
     assert [(r["before"], r["kept"]) for r in found["excluded_windows"]] == [(2, 1)]
+
+
+def test_beam_keeps_a_lane_for_a_comparable_hero(spark):
+    v = [("p", f"v{n}", 5.0, 0.9, f"g{n}", f"s{n}", f"e{n}", False) for n in range(4)] + [("p", "h", 5.0, 0.87, "gh", "sh", "eh", True)]
+    v = make(spark, v, "project string, variant_id string, duration double, final_score double, duplicate_group string, source string, environment string, is_hero boolean")
+    shots = selection.beam_edit(v.withColumn("compatibility", F.when(F.col("is_hero"), 0.0).otherwise(1.0)), ["project"], width=2, shots=(2, 2), seconds=(10.0, 10.0))
+    assert [r["variant_id"] for r in shots.orderBy("ord").collect()][-1] == "h"
+
+
+def test_quality_edit_has_the_budget_of_its_profile(spark, monkeypatch):
+    from tidemark.plans import q_projects
+
+    seen = []
+    monkeypatch.setattr(q_projects, "_fused", lambda *_: None)
+    monkeypatch.setattr(q_projects.P, "variants", lambda _, s: seen.append(s.beam_max_expansions))
+    monkeypatch.setattr(q_projects.P, "second_edit", lambda *_: None)
+    monkeypatch.setattr(q_projects.P, "summary", lambda *_: None)
+    q_projects.q_quality_edit(spark, "")
+    assert seen == [65536]

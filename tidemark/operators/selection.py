@@ -51,7 +51,8 @@ def beam_edit(df: DataFrame, keys: Sequence[str], width: int = 16, shots: tuple[
     energy (of the music at its target, 0.5 without), compatibility (0.65), context (1), penalty (0), sync (0), is_hero, preserved,
     verified_kill_count. A state never uses a group or variant twice, passes the time, takes a third long shot
     in a row, or an unverified variant where `verified` are asked for. The number of expansions is bounded over the
-    whole search (None: by width, shots and variants alone); ties go by elapsed time, then variant ids. A project without a complete edit gives no rows."""
+    whole search (None: by width, shots and variants alone); the last lane of a state's expansions goes to a comparable hero
+    where no lane has one; ties go by elapsed time, then variant ids. A project without a complete edit gives no rows."""
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", ord int, variant_id string, timeline_in double, timeline_out double, section string, score double"
     names = list(keys)
     defaults = {"energy": 0.5, "compatibility": 0.65, "context": 1.0, "penalty": 0.0, "sync": 0.0, "is_hero": False, "preserved": False, "verified_kill_count": 0.0}
@@ -97,7 +98,13 @@ def beam_edit(df: DataFrame, keys: Sequence[str], width: int = 16, shots: tuple[
                     if (new := grown(state, i)) is not None:
                         own.append(new)
                         left -= 1
-                following += sorted(own, key=lambda s: (-s[0], -rows[s[2][-1]]["final_score"], rows[s[2][-1]]["variant_id"]))[:width]
+                kept = sorted(own, key=lambda s: (-s[0], -rows[s[2][-1]]["final_score"], rows[s[2][-1]]["variant_id"]))[:width]
+                closes = [rows[s[2][-1]] for s in own]
+                plain = max((r["final_score"] for r in closes if not r["is_hero"]), default=0.0)
+                heroes = [s for s, r in zip(own, closes) if r["is_hero"] and min(1.0, max(0.0, r["final_score"])) >= plain - hero_margin]
+                if heroes and not any(rows[s[2][-1]]["is_hero"] for s in kept):  # a lane for a comparable hero
+                    kept[-1] = max(heroes, key=lambda s: s[0])
+                following += kept
             if not following:
                 break
             beam = sorted(following, key=lambda s: (-s[0], -s[1], [rows[i]["variant_id"] for i in s[2]]))[:width]

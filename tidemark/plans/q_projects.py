@@ -71,7 +71,7 @@ def q_second_edit(spark, d):
 def q_quality_edit(spark, d):
     from dataclasses import replace
 
-    s: Settings = replace(quality_profile(HOURS), preview_min_duration=60.0, preview_max_duration=240.0, v2_min_shots=3, v2_max_shots=8, beam_max_expansions=2048, v5_min_kill_semantic_confidence=0.6)
+    s: Settings = replace(quality_profile(HOURS), preview_min_duration=60.0, preview_max_duration=240.0, v2_min_shots=3, v2_max_shots=8, v5_min_kill_semantic_confidence=0.6)
     v = P.variants(_fused(spark, d), s)
     return P.summary(P.second_edit(v, s, F.col("source_id") % 10), ["project"])
 
