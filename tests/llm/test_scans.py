@@ -101,6 +101,28 @@ def test_armour():
     assert secret_scan.confirmed_spans(text) == [(2, len(text) - 2, "der")]
 
 
+@pytest.mark.parametrize("before", ["/", "key-", "a", "Mx", "x_+", "MAIIM"])
+@pytest.mark.parametrize("after", ["", "/x", "-tail"])
+@pytest.mark.parametrize("key,kind", [(B64(RSA).rstrip("="), "der"), (B64(PKCS8).rstrip("="), "der"), (B64(SEC1).rstrip("="), "der"), (B64(OPENSSH).rstrip("="), "openssh")])
+def test_keys_glued_to_other_characters(before, after, key, kind):
+    assert (4 + len(before), 4 + len(before) + len(key), kind) in secret_scan.confirmed_spans(f"key {before}{key}{after} end")
+
+
+@pytest.mark.parametrize("key", [SEC1.hex(), SEC1.hex().upper(), PKCS8.hex(), PKCS8.hex().upper()])
+@pytest.mark.parametrize("before", ["0x", "f", "key_", "30"])
+def test_hex_keys_glued_to_other_characters(before, key):
+    assert (4 + len(before), 4 + len(before) + len(key), "der") in secret_scan.confirmed_spans(f"key {before}{key}-x end")
+
+
+@pytest.mark.parametrize("cut", ["\\n", "\\r\\n", "\\\\n"])
+@pytest.mark.parametrize("data,kind", [(PKCS8, "der"), (OPENSSH, "openssh")])
+def test_armour_with_escaped_line_breaks(cut, data, kind):
+    pem = cut.join(["-----BEGIN PRIVATE KEY-----", *[B64(data)[k : k + 64] for k in range(0, len(B64(data)), 64)], "-----END PRIVATE KEY-----"])
+    text = f'{{"private_key": "{pem}{cut}"}}'
+    spans = secret_scan.base_spans(text) + secret_scan.confirmed_spans(text)
+    assert (17, 17 + len(pem), kind) in spans and secret_scan.redacted(text, spans) == f'{{"private_key": "[SECRET]{cut}"}}'
+
+
 def brute_base(t):
     """The contract's patterns, one character at a time, without a regular expression."""
     out, at = [], 0

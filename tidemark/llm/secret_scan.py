@@ -7,6 +7,7 @@ only if the bytes have the nested structure of a key or a signed token:
 * ``der``: an ASN.1 SEQUENCE whose nested lengths fill the bytes exactly and whose
   head is that of a PKCS#1, PKCS#8 or SEC1 private key (base64, PEM body or hex),
 * ``openssh``: ``openssh-key-v1`` followed by length-prefixed fields that fit,
+  both wherever they start in a run; a key ends where its lengths say. Line breaks of armour may be escaped.
 * ``jwt``: three base64url parts; the header is a JSON object naming an algorithm,
   the payload a JSON object, the signature decodes (it is empty for ``none`` alone).
 
@@ -35,9 +36,15 @@ _HINT = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}+={0,2}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])*+)-----END \1-----")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
-_ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}+|(?:[0-9A-F]{2}){24,}+")
+_BREAK = re.compile(r"\s+|\\+[nrt]")
+# starts of a DER SEQUENCE: its first bits in base64; its head and a version in hex
+_START64 = re.compile(r"M(?=[A-P])")
+_START_HEX = re.compile(r"30(?=(?:[0-7][0-9A-Fa-f]|81..|82.{4}|83.{6}|84.{8})0201)")
+_MAGIC64 = "b3BlbnNzaC1rZXktdjE"
+#: Bytes of the shortest key that is looked for without armour.
+LEAST_KEY = 24
 
 Span = tuple[int, int, str]
 
@@ -55,7 +62,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _decode64(run: str) -> bytes | None:
-    body = re.sub(r"\s+", "", run).rstrip("=").replace("-", "+").replace("_", "/")
+    body = _BREAK.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
@@ -138,6 +145,72 @@ def is_jwt(token: str) -> bool:
     return not sign if unsigned else bool(sign) and _decode64(sign) is not None
 
 
+def _der_size(head: bytes) -> int:
+    """Bytes of the SEQUENCE that starts with `head`, 0 unless a version follows its length."""
+    if len(head) < 5 or head[0] != 0x30:
+        return 0
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 4 or head[1] == 0x80 or head[2 + k : 4 + k] != b"\x02\x01":
+        return 0
+    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+
+
+def _openssh_size(data: bytes) -> int:
+    """Bytes of a key file up to the end of its private part; all where that does not fit."""
+    at, left = len(b"openssh-key-v1\0"), 3
+    while left and at + 4 <= len(data):
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+    left = int.from_bytes(data[at : at + 4], "big") + 1  # public keys and the private part
+    at += 4
+    while left and at + 4 <= len(data):
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+    return at if not left and at <= len(data) else len(data)
+
+
+def _end64(run: str, start: int, size: int) -> int:
+    """Where `size` bytes of base64 from `start` end, their padding included."""
+    end = start - (-size * 4 // 3)
+    return len(run) if end < len(run) and not run[end:].strip("=") else end
+
+
+def _keys_in(run: str) -> list[Span]:
+    """Keys that start anywhere in a run, each as long as its own lengths say."""
+    out: list[Span] = []
+    body, at = run.rstrip("="), 0
+    while m := _START64.search(body, at):
+        a, at = m.start(), m.start() + 1
+        size = _der_size(_decode64(body[a : a + 16]) or b"")
+        end = _end64(run, a, size)
+        if size >= LEAST_KEY * 3 // 4 and end <= len(run) and is_der_key((_decode64(run[a:end]) or b"")):
+            out.append((a, end, "der"))
+            at = end
+    at = 0
+    while m := _START_HEX.search(body, at):
+        a, at = m.start(), m.start() + 1
+        try:
+            size = _der_size(bytes.fromhex(body[a : a + 16]))
+            found = body[a : a + 2 * size]
+            if size >= LEAST_KEY and len(found) == 2 * size and found in (found.lower(), found.upper()) and is_der_key(bytes.fromhex(found)):
+                out.append((a, a + 2 * size, "der"))
+                at = a + 2 * size
+        except ValueError:  # not hex
+            continue
+    at = 0
+    while (a := body.find(_MAGIC64, at)) >= 0:
+        at = a + 1
+        head = _decode64(body[a : a + 28]) or b""
+        if len(head) < 19 or int.from_bytes(head[15:19], "big") > len(body) - a:
+            continue
+        whole = body[a:]
+        data = _decode64(whole[:-1] if len(whole) % 4 == 1 else whole)
+        if data and is_openssh_key(data):
+            size = _openssh_size(data)
+            end = len(run) if size == len(data) else _end64(run, a, size)
+            out.append((a, end, "openssh"))
+            at = end
+    return out
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans of base64 or hex that decode to the structure of a key or a signed token."""
     out: list[Span] = []
@@ -151,15 +224,7 @@ def confirmed_spans(text: str) -> list[Span]:
         out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[0])]
     armoured = list(out)
     for m in _RUN.finditer(text):
-        first = m[0][0]
-        if first == "M" or m[0].startswith("b3BlbnNzaC1rZXktdjE"):  # 0x30..., the magic
-            data, kind = _decode64(m[0]), "der" if first == "M" else "openssh"
-            if data and (is_der_key(data) if kind == "der" else is_openssh_key(data)):
-                out.append((m.start(), m.end(), kind))
-        elif first == "3":
-            for x in _ANY_HEX.finditer(m[0]):
-                if x[0].startswith("30") and is_der_key(bytes.fromhex(x[0])):
-                    out.append((m.start() + x.start(), m.start() + x.end(), "der"))
+        out += [(m.start() + a, m.start() + b, kind) for a, b, kind in _keys_in(m[0])]
     inside = lambda s: any(a <= s[0] and s[1] <= b and s[2] != "jwt" and (a, b) != s[:2] for a, b, _ in armoured)
     return [s for s in out if not inside(s)]
 
