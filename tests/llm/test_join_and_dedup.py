@@ -139,6 +139,18 @@ def test_dedup_across_batches_and_partitions(spark, monkeypatch):
     assert multiset(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_dedup(rows, 5)
 
 
+def test_a_group_of_many_labels_is_split(spark):
+    rng, common = random.Random(4), [f"c{k}" for k in range(12)]
+    side = lambda: [f"w{rng.randrange(10**6)}" for _ in range(20)]
+    rows = [(i, " ".join(side() + common + side())) for i in range(300)]
+    rows += [(300 + i, f"{rows[i][1]} x{i}") for i in range(0, 300, 3)]
+    texts = docs(spark, rows).selectExpr("doc_id doc", "xxhash64(text) part", "text t")
+    biggest = lambda at: substring_dedup._split(texts, 20, 6, at).filter("labels is not null").selectExpr("key", "size").groupBy("key").agg({"size": "sum"}).toDF("key", "n").agg({"n": "max"}).first()[0]
+    assert biggest(1 << 18) > 200 >= biggest(100)
+    out = substring_dedup.dedup(docs(spark, rows), window=20, gram=6, group_rows=50)
+    assert multiset(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_dedup(rows, 20)
+
+
 def test_dedup_of_an_empty_table_and_of_null_ids(spark):
     assert substring_dedup.dedup(docs(spark, [])).count() == 0
     text = " ".join(f"w{k}" for k in range(60))

@@ -7,12 +7,13 @@ deeper, so the tree is needed down to depth `window` only.
 1. Suffixes are split by a prefix of variable length: the prefix ends with the suffix's anchor, the
    `gram` words of least hash within its first `window` words. The anchor follows from
    these words alone, so that suffixes which agree on them fall into the same group; neighbouring suffixes
-   of a document mostly share their anchor and travel as one row.
+   of a document mostly share their anchor and travel as one row. The suffixes of every anchor are counted
+   first: a group beyond a size that memory bounds is split again, by bits of the suffixes' path labels.
 2. Each batch of documents first builds the trees of its own suffixes. A node's suffixes other than those
    of its smallest document are settled there; only the smallest one's goes on. A passage that
    half of the corpus shares therefore reaches its group once per batch, not once per document.
 3. Groups arrive sorted, and a task keeps the nodes of one group at a time: path label at depth `window`
-   (a 48-bit hash within the group's 64 bits) to smallest document. A suffix under a
+   (a 48-bit hash within the group's 64 bits, in place of the tree above it) to smallest document. A suffix under a
    node of a smaller document is repeated. Consecutive ones form the maximal repeats.
 """
 
@@ -32,6 +33,8 @@ from ._text import NOT_SPACE, Words, chunks, mix, ngrams, rolling, tidy
 WINDOW, GRAM = 50, 12
 #: Bytes of text whose own trees a task builds at once.
 BATCH_BYTES = 4 << 20
+#: Suffixes of a group, above which it is split.
+GROUP_ROWS = 1 << 18
 
 _LABEL = np.uint64((1 << 48) - 1)
 _ROW = "key long, doc long, part long, start int, size int, labels binary"
@@ -77,8 +80,33 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, edge], np.r_[edge, len(step)]
 
 
-def _split(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """Rows of (anchor, doc, part, start, size, labels) for suffixes that go on, and of no labels for repeats settled here."""
+def _large(texts: DataFrame, window: int, gram: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of more than `rows` suffixes, ascending, and a mask of as many label bits as split each into groups of that size.
+    At most one anchor for every `rows` suffixes reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, offsets, raw in chunks(batch.column(2), BATCH_BYTES):
+                keys, n = np.unique(suffixes(offsets, raw, window, gram)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    found = texts.mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > rows).collect()
+    large = sorted((r["key"] & ((1 << 64) - 1), (1 << (-(-r["n"] // rows) - 1).bit_length()) - 1) for r in found)
+    return np.array([x[0] for x in large], np.uint64), np.array([x[1] for x in large], np.uint64)
+
+
+def _groups_of(anchor: np.ndarray, label: np.ndarray, large: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The group of each suffix: its anchor, and for a large one bits of its label."""
+    keys, masks = large
+    if not len(keys) or not len(anchor):
+        return anchor
+    at = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
+    return np.where(keys[at] == anchor, mix(anchor ^ mix((mix(label) & masks[at]) + np.uint64(1))), anchor)
+
+
+def _split(texts: DataFrame, window: int, gram: int, rows: int) -> DataFrame:
+    """Rows of (group, doc, part, start, size, labels) for suffixes that go on, and of no labels for repeats settled here."""
+    large = _large(texts, window, gram, rows)
 
     def own(ids: np.ndarray, parts: np.ndarray, offsets: np.ndarray, raw: np.ndarray) -> pa.RecordBatch | None:
         row, start, anchor, label = suffixes(offsets, raw, window, gram)
@@ -97,11 +125,12 @@ def _split(texts: DataFrame, window: int, gram: int) -> DataFrame:
         keep[order] = d == small
         out = []
         went = np.flatnonzero(keep)
-        lo, hi = _runs(row[went], anchor[went], start[went])
+        group = _groups_of(anchor[went], label[went], large)
+        lo, hi = _runs(row[went], group, start[went])
         blob = label[went].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
         pick = went[lo]
         size = hi - lo
-        key = anchor[pick].view(np.int64)
+        key = group[lo].view(np.int64)
         out.append((key, ids[row[pick]], parts[row[pick]], start[pick], size, [blob[6 * x : 6 * y] for x, y in zip(lo.tolist(), hi.tolist())]))
         done = np.flatnonzero(settled)
         lo, hi = _runs(row[done], start[done])
@@ -206,7 +235,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(tidy(run), "doc long, part long, start int, size int")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc, part, start, size): windows `start` to `start + size - 1` of a text (part: hash of the text) are repeated.
 
     Rows without an id or text have none.
@@ -214,10 +243,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     if not 0 < gram <= window:
         raise ValueError("an anchor lies within the window")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("part"), F.col(text_col).alias("t"))
-    return _repeated(_split(texts.filter("doc is not null and t is not null"), window, gram))
+    return _repeated(_split(texts.filter("doc is not null and t is not null"), window, gram, group_rows))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_removed, kept_sha256, kept.
 
     A word goes if a window of `window` words around it also starts in a document of smaller id; windows
@@ -225,7 +254,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     words; a row without an id neither removes nor loses any. Other columns are not looked at.
     `kept` is the remaining words joined by single spaces.
     """
-    runs = repeats(docs, id_col, text_col, window, gram).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    runs = repeats(docs, id_col, text_col, window, gram, group_rows).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     runs = runs.withColumnRenamed("part", "part2")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("part"), F.col(text_col).alias("t"))
     both = texts.join(runs, (F.col("id").cast("long") == F.col("doc")) & (F.col("part") == F.col("part2")), "left").select("id", "t", "runs")
