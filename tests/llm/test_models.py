@@ -142,6 +142,28 @@ def test_marginals_equal_enumeration():
         assert np.allclose(toxicity.marginals(e, np.array([0, n]), pair), marked / total)
 
 
+def test_marginals_of_chains_over_many_blocks():
+    """Against the plain recursion in logarithms, documents of all sizes at once."""
+    rng = np.random.default_rng(1)
+    for _ in range(10):
+        sizes = np.concatenate([rng.integers(0, 400, 6), [0, 63, 64, 65, 128, 129, 1]])
+        row = np.concatenate([[0], np.cumsum(sizes)])
+        emission, pair = rng.normal(size=row[-1]) * 2, rng.normal(size=(2, 2)) * 2
+        got = toxicity.marginals(emission, row, pair)
+        for lo, hi in zip(row, row[1:]):
+            if lo == hi:
+                continue
+            e, n = emission[lo:hi], hi - lo
+            f, b = np.zeros((n, 2)), np.zeros((n, 2))
+            f[0, 1] = e[0]
+            for t in range(1, n):
+                f[t] = [np.logaddexp(*(f[t - 1] + pair[:, j])) + (e[t] if j else 0.0) for j in (0, 1)]
+            for t in range(n - 2, -1, -1):
+                b[t] = [np.logaddexp(*(pair[i] + b[t + 1] + [0.0, e[t + 1]])) for i in (0, 1)]
+            z = f + b
+            assert np.allclose(got[lo:hi], 1 / (1 + np.exp(z[:, 0] - z[:, 1])), atol=1e-9)
+
+
 def test_quality_on_held_out_rows(spark):
     d, labels = labelled(spark, 1)
     out = quality.classify(d, labels)
@@ -153,8 +175,52 @@ def test_prior_is_estimated():
     good, bad = rng.normal(0, 1, (3000, 2)), rng.normal(4, 1, (3000, 2))
     for share in (0.3, 0.6, 0.9):
         k = int(3000 * share)
-        model = quality.fit(good, np.concatenate([rng.normal(0, 1, (k, 2)), bad[: 3000 - k]]))
-        assert abs(model.prior - share) < 0.08
+        mixed = np.concatenate([rng.normal(0, 1, (k, 2)), bad[: 3000 - k]])
+        borders = [np.quantile(np.concatenate([good, mixed])[:, j], np.linspace(0, 1, 17)[1:-1]) for j in range(2)]
+        half = np.arange(3000) % 2
+        models = quality.halves(good, mixed, half, half, borders)
+        scores = quality.crossed(models, good, half)
+        u = np.array([(quality.crossed(models, mixed, half) >= t).mean() for t in quality.thresholds(scores)])
+        assert abs(quality.estimate_prior(scores, u, 3000) - share) < 0.08
+
+
+def test_statistics_cover_all_rows(spark):
+    d, _ = labelled(spark, 6, 500)
+    table = quality.measured(d).cache()
+    rows = [r for r in table.collect() if not r["held"]]
+    x = np.array([r["x"] for r in rows])
+    borders = quality.borders_of(table)
+    for k, own in enumerate(borders):
+        edges = quality._edges(k)
+        cell = np.searchsorted(edges, np.sort(x[:, k]), side="left")
+        want = [edges[cell[max(0, int(np.ceil(q * len(x))) - 1)]] for q in np.linspace(0, 1, quality.BINS + 1)[1:-1]]
+        assert np.allclose(own, np.unique(want)), quality.MEASURES[k]
+    rng = np.random.default_rng(1)
+    models = [quality.Model(borders, rng.normal(size=len(borders) * (quality.BINS + 1)), 0.0, 0.5) for _ in range(2)]
+    logits = quality.crossed(models, x, np.array([r["half"] for r in rows]))
+    tops = np.sort(rng.choice(logits, 9))
+    shares, many = quality.shares_above(table, models, tops)
+    assert many == len(x) and np.allclose(shares, [(logits >= t).mean() for t in tops])
+
+
+def test_descent_lowers_the_risk_of_plain_arithmetic():
+    rng = np.random.default_rng(2)
+    good, mixed = rng.normal(0, 1, (200, 2)), np.concatenate([rng.normal(0, 1, (100, 2)), rng.normal(3, 1, (100, 2))])
+    borders = [np.quantile(mixed[:, j], [0.25, 0.5, 0.75]) for j in range(2)]
+
+    def risk(model):
+        up = [np.log1p(np.exp(-sum(model.weights[b] for b in r) - model.bias)) for r in model.bins(good)]
+        down_good = [np.log1p(np.exp(sum(model.weights[b] for b in r) + model.bias)) for r in model.bins(good)]
+        down = [np.log1p(np.exp(sum(model.weights[b] for b in r) + model.bias)) for r in model.bins(mixed)]
+        return 0.5 * np.mean(up) + max(0.0, np.mean(down) - 0.5 * np.mean(down_good))
+
+    steps = [risk(quality.fit(good, mixed, borders, 0.5, n)) for n in (0, 50, 800)]
+    assert steps[0] > steps[1] > steps[2] and steps[2] < 0.4
+    model = quality.fit(good, mixed, borders, 0.5, 800)
+    rng = np.random.default_rng(3)
+    for _ in range(50):  # near a minimum: no small step in any direction lowers it much
+        moved = quality.Model(borders, model.weights + rng.normal(size=len(model.weights)) * 0.05, model.bias, 0.5)
+        assert risk(moved) > steps[2] - 2e-3
 
 
 @pytest.mark.parametrize("module,column", [(toxicity, "toxic"), (quality, "quality")])
@@ -187,6 +253,60 @@ def test_sample_is_bounded(spark):
     assert texts.groupBy("y").count().filter("count > 10").count() == 0
 
 
+def test_long_texts_are_learned_from(spark):
+    """Labelled texts of 45 kB each, and one of several MB."""
+    rng = random.Random(8)
+    rows, marks = [], []
+    for i in range(60):
+        w = ["".join(rng.choices(["ka", "lo", "mi", "re", "tu"], k=rng.randrange(1, 4))) for _ in range(9_000)]
+        if i % 3 == 0:
+            for _ in range(20):
+                w[rng.randrange(len(w))] = "grumf"
+        if i % 2:
+            w = [x + "###" for x in w]
+        rows.append((i, " ".join(w * (100 if i == 6 else 1))))
+        marks.append((i, i % 2 == 0, i % 3 == 0))
+    d, labels = docs(spark, rows), spark.createDataFrame([(i, int(a), int(b)) for i, a, b in marks], "doc_id long, quality int, toxic int")
+    assert held_accuracy(toxicity.classify(d, labels), labels, "toxic") == 1.0
+    assert held_accuracy(quality.classify(d, labels), labels, "quality") == 1.0
+    texts, _ = _labelled.sample(d, labels, "toxic", most_bytes=100_000)
+    assert 2 <= texts.count() <= 8  # bytes bound the sample, not what may be in it
+
+
+def test_contradicting_labels_and_repeated_ids(spark):
+    d = docs(spark, [(0, "b"), (0, "a"), (4, "c"), (8, "d"), (1, None)])
+    labels = spark.createDataFrame([(0, 1), (0, 1), (4, 1), (4, 0), (8, 0), (1, 1)], "doc_id long, toxic int")
+    texts, counts = _labelled.sample(d, labels, "toxic")
+    kept = {i for i in (0, 4, 8, 1) if __import__("zlib").crc32(str(i).encode()) % 4 != 2}
+    assert multiset(texts, "id", "text", "y") == sorted([x for x in [(0, "a", 1), (8, "d", 0)] if x[0] in kept])
+    assert counts == {0: int(8 in kept), 1: len(kept & {0, 1})}
+
+
+@pytest.mark.parametrize("many,size,vocabulary", [(300, 2000, 30), (1000, 300, 1000), (1500, 1000, 20_000), (3000, 20, 300)])
+def test_unrelated_texts_are_not_copies(many, size, vocabulary):
+    rng = np.random.default_rng(0)
+    weight = 1 / np.arange(1, vocabulary + 1)
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in rng.choice(vocabulary, size, p=weight / weight.sum())) for _ in range(many)]
+    sketch = []
+    for _, _, offsets, raw in toxicity.chunks(pa.array(texts + texts[:20], pa.large_string())):
+        sketch.append(toxicity._sketch(toxicity.Words(offsets, raw, toxicity._LETTERS, toxicity.LOWER)))
+    first = toxicity._first_of_copies(np.concatenate(sketch))
+    assert first[:many].all() and not first[many:].any()
+
+
+def test_near_copies_count_once():
+    rng = random.Random(0)
+    base = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(300)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        w[rng.randrange(300)] = "new"
+        texts.append(" ".join(w))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    words = toxicity.Words(offsets, np.frombuffer("".join(texts).encode(), np.uint8), toxicity._LETTERS, toxicity.LOWER)
+    assert toxicity._first_of_copies(toxicity._sketch(words)).sum() == 1
+
+
 def test_features_are_found_again():
     field = toxicity.Field(np.sort(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64)), np.zeros(5000), 0.0, np.zeros((2, 2)), np.zeros(3))
     assert (field.lookup(field.keys) == np.arange(5000)).all() and (field.lookup(field.keys + np.uint64(1)) < 0).mean() > 0.99

@@ -9,18 +9,24 @@ unlabelled U and prior p, it minimises
 
 and steps back where the second term has fallen below zero, which keeps a flexible model from taking
 unlabelled positives for negatives.
+
+The measures of every document are taken once and written. The borders of the bins and the prior are statistics of all documents
+outside the held-out fold; only the descent itself sees bounded samples of the two sides.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _labelled
+from ._tables import written
 from ._text import LOWER, NOT_SPACE, Words, byte_class, chunks, ngrams, tidy
 
 #: From this score on a document counts as good.
@@ -37,6 +43,10 @@ _CLASSES = {
     "other": byte_class((0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x7F)),
 }
 _NOT_LINE = ~byte_class((0x0A, 0x0A), (0x0D, 0x0D))
+#: Cells of the histogram that the bins' borders are read from, for each measure.
+CELLS = 2048
+#: Partial histograms that reach the driver, at most.
+_PARTS = 32
 MEASURES = ("words", "length", *_CLASSES, "new words", "new lines", "new triples", "echo")
 
 
@@ -110,41 +120,44 @@ def _descend(model: Model, good: np.ndarray, mixed: np.ndarray, gradient, steps:
         model.bias -= move[width]
 
 
-def estimate_prior(good: np.ndarray, mixed: np.ndarray) -> float:
-    """The share of positives among unlabelled rows, from scores of both that tell them apart.
+def thresholds(good: np.ndarray) -> np.ndarray:
+    """Scores at which the shares of positives and of unlabelled rows are compared."""
+    return np.unique(np.quantile(good, np.linspace(0.0, 0.95, 96)))
+
+
+def estimate_prior(good: np.ndarray, u: np.ndarray, many: int) -> float:
+    """The share of positives among `many` unlabelled rows, from the scores of positives and the shares `u` of unlabelled rows at
+    or above each of their thresholds.
 
     Above any score, the unlabelled share is at least prior times the positives' share. The
     least ratio of the two, with room for the error of both shares, bounds the prior from above and is
     reached where a region holds positives only.
     """
-    tops = np.unique(np.quantile(good, np.linspace(0.0, 0.95, 96)))
-    p = np.array([(good >= t).mean() for t in tops])
-    u = np.array([(mixed >= t).mean() for t in tops])
-    room = np.sqrt(np.log(20) / (2 * len(good))) + np.sqrt(np.log(20) / (2 * len(mixed)))
+    p = np.array([(good >= t).mean() for t in thresholds(good)])
+    room = np.sqrt(np.log(20) / (2 * len(good))) + np.sqrt(np.log(20) / (2 * many))
     best = int(np.argmin((u + room * (1 + u / np.maximum(p, 1e-9))) / np.maximum(p, 1e-9)))
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
-def fit(good: np.ndarray, mixed: np.ndarray, steps: int = 4000, prior_steps: int = 300) -> Model:
-    """The model of the measures of trusted positives and of unlabelled rows."""
-    both = np.concatenate([good, mixed])
-    borders = []
-    for k in range(both.shape[1]):
-        b = np.unique(np.quantile(both[:, k], np.linspace(0, 1, BINS + 1)[1:-1]))
-        borders.append(b)
-    model = Model(borders, np.zeros(both.shape[1] * (BINS + 1)), 0.0, 0.5)
-    gb, mb = model.bins(good), model.bins(mixed)
-    # positives against unlabelled, each half scored by the model of the other: for the prior alone
-    half = [np.arange(len(x)) % 2 == 0 for x in (good, mixed)]
-    scores: tuple[list, list] = ([], [])
-    for own in ([half[0], half[1]], [~half[0], ~half[1]]) if min(len(good), len(mixed)) > 1 else ([np.ones(len(good), bool), np.ones(len(mixed), bool)],):
-        model.weights, model.bias = np.zeros_like(model.weights), 0.0
-        _descend(model, gb[own[0]], mb[own[1]], lambda a, b: (-_logistic(-a) / len(a), _logistic(b) / len(b)), prior_steps)
-        other = [~x if (~x).any() else x for x in own]
-        scores[0].append(model.logits(good[other[0]]))
-        scores[1].append(model.logits(mixed[other[1]]))
-    model.prior = prior = estimate_prior(np.concatenate(scores[0]), np.concatenate(scores[1]))
-    model.weights, model.bias = np.zeros_like(model.weights), 0.0
+def halves(good: np.ndarray, mixed: np.ndarray, half_good: np.ndarray, half_mixed: np.ndarray, borders: list[np.ndarray], steps: int = 300) -> list[Model]:
+    """Positives against unlabelled rows, fitted on each half (0 and 1) of both sides: for the prior alone. Each half is scored by the model of the other."""
+    out = []
+    for half in (0, 1):
+        a, b = (x[h == half] if (h == half).any() else x for x, h in ((good, half_good), (mixed, half_mixed)))
+        model = Model(borders, np.zeros(good.shape[1] * (BINS + 1)), 0.0, 0.5)
+        _descend(model, model.bins(a), model.bins(b), lambda x, y: (-_logistic(-x) / len(x), _logistic(y) / len(y)), steps)
+        out.append(model)
+    return out
+
+
+def crossed(models: list[Model], x: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """The logit of each row by the model of the other half."""
+    return np.where(half == 0, models[1].logits(x), models[0].logits(x))
+
+
+def fit(good: np.ndarray, mixed: np.ndarray, borders: list[np.ndarray], prior: float, steps: int = 4000) -> Model:
+    """The model of the measures of trusted positives and of unlabelled rows, of least non-negative risk."""
+    model = Model(borders, np.zeros(good.shape[1] * (BINS + 1)), 0.0, prior)
 
     def softplus(x):
         return np.logaddexp(0.0, x)
@@ -155,48 +168,127 @@ def fit(good: np.ndarray, mixed: np.ndarray, steps: int = 4000, prior_steps: int
             return (-prior * _logistic(-a) - prior * _logistic(a)) / len(a), _logistic(b) / len(b)
         return prior * _logistic(a) / len(a), -_logistic(b) / len(b)  # a step back
 
-    _descend(model, gb, mb, risk, steps)
+    _descend(model, model.bins(good), model.bins(mixed), risk, steps)
     return model
 
 
-def measured(texts: DataFrame) -> np.ndarray:
-    """The measures of the column `text` of a bounded number of rows, taken by the executors; ordered by `id`."""
+# -- statistics of all documents --------------------------------------------------------
+
+
+def _edges(k: int) -> np.ndarray:
+    """Upper ends of the cells of measure k, ascending from 0: fine near 0 for shares, even for what is mostly near 1, in steps of logarithms for sizes."""
+    even = np.arange(CELLS + 1) / CELLS
+    return 25 * even if MEASURES[k] == "words" else np.expm1(20 * even) if MEASURES[k] == "length" else even if MEASURES[k].startswith("new") else even**4
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(MEASURES))
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held, half, x) of every row: whether it is held out, a half for cross-fitting, and its measures. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, offsets, raw in chunks(batch.column(1)):
+            for first, last, offsets, raw in chunks(batch.column(3)):
                 x = measures(offsets, raw)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), values], names=["id", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in range(3)), values], names=["id", "held", "half", "x"])
 
-    rows = texts.select("id", "text").mapInArrow(tidy(run), f"id {dict(texts.dtypes)['id']}, x array<double>").collect()
-    return np.array([r["x"] for r in sorted(rows, key=lambda r: r["id"])]).reshape(-1, len(MEASURES))
+    half = F.pmod(_labelled.spread(id_col), F.lit(2)).cast("int").alias("half")
+    columns = docs.select(F.col(id_col).alias("id"), _labelled.held_out(id_col).alias("held"), half, F.col(text_col).alias("t"))
+    return columns.mapInArrow(tidy(run), f"id {dict(docs.dtypes)[id_col]}, held boolean, half int, x array<double>")
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of `docs`: id, held_out, score, predicted.
+def borders_of(table: DataFrame) -> list[np.ndarray]:
+    """Inner borders of the bins of each measure: quantiles of all rows that are not held out, to the width of a cell."""
+    edges = [_edges(k) for k in range(len(MEASURES))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(MEASURES), CELLS + 2), np.int64)
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            for k, e in enumerate(edges):
+                total[k] += np.bincount(np.searchsorted(e, x[:, k], side="left"), minlength=CELLS + 2)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["z"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(MEASURES), CELLS + 2), np.int64)
+        for batch in batches:
+            for z in batch.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(z), np.int64).reshape(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["z"])
+
+    parts = table.filter("not held").select("x").mapInArrow(tidy(count), "z binary").repartition(_PARTS).mapInArrow(tidy(add), "z binary").collect()
+    total = sum(np.frombuffer(zlib.decompress(r["z"]), np.int64).reshape(len(MEASURES), CELLS + 2) for r in parts)
+    out = []
+    for k, e in enumerate(edges):
+        sums = np.cumsum(total[k])
+        at = np.searchsorted(sums, np.linspace(0, 1, BINS + 1)[1:-1] * sums[-1], side="left")
+        out.append(np.unique(e[np.minimum(at, CELLS)]))
+    return out
 
-    A null or empty text is scored as one without words; equal texts have equal scores. Without a model
-    (no positives, or no documents to learn from) every score is one half. Other columns are not looked at.
-    One pass, no shuffle.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+
+def shares_above(table: DataFrame, models: list[Model], tops: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of all rows that are not held out the share with a crossed logit of at least each of `tops`, and their number."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(tops) + 1, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                logits = crossed(models, _matrix(batch.column(1)), batch.column(0).to_numpy())
+                total += np.bincount(np.searchsorted(tops, logits, side="right"), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "n"])
+
+    rows = table.filter("not held").select("half", "x").mapInArrow(tidy(count), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(len(tops) + 1, np.int64)
+    for r in rows:
+        total[r["k"]] = r["n"]
+    return np.cumsum(total[::-1])[::-1][1:] / max(1, total.sum()), int(total.sum())
+
+
+def _rows(table: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Measures and halves of a bounded number of ids, in the order of their hashes; of rows that share an id the least."""
+    found = table.join(F.broadcast(ids), "id").groupBy("id", "half").agg(F.min("x").alias("x")).orderBy(_labelled.spread("id"), "id").collect()
+    return np.array([r["x"] for r in found]).reshape(-1, len(MEASURES)), np.array([r["half"] for r in found], np.int64)
+
+
+def learn(table: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = _labelled.SAMPLE_ROWS, id_col: str = "doc_id") -> Model | None:
+    """The model of a table of measures: fitted on at most `rows` trusted positives and `rows` unlabelled documents, the ones of least
+    hash outside the held-out fold, with borders and prior of all documents there. None without positives or documents."""
+    ids, _ = _labelled.chosen_ids(labels, label_col, rows, id_col)
+    good, half_good = _rows(table, ids.filter("y = 1").select("id"))
+    some = table.filter("not held and id is not null").select("id").distinct().orderBy(_labelled.spread("id"), "id").limit(rows)
+    mixed, half_mixed = _rows(table, some)
+    if not len(good) or not len(mixed):
+        return None
+    borders = borders_of(table)
+    models = halves(good, mixed, half_good, half_mixed, borders)
+    scores = crossed(models, good, half_good)
+    return fit(good, mixed, borders, estimate_prior(scores, *shares_above(table, models, thresholds(scores))))
+
+
+def score(table: DataFrame, model: Model | None, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of a table of measures: id, held_out, score, predicted. Without a model every score is one half."""
+    held = table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for first, last, offsets, raw in chunks(batch.column(2)):
-                own = [batch.column(k).slice(first, last - first) for k in (0, 1)]
-                values = np.full(last - first, 0.5) if m is None else _logistic(m.logits(measures(offsets, raw)))
-                yield pa.RecordBatch.from_arrays([*own, pa.array(values), pa.array((values >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
+            values = np.full(batch.num_rows, 0.5) if m is None else _logistic(m.logits(_matrix(batch.column(2))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values), pa.array((values >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int"
-    return docs.select(id_col, _labelled.held_out(id_col).alias("held_out"), text_col).mapInArrow(tidy(run), schema)
+    schema = f"{id_col} {dict(table.dtypes)['id']}, held_out boolean, score double, predicted int"
+    return table.select("id", "held", "x").mapInArrow(tidy(run), schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES) -> DataFrame:
-    """Fits on bounded samples of trusted positives and of all documents, both outside the held-out fold, and scores all."""
-    labelled, _ = _labelled.sample(docs, labels, label_col, rows, most_bytes, id_col, text_col)
-    good = measured(labelled.filter("y = 1"))
-    mixed = measured(_labelled.unlabelled(docs, rows, most_bytes, id_col, text_col))
-    return score(docs, fit(good, mixed) if len(good) and len(mixed) else None, id_col, text_col, threshold)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS) -> DataFrame:
+    """One row per row of `docs`: id, held_out, score, predicted; fitted as `learn` says.
+
+    A null or empty text is scored as one without words, a very long one like any other; equal texts have equal scores, repeated rows
+    repeated ones. Without a model (no positives, or no documents to learn from, as in an empty table) every score is one half. Other
+    columns are not looked at, whatever their names. Texts are read once; their measures (some hundred bytes a row) are written.
+    """
+    table = written(measured(docs, id_col, text_col))
+    return score(table, learn(table, labels, label_col, rows, id_col), id_col, threshold)

@@ -9,7 +9,9 @@ Forward-backward gives every word's marginal. A document's score is a logistic f
 highest marginals and of the sum of all, fitted on the documents' own labels; offsets are those of runs of words whose
 marginal is at least one half.
 
-The chain runs over sequences of 64 words, so that all sequences of a batch advance together.
+The chain of a document is as long as the document. It is walked in blocks of 64 words, all blocks of a batch
+at once: the product of a block's transfer matrices carries messages over it, from block to block of a document, and
+a second walk within blocks, from these messages, gives every word's.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ from ._text import _BYTE, LOWER, Words, _tables, byte_class, chunks, mix, ngrams
 
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.3
-#: Words of a sequence, and the prefixes (in bytes) that are features beside the word.
-SEQUENCE, PREFIXES = 64, (3, 4, 5, 6, 7, 8)
-#: Features that the field has weights for, at most.
-FEATURES = 20_000
-#: Share of the toxic documents that a feature must occur in to mark words; rarer ones are mostly the copies of one document.
+#: Words of a block of the chain, and the prefixes (in bytes) that are features beside the word.
+BLOCK, PREFIXES = 64, (3, 4, 5, 6, 7, 8)
+#: Share of the sample's toxic documents that a feature must occur in to mark words; rarer ones are mostly the copies of one document.
 SUPPORT = 0.02
+#: Sketches of a document of the sample, and the share of them that near copies agree in (an estimate of their similarity).
+SKETCHES, ALIKE = 32, 0.7
 _LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _SLOTS = 1 << 20
 
@@ -103,28 +105,57 @@ class Field:
         return words, p, _logistic(summaries(p, words.row) @ self.score)
 
 
-def sequences(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and place in it of every word; `row` are the documents' first words."""
+def messages(emission: np.ndarray, row: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odds (state 1 against 0) of every word that come forward, its emission included, and backward; `row` are the documents' first words."""
     size = np.diff(row)
-    place = np.arange(row[-1]) - np.repeat(row[:-1], size)
-    many = -(-size // SEQUENCE)
+    many = -(-size // BLOCK)
     first = np.cumsum(many) - many
-    return np.repeat(first, size) + place // SEQUENCE, place % SEQUENCE
-
-
-def messages(emission: np.ndarray, valid: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward log odds (state 1 against 0) of padded sequences, a row each."""
-    steps = emission.shape[1]
-    forward, backward = np.zeros_like(emission), np.zeros_like(emission)
-    forward[:, 0] = emission[:, 0]
-    for t in range(1, steps):
-        a = forward[:, t - 1]
-        forward[:, t] = emission[:, t] + np.logaddexp(pair[0, 1], a + pair[1, 1]) - np.logaddexp(pair[0, 0], a + pair[1, 0])
-    for t in range(steps - 2, -1, -1):
-        b = emission[:, t + 1] + backward[:, t + 1]
-        value = np.logaddexp(pair[1, 0], b + pair[1, 1]) - np.logaddexp(pair[0, 0], b + pair[0, 1])
-        backward[:, t] = np.where(valid[:, t + 1], value, 0.0)
-    return forward, backward
+    place = np.arange(row[-1]) - np.repeat(row[:-1], size)
+    block, place = np.repeat(first, size) + place // BLOCK, place % BLOCK
+    total = int(many.sum())
+    grid, valid = np.ones((BLOCK, total)), np.zeros((BLOCK, total), bool)
+    grid[place, block] = np.exp(np.clip(emission, -40, 40))
+    valid[place, block] = True
+    (p00, p01), (p10, p11) = np.exp(pair)
+    full = np.flatnonzero(size)
+    start = np.zeros(total, bool)
+    start[first[full]] = True
+
+    # transfer of a block: odds before it to odds after it are (a x + b) / (c x + d); its transpose carries odds backward
+    a, b, c, d = np.ones(total), np.zeros(total), np.zeros(total), np.ones(total)
+    if total > len(full):
+        for t in range(BLOCK):
+            e, on = grid[t], valid[t]
+            step = np.stack([e * (p11 * a + p01 * c), e * (p11 * b + p01 * d), p10 * a + p00 * c, p10 * b + p00 * d])
+            a, b, c, d = np.where(on, step / step.max(axis=0), (a, b, c, d))
+    into, back = np.zeros(total), np.ones(total)
+    for j in range(1, int(many.max(initial=0))):
+        at = first[many > j] + j - 1
+        x = into[at]
+        into[at + 1] = _over_first(grid, at, (p00, p01, p10, p11)) if j == 1 else (a[at] * x + b[at]) / (c[at] * x + d[at])
+    for j in range(int(many.max(initial=0)) - 2, -1, -1):
+        at = first[many > j + 1] + j
+        x = back[at + 1]
+        back[at] = (a[at + 1] * x + c[at + 1]) / (b[at + 1] * x + d[at + 1])
+
+    forward, backward = np.empty_like(grid), np.empty_like(grid)
+    x = forward[0] = np.where(start, grid[0], grid[0] * (p01 + into * p11) / (p00 + into * p10))
+    for t in range(1, BLOCK):
+        x = forward[t] = grid[t] * (p01 + x * p11) / (p00 + x * p10)
+    x = backward[-1] = back
+    for t in range(BLOCK - 2, -1, -1):
+        y = x * grid[t + 1]
+        x = backward[t] = np.where(valid[t + 1], (p10 + y * p11) / (p00 + y * p01), back)
+    return forward[place, block], backward[place, block]
+
+
+def _over_first(grid: np.ndarray, at: np.ndarray, potentials: tuple[float, float, float, float]) -> np.ndarray:
+    """Odds after the first block of documents that go on; a document's first word has no pair before it."""
+    p00, p01, p10, p11 = potentials
+    x = grid[0, at]
+    for t in range(1, BLOCK):
+        x = grid[t, at] * (p01 + x * p11) / (p00 + x * p10)
+    return x
 
 
 def _logistic(x):
@@ -135,13 +166,9 @@ def marginals(emission: np.ndarray, row: np.ndarray, pair: np.ndarray) -> np.nda
     """The probability of state 1 of every word."""
     if not len(emission):
         return np.zeros(0)
-    seq, place = sequences(row)
-    grid = np.zeros((seq[-1] + 1, SEQUENCE))
-    valid = np.zeros(grid.shape, bool)
-    grid[seq, place] = emission
-    valid[seq, place] = True
-    forward, backward = messages(grid, valid, pair)
-    return _logistic((forward + backward)[seq, place])
+    forward, backward = messages(emission, row, pair)
+    odds = forward * backward
+    return odds / (1.0 + odds)
 
 
 def summaries(p: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -166,32 +193,37 @@ def summaries(p: np.ndarray, row: np.ndarray) -> np.ndarray:
 # -- fitting ----------------------------------------------------------------------------
 
 
-def _sketch(words: Words, parts: int = 6) -> np.ndarray:
-    """Numbers of each document, of which near copies share most likely at least one: least hashes of its three-word runs."""
-    grams = ngrams(words.hashes(), 3)
+def _sketch(words: Words, parts: int = SKETCHES) -> np.ndarray:
+    """Least hashes of each document's five-word runs; two documents agree in about as many as they are similar."""
+    grams, hashes = ngrams(words.hashes(), 5), words.hashes()
     out = np.zeros((len(words.row) - 1, parts), np.uint64)
     for k in range(len(out)):
         lo, hi = words.row[k], words.row[k + 1]
-        own = grams[lo : hi - 2] if hi - lo >= 3 else np.array([k], np.uint64)
+        # fewer words are one run, no words are like nothing else
+        own = grams[lo : hi - 4] if hi - lo >= 5 else mix(hashes[lo:hi] + np.arange(1, hi - lo + 1, dtype=np.uint64)).sum(keepdims=True) if hi > lo else np.array([k], np.uint64)
         for p in range(parts):
             out[k, p] = mix(own + np.uint64(p)).min()
     return out
 
 
-def _first_of_copies(sketch: np.ndarray) -> np.ndarray:
-    """True for the first of the documents that are tied by shared numbers."""
-    label = np.arange(len(sketch))
-    for _ in range(4):
-        for column in sketch.T:
-            order = np.argsort(column, kind="stable")
-            edge = np.flatnonzero(np.concatenate([[True], column[order][1:] != column[order][:-1]]))
-            least = np.minimum.reduceat(label[order], edge)
-            label[order] = np.repeat(least, np.diff(np.append(edge, len(order))))
-    return label == np.arange(len(label))
-
-
-def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epochs: int = 25, rate: float = 0.5) -> Field | None:
-    """The field of a sample's labels and texts; None unless it has both classes. `counts`: rows of each class in all."""
+def _first_of_copies(sketch: np.ndarray, alike: float = ALIKE) -> np.ndarray:
+    """False for documents with a near copy before them: in one of the sketches they agree, and in a share of `alike` of all."""
+    n, parts = sketch.shape
+    first = np.ones(n, bool)
+    for c in range(parts):
+        order = np.lexsort((np.arange(n), sketch[:, (c + 1) % parts], sketch[:, c]))
+        value = sketch[order, c]
+        edge = np.concatenate([[True], value[1:] != value[:-1]]) if n else np.zeros(0, bool)
+        head = order[np.maximum.accumulate(np.where(edge, np.arange(n), 0))]
+        for other, own in ((order[:-1][~edge[1:]], order[1:][~edge[1:]]), (head[~edge], order[~edge])):
+            same = (sketch[other] == sketch[own]).mean(axis=1) >= alike
+            first[np.maximum(other, own)[same & (other != own)]] = False
+    return first
+
+
+def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epochs: int = 25, rate: float = 0.5, support: float = SUPPORT) -> Field | None:
+    """The field of a sample's labels and texts; None unless it has both classes, and words. `counts`: ids of each class in all.
+    Every feature of the sample has a weight; `support` says which ones may mark words as toxic."""
     if not (y == 1).any() or not (y == 0).any():
         return None
     sizes, alike = [], []
@@ -226,15 +258,11 @@ def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epo
         return None
     all1, all0 = max(1, int((y[once] == 1).sum())), max(1, int((y[once] == 0).sum()))
     odds = np.log((n1 + 0.5) / (all1 + 1)) - np.log((n0 + 0.5) / (all0 + 1))
-    gain = n1 / all1 * np.maximum(odds, 0)
-    telling = (n1 >= max(3, SUPPORT * all1)) & (odds > 3.0) & (n1 / all1 > 20 * n0 / all0)
-    # the field's features: the most telling ones, then the most common ones, which mark ordinary words
-    common = np.argsort(-(n0 + n1), kind="stable")[: FEATURES // 2]
-    best = np.argsort(-gain, kind="stable")[: FEATURES // 2]
-    keys = np.unique(np.concatenate([names[common], names[best[gain[best] > 0]]]))
+    telling = (n1 >= max(3, support * all1)) & (odds > 3.0) & (n1 / all1 > 20 * n0 / all0)
+    keys = names
     field = Field(keys, np.zeros(len(keys)), -3.0, np.zeros((2, 2)), np.zeros(4))
     spans = np.unique(names[telling])
-    del names, n1, n0, odds, gain, every, counts_of
+    del names, n1, n0, odds, every, counts_of
     marked = np.zeros(len(doc), bool)
     at = np.empty((1 + len(PREFIXES), len(doc)), np.int32)
     for lo, hi, offsets, raw in chunks(text):
@@ -245,15 +273,8 @@ def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epo
     at[at < 0] = len(keys)  # a weight that stays 0
     state = (marked & (y[doc] == 1)).astype(float)
 
-    # sequences, a row each
-    seq, place = sequences(row)
-    total = int(seq[-1]) + 1 if len(seq) else 0
-    valid = np.zeros((total, SEQUENCE), bool)
-    valid[seq, place] = True
-    gold = np.zeros((total, SEQUENCE), bool)
-    gold[seq, place] = state > 0
-    both = valid[:, 1:]
-    seen = np.array([[((gold[:, :-1] == i) & (gold[:, 1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)], float)
+    both = doc[1:] == doc[:-1]  # neighbouring words of one document
+    seen = np.array([[((state[:-1] == i) & (state[1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)], float)
     scale = max(1.0, state.sum())  # gradients per labelled word
     weights, square = np.zeros(len(keys) + 1), np.full(len(keys) + 1, 1e-8)
     square_pair, square_bias = np.full((2, 2), 1e-8), 1e-8
@@ -264,11 +285,11 @@ def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epo
             out += weights[k]
         return out
 
-    grid = np.zeros((total, SEQUENCE))
     for _ in range(epochs):
-        grid[seq, place] = emissions()
-        forward, backward = messages(grid, valid, field.pair)
-        error = (state - _logistic((forward + backward)[seq, place])) / scale
+        emitted = emissions()
+        forward, backward = messages(emitted, row, field.pair)
+        odds = forward * backward
+        error = (state - odds / (1.0 + odds)) / scale
         step = -1e-4 * weights
         for k in at:
             step += np.bincount(k, weights=error, minlength=len(weights))
@@ -278,11 +299,10 @@ def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epo
         grad = error.sum()
         square_bias += grad**2
         field.bias += rate * grad / np.sqrt(square_bias)
-        right = (grid + backward)[:, 1:]
-        left = forward[:, :-1]
-        logs = [right * j + left * i + field.pair[i, j] for i in (0, 1) for j in (0, 1)]
-        norm = np.logaddexp(np.logaddexp(logs[0], logs[1]), np.logaddexp(logs[2], logs[3]))
-        expected = np.array([np.exp(x - norm)[both].sum() for x in logs]).reshape(2, 2)
+        left, right = forward[:-1][both], (np.exp(np.clip(emitted, -40, 40)) * backward)[1:][both]
+        (p00, p01), (p10, p11) = np.exp(field.pair)
+        norm = p00 + p01 * right + left * (p10 + p11 * right)
+        expected = np.array([[(p00 / norm).sum(), (p01 * right / norm).sum()], [(p10 * left / norm).sum(), (p11 * left * right / norm).sum()]])
         grad = (seen - expected) / scale - 1e-4 * field.pair
         square_pair += grad**2
         field.pair = field.pair + rate * grad / np.sqrt(square_pair)
@@ -307,11 +327,12 @@ def fit(y: np.ndarray, text: pa.Array, counts: dict[int, int] | None = None, epo
 # -- scoring ----------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, prior: float = 0.0) -> DataFrame:
+def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of `docs`: id, held_out, score, predicted, and spans (code points, end exclusive).
 
-    A null or empty text has the score of a text without words; equal texts have equal scores. Without a
-    field (no labels of one class) every score is `prior`. Other columns are not looked at. One pass, no shuffle.
+    A null or empty text has the score of a text without words; equal texts have equal scores, repeated rows repeated ones;
+    texts may be of any length. Without a field (no labels of one class) nothing is known and every score is 0. Other columns are
+    not looked at, whatever their names. One pass, no shuffle.
     """
     kind = dict(docs.dtypes)[id_col]
     held = docs.sparkSession.sparkContext.broadcast(field)
@@ -322,7 +343,7 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
         for batch in batches:
             for first, last, offsets, raw in chunks(batch.column(2)):
                 own = [batch.column(k).slice(first, last - first) for k in (0, 1)]
-                values, spans = np.full(last - first, prior), [[] for _ in range(last - first)]
+                values, spans = np.zeros(last - first), [[] for _ in range(last - first)]
                 if f is not None:
                     words, p, values = f.read(offsets, raw)
                     hot = np.flatnonzero(p >= 0.5)
@@ -339,8 +360,8 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
     return docs.select(id_col, _labelled.held_out(id_col).alias("held_out"), text_col).mapInArrow(tidy(run), schema)
 
 
-def _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes) -> tuple[Field | None, float]:
-    """The field, and the share of toxic rows among the labelled ones. The sample, of bounded size, is fitted in one task."""
+def _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes, support) -> Field | None:
+    """The field. The sample, of bounded size, is fitted in one task."""
     chosen, counts = _labelled.sample(docs, labels, label_col, rows, most_bytes, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,22 +369,27 @@ def _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes) -> tupl
         if got:
             order = np.argsort(np.concatenate([b.column(0).to_numpy() for b in got]), kind="stable")  # the same field in every run
             y = np.concatenate([b.column(1).to_numpy() for b in got])[order]
-            text = pa.concat_arrays([b.column(2) for b in got]).take(pa.array(order))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(y, text, counts))], pa.binary())], names=["field"])
+            text = pa.concat_arrays([b.column(2).cast(pa.large_string()) for b in got]).take(pa.array(order))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(y, text, counts, support=support))], pa.binary())], names=["field"])
 
-    made = chosen.select("id", "y", "text").repartition(1).mapInArrow(tidy(run), "field binary").collect()
-    return pickle.loads(made[0]["field"]) if made else None, counts[1] / max(1, counts[0] + counts[1])
+    made = chosen.select(_labelled.spread("id"), "y", "text").repartition(1).mapInArrow(tidy(run), "field binary").collect()
+    return pickle.loads(made[0]["field"]) if made else None
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES) -> DataFrame:
-    """Fits the field on a bounded sample of the labelled documents outside the held-out fold, and scores all."""
-    field, prior = _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes)
-    return score(docs, field, id_col, text_col, threshold, prior)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES, support: float = SUPPORT) -> DataFrame:
+    """Fits the field on a bounded sample (`rows` a class, `most_bytes` of their texts) of the labelled documents outside the
+    held-out fold, and scores all, as `score` says."""
+    return score(docs, _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes, support), id_col, text_col, threshold)
 
 
-def drop(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES) -> DataFrame:
-    """The rows of `docs`, all columns, with a score below `threshold`; without a field all of them. One pass, no shuffle."""
-    field, _ = _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes)
+def drop(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, rows: int = _labelled.SAMPLE_ROWS, most_bytes: int = _labelled.SAMPLE_BYTES, support: float = SUPPORT) -> DataFrame:
+    """The rows of `docs`, all columns, with a score below `threshold`: those that `classify` predicts 0.
+
+    A null or empty text is scored as one without words; equal texts stay or go together, repeated rows each for themselves; a null id
+    is no reason to go; an empty table stays empty. Columns of any name pass unchanged. Without a field all rows
+    stay. One pass, no shuffle.
+    """
+    field = _fitted(docs, labels, id_col, text_col, label_col, rows, most_bytes, support)
     if field is None:
         return docs
     held, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
