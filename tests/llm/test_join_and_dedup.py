@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from helpers import corpus, docs, multiset
 
 from tidemark.llm import ngram_join, substring_dedup
@@ -139,16 +140,24 @@ def test_dedup_across_batches_and_partitions(spark, monkeypatch):
     assert multiset(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_dedup(rows, 5)
 
 
-def test_a_group_of_many_labels_is_split(spark):
+def test_a_hot_phrase_is_split_by_longer_prefixes(spark, monkeypatch):
     rng, common = random.Random(4), [f"c{k}" for k in range(12)]
     side = lambda: [f"w{rng.randrange(10**6)}" for _ in range(20)]
     rows = [(i, " ".join(side() + common + side())) for i in range(300)]
     rows += [(300 + i, f"{rows[i][1]} x{i}") for i in range(0, 300, 3)]
-    texts = docs(spark, rows).selectExpr("doc_id doc", "xxhash64(text) part", "text t")
-    biggest = lambda at: substring_dedup._split(texts, 20, 6, at).filter("labels is not null").selectExpr("key", "size").groupBy("key").agg({"size": "sum"}).toDF("key", "n").agg({"n": "max"}).first()[0]
-    assert biggest(1 << 18) > 200 >= biggest(100)
-    out = substring_dedup.dedup(docs(spark, rows), window=20, gram=6, group_rows=50)
-    assert multiset(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_dedup(rows, 20)
+    seen = {}
+    real = substring_dedup._repeated
+
+    def watched(groups, window, at):
+        sizes = groups.filter("words is not null").groupBy("key").agg({"size": "sum"}).toDF("key", "n")
+        seen[at] = sizes.agg({"n": "max", "key": "count"}).first()
+        return real(groups, window, at)
+
+    monkeypatch.setattr(substring_dedup, "_repeated", watched)
+    for at in (1 << 16, 50):
+        out = substring_dedup.dedup(docs(spark, rows), window=20, gram=6, group_rows=at)
+        assert multiset(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_dedup(rows, 20)
+    assert seen[1 << 16]["max(n)"] > 500 and seen[50]["max(n)"] <= 50 and seen[50]["count(key)"] > 20
 
 
 def test_dedup_of_an_empty_table_and_of_null_ids(spark):
@@ -158,3 +167,32 @@ def test_dedup_of_an_empty_table_and_of_null_ids(spark):
     assert multiset(out, "doc_id", "n_removed") == sorted([(None, 0), (1, 0), (0, 0)], key=repr)
     with pytest.raises(ValueError):
         substring_dedup.dedup(docs(spark, []), window=5, gram=6)
+    with pytest.raises(ValueError):
+        substring_dedup.dedup(docs(spark, []).withColumn("doc_id", F.lit("x")))
+
+
+def test_one_passage_in_all_documents_and_very_long_texts(spark):
+    """A group that is one node of more rows than a tree may have; a text of a million words."""
+    rng, passage = random.Random(6), [f"p{k}" for k in range(30)]
+    rows = [(i, " ".join([f"a{rng.randrange(10**6)}" for _ in range(9)] + passage + [f"b{rng.randrange(10**6)}" for _ in range(9)])) for i in range(200)]
+    long = [f"l{rng.randrange(10**5)}" for _ in range(300_000)]
+    rows += [(500, " ".join(long)), (501, " ".join(long[1000:1100])), (400, " ".join(long[200_000:200_090])), (402, "x " * 100_000), (401, "x " * 50), (401, "x " * 50)]
+    out = substring_dedup.dedup(docs(spark, rows).repartition(40), window=20, gram=6, group_rows=30)
+    assert multiset(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_dedup(rows, 20)
+
+
+def test_tree_of_random_words():
+    rng = np.random.default_rng(0)
+    words = rng.integers(0, 3, 400).astype(np.uint64)
+    codes = words.view(np.uint8).reshape(-1, 8)[:, : substring_dedup._WIDTH]
+    for depth in (1, 3, 8):
+        leaves = np.array([np.concatenate([np.zeros(8, np.uint8), codes[k : k + depth].ravel()]) for k in range(400 - depth + 1)])
+        tree = substring_dedup.SuffixTree(leaves, depth)
+        names = {}
+        node = tree.deep_nodes()
+        for k, n in zip(tree.order.tolist(), node.tolist()):
+            assert names.setdefault(tuple(words[k : k + depth]), n) == n
+        assert len(names) == len(set(node.tolist()))
+        for a, b, c in zip(tree.order, tree.order[1:], tree.common[1:]):
+            same = words[a : a + depth] == words[b : b + depth]
+            assert c == (depth if same.all() else int(np.argmin(same)))
