@@ -123,6 +123,114 @@ def test_armour_with_escaped_line_breaks(cut, data, kind):
     assert (17, 17 + len(pem), kind) in spans and secret_scan.redacted(text, spans) == f'{{"private_key": "[SECRET]{cut}"}}'
 
 
+ENCRYPTED = der(der(der(bytes.fromhex("2a864886f70d01050d"), tag=0x06), der(bytes(20))), der(bytes(range(90)), tag=0x04))
+SPACED = f"{URL(b'{ \"alg\": \"HS256\"}')}.{URL(b'{}')}.{URL(bytes(32))}"
+LINED = f"{URL(b'{\n\"alg\":\"HS256\",\"x\":{}}')}.{URL(b'{}')}.{URL(bytes(32))}"
+
+
+@pytest.mark.parametrize("before", ["0x", "deadbeef", "abc/", "=", ""])
+@pytest.mark.parametrize("key,kind", [(ENCRYPTED.hex(), "der"), (B64(ENCRYPTED).rstrip("="), "der"), (OPENSSH.hex(), "openssh"), (OPENSSH.hex().upper(), "openssh"), (B64(PKCS8).rstrip("="), "der"), (PKCS8.hex(), "der")])
+def test_all_structures_wherever_they_start(before, key, kind):
+    assert (4 + len(before), 4 + len(before) + len(key), kind) in secret_scan.confirmed_spans(f"key {before}{key} end")
+
+
+@pytest.mark.parametrize("before", ["", "x", "ab_", "-y-", "eyJ", "token="])
+@pytest.mark.parametrize("token", [JWT, SPACED, LINED])
+def test_tokens_glued_to_other_characters(before, token):
+    assert (4 + len(before), 4 + len(before) + len(token), "jwt") in secret_scan.confirmed_spans(f"key {before}{token}.x end")
+
+
+@pytest.mark.parametrize("cut", ["\n", "\r\n", "\n    ", "\\n"])
+@pytest.mark.parametrize("whole,kind", [(B64(PKCS8), "der"), (B64(OPENSSH), "openssh"), (PKCS8.hex(), "der")])
+def test_keys_over_lines_without_armour(cut, whole, kind):
+    key = cut.join(whole[k : k + 64] for k in range(0, len(whole), 64))
+    found = secret_scan.confirmed_spans(f"é key:\n{key}\n\nend of it")
+    assert (7, 7 + len(key), kind) in found and len(found) == 1
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 3_400_000, "eyJ" * 1_000_000 + ".eyJ.x", "MIIE" * 2_500_000, "M4QAmJaAAgEA" * 800_000, "3082ffff0201" * 800_000, ("A" * 64 + "\n") * 150_000, "token" + " " * 5_000_000, "-----BEGIN A-----" * 500_000, "a.b" * 3_000_000, "b3BlbnNzaC1rZXktdjEA" * 400_000, "e30" * 3_000_000 + ".e30.x", "{" * 10_000_000])
+def test_time_is_linear_in_the_text(text):
+    import time
+
+    begin = time.monotonic()
+    secret_scan.base_spans(text)
+    secret_scan.confirmed_spans(text)
+    assert time.monotonic() - begin < 40
+
+
+def plain_key(data, kind):
+    """Whole parse of some bytes, recursive and without short cuts."""
+
+    def parts(data):
+        out, at = [], 0
+        while at < len(data):
+            if at + 2 > len(data):
+                return None
+            tag, n, head = data[at], data[at + 1], 2
+            if n & 128:
+                head = 2 + (n & 127)
+                if not 1 <= n & 127 <= 4 or at + head > len(data):
+                    return None
+                n = int.from_bytes(data[at + 2 : at + head], "big")
+            if at + head + n > len(data):
+                return None
+            out.append((tag, data[at + head : at + head + n]))
+            at += head + n
+        return out
+
+    if kind == "der":
+        top = parts(data)
+        inner = parts(top[0][1]) if top and len(top) == 1 and top[0][0] == 0x30 else None
+        if not inner or len(inner) > 10:
+            return False
+        tags = [t for t, _ in inner]
+        oid = lambda k: ((parts(inner[k][1][: 2 + inner[k][1][1]]) if len(inner[k][1]) > 2 else None) or [(0, b"")])[0]
+        if tags == [0x30, 0x04]:
+            return oid(0)[0] == 6 and oid(0)[1].startswith((bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01")))
+        if tags[0] != 2 or len(inner[0][1]) != 1:
+            return False
+        return (tags[1:3] == [0x30, 0x04] and oid(1)[0] == 6 and len(oid(1)[1]) > 0) or (tags[1:2] == [4] and len(inner[1][1]) in (24, 28, 32, 48, 66)) or (len(tags) >= 9 and set(tags[:9]) == {2})
+    return False
+
+
+def brute_der(text):
+    """Every start of every run and every length that decodes to a key, the first one where several overlap."""
+    out = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{24,}={0,2}", text):
+        run, at = m[0].rstrip("="), 0
+        while at < len(run):
+            step = 1
+            for size in range(18, (len(run) - at) * 3 // 4 + 1):
+                part = run[at : at - (-size * 4 // 3)].replace("-", "+").replace("_", "/")
+                if plain_key(base64.b64decode(part + "=" * (-len(part) % 4))[:size], "der"):
+                    end = at + len(part)
+                    end = len(m[0]) if not m[0][end:].strip("=") else end
+                    out.add((m.start() + at, m.start() + end, "der"))
+                    step = end - at
+                    break
+            at += step
+        at = 0
+        while at < len(run):
+            step = 1
+            hexed = max((re.match(p, run[at:])[0] for p in ("[0-9a-f]*", "[0-9A-F]*")), key=len)
+            for size in range(24, len(hexed) // 2 + 1):
+                if plain_key(bytes.fromhex(hexed[: 2 * size]), "der"):
+                    out.add((m.start() + at, m.start() + at + 2 * size, "der"))
+                    step = 2 * size
+                    break
+            at += step
+    return out
+
+
+def test_confirmed_keys_equal_brute_force():
+    rng = random.Random(5)
+    small = der(integer(0), der(der(bytes.fromhex("2b6570"), tag=0x06)), der(bytes(range(34)), tag=0x04))
+    bits = [B64(SEC1), B64(SEC1).rstrip("="), SEC1.hex(), SEC1.hex().upper(), B64(small), small.hex(), B64(SEC1)[:-6], SEC1.hex()[:-3], "MIIE", "30", "3041020100", "M", "/", "-", " ", "=", "ab", B64(small[:-1]), B64(small + b"\0"), B64(bytes(9)), B64(ENCRYPTED)]
+    for _ in range(60):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 6)))
+        assert {s for s in secret_scan.confirmed_spans(t) if s[2] == "der"} == brute_der(t), t
+
+
 def brute_base(t):
     """The contract's patterns, one character at a time, without a regular expression."""
     out, at = [], 0

@@ -5,23 +5,27 @@ On top of them, runs of base64 or hex are decoded and parsed; they are reported
 only if the bytes have the nested structure of a key or a signed token:
 
 * ``der``: an ASN.1 SEQUENCE whose nested lengths fill the bytes exactly and whose
-  head is that of a PKCS#1, PKCS#8 or SEC1 private key (base64, PEM body or hex),
-* ``openssh``: ``openssh-key-v1`` followed by length-prefixed fields that fit,
-  both wherever they start in a run; a key ends where its lengths say. Line breaks of armour may be escaped.
-* ``jwt``: three base64url parts; the header is a JSON object naming an algorithm,
-  the payload a JSON object, the signature decodes (it is empty for ``none`` alone).
-
-Offsets are code points of the original text, end exclusive.
+  parts are those of a PKCS#1, PKCS#8 (encrypted or not) or SEC1 private key (base64, PEM body or hex),
+* ``openssh``: ``openssh-key-v1`` followed by length-prefixed fields that fit (base64, PEM body or hex),
+  both wherever they start in a run; a key ends where its lengths say. A run may go over several lines, whose
+  breaks may be escaped, in armour or without.
+* ``jwt``: three base64url parts; the header is a JSON object naming an algorithm, from the start of its
+  part or, where other characters are glued to it, from the brace that matches its last one; the payload is a JSON
+  object, the signature decodes (it is empty for ``none`` alone).
+
+Lengths are followed without decoding what they span, and every part of a text is looked at a fixed number of times: the scan is
+linear in the text. Offsets are code points of the original text, end exclusive.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +41,21 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}+={0,2}")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])*+)-----END \1-----")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+_HEADER = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{12})[A-Za-z0-9_-]++(?=\.[A-Za-z0-9_-]++\.)")
+_REST = re.compile(r"\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+(?:\r?\n|(?:\\+r)?\\+n)[ \t]*+)++(?:[A-Za-z0-9+/_-]++={0,2})?")
 _BREAK = re.compile(r"\s+|\\+[nrt]")
-# starts of a DER SEQUENCE: its first bits in base64; its head and a version in hex
-_START64 = re.compile(r"M(?=[A-P])")
-_START_HEX = re.compile(r"30(?=(?:[0-7][0-9A-Fa-f]|81..|82.{4}|83.{6}|84.{8})0201)")
-_MAGIC64 = "b3BlbnNzaC1rZXktdjE"
+# Starts of a DER SEQUENCE of any form of length that goes on with a version (02 01), or that soon names an
+# object of the arc 2a 86 48 86 f7 0d 01, as they are in base64, for each place in a group of four, and in hex.
+_BY_FOUR = "[AEIMQUYcgkosw048]"
+_START64 = re.compile(rf"M(?=[A-H]{_BY_FOUR}CA[Q-f]|I(?:[E-H].Ag[E-H]|[I-L]..[AQgw]IB|[M-P].{{3}}{_BY_FOUR}CA[Q-f]|[Q-T].{{5}}Ag[E-H])|[A-P].{{2,24}}?(?:KoZIhvcNAQ|SIb3DQE|hkiG9w0B))")
+_START_HEX = re.compile(r"30(?=(?:[0-7].|81..|82.{4}|83.{6}|84.{8})(?:0201|30(?:[0-7].|81..)06..2[aA]864886[fF]70[dD]01))")
+_MAGIC = b"openssh-key-v1\0"
+_MAGIC64, _MAGIC_HEX = "b3BlbnNzaC1rZXktdjE", re.compile(_MAGIC.hex(), re.I)
+_ONE_MAGIC64, _ALL_HEX, _LINE = re.compile(_MAGIC64), re.compile("[0-9A-Fa-f]+"), re.compile(r"[A-Za-z0-9+/_=-]+")
+_BRACE, _TOKEN_START = re.compile(rb"[{}]"), re.compile("e[yw]")
+# password-based encryption: the arcs of PKCS#5 and of PKCS#12
+_ENCRYPTED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 #: Bytes of the shortest key that is looked for without armour.
 LEAST_KEY = 24
 
@@ -71,100 +84,155 @@ def _decode64(run: str) -> bytes | None:
         return None
 
 
-def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+#: Gives n bytes from a place on, fewer where there are no more.
+Reader = Callable[[int, int], bytes]
+
+
+def _reader64(run: str, start: int) -> Reader:
+    """Bytes of base64 (of either alphabet) that starts at `start`, decoded where they are read."""
+
+    def read(at: int, n: int) -> bytes:
+        part = run[start + at // 3 * 4 : start - (-(at + n) // 3) * 4].replace("-", "+").replace("_", "/")
+        part = part[:-1] if len(part) % 4 == 1 else part
+        return base64.b64decode(part + "=" * (-len(part) % 4))[at % 3 : at % 3 + n]
+
+    return read
+
+
+def _reader_hex(run: str, start: int) -> Reader:
+    def read(at: int, n: int) -> bytes:
+        try:
+            return bytes.fromhex(run[start + 2 * at : start + 2 * (at + n)])
+        except ValueError:  # not hex, or half a byte
+            return b""
+
+    return read
+
+
+def _tlv(read: Reader, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the value at `at`; None unless it lies within `end`."""
-    if at + 2 > end:
+    head = read(at, 6)
+    if len(head) < 2 or at + 2 > end:
         return None
-    tag, n = data[at], data[at + 1]
+    tag, n = head[0], head[1]
     at += 2
     if n & 0x80:
         k = n & 0x7F
-        if not 1 <= k <= 4 or at + k > end:
+        if not 1 <= k <= 4 or len(head) < 2 + k:
             return None
-        n = int.from_bytes(data[at : at + k], "big")
+        n = int.from_bytes(head[2 : 2 + k], "big")
         at += k
     return (tag, at, at + n) if at + n <= end else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """True for a private key whose nested lengths fill `data` exactly."""
-    top = _tlv(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] != len(data):
-        return False
+def der_size(read: Reader, room: int) -> int:
+    """Bytes of the private key that starts where `read` does and lies within `room`, its nested lengths filling it exactly; 0 if none does."""
+    top = _tlv(read, 0, room)
+    if not top or top[0] != 0x30:
+        return 0
     parts, at = [], top[1]
     while at < top[2]:
-        part = _tlv(data, at, top[2])
-        if not part:
-            return False
+        part = _tlv(read, at, top[2])
+        if not part or len(parts) == 10:  # no key has more parts
+            return 0
         parts.append(part)
         at = part[2]
     tags = [p[0] for p in parts]
+
+    def algorithm(part: tuple[int, int, int]) -> bytes:
+        oid = _tlv(read, part[1], part[2])
+        return read(oid[1], min(oid[2] - oid[1], 16)) if oid and oid[0] == 0x06 else b""
+
+    if tags == [0x30, 0x04]:  # encrypted PKCS#8: algorithm, then what it gives
+        return top[2] if algorithm(parts[0]).startswith(_ENCRYPTED) else 0
     if tags[:1] != [0x02] or parts[0][2] - parts[0][1] != 1:  # version
-        return False
+        return 0
     if tags[1:3] == [0x30, 0x04]:  # PKCS#8: algorithm, then the key
-        oid = _tlv(data, parts[1][1], parts[1][2])
-        return bool(oid and oid[0] == 0x06 and oid[2] > oid[1])
+        return top[2] if algorithm(parts[1]) else 0
     if tags[1:2] == [0x04]:  # SEC1
-        return parts[1][2] - parts[1][1] in (24, 28, 32, 48, 66)
-    return len(tags) >= 9 and set(tags[:9]) == {0x02}  # PKCS#1
+        return top[2] if parts[1][2] - parts[1][1] in (24, 28, 32, 48, 66) else 0
+    return top[2] if len(tags) >= 9 and set(tags[:9]) == {0x02} else 0  # PKCS#1
+
+
+def openssh_size(read: Reader, room: int) -> int:
+    """Bytes of the OpenSSH private key that starts where `read` does, up to the end of its private part (all where that does not fit);
+    0 unless its fields up to a public key fit."""
+    if read(0, len(_MAGIC)) != _MAGIC:
+        return 0
+
+    def after(at: int, fields: int) -> int:
+        for _ in range(fields):
+            n = read(at, 4)
+            if len(n) < 4 or at + 4 + int.from_bytes(n, "big") > room:
+                return 0
+            at += 4 + int.from_bytes(n, "big")
+        return at
+
+    at = after(len(_MAGIC), 3)
+    keys = int.from_bytes(read(at, 4), "big") if at and at + 4 <= room else 0
+    if not 1 <= keys <= 16 or not after(at + 4, 1):
+        return 0
+    return after(at + 4, keys + 1) or room
+
+
+def _reader(data: bytes) -> Reader:
+    return lambda at, n: data[at : at + n]
+
+
+def is_der_key(data: bytes) -> bool:
+    """True for a private key whose nested lengths fill `data` exactly."""
+    return bool(data) and der_size(_reader(data), len(data)) == len(data)
 
 
 def is_openssh_key(data: bytes) -> bool:
     """True for an OpenSSH private key file body whose length-prefixed fields fit."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at, fields = len(magic), 0
-    while fields < 5:
-        if at + 4 > len(data):
-            return False
-        n = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if fields == 3:  # the number of keys, not a length
-            fields += 1
-            if not 1 <= n <= 16:
-                return False
-            continue
-        if at + n > len(data):
-            return False
-        at += n
-        fields += 1
-    return True
+    return openssh_size(_reader(data), len(data)) > 0
 
 
-def is_jwt(token: str) -> bool:
-    """True for a compact signed token with a header that names its algorithm."""
-    head, body, sign = token.split(".")
+def _object(part: str) -> dict | None:
+    """The JSON object that a base64url part decodes to."""
     try:
-        h, p = (json.loads(_decode64(x) or b"") for x in (head, body))
+        out = json.loads(_decode64(part) or b"")
     except (ValueError, RecursionError):  # RecursionError: very deep nesting
-        return False
-    if not isinstance(h, dict) or not isinstance(p, dict) or not isinstance(h.get("alg"), str):
-        return False
-    unsigned = h["alg"].lower() == "none"
-    return not sign if unsigned else bool(sign) and _decode64(sign) is not None
-
-
-def _der_size(head: bytes) -> int:
-    """Bytes of the SEQUENCE that starts with `head`, 0 unless a version follows its length."""
-    if len(head) < 5 or head[0] != 0x30:
-        return 0
-    k = head[1] & 0x7F if head[1] & 0x80 else 0
-    if k > 4 or head[1] == 0x80 or head[2 + k : 4 + k] != b"\x02\x01":
-        return 0
-    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+        return None
+    return out if isinstance(out, dict) else None
 
 
-def _openssh_size(data: bytes) -> int:
-    """Bytes of a key file up to the end of its private part; all where that does not fit."""
-    at, left = len(b"openssh-key-v1\0"), 3
-    while left and at + 4 <= len(data):
-        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
-    left = int.from_bytes(data[at : at + 4], "big") + 1  # public keys and the private part
-    at += 4
-    while left and at + 4 <= len(data):
-        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
-    return at if not left and at <= len(data) else len(data)
+def _header(part: str) -> tuple[int, dict] | None:
+    """Where the JSON header that a part ends with starts, and the header."""
+    if (h := _object(part)) is not None and isinstance(h.get("alg"), str):
+        return 0, h
+    starts = []
+    for off in range(4):
+        data = _decode64(part[off:])
+        if not data or not data.rstrip().endswith(b"}"):
+            continue
+        braces = [m.start() for m in _BRACE.finditer(data)]
+        depth = 0
+        for k in reversed(braces):
+            depth += 1 if data[k] == 0x7D else -1
+            if not depth:
+                if k % 3 == 0:
+                    starts.append(off + k // 3 * 4)
+                break
+    for a in sorted(starts):
+        if (h := _object(part[a:])) is not None and isinstance(h.get("alg"), str):
+            return a, h
+    return None
+
+
+def _tokens(text: str) -> list[Span]:
+    """Compact signed tokens with a header that names its algorithm."""
+    out: list[Span] = []
+    for m in _HEADER.finditer(text):
+        if not _TOKEN_START.search(m[0]) or not (found := _header(m[0])):
+            continue
+        rest = _REST.match(text, m.end())
+        unsigned = found[1]["alg"].lower() == "none"
+        signed = not rest[2] if unsigned else bool(rest[2]) and _decode64(rest[2]) is not None
+        if signed and _object(rest[1]) is not None:
+            out.append((m.start() + found[0], rest.end(), "jwt"))
+    return out
 
 
 def _end64(run: str, start: int, size: int) -> int:
@@ -176,38 +244,47 @@ def _end64(run: str, start: int, size: int) -> int:
 def _keys_in(run: str) -> list[Span]:
     """Keys that start anywhere in a run, each as long as its own lengths say."""
     out: list[Span] = []
-    body, at = run.rstrip("="), 0
-    while m := _START64.search(body, at):
-        a, at = m.start(), m.start() + 1
-        size = _der_size(_decode64(body[a : a + 16]) or b"")
-        end = _end64(run, a, size)
-        if size >= LEAST_KEY * 3 // 4 and end <= len(run) and is_der_key((_decode64(run[a:end]) or b"")):
-            out.append((a, end, "der"))
-            at = end
-    at = 0
-    while m := _START_HEX.search(body, at):
-        a, at = m.start(), m.start() + 1
-        try:
-            size = _der_size(bytes.fromhex(body[a : a + 16]))
-            found = body[a : a + 2 * size]
-            if size >= LEAST_KEY and len(found) == 2 * size and found in (found.lower(), found.upper()) and is_der_key(bytes.fromhex(found)):
-                out.append((a, a + 2 * size, "der"))
-                at = a + 2 * size
-        except ValueError:  # not hex
-            continue
-    at = 0
-    while (a := body.find(_MAGIC64, at)) >= 0:
-        at = a + 1
-        head = _decode64(body[a : a + 28]) or b""
-        if len(head) < 19 or int.from_bytes(head[15:19], "big") > len(body) - a:
-            continue
-        whole = body[a:]
-        data = _decode64(whole[:-1] if len(whole) % 4 == 1 else whole)
-        if data and is_openssh_key(data):
-            size = _openssh_size(data)
-            end = len(run) if size == len(data) else _end64(run, a, size)
-            out.append((a, end, "openssh"))
+    body = run.rstrip("=")
+
+    def search(pattern: re.Pattern, hexed: bool, measure: Callable[[Reader, int], int], kind: str) -> None:
+        at = 0
+        while m := pattern.search(body, at):
+            a, at = m.start(), m.start() + 1
+            room = (len(body) - a) // 2 if hexed else (len(body) - a) * 3 // 4
+            size = measure((_reader_hex if hexed else _reader64)(body, a), room)
+            if size < (LEAST_KEY if hexed else LEAST_KEY * 3 // 4):
+                continue
+            if not hexed:
+                end = len(run) if kind == "openssh" and size == room else _end64(run, a, size)
+            else:
+                end, found = a + 2 * size, body[a : a + 2 * size]
+                if not _ALL_HEX.fullmatch(found) or found not in (found.lower(), found.upper()):
+                    continue
+            out.append((a, end, kind))
             at = end
+
+    search(_START64, False, der_size, "der")
+    search(_START_HEX, True, der_size, "der")
+    if _MAGIC64 in body:
+        search(_ONE_MAGIC64, False, openssh_size, "openssh")
+    search(_MAGIC_HEX, True, openssh_size, "openssh")
+    return out
+
+
+def _keys_over_lines(text: str) -> list[Span]:
+    """Keys in lines of base64 or hex, one below the other, without armour."""
+    out: list[Span] = []
+    for m in _LINES.finditer(text):
+        lines = [(x.start(), x.end()) for x in _LINE.finditer(_BREAK.sub(lambda b: " " * len(b[0]), m[0]))]
+        sums = [0]
+        for a, b in lines:
+            sums.append(sums[-1] + b - a)
+
+        def place(k: int) -> int:
+            n = bisect.bisect_right(sums, k) - 1
+            return m.start() + lines[n][0] + k - sums[n]
+
+        out += [(place(a), place(b - 1) + 1, kind) for a, b, kind in _keys_in("".join(m[0][a:b] for a, b in lines))]
     return out
 
 
@@ -220,13 +297,33 @@ def confirmed_spans(text: str) -> list[Span]:
             kind = data and ("der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None)
             if kind:
                 out.append((m.start(), m.end(), kind))
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[0])]
-    armoured = list(out)
+    if "ey" in text or "ew" in text:
+        out += _tokens(text)
+    over = list(out)
     for m in _RUN.finditer(text):
         out += [(m.start() + a, m.start() + b, kind) for a, b, kind in _keys_in(m[0])]
-    inside = lambda s: any(a <= s[0] and s[1] <= b and s[2] != "jwt" and (a, b) != s[:2] for a, b, _ in armoured)
-    return [s for s in out if not inside(s)]
+    if "\n" in text or "\\n" in text:
+        lines = _keys_over_lines(text)
+        over += lines
+        out += lines
+    return _outermost(out, over)
+
+
+def _outermost(spans: list[Span], over: list[Span]) -> list[Span]:
+    """Spans other than those of keys inside another one of `over`."""
+    wide = sorted({(a, -b) for a, b, kind in over})
+    starts, reach = [a for a, _ in wide], []
+    for a, b in wide:
+        reach.append(max(-b, reach[-1] if reach else 0))
+    own = {(a, -b) for a, b in wide}
+
+    def inside(s: Span) -> bool:
+        n = bisect.bisect_right(starts, s[0])
+        if s[2] == "jwt" or not n or reach[n - 1] < s[1]:
+            return False
+        return (s[0], s[1]) not in own or any(a <= s[0] and s[1] <= b and (a, b) != s[:2] for a, b in own)
+
+    return [s for s in spans if not inside(s)]
 
 
 def ordered(spans: list[Span]) -> list[Span]:
@@ -252,7 +349,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of `docs`: its id, all spans as an array, and the digest columns.
 
     A null text is empty, an empty text has no span, equal rows give equal rows, an
-    empty table an empty result; other columns are not looked at. One pass, no shuffle.
+    empty table an empty result; a text of any length is scanned whole, in time linear in it; other columns are not looked at,
+    whatever their names. One pass, no shuffle.
     """
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>"
     found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -278,7 +376,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with every secret in its text replaced; a null text stays null. One pass, no shuffle."""
+    """`docs` with every secret in its text replaced, all rows and columns kept, whatever their names; a null text stays null, an
+    empty one empty, equal rows stay equal, a text of any length is scanned whole. One pass, no shuffle."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
