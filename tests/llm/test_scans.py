@@ -60,6 +60,48 @@ def test_decontamination_without_benchmark_or_documents(spark):
     assert decontaminate.scan(docs(spark, []), benchmark(spark, ITEMS)).count() == 0
 
 
+def test_items_without_id_and_documents_of_any_length(spark):
+    items = [(None, "w1 w2 w3"), (None, "u v"), (7, "a b c d e f g h i j k"), (7, "z z"), (30, "u v")]
+    rows = [(1, "w1 w2 w3 u v"), (2, "a b c d e f g h i j"), (3, ("x " * 50_000) + "b c d e f g h i j k " + "y " * 50_000), (2, "a b c d e f g h i j"), (None, "u v"), (4, ""), (5, None), (6, "z z z")]
+    for block in (decontaminate.BLOCK_BYTES, 8):
+        out = decontaminate.scan(docs(spark, rows), benchmark(spark, items), block_bytes=block)
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert out.count() == len(rows)
+        assert (got[1]["n_hit"], got[1]["n_items"], got[1]["items"]) == (5, 2, ["30"])
+        assert (got[2]["n_hit"], got[2]["items"]) == (10, ["7"]) and (got[3]["n_hit"], got[3]["n_words"]) == (10, 100_010)
+        assert got[3]["offsets"][0].asDict() == {"start": 100_000, "end": 100_019}
+        assert (got[None]["n_items"], got[None]["contaminated"]) == (2, True) and not got[4]["contaminated"] and got[5]["n_words"] == 0
+        assert got[6]["n_hit"] == 3 and got[6]["offsets"][0].asDict() == {"start": 0, "end": 5}
+        assert sorted(r["doc_id"] for r in decontaminate.drop(docs(spark, rows), benchmark(spark, items), block_bytes=block).collect()) == [4, 5]
+
+
+def test_automaton_is_small_and_equals_brute_force():
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(30_000)]
+    text = " ".join(rng.choices(vocabulary, k=150_000))
+    automaton = decontaminate.Automaton([("1", text)], 10)
+    assert automaton.nbytes() < 80 * len(text)
+    for seed in range(20):
+        rng = random.Random(seed)
+        items = [(str(k), " ".join(rng.choices("ab", k=rng.randrange(1, 9)))) for k in range(6)]
+        window = rng.randrange(2, 6)
+        texts = [" ".join(rng.choices("abc", k=rng.randrange(200))) for _ in range(5)]
+        automaton = decontaminate.Automaton(items, window)
+        (_, _, counts, spans, who), = decontaminate._hits(automaton, decontaminate.pa.array(texts, decontaminate.pa.large_string()))
+        for k, t in enumerate(texts):
+            w, hit, names = t.split(), set(), set()
+            for name, item in items:
+                i = item.split()
+                for a in range(max(1, len(i) - window + 1)):
+                    p = i[a : a + window]
+                    for b in range(len(w) - len(p) + 1):
+                        if w[b : b + len(p)] == p:
+                            hit |= set(range(b, b + len(p)))
+                            names.add(name)
+            assert counts[k] == len(w) and set(who[k]) == names
+            assert {x for s in spans[k] for x in range(s["first"], s["last"])} == hit
+
+
 # -- secrets -------------------------------------------------------------------------------
 
 
