@@ -561,7 +561,7 @@ def test_box_and_beam_queries_see_every_row(spark, tmp_path):
         if clear:
             kept.append((supp, n * 10 + line, x1, y1, x2, y2))
     assert any(k[1] >= 3000 for k in kept)
-    assert rows(registry.queries()["q_box_suppression_all"](spark, str(tmp_path)), "frame", "id") == sorted((k[:2] for k in kept), key=repr)
+    assert rows(registry.queries()["q_box_suppression"](spark, str(tmp_path)), "frame", "id") == sorted((k[:2] for k in kept), key=repr)
 
     parts = [(n, "b", 1 + n % 7 if n < 400 else 50, 900.0 if n < 400 else 2100.0) for n in range(1, 801)]
     make(spark, parts, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
@@ -578,7 +578,7 @@ def test_exclusion_queries_see_every_order(spark, tmp_path):
     at = [(n, 5, datetime(2024, 1, 1) + timedelta(hours=h), "purchase", 50.0, '{"k": 1}') for n, h in ((1, 7.5), (2, 100.0))]
     make(spark, at, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     make(spark, [(7, 155, "1-URGENT"), (10, 6, "5-LOW")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
-    found = {n: registry.queries()[f"q_{n}_all"](spark, str(tmp_path)).collect() for n in ("exclusion_anti", "exclusion_reason", "excluded_windows")}
+    found = {n: registry.queries()[f"q_{n}"](spark, str(tmp_path)).collect() for n in ("exclusion_anti", "exclusion_reason", "excluded_windows")}
     assert [r["event_id"] for r in found["exclusion_anti"]] == [2]
     assert [(r["source_id"], r["reason"]) for r in found["exclusion_reason"]] == [(5, "1-URGENT")]
     assert [(r["before"], r["kept"]) for r in found["excluded_windows"]] == [(2, 1)]
@@ -601,3 +601,116 @@ def test_quality_edit_has_the_budget_of_its_profile(spark, monkeypatch):
     monkeypatch.setattr(q_projects.P, "summary", lambda *_: None)
     q_projects.q_quality_edit(spark, "")
     assert seen == [65536]
+
+
+def plain_beam(rows, music, width, shots, seconds, budget, verified=0, margin=0.05, tolerance=0.75):
+    """The search written out, one variant at a time over plain tuples."""
+    names = ("id", "seconds", "score", "group", "source", "place", "kind", "strong", "kept", "penalty", "kills", "head", "tail")
+    rows = sorted((dict(zip(names, r)) for r in rows), key=lambda r: (-r["score"], -r["kills"], r["id"]))
+    clip = lambda x: max(0.0, min(1.0, x))
+    hero = lambda r: r["kind"] in ("hero", "finale", "hero_play")
+    curve = [(0, 0.3), (0.2, 0.5), (0.45, 0.68), (0.6, 0.82), (0.85, 0.9), (1, 1.0)]
+
+    def wanted(x):
+        for (a, u), (b, v) in zip(curve, curve[1:]):
+            if x <= b:
+                return u + (x - a) / (b - a) * (v - u)
+        return 1.0
+
+    def energy(t):
+        values = [v for _, v in music.energy]
+        near = min(music.energy, key=lambda p: abs(p[0] - t))[1]
+        return (near - min(values)) / (max(values) - min(values))
+
+    def aim(r, hint):
+        if not r["kind"]:
+            return hint
+        kinds = ("phrase", "downbeat", "strong_beat", "bar") if r["strong"] else ("beat", "onset")
+        rank = {"phrase": 5, "downbeat": 4.5, "strong_beat": 4, "bar": 3.5, "beat": 2, "onset": 1}
+        best = min((p for p in music.points if p[1] in kinds), key=lambda p: (-rank[p[1]] if r["strong"] else 0, abs(p[0] - hint)))
+        return best[0] if abs(best[0] - hint) <= tolerance else hint
+
+    def like(a, b):
+        score = 0.28 * (1 if a[0] == b[0] else 0.35) + 0.38 * (1 - abs(a[1] - b[1]) / 5) + 0.12 + 0.12 * (1 if a[2] == b[2] else 0.55) + 0.10
+        return round(clip(score * (1 if min(a[3], b[3]) >= 0.5 else 0.65)), 6)
+
+    most = min(seconds[1], music.end - music.start)
+    floor = max((r["score"] for r in rows if not hero(r)), default=0.0) - margin
+    used, beam, done = 0, [(0.0, 0.0, [])], []
+    for _ in range(shots[1]):
+        following = []
+        for score, at, chosen in beam:
+            if len(chosen) >= shots[0] and seconds[0] <= at <= most:
+                done.append((score, at, chosen))
+            if len(chosen) >= shots[1] or at >= most - 1e-6:
+                continue
+            own = []
+            for r in rows:
+                if len(own) >= max(0, budget - used):
+                    break
+                taken = {c["group"] or c["id"] for c in chosen} | {c["id"] for c in chosen}
+                if (r["group"] or r["id"]) in taken or r["id"] in taken or r["kills"] < verified or at + r["seconds"] > seconds[1] + 1e-6:
+                    continue
+                if len(chosen) > 1 and all(c["seconds"] > 10 for c in [*chosen[-2:], r]):
+                    continue
+                if r["seconds"] < 2 - 0.001 or r["seconds"] > 12.001 or (r["seconds"] > 10.001 and not hero(r)):
+                    continue
+                used += 1
+                end, hint = at + r["seconds"], music.start + at
+                share, target = end / max(seconds[1] if chosen else most, end, 1.0), aim(r, hint)
+                fit = clip(1 - abs(energy(target) - wanted(share)))
+                variety = 1 - 0.5 * (r["source"] in [c["source"] for c in chosen[-2:]]) - 0.5 * (r["place"] is not None and r["place"] in [c["place"] for c in chosen[-2:]])
+                gain = 0.35 * clip(r["score"]) + 0.35 * fit + 0.15 * like((chosen[-1] if chosen else r)["tail"], r["head"]) + 0.15 * clip(variety)
+                gain -= 0.1 * (1 - (1.0 if r["kind"] else r["kept"])) + 0.08 * r["penalty"] + 0.04 * min(1, abs(target - hint))
+                gain += 0.12 * (share >= 0.85 and hero(r) and r["score"] >= floor)
+                own.append((score + gain, end, [*chosen, r]))
+            best = sorted(own, key=lambda s: (-s[0], -s[2][-1]["score"], s[2][-1]["id"]))[:width]
+            plain = max((s[2][-1]["score"] for s in own if not hero(s[2][-1])), default=0.0)
+            heroes = [s for s in own if hero(s[2][-1]) and clip(s[2][-1]["score"]) >= plain - margin]
+            if best and heroes and not any(hero(s[2][-1]) for s in best):
+                best[-1] = max(heroes, key=lambda s: s[0])
+            following += best
+            if used >= budget:
+                break
+        if not following:
+            break
+        beam = sorted(following, key=lambda s: (-s[0], -s[1], [r["id"] for r in s[2]]))[:width]
+    done += [s for s in beam if len(s[2]) >= shots[0] and seconds[0] <= s[1] <= most]
+    if not done:
+        return []
+    best = max(done, key=lambda s: (s[0], sum(1.0 if r["kind"] else r["kept"] for r in s[2]), -abs(s[1] - most)))
+    plain = [s for s in done if not hero(s[2][-1])]
+    if plain:
+        mark = clip(max(plain, key=lambda s: s[0])[2][-1]["score"]) - margin
+        best = max((s for s in done if hero(s[2][-1]) and clip(s[2][-1]["score"]) >= mark), key=lambda s: (s[0], clip(s[2][-1]["score"])), default=best)
+    return [r["id"] for r in best[2]], round(best[0], 9)
+
+
+def beam_variants(rng, many):
+    side = lambda: (str(rng.choice(list("lrn"))), round(rng.random(), 2), str(rng.choice(list("xyz"))), float(rng.choice([0.3, 0.9])))
+    for k in range(many):
+        kind = str(rng.choice(["", "kill", "kill", "hero"]))
+        yield (f"v{k:02d}", float(rng.integers(1, 14)), round(rng.random(), 3), None if k % 3 == 0 else f"g{k % 7}", f"s{k % 4}", None if k % 5 == 0 else f"e{k % 3}", kind, bool(rng.random() < 0.4), round(rng.random(), 2), round(rng.random() * 0.3, 2), float(rng.integers(0, 3)), side(), side())
+
+
+@pytest.mark.parametrize("seed,budget", [(0, 100_000), (1, 100_000), (2, 60), (3, 200), (4, 15), (5, 100_000)])
+def test_beam_edit_equals_a_plain_search(spark, seed, budget):
+    rng = np.random.default_rng(seed)
+    music = selection.Music(5.0, 5.0 + [40.0, 34.0][seed % 2], tuple((float(t), float((t * 7) % 11)) for t in range(0, 60, 3)), tuple((float(t) / 2, ["beat", "onset", "bar", "phrase", "strong_beat"][t % 5]) for t in range(120)))
+    given = {f"p{k}": list(beam_variants(rng, 24)) for k in range(3)}
+    boundary = "struct<motion_direction string, motion_strength double, luminance double, visual_tone double, weapon_motion double, impact_strength double, ads_state string, environment_signature string, source_signature string, confidence double>"
+    full = lambda b: (b[0], b[1], 0.5, 0.5, 0.5, 0.5, "n", b[2], "s", b[3])
+    rows_ = [(p, *r[:11], bool(r[6]), full(r[11]), full(r[12])) for p, rs in given.items() for r in rs]
+    df = make(spark, rows_, f"project string, variant_id string, duration double, final_score double, duplicate_group string, source string, environment string, anchor_type string, anchor_strong boolean, context double, penalty double, verified_kill_count double, has_anchor boolean, head {boundary}, tail {boundary}")
+    out = selection.beam_edit(df, ["project"], width=3, shots=(3, 6), seconds=(20.0, 38.0), expansions=budget, music=music, verified=1 if seed == 5 else 0).collect()
+    for p, rs in given.items():
+        mine = sorted((r for r in out if r["project"] == p), key=lambda r: r["ord"])
+        want = plain_beam(rs, music, 3, (3, 6), (20.0, 38.0), budget, 1 if seed == 5 else 0)
+        assert ([r["variant_id"] for r in mine], round(mine[0]["score"], 9)) == want if want else not mine
+
+
+def test_rows_without_a_group_are_groups_of_their_own(spark):
+    c = make(spark, [("p", n, n, 10.0, None) for n in range(3)] + [("p", 8, 8, 10.0, "a"), ("p", 9, 9, 10.0, "a")], "k string, id int, o int, d double, g string")
+    assert rows(selection.greedy_edit(c, ["k"], ["o"], "d", "g", 60.0), "id") == [(0,), (1,), (2,), (8,)]
+    v = make(spark, [("p", f"v{n:02d}", 5.0, 0.9 - n / 100, None, f"s{n}", None) for n in range(30)], "project string, variant_id string, duration double, final_score double, duplicate_group string, source string, environment string")
+    assert selection.beam_edit(v, ["project"]).count() >= 9

@@ -66,13 +66,13 @@ def variants(fused: DataFrame, settings: Settings, key: str = "source_id") -> Da
     return scoring.score_variants(v, bonus=settings.rapid_multikill_bonus_weight, quality=quality, count_weight=settings.v5_kill_count_weight, density_weight=settings.v5_kill_density_weight, target=settings.v5_kill_density_target)
 
 
-def second_edit(scored: DataFrame, settings: Settings, project: Column, key: str = "source_id") -> DataFrame:
+def second_edit(scored: DataFrame, settings: Settings, project: Column, key: str = "source_id", music: selection.Music = selection.Music()) -> DataFrame:
     """The newer edit: variants that overlap in their source are one group, then a beam search per project."""
     pairs = intervals.overlapping_pairs(scored.select(key, "variant_id", "start", "end"), key, "variant_id", 4 * settings.rapid_multikill_window_s)
     named = dedupe.groups(dedupe.components(scored.select("variant_id"), pairs, "variant_id"), "dg-v2-")
     rows = scored.join(named.select(F.col("id").alias("variant_id"), "duplicate_group"), "variant_id").withColumn("project", project)
-    rows = rows.select("project", "variant_id", "duration", "final_score", "duplicate_group", F.col(key).cast("string").alias("source"), F.lit("").alias("environment"), "verified_kill_count")
-    return selection.beam_edit(rows, ["project"], settings.beam_width, (settings.v2_min_shots, settings.v2_max_shots), (settings.preview_min_duration, settings.preview_max_duration), settings.beam_max_expansions, settings.recent_source_window, settings.preferred_macro_duration[1], settings.v5_min_verified_kills_per_shot, settings.hero_quality_margin)
+    rows = rows.select("project", "variant_id", "duration", "final_score", "duplicate_group", F.col(key).cast("string").alias("source"), F.lit(None).cast("string").alias("environment"), "verified_kill_count", "human_selection_prior")
+    return selection.beam_edit(rows, ["project"], settings.beam_width, (settings.v2_min_shots, settings.v2_max_shots), (settings.preview_min_duration, settings.preview_max_duration), settings.beam_max_expansions, (settings.recent_source_window, settings.recent_environment_window), tuple(settings.preferred_macro_duration), max(settings.hero_max_duration, settings.preferred_macro_duration[1]), settings.v2_short_clip_max_duration, settings.minimum_context_integrity, settings.v5_min_verified_kills_per_shot, settings.hero_quality_margin, music, settings.anchor_sync_tolerance, dict(settings.beam_weights))
 
 
 def count_truth(states: DataFrame, settings: Settings, key: str = "source_id") -> tuple[DataFrame, DataFrame]:

@@ -53,25 +53,11 @@ def q_representative(spark, d):
     return fast.join(O.representatives(v, "component", "id", O.full_order(), "full"), "component")
 
 
-@query(f"""WITH {_HASH}, l AS (SELECT label, list(h ORDER BY vec_id) AS hs FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3 + label % 4) GROUP BY label),
+@query(f"""WITH {_HASH}, l AS (SELECT label, list(h ORDER BY vec_id) AS hs FROM h GROUP BY label),
 p AS (SELECT a.label AS a, b.label AS b, CASE WHEN len(a.hs) <= len(b.hs) THEN a.hs ELSE b.hs END AS s, CASE WHEN len(a.hs) <= len(b.hs) THEN b.hs ELSE a.hs END AS l FROM l a JOIN l b ON a.label < b.label)
 SELECT a, b, round(list_max(list_transform(range(0, len(l) - len(s) + 1), lambda o: list_avg(list_transform(range(1, len(s) + 1), lambda i: 1 - bit_count(xor(s[i], l[i + o])) / 56.0::DOUBLE)))), 6) AS similarity FROM p""")
 def q_seq_similarity(spark, d):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return _sequences(hashes(spark, d).withColumn("n", n).filter(F.col("n") <= 3 + F.col("label") % 4))
-
-
-@query(f"""WITH {_HASH}, l AS (SELECT label, list(h ORDER BY vec_id) AS hs FROM (SELECT * FROM h) GROUP BY label),
-p AS (SELECT a.label AS a, b.label AS b, CASE WHEN len(a.hs) <= len(b.hs) THEN a.hs ELSE b.hs END AS s, CASE WHEN len(a.hs) <= len(b.hs) THEN b.hs ELSE a.hs END AS l FROM l a JOIN l b ON a.label < b.label)
-SELECT a, b, round(list_max(list_transform(range(0, len(l) - len(s) + 1), lambda o: list_avg(list_transform(range(1, len(s) + 1), lambda i: 1 - bit_count(xor(s[i], l[i + o])) / 56.0::DOUBLE)))), 6) AS similarity FROM p""")
-def q_seq_similarity_all(spark, d):
-    """All hashes of each label; the query above has the cap of its SQL."""
-    return _sequences(hashes(spark, d))
-
-
-def _sequences(h):
+    h = hashes(spark, d)
     lists = h.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "h"))).getField("h").alias("hs"))
     a, b = lists.select(F.col("label").alias("a"), F.col("hs").alias("x")), lists.select(F.col("label").alias("b"), F.col("hs").alias("y"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(S.sequence_similarity("x", "y"), 6).alias("similarity"))

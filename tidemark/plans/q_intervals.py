@@ -29,13 +29,12 @@ def q_window_merge_timeline(spark, d):
     return clips.select("source_id", F.col("clip_no").cast("long").alias("clip_no"), F.round("start", 6).alias("source_in"), F.round("end", 6).alias("source_out"), r6("timeline_in"), r6("timeline_out"), F.array_join(F.transform("event_id", lambda x: x.cast("string")), ",").alias("event_ids"))
 
 
-_X = """x AS (SELECT o_custkey % 150 AS source_id, o_orderkey AS ord, (o_orderkey % 700)::DOUBLE AS x0, (o_orderkey % 700 + 1 + o_custkey % 5)::DOUBLE AS x1, o_orderpriority AS reason FROM orders WHERE o_orderkey % 10 = 0)"""
-_X_ALL = _X.replace(" WHERE o_orderkey % 10 = 0", "")
+_X = """x AS (SELECT o_custkey % 150 AS source_id, o_orderkey AS ord, (o_orderkey % 700)::DOUBLE AS x0, (o_orderkey % 700 + 1 + o_custkey % 5)::DOUBLE AS x1, o_orderpriority AS reason FROM orders)"""
 
 
-def exclusions(spark, d, whole=False):
-    """Orders as exclusions; without `whole` the tenth that the SQL of the three older queries has."""
-    o = table(spark, d, "orders") if whole else table(spark, d, "orders").filter("o_orderkey % 10 = 0")
+def exclusions(spark, d):
+    """All orders as exclusions."""
+    o = table(spark, d, "orders")
     x0 = (F.col("o_orderkey") % 700).cast("double")
     return I.valid_exclusions(o.select((F.col("o_custkey") % 150).alias("source_id"), F.col("o_orderkey").alias("ord"), x0.alias("x0"), (x0 + 1 + F.col("o_custkey") % 5).alias("x1"), F.col("o_orderpriority").alias("reason")))
 
@@ -58,24 +57,6 @@ def q_excluded_windows(spark, d):
     return w.agg(F.count("*").alias("before")).join(kept.agg(F.count("*").alias("kept")))
 
 
-@query(f"""WITH {EVENTS_SQL}, {_X_ALL} SELECT event_id FROM ev WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.source_id = ev.source_id AND ev.t >= x0 AND ev.t < x1)""")
-def q_exclusion_anti_all(spark, d):
-    return I.excluded_points(events(spark, d), exclusions(spark, d, True), "source_id", "t", 4.0).select("event_id")
-
-
-@query(f"""WITH {_MERGED}, {_X_ALL} SELECT w.source_id, round(a, 6) AS start, round(b, 6) AS "end", arg_min(reason, ord) AS reason FROM w JOIN x ON x.source_id = w.source_id AND b > x0 AND a < x1 GROUP BY ALL""")
-def q_exclusion_reason_all(spark, d):
-    w = merged(spark, d)
-    return I.exclusion_reasons(w, exclusions(spark, d, True), "source_id", ["source_id", "start", "end"], 8.0).select("source_id", r6("start"), r6("end"), "reason")
-
-
-@query(f"""WITH {_MERGED}, {_X_ALL} SELECT (SELECT count(*) FROM w) AS before, count(*) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.source_id = w.source_id AND b > x0 AND a < x1)""")
-def q_excluded_windows_all(spark, d):
-    w = merged(spark, d)
-    kept = I.drop_excluded(w, exclusions(spark, d, True), "source_id", ["source_id", "start", "end"], 8.0)
-    return w.agg(F.count("*").alias("before")).join(kept.agg(F.count("*").alias("kept")))
-
-
 @query(f"""WITH {_MERGED} SELECT event_id FROM ev WHERE type <> 'kill' AND EXISTS (SELECT 1 FROM w WHERE w.source_id = ev.source_id AND ev.t BETWEEN a AND b)""")
 def q_interval_semi(spark, d):
     return I.points_within(events(spark, d).filter("type <> 'kill'"), merged(spark, d), "source_id", "t", 8.0).select("event_id")
@@ -108,11 +89,11 @@ def q_refinement_windows(spark, d):
     return out.select("source_id", r6("start"), r6("end"))
 
 
-_REGIONS = f"""{ORDER_DAYS_SQL}, reg AS (SELECT day AS ord, day::DOUBLE AS a, (day + 1 + n % 3)::DOUBLE AS b, CASE WHEN total > 500000 THEN 'high' WHEN total > 250000 THEN 'medium' ELSE 'low' END AS energy FROM od WHERE day < 720)"""
+_REGIONS = f"""{ORDER_DAYS_SQL}, reg AS (SELECT day AS ord, day::DOUBLE AS a, (day + 1 + n % 3)::DOUBLE AS b, CASE WHEN total > 500000 THEN 'high' WHEN total > 250000 THEN 'medium' ELSE 'low' END AS energy FROM od)"""
 
 
 def regions(spark, d):
-    o = order_days(spark, d).filter("day < 720")
+    o = order_days(spark, d)
     energy = F.when(F.col("total") > 500000, "high").when(F.col("total") > 250000, "medium").otherwise("low")
     return o.select(F.col("day").alias("ord"), F.col("day").cast("double").alias("start"), (F.col("day") + 1 + F.col("n") % 3).cast("double").alias("end"), energy.alias("energy"))
 
@@ -122,11 +103,11 @@ def q_region_lookup(spark, d):
     return I.region_lookup(events(spark, d).select("event_id", "t"), regions(spark, d).withColumnRenamed("energy", "label"), "t", 4.0, "energy").select("event_id", "energy")
 
 
-@query(f"""WITH {_REGIONS}, g AS (SELECT (i * 5)::DOUBLE AS s, least(720::DOUBLE, (i * 5)::DOUBLE + 60) AS e FROM range(0, 136) AS r(i)),
+@query(f"""WITH {_REGIONS}, g AS (SELECT (i * 5)::DOUBLE AS s, least(2520::DOUBLE, (i * 5)::DOUBLE + 60) AS e FROM range(0, 496) AS r(i)),
 sc AS (SELECT s, e, sum(greatest(0, least(e, b) - greatest(s, a)) * CASE energy WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END) AS score FROM g JOIN reg ON s < b AND a < e WHERE e - s >= 45 GROUP BY s, e)
 SELECT s AS start, e AS "end", round(score, 6) AS score FROM sc ORDER BY score DESC, s LIMIT 1""")
 def q_music_window(spark, d):
-    out = I.best_window(regions(spark, d), 720.0, (45.0, 60.0), 5.0, {"high": 1.0, "medium": 0.4, "low": 0.1})
+    out = I.best_window(regions(spark, d), 2520.0, (45.0, 60.0), 5.0, {"high": 1.0, "medium": 0.4, "low": 0.1})
     return out.select("start", "end", r6("score"))
 
 
@@ -150,50 +131,25 @@ def q_tolerance_priority(spark, d):
     return out.select("event_id", r6("target"), "kind", r6("offset"))
 
 
-@query(f"""WITH {EVENTS_SQL}, {ORDER_DAYS_SQL}, s AS (SELECT day::DOUBLE * 12 AS t, total AS v FROM od WHERE day < 60),
-j AS (SELECT event_id, ev.t, (SELECT max(t) FROM s WHERE s.t <= ev.t) AS a, (SELECT min(t) FROM s WHERE s.t >= ev.t) AS b FROM ev)
-SELECT event_id, round(CASE WHEN a IS NULL THEN y.v WHEN b IS NULL OR a = b THEN x.v ELSE x.v + (j.t - a) / (b - a) * (y.v - x.v) END, 2) AS v FROM j LEFT JOIN s x ON x.t = a LEFT JOIN s y ON y.t = b""")
-def q_interp(spark, d):
-    return _interp(spark, d, order_days(spark, d).filter("day < 60"))
-
-
 @query(f"""WITH {EVENTS_SQL}, {ORDER_DAYS_SQL}, s AS (SELECT day::DOUBLE * 12 AS t, total AS v FROM od),
 j AS (SELECT event_id, ev.t, (SELECT max(t) FROM s WHERE s.t <= ev.t) AS a, (SELECT min(t) FROM s WHERE s.t >= ev.t) AS b FROM ev)
 SELECT event_id, round(CASE WHEN a IS NULL THEN y.v WHEN b IS NULL OR a = b THEN x.v ELSE x.v + (j.t - a) / (b - a) * (y.v - x.v) END, 2) AS v FROM j LEFT JOIN s x ON x.t = a LEFT JOIN s y ON y.t = b""")
-def q_interp_all(spark, d):
-    """Samples of all days; the query above has the bound of its SQL."""
-    return _interp(spark, d, order_days(spark, d))
-
-
-def _interp(spark, d, days):
+def q_interp(spark, d):
     q = events(spark, d).select("event_id", "t").withColumn("track", F.lit(1))
-    s = days.select(F.lit(1).alias("track"), (F.col("day").cast("double") * 12).alias("t"), F.col("total").alias("v"))
+    s = order_days(spark, d).select(F.lit(1).alias("track"), (F.col("day").cast("double") * 12).alias("t"), F.col("total").alias("v"))
     return J.interpolate(q, s, ["track"], "t", "t", "v", "v_at", 24.0).select("event_id", F.round("v_at", 2).alias("v"))
 
 
-_POINTS = "p AS (SELECT DISTINCT floor(t * 2) / 2 + 0.25 AS t, CASE type WHEN 'objective' THEN 'strong_beat' WHEN 'danger_climax' THEN 'bar' WHEN 'impact_event' THEN 'beat' ELSE 'onset' END AS type, CASE type WHEN 'objective' THEN 4.0::DOUBLE WHEN 'danger_climax' THEN 3.5::DOUBLE WHEN 'impact_event' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS rank FROM ev WHERE source_id < 5 AND type <> 'kill')"
-_POINTS_ALL = _POINTS.replace("source_id < 5 AND ", "")
+_POINTS = "p AS (SELECT DISTINCT floor(t * 2) / 2 + 0.25 AS t, CASE type WHEN 'objective' THEN 'strong_beat' WHEN 'danger_climax' THEN 'bar' WHEN 'impact_event' THEN 'beat' ELSE 'onset' END AS type, CASE type WHEN 'objective' THEN 4.0::DOUBLE WHEN 'danger_climax' THEN 3.5::DOUBLE WHEN 'impact_event' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS rank FROM ev WHERE type <> 'kill')"
 
 
 @query(f"""WITH {EVENTS_SQL}, {_POINTS}, a AS (SELECT event_id, t, confidence >= 0.5 AND strength >= 0.5 AS strong FROM ev WHERE type = 'kill'),
 c AS (SELECT event_id, a.t AS hint, p.t, row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN strong THEN -rank ELSE 0 END, abs(p.t - a.t), p.t) AS i FROM a JOIN p ON CASE WHEN strong THEN type IN ('strong_beat', 'bar') ELSE type IN ('beat', 'onset') END)
 SELECT event_id, round(CASE WHEN abs(t - hint) <= 0.75 THEN t ELSE hint END, 6) AS target, round(CASE WHEN abs(t - hint) <= 0.75 THEN t - hint ELSE 0 END, 6) AS "offset" FROM c WHERE i = 1""")
 def q_anchor_target(spark, d):
-    return _anchors(spark, d, "source_id < 5 and type <> 'kill'")
-
-
-@query(f"""WITH {EVENTS_SQL}, {_POINTS_ALL}, a AS (SELECT event_id, t, confidence >= 0.5 AND strength >= 0.5 AS strong FROM ev WHERE type = 'kill'),
-c AS (SELECT event_id, a.t AS hint, p.t, row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN strong THEN -rank ELSE 0 END, abs(p.t - a.t), p.t) AS i FROM a JOIN p ON CASE WHEN strong THEN type IN ('strong_beat', 'bar') ELSE type IN ('beat', 'onset') END)
-SELECT event_id, round(CASE WHEN abs(t - hint) <= 0.75 THEN t ELSE hint END, 6) AS target, round(CASE WHEN abs(t - hint) <= 0.75 THEN t - hint ELSE 0 END, 6) AS "offset" FROM c WHERE i = 1""")
-def q_anchor_target_all(spark, d):
-    """Points of all sources; the query above has the bound of its SQL."""
-    return _anchors(spark, d, "type <> 'kill'")
-
-
-def _anchors(spark, d, of):
     e = events(spark, d)
     kind = F.when(F.col("type") == "objective", "strong_beat").when(F.col("type") == "danger_climax", "bar").when(F.col("type") == "impact_event", "beat").otherwise("onset")
     rank = F.when(F.col("type") == "objective", 4.0).when(F.col("type") == "danger_climax", 3.5).when(F.col("type") == "impact_event", 2.0).otherwise(1.0)
-    p = e.filter(of).select((F.floor(F.col("t") * 2) / 2 + 0.25).alias("t"), kind.alias("type"), rank.alias("rank")).distinct()
+    p = e.filter("type <> 'kill'").select((F.floor(F.col("t") * 2) / 2 + 0.25).alias("t"), kind.alias("type"), rank.alias("rank")).distinct()
     a = e.filter("type = 'kill'").select("event_id", "t", ((F.col("confidence") >= 0.5) & (F.col("strength") >= 0.5)).alias("strong"))
     return J.anchor_targets(a, p, ["event_id"], "t", "strong", 0.75).select("event_id", r6("target"), r6("offset"))

@@ -13,17 +13,6 @@ from .registry import query
 HOURS = settings({"activity_merge_gap": 6.0, "highlight_min_duration": 12.0, "highlight_max_duration": 48.0, "preview_min_duration": 60.0, "preview_max_duration": 240.0, "rapid_multikill_window_s": 24.0, "v2_min_shots": 3, "v2_max_shots": 8, "beam_max_expansions": 32768, "preferred_macro_duration": [2.0, 40.0], "v6_panel_disappear_s": 5.0, "v6_refinement_radius_s": 5.0})
 
 
-@query(f"""WITH {EVENTS_SQL}, k AS (SELECT event_id, source_id, greatest(0, t - 3) AS a, least(720, t + 4) AS b FROM ev WHERE type = 'kill' AND source_id < 20),
-m AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY source_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 2 THEN 0 ELSE 1 END AS c FROM k),
-g AS (SELECT *, sum(c) OVER (PARTITION BY source_id ORDER BY a, event_id) AS g FROM m),
-w AS (SELECT source_id, g, min(a) AS a, max(b) AS b, string_agg(event_id, ',' ORDER BY a, event_id) AS ids FROM g GROUP BY ALL),
-x AS (SELECT source_id, ids, CASE WHEN lag(a) OVER p IS NOT NULL THEN greatest(0, a - 0.75) ELSE a END AS s, least(720, CASE WHEN lead(a) OVER p IS NOT NULL THEN b + 0.75 ELSE b END) AS e FROM w WINDOW p AS (PARTITION BY source_id ORDER BY a)),
-t AS (SELECT *, sum(e - s) OVER (ORDER BY source_id DESC, s) AS o, row_number() OVER (ORDER BY source_id DESC, s) AS i FROM x)
-SELECT 'clip-' || lpad(CAST(i AS VARCHAR), 4, '0') AS clip_id, source_id, round(s, 6) AS source_in, round(e, 6) AS source_out, round(o - (e - s), 5) AS timeline_in, round(o, 5) AS timeline_out, ids AS event_ids FROM t""")
-def q_project(spark, d):
-    return _project(spark, d, "type = 'kill' and source_id < 20")
-
-
 @query(f"""WITH {EVENTS_SQL}, k AS (SELECT event_id, source_id, greatest(0, t - 3) AS a, least(720, t + 4) AS b FROM ev WHERE type = 'kill'),
 m AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY source_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 2 THEN 0 ELSE 1 END AS c FROM k),
 g AS (SELECT *, sum(c) OVER (PARTITION BY source_id ORDER BY a, event_id) AS g FROM m),
@@ -31,13 +20,8 @@ w AS (SELECT source_id, g, min(a) AS a, max(b) AS b, string_agg(event_id, ',' OR
 x AS (SELECT source_id, ids, CASE WHEN lag(a) OVER p IS NOT NULL THEN greatest(0, a - 0.75) ELSE a END AS s, least(720, CASE WHEN lead(a) OVER p IS NOT NULL THEN b + 0.75 ELSE b END) AS e FROM w WINDOW p AS (PARTITION BY source_id ORDER BY a)),
 t AS (SELECT *, sum(e - s) OVER (ORDER BY source_id DESC, s) AS o, row_number() OVER (ORDER BY source_id DESC, s) AS i FROM x)
 SELECT 'clip-' || lpad(CAST(i AS VARCHAR), 4, '0') AS clip_id, source_id, round(s, 6) AS source_in, round(e, 6) AS source_out, round(o - (e - s), 5) AS timeline_in, round(o, 5) AS timeline_out, ids AS event_ids FROM t""")
-def q_project_all(spark, d):
-    """All sources; the query above has the bound of its SQL."""
-    return _project(spark, d, "type = 'kill'")
-
-
-def _project(spark, d, of):
-    e = events(spark, d).filter(of)
+def q_project(spark, d):
+    e = events(spark, d).filter("type = 'kill'")
     ledger = e.select("source_id").distinct().select("source_id", (-F.col("source_id")).alias("ord"), F.lit(720.0).alias("duration"))
     c = P.generate(e.select("event_id", "source_id", "t"), ledger, 3.0, 4.0, 2.0, 1.5)
     return c.select("clip_id", "source_id", r6("source_in"), r6("source_out"), F.round("timeline_in", 5).alias("timeline_in"), F.round("timeline_out", 5).alias("timeline_out"), F.array_join(F.transform("event_ids", lambda x: x.cast("string")), ",").alias("event_ids"))

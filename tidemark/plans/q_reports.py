@@ -69,19 +69,11 @@ def q_trimmed_range(spark, d):
     return series.trimmed_range(events(spark, d), ["source_id"], "t", "confidence", 0.6, 600.0).select("source_id", r6("start"), r6("end"), "trimmed")
 
 
-@query(f"""WITH {EVENTS_SQL}, s AS (SELECT t, confidence, k % 2 = 0 AS supported FROM ev WHERE source_id = 3), m AS (SELECT t, confidence, side, edge FROM s, (VALUES ('in', 100.0::DOUBLE), ('out', 400.0::DOUBLE)) AS v(side, edge) WHERE supported AND confidence >= 0.3 AND abs(t - edge) <= 40),
-b AS (SELECT * FROM m ORDER BY confidence DESC, abs(t - edge), side DESC LIMIT 1)
-SELECT round(coalesce((SELECT t FROM b WHERE side = 'in'), 100), 3) AS music_in, round(coalesce((SELECT t FROM b WHERE side = 'out'), 400), 3) AS music_out, (SELECT count(*) FROM b) > 0 AS changed""")
-def q_music_interval(spark, d):
-    b = events(spark, d).filter("source_id = 3").select("t", "confidence", (F.col("k") % 2 == 0).alias("supported"))
-    return R.music_interval(b, 100.0, 400.0, 720.0, 40.0, 0.3)
-
-
 @query(f"""WITH {EVENTS_SQL}, s AS (SELECT source_id, t, confidence, k % 2 = 0 AS supported FROM ev), m AS (SELECT source_id, t, confidence, side, edge FROM s, (VALUES ('in', 100.0::DOUBLE), ('out', 400.0::DOUBLE)) AS v(side, edge) WHERE supported AND confidence >= 0.3 AND abs(t - edge) <= 40),
 b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, abs(t - edge), side DESC) = 1)
 SELECT source_id, round(coalesce(CASE WHEN side = 'in' THEN t END, 100), 3) AS music_in, round(coalesce(CASE WHEN side = 'out' THEN t END, 400), 3) AS music_out, side IS NOT NULL AS changed FROM (SELECT DISTINCT source_id FROM s) LEFT JOIN b USING (source_id)""")
-def q_music_interval_all(spark, d):
-    """An interval per source; the query above is of one source, as its SQL."""
+def q_music_interval(spark, d):
+    """An interval per source."""
     b = events(spark, d).select("source_id", "t", "confidence", (F.col("k") % 2 == 0).alias("supported"))
     return R.music_interval(b, 100.0, 400.0, 720.0, 40.0, 0.3, ["source_id"])
 

@@ -104,21 +104,9 @@ def q_detection_violations(spark, d):
     return selection.detection_violations(e, ledger, rules)
 
 
-@query("""WITH RECURSIVE b AS (SELECT l_suppkey % 50 AS frame, l_orderkey * 10 + l_linenumber AS id, l_quantity AS x1, l_discount * 400 AS y1, l_quantity + 6 + l_linenumber AS x2, l_discount * 400 + 9 AS y2, l_extendedprice AS score FROM lineitem WHERE l_orderkey < 300),
-r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS i FROM b),
-walk AS (SELECT frame, i, [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS kept, true AS ok FROM r WHERE i = 1
-  UNION ALL SELECT r.frame, r.i, CASE WHEN f THEN list_append(w.kept, {'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}) ELSE w.kept END, f
-  FROM walk w JOIN r ON r.frame = w.frame AND r.i = w.i + 1, LATERAL (SELECT len(list_filter(w.kept, lambda k:
-    greatest(0, least(r.x2, k.x2) - greatest(r.x1, k.x1)) * greatest(0, least(r.y2, k.y2) - greatest(r.y1, k.y1)) / ((r.x2 - r.x1) * (r.y2 - r.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - greatest(0, least(r.x2, k.x2) - greatest(r.x1, k.x1)) * greatest(0, least(r.y2, k.y2) - greatest(r.y1, k.y1))) >= 0.25::DOUBLE
-    OR sqrt(((r.x1 + r.x2 - k.x1 - k.x2) / 2) ** 2 + ((r.y1 + r.y2 - k.y1 - k.y2) / 2) ** 2) <= 0.7::DOUBLE * greatest(r.x2 - r.x1, r.y2 - r.y1, k.x2 - k.x1, k.y2 - k.y1))) = 0 AS f))
-SELECT r.frame, r.id FROM walk JOIN r USING (frame, i) WHERE ok""")
-def q_box_suppression(spark, d):
-    return selection.suppress_hits(boxes(table(spark, d, "lineitem").filter("l_orderkey < 300")), ["frame"], "score", "id").select("frame", "id")
-
-
 @query()
-def q_box_suppression_all(spark, d):
-    """All boxes; the query above has the bound of its SQL."""
+def q_box_suppression(spark, d):
+    """All boxes of every frame; its SQL, a recursion over lists, takes too long on whole tables, so tests hold it against a plain loop."""
     return selection.suppress_hits(boxes(table(spark, d, "lineitem")), ["frame"], "score", "id").select("frame", "id")
 
 
