@@ -18,8 +18,11 @@ def signed(x):
     return int(np.uint64(x).view(np.int64))
 
 
-@pytest.mark.parametrize("seed,block", [(0, 1 << 16), (1, 40), (2, 7)])
-def test_search_equals_brute_force(spark, seed, block):
+@pytest.mark.parametrize("seed,bits", [(0, None), (1, 16), (2, 4), (3, 32)])
+def test_search_equals_brute_force(spark, seed, bits, monkeypatch):
+    if bits:  # segments of another size than the table suggests
+        monkeypatch.setattr(hamming, "LEAST_BITS", bits)
+        monkeypatch.setattr(hamming, "MOST_BITS", bits)
     rng = np.random.default_rng(seed)
     codes = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
     codes[50:90] = codes[:40] ^ np.uint64(1)  # near ones
@@ -28,7 +31,10 @@ def test_search_equals_brute_force(spark, seed, block):
     index.append(index[7])
     queries = [x for x in index if x[0] % 9 == 0]
     make = lambda rows: spark.createDataFrame([(i, signed(c)) for i, c in rows], "id long, code long")
-    out = hamming.top_k(make(index), make(queries), 10, block_rows=block, query_rows=5)
+    if bits == 32:  # far neighbours would need very many values of such long segments
+        index = [(i, c) for i, c in index if 90 <= i < 130 or i < 90 and i % 50 < 12]
+        queries = [(i, c) for i, c in index if 90 <= i]
+    out = hamming.top_k(make(index).selectExpr("*", "'x' value", "1 seg", "2 place"), make(queries).selectExpr("*", "0 rank"), 10)
     assert multiset(out, "query", "rank", "neighbour", "distance") == brute(index, queries, 10)
 
 
@@ -45,6 +51,13 @@ def test_own_rows_take_no_place(spark, copies):
     assert multiset(own, "query", "rank", "neighbour", "distance") == brute(index, [(0, 5)], 10)
 
 
+def test_a_query_id_with_two_codes_has_two_rankings(spark):
+    make = lambda rows: spark.createDataFrame(rows, "id long, code long")
+    index = [(1, 0), (1, 255), (2, 1), (3, 254), (4, 15), (4, 14)]
+    out = hamming.top_k(make(index), make([(1, 0), (1, 255)]), 2)
+    assert multiset(out, "query", "code", "rank", "neighbour", "distance") == [(1, 0, 1, 2, 1), (1, 0, 2, 4, 3), (1, 255, 1, 3, 1), (1, 255, 2, 4, 4)]
+
+
 def test_search_of_few_rows_and_nulls(spark):
     make = lambda rows: spark.createDataFrame(rows, "id long, code long")
     index = make([(1, 0), (2, 3), (3, None), (None, 5)])

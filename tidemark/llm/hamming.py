@@ -1,168 +1,113 @@
 r"""Exact top-k search over binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into m segments. Step (r, j) looks up, in segment j, all values at distance r
-from the query's. Once segments 0..j are searched up to r and the others up to r - 1, a code not yet seen differs by
-at least r + 1 in each of the former and r in each of the latter, that is by m r + j + 1 at least: every
-code up to distance m r + j is verified. The search ends as soon as k verified rows lie within that, so
-its result, ties by id included, is that of a scan of all codes.
-
-Rows of the index are dealt into blocks of bounded size, each searched on its own by the
-queries that stream past it; the k nearest of every block are merged.
+A 64-bit code is cut into m segments, and the index is one table keyed by (segment, value). Round r looks up, for every
+segment of a query, all values at distance r from the query's. After it a code not yet seen differs by at least
+r + 1 in each segment, that is by m (r + 1) at least: every code up to distance m (r + 1) - 1 is verified. A query is
+done as soon as its kth neighbour lies within that, and the next round goes on with the others, so that the result, ties by
+id included, is that of a scan of all codes.
+
+A round is an equi-join, split where a value is common. Equal codes are one entry of the index, with no more of their ids than any
+result can need. Values at distance r come from those at r - 1 by one more bit, above the ones already turned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+import math
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._tables import drop, written_at
+
 K = 10
-#: Rows of an index block, and queries that one task searches it with.
-BLOCK_ROWS, QUERY_ROWS = 1 << 16, 1 << 10
+#: Bits of a segment, at least and at most; in between about the logarithm of the number of codes.
+LEAST_BITS, MOST_BITS = 4, 32
 
 
 def binarise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, code): a bit for each component, set where it is not negative, the first one highest. A null vector has a
-    null code, a null component counts as negative; a vector of over 64 components is an error."""
+    null code, a null component counts as negative; a vector of over 64 components is an error. Other columns, of any names, are left behind."""
     v = F.col(vector_col)
     bits = F.aggregate(F.transform(v, lambda x, i: F.when(x >= 0, F.expr("1L")).otherwise(F.expr("0L")).alias("b")), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
     checked = F.when(F.size(v) > 64, F.raise_error(F.lit("codes have 64 bits"))).otherwise(bits)
     return vectors.select(F.col(id_col).alias("id"), F.when(v.isNotNull(), checked).alias("code"))
 
 
-class Index:
-    """Multi-index over the distinct codes of a block."""
-
-    def __init__(self, ids: np.ndarray, codes: np.ndarray, k: int):
-        order = np.lexsort((ids, codes))
-        ids, codes = ids[order], codes[order]
-        edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-        self.codes, self.first = codes[edge], np.append(edge, len(codes))
-        self.ids = ids
-        self.many = np.minimum(np.diff(self.first), k)  # more rows of a code than that cannot all be among k
-        self.by_id = np.argsort(ids, kind="stable")
-        self.sorted_ids = ids[self.by_id]
-        bits = int(np.clip(np.ceil(np.log2(max(2, len(self.codes)))), 4, 16))
-        m = -(-64 // bits)
-        borders = [64 * j // m for j in range(m + 1)]
-        self.segments = []
-        for a, b in zip(borders, borders[1:]):
-            value = self._value(self.codes, a, b)
-            by = np.argsort(value, kind="stable")
-            self.segments.append((a, b, by, np.searchsorted(value[by], np.arange((1 << (b - a)) + 1))))
-        self._masks: dict[tuple[int, int], np.ndarray] = {}
-        self.seen = np.zeros(len(self.codes), bool)
-
-    @staticmethod
-    def _value(codes, a: int, b: int):
-        return (codes >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-
-    def masks(self, width: int, r: int) -> np.ndarray:
-        """All values of `width` bits with r bits set."""
-        if (width, r) not in self._masks:
-            self._masks[width, r] = np.array([sum(1 << i for i in c) for c in combinations(range(width), r)], np.int64)
-        return self._masks[width, r]
-
-    def search(self, own: int | None, code: np.uint64, k: int) -> list[tuple[int, int]]:
-        """(distance, id) of the k nearest rows other than those of id `own`, nearest first, ties by id."""
-        mine, held = self._own(own)
-        many = self.many[mine]
-        self.many[mine] = np.minimum(np.diff(self.first)[mine] - held, k)  # the query's own rows do not count
-        try:
-            return self._nearest(own, code, k, dict(zip(mine.tolist(), held.tolist())))
-        finally:
-            self.many[mine] = many
-
-    def _own(self, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the codes that rows of id `own` have, and how many such rows each has."""
-        if own is None:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lo, hi = np.searchsorted(self.sorted_ids, [own, own + 1])
-        return np.unique(np.searchsorted(self.first, self.by_id[lo:hi], "right") - 1, return_counts=True)
-
-    def _nearest(self, own: int | None, code: np.uint64, k: int, held: dict[int, int]) -> list[tuple[int, int]]:
-        verified, distances = [], []
-        counts = np.zeros(65, np.int64)
-        m = len(self.segments)
-        found = 0
-        for r in range(max(b - a for a, b, _, _ in self.segments) + 1):
-            for j, (a, b, by, start) in enumerate(self.segments):
-                if r <= b - a:
-                    values = int(self._value(code, a, b)) ^ self.masks(b - a, r)
-                    lo, n = start[values], start[values + 1] - start[values]
-                    hit = np.flatnonzero(n)
-                    if len(hit):
-                        lo, n = lo[hit], n[hit]
-                        places = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        new = by[places]
-                        new = new[~self.seen[new]]
-                        self.seen[new] = True
-                        d = np.bitwise_count(self.codes[new] ^ code).astype(np.int64)
-                        verified.append(new)
-                        distances.append(d)
-                        found += len(new)
-                        counts += np.bincount(d, weights=self.many[new], minlength=65).astype(np.int64)
-                covered = m * r + j
-                if counts[: covered + 1].sum() >= k or found == len(self.codes):
-                    break
-            else:
-                continue
-            break
-        if not verified:
-            return []
-        at, d = np.concatenate(verified), np.concatenate(distances)
-        self.seen[at] = False
-        kth = int(np.searchsorted(np.cumsum(counts), min(k, counts.sum())))
-        near = d <= kth
-        out = []
-        for c, x in zip(at[near].tolist(), d[near].tolist()):
-            out += [(x, i) for i in self.ids[self.first[c] : self.first[c] + self.many[c] + held.get(c, 0)].tolist() if i != own]
-        return sorted(out)[:k]
-
-
-def top_k(index: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query, rank, neighbour, distance): the k rows of `index` nearest to each query, ties by id, rank from 1.
-
-    Both have id (long) and code (long). A row is not its own neighbour: rows of the query's id are left out.
-    Rows with a null id or code are neither found nor searched for; repeated rows of the index are all found,
-    repeated queries count once. With fewer than k other rows, there are fewer results; an empty table gives none.
+def _segments(codes: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each segment, for an index of that many codes."""
+    many = -(-64 // min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, codes))))))
+    borders = [64 * j // many for j in range(many + 1)]
+    return [(a, b - a) for a, b in zip(borders, borders[1:])]
+
+
+def _value(code: Column, first: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _by_segment(df: DataFrame, code: str, segments: list[tuple[int, int]]) -> DataFrame:
+    """`df`, a row for each segment: seg, width, value."""
+    parts = [F.struct(F.lit(j).alias("seg"), F.lit(w).alias("width"), _value(F.col(code), a, w).alias("value")) for j, (a, w) in enumerate(segments)]
+    return df.select("*", F.explode(F.array(*parts)).alias("_s")).select(*df.columns, "_s.seg", "_s.width", "_s.value")
+
+
+def _turned(probes: DataFrame) -> DataFrame:
+    """Probes with one more bit of their value turned, above `top`, the highest turned one."""
+    bits = F.when(F.col("top") + 1 < F.col("width"), F.sequence(F.col("top") + 1, F.col("width") - 1))
+    more = probes.select("*", F.explode(bits).alias("bit"))
+    return more.select("asked", "seg", "width", F.expr("value ^ shiftleft(1L, bit)").alias("value"), F.col("bit").alias("top"))
+
+
+def _first_found(segments: list[tuple[int, int]], r: int) -> Column:
+    """Whether a code is found in this round and segment and not before: every code is verified once."""
+    apart = F.col("asked").bitwiseXOR(F.col("code"))
+    far = [F.bit_count(_value(apart, a, w)) for a, w in segments]
+    later = F.lit(True)
+    for j, d in enumerate(far):
+        later = later & F.when(F.col("seg") > j, d > r).otherwise(d >= r)
+    return later
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """(query, code, rank, neighbour, distance): the k rows of `index` nearest to each query, ties by id, rank from 1.
+
+    Both have id (long) and code (long); other columns are not looked at, whatever their names. A row is not its own neighbour: rows
+    of the query's id are left out. Rows with a null id or code are neither found nor searched for; repeated rows of the
+    index are all found, repeated queries count once, a query id with two codes has two rankings. With fewer than k other
+    rows, there are fewer results; an empty table gives none.
     """
-    rows = index.filter("id is not null and code is not null").select("id", "code")
+    spark = index.sparkSession
+    rows = index.filter("id is not null and code is not null").select("id", "code").groupBy("code", "id").agg(F.count("*").alias("many"))
+    rows, rows_path = written_at(rows)
     asked = queries.filter("id is not null and code is not null").select("id", "code").distinct()
-    blocks = max(1, -(-rows.count() // block_rows))
-    splits = max(1, -(-asked.count() // query_rows))
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
-    split = F.pmod(F.xxhash64("id", F.lit("split")), F.lit(splits)).cast("int")
-    left = rows.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), F.lit(0).alias("kind"), "id", "code")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), split.alias("split"), F.lit(1).alias("kind"), "id", "code")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, ready = None, [], None
-        for batch in batches:
-            b, s, kind, ids, codes = (batch.column(n).to_numpy() for n in range(5))
-            codes = codes.view(np.uint64)
-            # stretches of one block, index rows before queries
-            cut = np.flatnonzero((b[1:] != b[:-1]) | (s[1:] != s[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(b)]])):
-                if hi == lo:
-                    continue
-                if (b[lo], s[lo]) != key:
-                    key, held, ready = (b[lo], s[lo]), [], None
-                if kind[lo] == 0:
-                    held.append((ids[lo:hi], codes[lo:hi]))
-                    continue
-                if not held:
-                    continue  # no rows in this block
-                if ready is None:
-                    ready = Index(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), k)
-                out = [(int(q), d, i) for q, c in zip(ids[lo:hi], codes[lo:hi]) for d, i in ready.search(int(q), c, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32())], names=["query", "neighbour", "distance"])
-
-    dealt = left.unionByName(right).repartition("block", "split").sortWithinPartitions("block", "split", "kind")
-    near = dealt.mapInArrow(run, "query long, neighbour long, distance int")
-    order = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "neighbour", "distance")
+    # of each result, entries of the query's own id go: as many as that id has codes
+    own = rows.join(asked.select("id").distinct(), "id").groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    want = k + int(own)
+    order = Window.partitionBy("code").orderBy("id")
+    some = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= want)
+    codes, codes_path = written_at(some.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("id", "many"))).alias("ids")))
+    segments = _segments(codes.count())
+    m = len(segments)
+    entries = _by_segment(codes, "code", segments).drop("width")
+    active, active_path = written_at(asked.select(F.col("code").alias("asked")).distinct())
+    near, near_path = None, None
+    nearest = Window.partitionBy("asked").orderBy("distance", "id", "code")
+    for r in range(max(w for _, w in segments) + 1):
+        probes = _by_segment(active, "asked", segments).withColumn("top", F.lit(-1))
+        for _ in range(r):
+            probes = _turned(probes)
+        hits = probes.join(entries, ["seg", "value"]).filter(_first_found(segments, r))
+        hits = hits.select("asked", F.bit_count(F.col("asked").bitwiseXOR(F.col("code"))).alias("distance"), "code", F.explode("ids").alias("e"))
+        hits = hits.select("asked", "distance", "code", "e.id", "e.many")
+        hits = hits if near is None else near.drop("place").unionByName(hits)
+        old = [p for p in (near_path, active_path) if p]
+        near, near_path = written_at(hits.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= want))
+        covered = near.filter((F.col("place") == want) & (F.col("distance") <= m * (r + 1) - 1)).select("asked")
+        active, active_path = written_at(active.join(covered, "asked", "left_anti"))
+        drop(spark, old)
+        if active.isEmpty():
+            break
+    drop(spark, [rows_path, codes_path, active_path])
+    found = asked.select(F.col("id").alias("query"), F.col("code").alias("asked")).join(near, "asked").filter("id <> query")
+    found = found.select("query", "asked", "distance", "id", F.explode(F.array_repeat(F.lit(0), F.least("many", F.lit(k)).cast("int"))))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query", "asked").orderBy("distance", "id"))).filter(F.col("rank") <= k)
+    return ranked.select("query", F.col("asked").alias("code"), "rank", F.col("id").alias("neighbour"), "distance")

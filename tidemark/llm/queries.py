@@ -53,7 +53,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = hamming.binarise(_table(spark, sf_dir, "embeddings"))
-    return hamming.top_k(codes, codes.filter("id % 20 = 0")).withColumnRenamed("query", "vec_id")
+    return hamming.top_k(codes, codes.filter("id % 20 = 0")).drop("code").withColumnRenamed("query", "vec_id")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
