@@ -40,6 +40,8 @@ BATCH_BYTES = 4 << 20
 GROUP_ROWS = 1 << 16
 #: Words that prefixes are lengthened to, below the window.
 LENGTHS = (4, 16)
+#: Suffixes of one row, at most: what a task holds beside a tree is some rows of them.
+STRETCH = 256
 #: Bytes of a word's hash in a tree.
 _WIDTH = 5
 
@@ -125,7 +127,8 @@ def _segments(texts: DataFrame, runs: DataFrame, window: int, group_rows: int) -
     """Rows with the words of their stretch (`size` suffixes, and the window of the last one), of groups that fit and of those that do not;
     settled ones are among the former, without words."""
     own = runs.groupBy("row", "check").agg(F.collect_set(F.struct("key", "start", "size", "settled", "n")).alias("runs"))
-    both = texts.join(own, ["row", "check"]).select("doc", "row", "check", "t", "runs")
+    # the same columns of the texts and the same kind of join as in dedup, so that they are shuffled once for both
+    both = texts.join(own, ["row", "check"]).select(F.col("id").cast("long").alias("doc"), "row", "check", "t", "runs")
 
     def run(large: bool):
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +143,14 @@ def _segments(texts: DataFrame, runs: DataFrame, window: int, group_rows: int) -
                     text = np.repeat(np.arange(last - first), np.diff(lists.offsets.to_numpy()))
                     begin = words.row[text] + start
                     use = np.flatnonzero((~settled & (n > group_rows)) if large else (settled | (n <= group_rows)))
-                    if large:  # a row for each suffix, its group that of its first words
-                        use = np.repeat(use, size[use])
-                        step = np.arange(len(use)) - np.searchsorted(use, use)
-                        begin, start, size = begin[use] + step, start[use] + step, np.ones(len(use), np.int32)
-                        key, text, settled = key[use], text[use], settled[use]
-                        use = np.arange(len(use))
+                    # stretches of bounded size; of a large group single suffixes, whose group is that of their first words
+                    most = np.where(settled[use], 1 << 30, 1 if large else STRETCH)
+                    pieces = -(-size[use] // most)
+                    use, most = np.repeat(use, pieces), np.repeat(most, pieces)
+                    step = (np.arange(len(use)) - np.searchsorted(use, use)) * most
+                    begin, start, size = begin[use] + step, start[use] + step, np.minimum(size[use] - step, most)
+                    key, text, settled = key[use], text[use], settled[use]
+                    use = np.arange(len(use))
                     blobs = [None if done else codes[_WIDTH * b : _WIDTH * (b + m + window - 1)] for b, m, done in zip(begin[use].tolist(), size[use].tolist(), settled[use].tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key[use]), *(pa.array(x[first:last][text[use]]) for x in ids), pa.array(start[use].astype(np.int32)), pa.array(size[use].astype(np.int32)), pa.array(blobs, pa.binary())],
@@ -248,8 +253,8 @@ def _repeated(rows: DataFrame, window: int, group_rows: int) -> DataFrame:
             if settled.num_rows:
                 yield _run_rows(*(settled.column(k).to_numpy() for k in (2, 3, 4, 5)))
             batch = batch.filter(batch.column(6).is_valid())
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
                 held.append(part)
                 many += int(part.column(5).to_numpy().sum())
                 if many < group_rows:
@@ -276,14 +281,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _repeats(texts: DataFrame, window: int, gram: int, group_rows: int) -> DataFrame:
-    some = texts.withColumn("doc", F.col("id").cast("long"))
-    runs = _first_runs(some.filter("id is not null and t is not null"), window, gram)
+    some = texts.filter("id is not null and t is not null").withColumn("doc", F.col("id").cast("long"))
+    runs = _first_runs(some, window, gram)
     shared = runs.filter("not settled").groupBy("key").agg(F.sum("size").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most"))
     shared = written(shared.filter("least < most").select("key", "n"))
-    # every anchor once: a settled stretch meets none of them, as it has no anchor
-    met = runs.withColumn("anchor", F.when(~F.col("settled"), F.col("key"))).join(shared.withColumnRenamed("key", "anchor"), "anchor", "left")
+    met = runs.join(shared, "key", "left")
     met = met.filter("settled or n is not null").select("row", "check", "key", "start", "size", "settled", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    fits, large = _segments(some, met, window, group_rows)
+    fits, large = _segments(texts, met, window, group_rows)
     if not shared.filter(F.col("n") > group_rows).isEmpty():
         fits = fits.unionByName(_lengthened(large, window, group_rows))
     return _repeated(fits, window, group_rows)
