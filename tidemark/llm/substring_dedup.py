@@ -128,7 +128,7 @@ def _segments(texts: DataFrame, runs: DataFrame, window: int, group_rows: int) -
     settled ones are among the former, without words."""
     own = runs.groupBy("row", "check").agg(F.collect_set(F.struct("key", "start", "size", "settled", "n")).alias("runs"))
     # the same columns of the texts and the same kind of join as in dedup, so that they are shuffled once for both
-    both = texts.join(own, ["row", "check"]).select(F.col("id").cast("long").alias("doc"), "row", "check", "t", "runs")
+    both = texts.join(own.hint("merge"), ["row", "check"]).select(F.col("id").cast("long").alias("doc"), "row", "check", "t", "runs")
 
     def run(large: bool):
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +314,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         raise ValueError("an anchor lies within the window")
     texts = _texts(docs, id_col, text_col)
     runs = _repeats(texts, window, gram, group_rows).groupBy("row", "check").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
-    both = texts.join(runs, ["row", "check"], "left").select("id", "t", "runs")
+    both = texts.join(runs.hint("merge"), ["row", "check"], "left").select("id", "t", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
