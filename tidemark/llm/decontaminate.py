@@ -44,8 +44,13 @@ class Automaton:
         self.names = sorted({i for i, _ in items}, key=lambda i: (i is not None, i))
         index = {i: k for k, i in enumerate(self.names)}
         patterns, sizes, owners = [], [], []
+        bits = max(16, min(24, (4 * sum(len(t) for _, t in items)).bit_length()))
+        self.pairs = np.zeros(1 << bits, bool)  # of words that follow each other in an item
         for first, last, words in normalise(pa.array([t for _, t in items], pa.large_string())):
-            hashes = np.concatenate([words.hashes(), np.zeros(window, np.uint64)])
+            near = words.doc[1:] == words.doc[:-1]
+            hashes = words.hashes()
+            self.pairs[self._pair(hashes)[near]] = True
+            hashes = np.concatenate([hashes, np.zeros(window, np.uint64)])
             own = np.array([index[i] for i, _ in items[first:last]], np.int32)
             many = np.diff(words.row)
             windows = np.where(many > 0, np.maximum(many - window + 1, 1), 0)
@@ -87,6 +92,7 @@ class Automaton:
                 self.fail[own[found > 0]] = found[found > 0]
                 go = (found == 0) & (at > 0)
                 own, at = own[go], self.fail[at[go]].astype(np.int64)
+        self.single = bool((size == 1).any())
         # owners of the nodes that end patterns
         self.size_of = np.zeros(total, np.uint8)
         self.size_of[node] = size
@@ -101,6 +107,10 @@ class Automaton:
     def _key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix(word ^ (state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
 
+    def _pair(self, words: np.ndarray) -> np.ndarray:
+        """The place of each two neighbouring words in `pairs`."""
+        return (mix(words[:-1] + mix(words[1:])) & np.uint64(len(self.pairs) - 1)).astype(np.int64)
+
     def _fill(self, state: np.ndarray, word: np.ndarray) -> None:
         """Nodes 1, 2, ... into the table of edges, each in the first free place from its own."""
         keys, mask = self._key(state, word), len(self.keys) - 1
@@ -133,7 +143,18 @@ class Automaton:
         return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
 
     def walk(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the last word, node) of every pattern that ends in some texts; `starts` marks their first words."""
+        """(place of the last word, node) of every pattern that ends in some texts; `starts` marks their first words.
+
+        Where no pattern is a single word, one only occurs among words that follow each other in an item, too; others are left out first."""
+        if self.single:
+            return self._walk(words, starts)
+        linked = np.zeros(len(words) + 1, bool)  # to the word before
+        linked[1:-1] = self.pairs[self._pair(words)] & ~starts[1:] if len(words) else False
+        at = np.flatnonzero(linked[:-1] | linked[1:])
+        end, node = self._walk(words[at], ~linked[at])
+        return at[end], node
+
+    def _walk(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(words)
         known = self.known[(words & np.uint64((1 << 20) - 1)).astype(np.int64)]
         if len(self.fail) == 1 or not known.any():
