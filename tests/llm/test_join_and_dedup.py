@@ -63,6 +63,62 @@ def test_large_blocks_are_joined_by_parts(spark):
     assert multiset(out, "doc_id", "n_shingles", "component_id", "n_links") == brute_join(rows)
 
 
+@pytest.mark.parametrize("lists,pairs", [(2, 3), (4096, 100_000)])
+def test_lists_that_ranges_cut_keep_all_links(spark, monkeypatch, lists, pairs):
+    """A third of the rows near copies, over many ranges; lists cut by ranges and beyond the limit."""
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", lists)
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(80)]
+    rows = corpus(8, 40)
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(w[: 80 - rng.randrange(10)])))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        out = multiset(ngram_join.join(docs(spark, rows), block_shingles=700), "doc_id", "n_shingles", "component_id", "n_links")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert out == brute_join(rows)
+
+
+def test_sets_that_share_64_bits_stay_apart(spark, monkeypatch):
+    real = ngram_join.identity
+    monkeypatch.setattr(ngram_join, "identity", lambda s: (real(s)[0] % 3, real(s)[1]))
+    schema = "id long, n long, one long, check long, prefix binary"
+    meta = spark.createDataFrame([(k, 5 + k % 2, k % 3, k // 2, bytes([k])) for k in range(20)], schema)
+    got = ngram_join._classes(meta).collect()
+    want = {(k % 3, k // 2) for k in range(20)}
+    assert {(r["one"], r["check"]) for r in got} == want and len({r["node"] for r in got}) == len(want)
+
+
+def test_parts_of_a_large_component(spark):
+    """Every two sets of sizes that can link meet in exactly one block, and no block is much over the limit."""
+    rng = random.Random(3)
+    sets = [(k, 0, k, k * 7, k, 1, rng.choice([50, 50, 50, 55, 60, 80, 100])) for k in range(400)]
+    members = spark.createDataFrame(sets, "node long, label long, one long, check long, first long, docs long, n long")
+    met, held = {}, {}
+    for r in ngram_join._blocks(members, 80, 2000).collect():
+        met.setdefault(r["block"], []).append((r["node"], r["side"], r["both"]))
+    size = {s[0]: s[6] for s in sets}
+    pairs = {}
+    for block, rows in met.items():
+        held[block] = sum(size[n] for n, _, _ in rows)
+        for k, (a, x, both) in enumerate(rows):
+            for b, y, _ in rows[:k]:
+                if not both or x != y:
+                    pairs[min(a, b), max(a, b)] = pairs.get((min(a, b), max(a, b)), 0) + 1
+    assert all(v == 1 for v in pairs.values()) and max(held.values()) < 2 * 2000
+    for a in range(400):
+        for b in range(a):
+            if 10 * min(size[a], size[b]) >= 8 * max(size[a], size[b]):
+                assert (b, a) in pairs
+
+
 def test_long_posting_lists_keep_all_ties(monkeypatch):
     rng = np.random.default_rng(1)
     n = np.sort(rng.integers(50, 80, 30))

@@ -13,8 +13,8 @@ is one shingle of all of them. Two documents link when their Jaccard similarity
 4. Connected candidates form a block. Each block's sets are stored in a prefix tree, shared shingles
    first. One traversal carries the overlaps of all sets of the block along the tree, adds the
    shingles of a node once for the whole subtree, and drops a set from a subtree as soon as the
-   remaining lengths rule a link out. A block larger than BLOCK_SHINGLES is cut by size into
-   sub-blocks, and every two of them whose sizes can link are joined.
+   remaining lengths rule a link out. A block larger than BLOCK_SHINGLES is cut by size (and equal sizes by a hash) into
+   parts, and every two of them whose sizes can link are joined, each pair of parts a task's work.
 5. Links become components by star rounds over a table of edges.
 """
 
@@ -25,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tables import components, written
@@ -37,7 +38,7 @@ WORDS, PERCENT = 5, 80
 SLOTS = 1 << 20
 _SLICE = 1 << 15
 #: Shingles of one block of the join (8 bytes each); larger ones are joined by parts.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 #: Bits of the filter that says which texts the join needs: 16 for each, at most 16 MB; beyond that it lets more through.
 FILTER_BITS = 1 << 27
 #: Candidate pairs that a task gathers before it sends on what connects them.
@@ -76,7 +77,7 @@ def in_order(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Counts per slot over all documents. Each task sends its slices once; the sum has SLOTS counts."""
+    """Counts per slot over all documents. Each task sends its slices once, compressed; the sum has SLOTS counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -88,13 +89,13 @@ def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
                     total += np.bincount(slots, minlength=SLOTS)
         if total.any():
             small = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).reshape(-1, _SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(small), dtype=np.int32)), pa.array([x.tobytes() for x in small], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(small), dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in small], pa.binary())], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int32).astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(c), np.int32).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, np.iinfo(np.int32).max).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
@@ -121,9 +122,9 @@ def _described(docs: DataFrame, id_col: str, text: str, n: int, percent: int, sk
                     one.append(a)
                     two.append(b)
                     prefix.append(in_order(s, order)[: size - -(-percent * size // 100) + 1].tobytes() if size else b"")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.binary())], names=["id", "n", "node", "check", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.binary())], names=["id", "n", "one", "check", "prefix"])
 
-    return docs.select(id_col, text).mapInArrow(tidy(run), f"id {dict(docs.dtypes)[id_col]}, n long, node long, check long, prefix binary")
+    return docs.select(id_col, text).mapInArrow(tidy(run), f"id {dict(docs.dtypes)[id_col]}, n long, one long, check long, prefix binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -186,54 +187,73 @@ def _forest(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that tie the classes of each posting list which can link. Lists arrive sorted; a task holds one batch,
-    and PAIRS pairs of which it sends on a forest."""
+    """Edges (a, b) that tie the classes of each posting list which can link.
+
+    Lists are dealt by ranges of (token, size, node), so that one of any length is shared by as many tasks as it needs. A task
+    holds one batch, and PAIRS pairs of which it sends on a forest. In a long list, and in the first and the last one of a task, which may go on
+    in another, neighbours by size are tied: two sets that can link have only such ones between them. What ends one
+    range and begins the next is tied after that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, gathered = [np.zeros(0, np.int64) for _ in range(4)], set()
+        held, gathered, begin, end = [np.zeros(0, np.int64) for _ in range(4)], set(), None, None
+        task = TaskContext.get().partitionId()
+
+        def chain(node, n):
+            near = np.flatnonzero(100 * n[:-1] >= percent * n[1:])
+            return set(zip(node[near].tolist(), node[near + 1].tolist()))
 
         def lists(token, node, n, pos):
             edge = np.flatnonzero(token[1:] != token[:-1]) + 1
-            start, end = np.r_[0, edge], np.r_[edge, len(token)]
-            size = end - start
-            two = start[size == 2]  # most lists: all at once
+            start, stop = np.r_[0, edge], np.r_[edge, len(token)]
+            size = stop - start
+            two = start[(size == 2) & (token[start] != begin[0])]  # most lists: all at once
             ok = (np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= _need(n[two], n[two + 1], percent)) & (100 * n[two] >= percent * n[two + 1])
-            out = list(zip(node[two[ok]].tolist(), node[two[ok] + 1].tolist()))
-            for a, b in zip(start[size > 2], end[size > 2]):
-                if b - a <= LIST_ROWS:
-                    out += _ties(node[a:b], n[a:b], pos[a:b], percent)
-                else:
-                    near = np.flatnonzero(100 * n[a : b - 1] >= percent * n[a + 1 : b]) + a
-                    out += zip(node[near].tolist(), node[near + 1].tolist())
-            return set(out)
+            out = set(zip(node[two[ok]].tolist(), node[two[ok] + 1].tolist()))
+            for a, b in zip(start[size > 1], stop[size > 1]):
+                if token[a] == begin[0] or b - a > LIST_ROWS:
+                    out |= chain(node[a:b], n[a:b])
+                elif b - a > 2:
+                    out |= set(_ties(node[a:b], n[a:b], pos[a:b], percent))
+            return out
 
         def rows(pairs):
             pairs = _forest(pairs)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+            return _tied([p[0] for p in pairs], [p[1] for p in pairs])
 
         for batch in batches:
             held = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, h in enumerate(held)]
             token = held[0]
             if not len(token):
                 continue
+            if begin is None:
+                begin = tuple(int(h[0]) for h in held[:3])
+            end = tuple(int(h[-1]) for h in held[:3])
             cut = int(np.searchsorted(token, token[-1]))  # the last list may go on in the next batch
             if cut:
                 gathered |= lists(*(h[:cut] for h in held))
-            elif len(token) > 4 * LIST_ROWS:  # a list longer than a batch: tied neighbour by neighbour
-                node, n = held[1], held[2]
-                near = np.flatnonzero(100 * n[:-1] >= percent * n[1:])
-                gathered |= set(zip(node[near].tolist(), node[near + 1].tolist()))
-                cut = len(token) - 1 - 2 * LIST_ROWS  # its end stays, and is longer than LIST_ROWS: tied likewise
+            elif len(token) > 4 * LIST_ROWS:  # a list longer than a batch; its last row ties it to the next ones
+                gathered |= chain(held[1], held[2])
+                cut = len(token) - 1 - 2 * LIST_ROWS  # its end stays, and is longer than LIST_ROWS
             held = [h[cut:] for h in held]
             if len(gathered) >= PAIRS:
                 yield rows(gathered)
                 gathered = set()
-        if len(held[0]):
-            gathered |= lists(*held)
-        yield rows(gathered)
+        if begin is not None:
+            yield rows(gathered | chain(held[1], held[2]))
+            yield _tied([begin[1], end[1]], [begin[2], end[2]], [2 * task, 2 * task + 1], [begin[0], end[0]])
+
+    def _tied(a, b, place=None, token=None):
+        none = [None] * len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(place or none, pa.int64()), pa.array(token or none, pa.int64())], names=["a", "b", "place", "token"])
 
-    ordered = postings.repartition("token").sortWithinPartitions("token", "n", "node")
-    return ordered.mapInArrow(tidy(run), "a long, b long").distinct()
+    ordered = postings.repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node")
+    found = written(ordered.mapInArrow(tidy(run), "a long, b long, place long, token long"))
+    # two rows of every task, in the order of the ranges: (node, size) of its first and its last posting
+    along = Window.orderBy("place")
+    ends = found.filter("place is not null").withColumn("t", F.lag("token").over(along)).withColumn("x", F.lag("a").over(along)).withColumn("m", F.lag("b").over(along))
+    ends = ends.filter((F.col("place") % 2 == 0) & (F.col("token") == F.col("t")) & (100 * F.col("m") >= percent * F.col("b")))
+    return found.filter("place is null").select("a", "b").union(ends.select(F.col("x").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 class Trie:
@@ -348,11 +368,12 @@ def _filter(ids: DataFrame, bits: int) -> np.ndarray:
     width = min(1 << 16, bits // 8)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(bits, bool)
+        packed = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for place in _places(batch.column(0).to_numpy(), bits):
-                flags[place] = True
-        packed = np.packbits(flags).reshape(-1, width)
+                for k in range(8):
+                    packed[place[place & 7 == k] >> 3] |= np.uint8(128 >> k)
+        packed = packed.reshape(-1, width)
         used = np.flatnonzero(packed.any(axis=1))
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed[k].tobytes() for k in used], pa.binary())], names=["slice", "bits"])
@@ -395,8 +416,8 @@ def _needed(docs: DataFrame, members: DataFrame, id_col: str, text: str) -> Data
 
 
 def _joined(members: DataFrame, docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
-    """(node, label, links) of every class in every block. `members`: block, side, both, node, first (a row's id), docs."""
-    found = members.join(_needed(docs, members, id_col, text), "first").select("block", "side", "both", "node", "docs", "z")
+    """(node, label, links) of every class in every block. `members`: block, side, both, node, one and check (a set's digests), first (a row's id), docs."""
+    found = members.join(_needed(docs, members, id_col, text), "first").select("block", "side", "both", "node", "one", "check", "docs", "z")
 
     def sets(packed: list[bytes]) -> list[np.ndarray]:
         out = []
@@ -411,7 +432,7 @@ def _joined(members: DataFrame, docs: DataFrame, id_col: str, text: str, n: int,
 
         def finish() -> Iterator[pa.RecordBatch]:
             # rows may share an id: the text must be the one of the class; and may be repeated
-            got = {r[0]: (r, s) for r, s in zip(rows, sets([r[4] for r in rows])) if len(s) and identity(s)[0] == r[0]}
+            got = {r[0]: (r, s) for r, s in zip(rows, sets([r[4] for r in rows])) if len(s) and identity(s) == r[5:]}
             if not got:
                 return
             nodes, own = list(got), [r for r, _ in got.values()]
@@ -423,12 +444,12 @@ def _joined(members: DataFrame, docs: DataFrame, id_col: str, text: str, n: int,
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least[x] for x in label.tolist()], pa.int64()), pa.array(links, pa.int64())], names=["node", "label", "links"])
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(6)]
-            for block, side, both, node, many, packed in zip(*columns):
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            for block, side, both, node, one, check, many, packed in zip(*columns):
                 if block != key:
                     yield from finish()
                     key, rows = block, []
-                rows.append((node, side, both, many, packed))
+                rows.append((node, side, both, many, packed, one, check))
         yield from finish()
 
     return found.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(join), "node long, label long, links long")
@@ -440,19 +461,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     component_id is the smallest id reachable by links, the own one included; n_links counts the
     other rows directly linked. A null or empty text, or one of white space alone, has the empty set
     and links with nothing. Equal rows link as any two of equal sets. A row without an id is counted
-    (n_shingles) but links with nothing; its component_id is null. Columns other than the two named are not
-    looked at; an empty table gives an empty result.
+    (n_shingles) but links with nothing; its component_id is null. A text of any length is taken whole. Columns other than the two
+    named are not looked at, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(_sketch(docs, text_col, words))
     described = _described(docs, id_col, text_col, words, percent, sketch)
     # the classes: equal sets, with one prefix each
     meta = written(described)
-    classes = meta.filter("n > 0 and id is not null").groupBy("node", "check", "n").agg(F.min(F.struct("id", "prefix")).alias("x"), F.count("*").alias("docs"))
-    classes = written(classes.select("node", "n", F.col("x.id").alias("first"), F.col("x.prefix").alias("prefix"), "docs"))
+    classes = _classes(meta)
     edges = _candidates(_postings(classes), percent)
     blocks = components(edges)
-    heads = classes.select("node", "n", "first", "docs")
+    heads = classes.drop("prefix")
     members = written(_blocks(blocks.join(heads, "node"), percent, block_shingles))
     parts = written(_joined(members, docs, id_col, text_col, words, percent).groupBy("node", "label").agg(F.sum("links").alias("links")))
     labels = components(parts.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
@@ -461,33 +481,53 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     named = named.join(first, "label").select("node", "component")
     counted = parts.groupBy("node").agg(F.sum("links").alias("links"))
     summary = heads.join(named, "node", "left").join(counted, "node", "left").select(
-        "node", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links")
+        "one", "check", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links")
     )
     # written, so that the last join is of two plain tables, and a class with very many copies can be split
     summary = written(summary)
-    rows = meta.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("node")).alias("node"))
-    return rows.join(summary, "node", "left").select(
+    known = (F.col("n") > 0) & F.col("id").isNotNull()
+    rows = meta.select("id", "n", F.when(known, F.col("one")).alias("one"), F.when(known, F.col("check")).alias("check"))
+    return rows.join(summary, ["one", "check"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
+def _classes(meta: DataFrame) -> DataFrame:
+    """(node, one, check, n, first, prefix, docs) of each distinct set, by its 128 bits. Its node, the 64 bits that stand for it in edges,
+    are the first of them; where sets share these (a few in 10^10 do) each has a number of its own."""
+    known = meta.filter("n > 0 and id is not null")
+    classes = known.groupBy("one", "check", "n").agg(F.min(F.struct("id", "prefix")).alias("x"), F.count("*").alias("docs"))
+    classes = classes.select("one", "check", "n", F.col("x.id").alias("first"), F.col("x.prefix").alias("prefix"), "docs")
+    shared = known.groupBy("one").agg((F.min("check") < F.max("check")).alias("shared")).filter("shared")
+    if shared.isEmpty():
+        return written(classes.withColumn("node", F.col("one")))
+    own = F.when(F.col("shared"), F.xxhash64("one", "check")).otherwise(F.col("one"))
+    return written(classes.join(shared, "one", "left").withColumn("node", own).drop("shared"))
+
+
 def _blocks(members: DataFrame, percent: int, limit: int) -> DataFrame:
-    """(block, side, both, node, first, docs): a component of candidates whole if it is small; a large
-    one by ranges of size, every two ranges that can link being a block."""
-    from pyspark.sql import Window
+    """(block, side, both, node, one, check, first, docs): a component of candidates whole if it is small; a large one by parts,
+    every two parts whose sizes can link being a block.
 
+    A part is a range of set sizes, ranges being cut by the running total of what was counted for each size; sets of one size
+    that alone are too many are dealt into several parts by a hash. No component is in one task.
+    """
+    carried = ["node", "one", "check", "first", "docs"]
     total = members.groupBy("label").agg(F.sum("n").alias("total"))
     sized = members.join(total, "label")
-    small = sized.filter(F.col("total") <= limit).select(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"), F.lit(False).alias("both"), "node", "first", "docs")
+    small = sized.filter(F.col("total") <= limit).select(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"), F.lit(False).alias("both"), *carried)
     large = sized.filter(F.col("total") > limit)
-    run = Window.partitionBy("label").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
-    large = large.withColumn("part", F.floor((F.sum("n").over(run) - F.col("n")) / F.lit(limit / 2)).cast("int"))
+    counted = large.groupBy("label", "n").agg(F.sum("n").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("label").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")
+    cut = counted.select("label", "n", F.floor(before / F.lit(limit / 2)).alias("range"), F.ceil(F.col("held") / F.lit(limit / 2)).alias("hands"))
+    part = F.col("range") * 2 * limit + F.pmod(F.xxhash64("one", "check"), F.col("hands"))
+    large = large.join(cut, ["label", "n"]).withColumn("part", part)
     ranges = large.groupBy("label", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = ranges.select("label", F.col("part").alias("upper"), F.col("least").alias("upper_least"))
-    # ranges ascend, so the ones that can link with a range are consecutive
-    reach = ranges.join(other, "label").filter((F.col("upper") >= F.col("part")) & (F.col("upper_least") * percent <= F.col("most") * 100)).select("label", F.col("part").alias("lower"), "upper")
+    other = ranges.select("label", F.col("part").alias("upper"), F.col("least").alias("upper_least"), F.col("most").alias("upper_most"))
+    can_link = (F.col("upper_least") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("upper_most") * 100)
+    reach = ranges.join(other, "label").filter((F.col("upper") >= F.col("part")) & can_link).select("label", F.col("part").alias("lower"), "upper")
     as_lower = large.join(reach.withColumnRenamed("lower", "part"), ["label", "part"]).withColumn("lower", F.col("part"))
     as_upper = large.join(reach.filter("lower < upper").withColumnRenamed("upper", "part"), ["label", "part"]).withColumn("upper", F.col("part"))
     pairs = as_lower.unionByName(as_upper, allowMissingColumns=True)
-    split = pairs.select(F.concat_ws(":", "label", "lower", "upper").alias("block"), F.col("part").alias("side"), (F.col("lower") != F.col("upper")).alias("both"), "node", "first", "docs")
+    split = pairs.select(F.concat_ws(":", "label", "lower", "upper").alias("block"), F.when(F.col("part") == F.col("lower"), 0).otherwise(1).alias("side"), (F.col("lower") != F.col("upper")).alias("both"), *carried)
     return small.unionByName(split)
