@@ -91,6 +91,31 @@ def test_encode_and_decode_tables(spark):
     assert pieces.encode(docs(spark, []), MODEL_PATH).count() == 0
 
 
+@needs_model
+def test_decoding_of_odd_ids(spark):
+    rows = [(1, [5, None, 300]), (2, None), (3, []), (3, []), (None, [300])]
+    model = pieces.Model.parse(open(MODEL_PATH, "rb").read())
+    make = lambda r: spark.createDataFrame(r, "doc_id long, ids array<int>")
+    want = sorted([(i, None if x is None else model.decode([k for k in x if k is not None])) for i, x in rows], key=repr)
+    assert multiset(pieces.decode(make(rows), MODEL_PATH), "doc_id", "text") == want
+    for bad in (-1, len(model.pieces)):
+        with pytest.raises(ValueError):
+            model.decode([5, bad])
+        with pytest.raises(Exception, match="ids are from 0"):
+            pieces.decode(make([(1, [bad])]), MODEL_PATH).collect()
+
+
+@needs_model
+def test_units_in_portions(monkeypatch):
+    model = pieces.Model.parse(open(MODEL_PATH, "rb").read())
+    rng = random.Random(3)
+    norm = model.normalise("".join(rng.choice(["a", "bc ", "  ", "12", "\n\n", "!?", "é", "▁", "中文 "]) for _ in range(3000)))
+    whole = model.cut.findall(norm)
+    for size in (1, 2, 7, 1000):
+        monkeypatch.setattr(pieces, "PORTION", size)
+        assert list(model.units(norm)) == whole
+
+
 def test_unsupported_models_are_refused():
     with pytest.raises(ValueError):
         pieces.Model.parse(b"\x0a\x05\x0a\x01a\x18\x04" + b"\x1a\x02\x18\x01")

@@ -14,14 +14,14 @@ Two kinds of model share the walk:
   give, and each position has exactly one such last piece; the search is exact.
 
 Where no piece of the vocabulary bridges two character classes, all paths meet at every border
-between them. Text is cut there first, and the ids of the units are remembered.
+between them, so what lies before is committed there without a search. The units in between go through the window;
+the ids of those met last are remembered, so that a unit that comes again is not walked again.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -34,6 +34,8 @@ from ._text import tidy
 SPACE = "▁"
 #: Units whose ids a worker remembers in each of two generations; when the younger is full, the older one goes.
 CACHE_UNITS = 250_000
+#: Characters of a text in which units are looked for at once.
+PORTION = 1 << 16
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -166,20 +168,10 @@ class Model:
 
     def stream(self, text: Iterable[str]) -> Iterator[str]:
         """Pieces of a normalised text, given in strings of any length; yields them as they are final."""
-        keep = self.longest
-        tail = ""  # characters from the last committed boundary on
-        back = [0]  # start of the best last piece up to each position of tail
-        total = [0.0]  # and the best score; unigram only
-        extend = self._extend_merges if self.kind == BPE else self._extend_scores
+        window = _Window(self)
         for part in text:
-            for at in range(0, len(part), 4 * keep):
-                tail += part[at : at + 4 * keep]
-                extend(tail, back, total)
-                if len(tail) > 4 * keep and (done := self._meeting(back, keep)):
-                    yield from self._pieces(tail, back, done)
-                    tail, total = tail[done:], total[done:]
-                    back = [0, *(x - done for x in back[done + 1 :])]
-        yield from self._pieces(tail, back, len(tail))
+            yield from window.push(part)
+        yield from window.end()
 
     def _extend_merges(self, tail: str, back: list[int], total: list[float]) -> None:
         """Last pieces of the positions of `tail` that have none yet; the one allowed piece, or a single character."""
@@ -230,18 +222,13 @@ class Model:
             live.add(back[last])
         return live.pop()
 
-    def _pieces(self, tail: str, back: list[int], end: int) -> Iterator[str]:
-        out = []
-        while end:
-            out.append(tail[back[end] : end])
-            end = back[end]
-        return reversed(out)
-
     # -- ids -----------------------------------------------------------------------
 
     def unit_ids(self, unit: str) -> list[int]:
+        """The ids of a normalised text that no piece reaches out of, walked in one window after another."""
+        window = _Window(self)
         out: list[int] = []
-        for piece in self.stream((unit,)):
+        for piece in (*window.push(unit), *window.end()):
             i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
@@ -251,24 +238,13 @@ class Model:
                 out.append(self.unknown)
         return out
 
-    def _unit_bytes(self, unit: str) -> bytes:
-        """The ids of a unit as bytes of int32. A unit that fits the window is walked in one go."""
-        if self.kind != BPE or len(unit) > 4 * self.longest:
-            return np.asarray(self.unit_ids(unit), np.int32).tobytes()
-        back = [0]
-        self._extend_merges(unit, back, [])
-        out, end, ids = array("i"), len(unit), self.ids
-        while end:
-            start = back[end]
-            piece = unit[start:end]
-            i = ids.get(piece)
-            if i is not None:
-                out.append(i)
-            else:
-                out.extend(self.byte[b] for b in reversed(piece.encode("utf-8", "replace")))
-            end = start
-        out.reverse()
-        return out.tobytes()
+    def units(self, norm: str) -> Iterator[str]:
+        """The units of a normalised text, found in portions of bounded size. All paths meet at their borders, so each is committed on its own."""
+        tail = ""
+        for at in range(0, len(norm), PORTION):
+            found = self.cut.findall(tail + norm[at : at + PORTION])
+            tail = found.pop() if at + PORTION < len(norm) and found else ""  # may go on in the next portion
+            yield from found
 
     def encode(self, text: str, memory: Memory | None = None) -> np.ndarray:
         """The ids of a text as int32."""
@@ -277,19 +253,61 @@ class Model:
             return np.zeros(0, np.int32)
         if self.cut is None or not self.byte:
             return np.asarray(self.unit_ids(norm), np.int32)
-        units = self.cut.findall(norm)
         memory = Memory(self) if memory is None else memory
-        return np.frombuffer(b"".join(map(memory.young.__getitem__, units)), np.int32)
+        return np.frombuffer(b"".join(map(memory.young.__getitem__, self.units(norm))), np.int32)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids. Byte pieces are joined before they are read as UTF-8."""
+    def decode(self, ids: Iterable[int | None]) -> str:
+        """The text of ids; a null has none. Byte pieces are joined before they are read as UTF-8. An id outside the vocabulary raises ValueError."""
         table = self.bytes_of
+        ids = [i for i in ids if i is not None]
+        if ids and not (0 <= min(ids) and max(ids) < len(table)):
+            raise ValueError(f"ids are from 0 to {len(table) - 1}")
         raw = b"".join([table[i] for i in ids])
         if self.dummy_prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
 
+class _Window:
+    """The walk along one text: characters from the last committed boundary on, and what leads to each of their positions.
+
+    It takes the text in steps of the longest piece. After each, only the last L positions can be continued; where the paths of all
+    of them have met, the pieces before are final and leave the window.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.step = model, model.longest
+        self.tail = ""
+        self.back = [0]  # start of the best last piece up to each position of tail
+        self.total = [0.0]  # and the best score; unigram only
+        self.extend = model._extend_merges if model.kind == BPE else model._extend_scores
+
+    def push(self, part: str) -> list[str]:
+        """The pieces that are final once `part` is read."""
+        out: list[str] = []
+        step = self.step
+        for at in range(0, len(part), step):
+            self.tail += part[at : at + step]
+            self.extend(self.tail, self.back, self.total)
+            if len(self.tail) > 2 * step and (done := self.model._meeting(self.back, step)):
+                out += self._pieces(done)
+                self.tail, self.total = self.tail[done:], self.total[done:]
+                self.back = [0, *(x - done for x in self.back[done + 1 :])]
+        return out
+
+    def end(self) -> list[str]:
+        return self._pieces(len(self.tail))
+
+    def _pieces(self, end: int) -> list[str]:
+        out = []
+        tail, back = self.tail, self.back
+        while end:
+            out.append(tail[back[end] : end])
+            end = back[end]
+        out.reverse()
+        return out
+
+
 class _Young(dict):
     """Ids of units as bytes; asks for what it lacks."""
 
@@ -301,7 +319,7 @@ class _Young(dict):
         m = self.memory
         ids = m.old.get(unit)
         if ids is None:
-            ids = m.model._unit_bytes(unit)
+            ids = np.asarray(m.model.unit_ids(unit), np.int32).tobytes()
         if len(unit) <= 64:  # longer ones hardly come again
             if len(self) >= CACHE_UNITS:
                 m.old = dict(self)
@@ -340,8 +358,8 @@ def read_model(spark, path: str) -> bytes:
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_tokens, ids, n_chars of the decoded text, round_trip.
 
-    A null or empty text has no ids and decodes to the empty text; equal rows give equal rows; other
-    columns are not looked at. round_trip says that decoding gives the text back as it was. (Lone
+    A null or empty text has no ids and decodes to the empty text; one of any length is walked whole; equal rows give equal rows;
+    other columns are not looked at, whatever their names; an empty table gives an empty result. round_trip says that decoding gives the text back as it was. (Lone
     surrogates and the like cannot occur in a Spark string.) One pass, no shuffle; the model's
     bytes (the size of a vocabulary) are broadcast.
     """
@@ -378,8 +396,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row of `tokens`: id and text. Null ids give a null text, no ids the empty text; an id
-    outside the vocabulary raises. One pass, no shuffle."""
+    """One row per row of `tokens`: id and text. A null array gives a null text, no ids the empty text; a null among ids is left out, an
+    id outside the vocabulary (a negative one is) raises ValueError. Equal rows give equal rows; other columns are not looked
+    at. One pass, no shuffle."""
     import hashlib
 
     data = read_model(tokens.sparkSession, model_path)
