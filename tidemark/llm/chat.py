@@ -3,6 +3,10 @@
 Every participant of a conversation gets its own rendering: that participant's turns are
 the assistant's, all other turns those of users named after their speakers. The mask marks
 the characters a model is trained on: the content and end marker of the assistant's turns.
+
+Nothing that a participant writes can pass for a marker: ``<|``, and ``<`` and ``|`` with backslashes between them, get one more
+backslash there. In names, which stand on a marker's line, backslashes are doubled and line breaks written as ``\\n`` and
+``\\r`` before that. Both can be undone.
 """
 
 from __future__ import annotations
@@ -21,6 +25,17 @@ SCENE = ("system",)
 SPAN = 4096
 
 
+def escaped(text: Column) -> Column:
+    """A text that holds no marker: every ``<|`` with k backslashes inside has k + 1 instead."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def escaped_name(name: Column) -> Column:
+    """A name on one line that holds no marker."""
+    one_line = F.replace(F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return F.replace(one_line, F.lit("<|"), F.lit("<\\|"))
+
+
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS, scene: tuple[str, ...] = SCENE) -> DataFrame:
     """One row per conversation, participant and part of `part_turns` turns.
 
@@ -29,7 +44,8 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, scene: tuple[str, ...
     Scene turns are rendered as such for everyone. A null role is the user ``unknown``, a null text
     is empty, a null conv_id is a conversation of its own. Turns go by (turn, role, text), nulls
     first; repeated rows are all kept. `mask` has [start, end) code points of the rendering of the part;
-    `offset` is where the part starts in the whole rendering, so parts joined in order give all of it.
+    `offset` is where the part starts in the whole rendering, so parts joined in order give all of it; what stands at the start of
+    a conversation, such as its system turn, is in its first part. An empty table gives an empty result; a text of any length is kept whole.
 
     No task holds a conversation. Turns are ranked within spans of turn numbers, and spans by their sizes; texts
     are gathered by part; what spans a whole conversation, the offsets, is computed from lengths alone.
@@ -43,7 +59,8 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, scene: tuple[str, ...
         F.col("turn").alias("turn"),
         F.coalesce(F.floor(F.col("turn") / SPAN).cast("long"), F.lit(-(1 << 62))).alias("span"),
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
-        F.coalesce("text", F.lit("")).alias("body"),
+        escaped_name(F.coalesce("role", F.lit("unknown"))).alias("name"),
+        escaped(F.coalesce("text", F.lit(""))).alias("body"),
         is_scene.alias("scene"),
         (F.col("role").isNotNull() & (F.trim("role") != "") & ~is_scene).alias("voice"),
     )
@@ -55,21 +72,21 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, scene: tuple[str, ...
     numbered = numbered.withColumn("part", F.floor(F.col("n") / part_turns).cast("int"))
 
     # lengths: of each part for any user, and what a participant's own turns differ by
-    length = lambda who: F.when(F.col("scene"), F.char_length("speaker") + len(OPEN + SEP)).otherwise(F.char_length(who) + len(f"{OPEN}user name={SEP}"))
-    spoken = numbered.groupBy(*conv, "part", "speaker", "scene", "voice").agg(F.count("*").alias("many"), F.sum(F.char_length("body") + len(CLOSE)).alias("chars"))
-    base = spoken.groupBy(*conv, "part").agg(F.sum(F.col("chars") + F.col("many") * length("speaker")).alias("base"))
-    own = spoken.filter("voice").select(*conv, "part", F.col("speaker").alias("participant"), (F.col("many") * (len(f"{OPEN}assistant{SEP}") - length("speaker"))).alias("less"))
+    length = lambda who: F.when(F.col("scene"), F.char_length(who) + len(OPEN + SEP)).otherwise(F.char_length(who) + len(f"{OPEN}user name={SEP}"))
+    spoken = numbered.groupBy(*conv, "part", "speaker", "name", "scene", "voice").agg(F.count("*").alias("many"), F.sum(F.char_length("body") + len(CLOSE)).alias("chars"))
+    base = spoken.groupBy(*conv, "part").agg(F.sum(F.col("chars") + F.col("many") * length("name")).alias("base"))
+    own = spoken.filter("voice").select(*conv, "part", F.col("speaker").alias("participant"), (F.col("many") * (len(f"{OPEN}assistant{SEP}") - length("name"))).alias("less"))
     voices = own.select(*conv, "participant").distinct()
     sized = base.join(voices, conv).join(own, [*conv, "part", "participant"], "left").withColumn("n_chars", (F.col("base") + F.coalesce("less", F.lit(0))).cast("long"))
     along = Window.partitionBy(*conv, "participant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sized = sized.select(*conv, "part", "participant", "n_chars", F.coalesce(F.sum("n_chars").over(along), F.lit(0).cast("long")).alias("offset"))
 
-    parts = numbered.groupBy(*conv, "part").agg(F.array_sort(F.collect_list(F.struct("n", "speaker", "body", "scene"))).alias("items"))
+    parts = numbered.groupBy(*conv, "part").agg(F.array_sort(F.collect_list(F.struct("n", "speaker", "name", "body", "scene"))).alias("items"))
     both = parts.join(sized, [*conv, "part"])
 
     def head(x: Column) -> Column:
         mine = x["speaker"] == F.col("participant")
-        return F.when(x["scene"], F.concat(F.lit(OPEN), x["speaker"], F.lit(SEP))).when(mine, F.lit(f"{OPEN}assistant{SEP}")).otherwise(F.concat(F.lit(f"{OPEN}user name="), x["speaker"], F.lit(SEP)))
+        return F.when(x["scene"], F.concat(F.lit(OPEN), x["name"], F.lit(SEP))).when(mine, F.lit(f"{OPEN}assistant{SEP}")).otherwise(F.concat(F.lit(f"{OPEN}user name="), x["name"], F.lit(SEP)))
 
     rendered = F.array_join(F.transform("items", lambda x: F.concat(head(x), x["body"], F.lit(CLOSE))), "")
     pieces = F.transform("items", lambda x: F.struct(F.char_length(head(x)).alias("h"), (F.char_length(x["body"]) + len(CLOSE)).alias("b"), (~x["scene"] & (x["speaker"] == F.col("participant"))).alias("own")))

@@ -28,14 +28,15 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-CHAT = """
+CHAT = r"""
 WITH t AS (
-  SELECT conv_id, turn, role, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body, coalesce(role = 'system', false) AS scene FROM conversations),
+  SELECT conv_id, turn, role, coalesce(role, 'unknown') AS speaker, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS body,
+    replace(replace(replace(replace(coalesce(role, 'unknown'), '\', '\\'), chr(10), '\n'), chr(13), '\r'), '<|', '<\|') AS name, coalesce(role = 'system', false) AS scene FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body) - 1 AS n FROM t),
 v AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role IS NOT NULL AND trim(role) <> '' AND NOT scene),
 b AS (
   SELECT n.conv_id, v.participant, CAST(n // 256 AS INTEGER) AS part, n, NOT scene AND speaker = participant AS own,
-    CASE WHEN scene THEN '<|im_start|>' || speaker || chr(10) WHEN speaker = participant THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head,
+    CASE WHEN scene THEN '<|im_start|>' || name || chr(10) WHEN speaker = participant THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || name || chr(10) END AS head,
     body || '<|im_end|>' || chr(10) AS tail
   FROM n JOIN v ON n.conv_id IS NOT DISTINCT FROM v.conv_id),
 a AS (SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, participant, part ORDER BY n) AS e FROM b),
