@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import q_dedupe, q_events, q_intervals, q_metrics, q_projects, q_reports, q_scoring, q_series, q_sources, q_streaming  # noqa: F401  (they register)
+    from . import q_dedupe, q_editing, q_events, q_intervals, q_metrics, q_projects, q_reports, q_scoring, q_series, q_sources, q_streaming  # noqa: F401  (they register)
 
 
 def queries() -> dict[str, Query]:
