@@ -2,29 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .tables import numbered, shared_dir
+
+
+def _cuts(rows: int, most: int) -> tuple[list[int], int]:
+    """Borders of segments, and bits that may differ within one, for the least work on so many rows.
+
+    Hashes that differ in d bits differ in at most d // m bits of one of m segments. More segments are fewer values to look up,
+    shorter ones are shared by more rows."""
+
+    def work(m: int) -> float:
+        wide, r = S.HASH_BITS / m, most // m
+        values = sum(math.comb(round(wide), k) for k in range(r + 1))
+        return rows * m * values + rows * rows / 2 * min(1.0, m * values / 2**wide)
+
+    m = min(range(1, most + 2), key=work)
+    return [S.HASH_BITS * k // m for k in range(m + 1)], most // m
 
 
 def similar_pairs(hashes: DataFrame, id_col: str, hash_col: str, threshold: float) -> DataFrame:
-    """(a, b, similarity), a before b, of 56-bit hashes at least `threshold` alike; exact, without pairing all rows.
+    """(a, b, similarity), a before b, of 56-bit hashes at least `threshold` alike; exact, by multi-index hashing.
 
-    Two hashes that differ in d bits agree in one of any d + 1 segments, so rows meet by equal segments; a pair is kept
-    at the first segment it agrees in. Segments shared by very many rows are split by the join's skew handling."""
+    Rows meet where a segment of one is within a few bits of the other's (as many as `_cuts` says, by the number of rows); a pair is kept at the
+    first segment it meets in. For few rows or low thresholds that is no better than pairing all; for many it
+    is. Values that very many rows share are split by the join's skew handling."""
     most = int((1 - threshold) * S.HASH_BITS + 1e-9)
-    parts = most + 1
-    borders = [S.HASH_BITS * k // parts for k in range(parts + 1)]
-    segment = lambda h, k: F.shiftright(h, borders[k]).bitwiseAND(F.lit((1 << (borders[k + 1] - borders[k])) - 1))
-    rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
-    dealt = rows.select("id", "h", F.posexplode(F.array(*[segment(F.col("h"), k) for k in range(parts)])).alias("k", "v"))
-    a, b = dealt.alias("a"), dealt.alias("b")
+    rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("id is not null and h is not null")
+    borders, radius = _cuts(rows.count(), most)
+    cuts = list(zip(borders, borders[1:]))
+    segment = lambda h, a, b: F.shiftright(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint"))
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b - a).alias("w"), segment(F.col("h"), a, b).alias("v")) for k, (a, b) in enumerate(cuts)])
+    dealt = rows.select("id", "h", F.explode(parts).alias("s")).select("id", "h", "s.*")
+    probes = turned = dealt.withColumn("top", F.lit(-1))
+    for _ in range(radius):  # values with one more bit turned, above the ones before
+        more = turned.select("*", F.explode(F.when(F.col("top") + 1 < F.col("w"), F.sequence(F.col("top") + 1, F.col("w") - 1))).alias("bit"))
+        turned = more.select("id", "h", "k", "w", F.expr("v ^ shiftleft(1L, bit)").alias("v"), F.col("bit").alias("top"))
+        probes = probes.unionByName(turned)
+    a, b = dealt.alias("a"), probes.alias("b")
     met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.id") < F.col("b.id")))
-    agree = F.array(*[segment(F.col("a.h"), k) == segment(F.col("b.h"), k) for k in range(parts)])
-    first = met.filter(F.array_position(agree, True) == F.col("a.k") + 1)
+    apart = F.col("a.h").bitwiseXOR(F.col("b.h"))
+    near = F.array(*[F.bit_count(segment(apart, lo, hi)) <= radius for lo, hi in cuts])
+    first = met.filter(F.array_position(near, True) == F.col("a.k") + 1)
     sim = S.hamming_similarity(F.col("a.h"), F.col("b.h"))
     return first.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), sim.alias("similarity")).filter(F.col("similarity") >= threshold)
 
@@ -40,9 +64,7 @@ def forced_reason(strict, same_source_overlap, same_source_events, same_parent,
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))  # one machine, as in tests
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -66,10 +88,9 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id", rounds: i
 
 def groups(labelled: DataFrame, prefix: str = "dg-", digits: int = 3) -> DataFrame:
     """Adds duplicate_group, numbered by the smallest id, and uniqueness, one over the group's size. Numbering is of the
-    groups' labels alone."""
-    sizes = labelled.groupBy("component").agg(F.count("*").alias("_size"))
-    number = F.row_number().over(Window.orderBy("component"))
-    named = sizes.select("component", "_size", F.format_string(f"{prefix}%0{digits}d", number).alias("duplicate_group"))
+    groups' labels alone, by ranges."""
+    sizes = numbered(labelled.groupBy("component").agg(F.count("*").alias("_size")), ["component"], "_number")
+    named = sizes.select("component", "_size", F.format_string(f"{prefix}%0{digits}d", F.col("_number")).alias("duplicate_group"))
     return labelled.join(named, "component").withColumn("uniqueness", 1 / F.col("_size")).drop("_size")
 
 

@@ -26,13 +26,17 @@ def count_changes(states: DataFrame, keys: Sequence[str], t: str, present: str,
     return out.withColumn("after", F.col(count)).withColumn("kind", F.when(F.col("delta") == 1, "event").otherwise("request")).drop("_close")
 
 
-def refine(requests: DataFrame, dense: DataFrame, keys: Sequence[str], request_id: str) -> DataFrame:
+def refine(requests: DataFrame, dense: DataFrame, keys: Sequence[str], request_id: str, width: float | None = None) -> DataFrame:
     """(request_id, t, before, after, kind) of requests (start, end, before, after) looked up in dense states (t, present, count).
 
     If the rising counts go up by one each to the target, one event a step; else one event of the whole rise at the first
-    state that shows the target; without one nothing."""
+    state that shows the target; without one nothing. `width`, about that of a request, makes the look-up an equi-join on bands of time."""
     own = requests.select(*keys, request_id, F.col("before").alias("_from"), F.col("after").alias("_to"), "start", "end")
-    seen = own.join(dense, list(keys)).filter(F.col("present") & F.col("t").between(F.col("start"), F.col("end")))
+    on = list(keys)
+    if width:
+        own = own.withColumn("_band", F.explode(F.sequence(F.floor(F.col("start") / width).cast("long"), F.floor(F.col("end") / width).cast("long"))))
+        dense, on = dense.withColumn("_band", F.floor(F.col("t") / width).cast("long")), [*keys, "_band"]
+    seen = own.join(dense, on).filter(F.col("present") & F.col("t").between(F.col("start"), F.col("end")))
     w = Window.partitionBy(request_id).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     high = F.greatest(F.col("_from"), F.coalesce(F.max("count").over(w), F.col("_from")))
     rising = seen.withColumn("_high", high)

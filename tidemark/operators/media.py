@@ -108,14 +108,9 @@ def usable_image(pixels: str | Column, width: str, height: str) -> Column:
 
 def orange_ratio(rgb: np.ndarray) -> float:
     """Share of pixels with a hue of at most 36 or at least 340 degrees, and saturation and value of at least 80 of 255."""
-    x = np.asarray(rgb, float).reshape(-1, 3)
-    if not len(x):
+    if not np.asarray(rgb).size:
         return 0.0
-    top, low = x.max(axis=1), x.min(axis=1)
-    spread = np.where(top - low > 0, top - low, 1.0)
-    r, g, b = x.T
-    hue = np.select([top == r, top == g], [(g - b) / spread % 6, (b - r) / spread + 2], (r - g) / spread + 4) * 30.0
-    saturation = np.where(top > 0, (top - low) / np.where(top > 0, top, 1.0) * 255.0, 0.0)
+    hue, saturation, top = hsv(np.asarray(rgb).reshape(-1, 3))
     return float((((hue <= 18) | (hue >= 170)) & (saturation >= 80) & (top >= 80)).mean())
 
 
@@ -198,6 +193,159 @@ def best_match(frame: np.ndarray, templates: list[np.ndarray], scales: tuple[flo
     return max((template_score(frame, resampled(t, s)) for t in templates for s in scales), default=0.0)
 
 
+def scaled(image: np.ndarray) -> np.ndarray:
+    """A grey picture between 0 and 255; all 0 where it is constant."""
+    x = np.asarray(image, float)
+    low, high = x.min(), x.max()
+    return (x - low) / (high - low) * 255.0 if high > low else np.zeros_like(x)
+
+
+def area_resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A grey picture at another size: every new pixel is the mean of the area it covers."""
+
+    def weights(old: int, new: int) -> np.ndarray:
+        edges = np.arange(new + 1) * old / new
+        low, high = np.maximum(edges[:-1, None], np.arange(old)), np.minimum(edges[1:, None], np.arange(old) + 1)
+        w = np.maximum(0.0, high - low)
+        return w / w.sum(axis=1, keepdims=True)
+
+    x = np.asarray(image, float)
+    return weights(x.shape[0], height) @ x @ weights(x.shape[1], width).T
+
+
+def edges(image: np.ndarray, low: float = 50.0, high: float = 120.0) -> np.ndarray:
+    """The edges of a grey picture: Sobel gradients (sum of magnitudes), thinned along their direction, those above `high` and all above
+    `low` that are connected to them."""
+    x = np.pad(np.asarray(image, float), 1, mode="edge")
+    rows = lambda a, b, c: a + 2 * b + c
+    gx = rows(x[:-2, 2:], x[1:-1, 2:], x[2:, 2:]) - rows(x[:-2, :-2], x[1:-1, :-2], x[2:, :-2])
+    gy = rows(x[2:, :-2], x[2:, 1:-1], x[2:, 2:]) - rows(x[:-2, :-2], x[:-2, 1:-1], x[:-2, 2:])
+    size = np.abs(gx) + np.abs(gy)
+    around = np.pad(size, 1)
+    h, w = size.shape
+    at = lambda dy, dx: around[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+    flat, steep = np.abs(gy) <= 0.4142 * np.abs(gx), np.abs(gy) >= 2.4142 * np.abs(gx)
+    falling = np.where(gx * gy < 0, -1, 1)
+    before = np.select([flat, steep, falling > 0], [at(0, -1), at(-1, 0), at(-1, -1)], at(-1, 1))
+    after = np.select([flat, steep, falling > 0], [at(0, 1), at(1, 0), at(1, 1)], at(1, -1))
+    thin = (size > before) & (size >= after)
+    weak, found = thin & (size > low), thin & (size > high)
+    while True:
+        grown = np.pad(found, 1)
+        near = np.any([grown[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)], axis=0) & weak
+        if (near == found).all():
+            return found
+        found = near
+
+
+def edge_shape_score(image: np.ndarray, template: np.ndarray) -> float:
+    """How well the edges of a picture, at a template's size, agree with the template's: their F1; 0 where either has none."""
+    image, template = np.asarray(image, float), np.asarray(template, float)
+    if not image.size or not template.size:
+        return 0.0
+    a, b = edges(scaled(area_resized(image, *template.shape))), edges(scaled(template))
+    both = int((a & b).sum())
+    return 2.0 * both / (int(a.sum()) + int(b.sum())) if both else 0.0
+
+
+def hsv(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hue (0 to 180, two degrees each), saturation and value (0 to 255) of an RGB picture."""
+    x = np.asarray(rgb, float)
+    top, low = x.max(axis=-1), x.min(axis=-1)
+    spread = np.where(top - low > 0, top - low, 1.0)
+    r, g, b = np.moveaxis(x, -1, 0)
+    hue = np.select([top == r, top == g], [(g - b) / spread % 6, (b - r) / spread + 2], (r - g) / spread + 4) * 30.0
+    return hue, np.where(top > 0, (top - low) / np.where(top > 0, top, 1.0) * 255.0, 0.0), top
+
+
+def opened_lines(mask: np.ndarray, length: int) -> np.ndarray:
+    """The parts of a mask that lie in horizontal runs of at least `length` pixels."""
+    if length > mask.shape[1]:
+        return np.zeros_like(mask)
+    full = np.lib.stride_tricks.sliding_window_view(mask, length, axis=1).all(axis=2)
+    out = np.zeros_like(mask)
+    for k in range(length):
+        out[:, k : k + full.shape[1]] |= full
+    return out
+
+
+def panel_structure(rgb: np.ndarray, row: tuple[int, int, int, int]) -> float:
+    """How much the surroundings of a row (x1, y1, x2, y2) look like a card: saturated red names, and white outlines of long straight lines.
+
+    Fixed values: the margins, hue, saturation and value bounds, the densities of a full score and the weights of both parts."""
+    x1, y1, x2, y2 = row
+    width, height = max(1, x2 - x1), max(1, y2 - y1)
+    side = max(45, int(width * 2.5))
+    around = rgb[max(0, y1 - max(2, int(height * 0.25))) : min(rgb.shape[0], y2 + max(72, int(height * 2.2))), max(0, x1 - side) : min(rgb.shape[1], x2 + side)]
+    if not around.size:
+        return 0.0
+    hue, saturation, value = hsv(around)
+    names = ((hue <= 12) | (hue >= 168)) & (saturation >= 100) & (value >= 80)
+    grey = np.asarray(around, float) @ np.array([0.299, 0.587, 0.114])
+    white = (grey >= 135) & (saturation < 115)
+    lines = opened_lines(white, max(5, int(width * 0.16))) | opened_lines(white.T, max(3, int(height * 0.10))).T
+    return float(min(1.0, 0.72 * min(1.0, names.mean() / 0.045) + 0.28 * min(1.0, lines.mean() / 0.018)))
+
+
+def count_states(frames: DataFrame, keys: list[str], templates: list[np.ndarray], threshold: float = 0.62, shape: float = 0.25, structure: float = 0.0, row_tolerance: float = 6.0, scales: tuple[float, ...] = (0.9, 1.0, 1.1)) -> DataFrame:
+    """(keys, t, present, count, confidence) of RGB frames (t, width, height, pixels): icons are places where a template matches by
+    correlation and by the shape of its edges; of those that overlap the better stays; the row with the most of them counts
+    if its surroundings have at least the given structure."""
+    kinds = dict(frames.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", t double, present boolean, count long, confidence double"
+
+    def icons(grey: np.ndarray) -> list[tuple[float, int, int, int, int]]:
+        found = []
+        for template in templates:
+            for scale in scales:
+                t = resampled(template, scale)
+                h, w = t.shape
+                for x, y, score in template_hits(grey, t, threshold):
+                    if edge_shape_score(grey[y : y + h, x : x + w], template) >= shape:
+                        found.append((score, x, y, w, h))
+        kept: list[tuple[float, int, int, int, int]] = []
+        for hit in sorted(found, key=lambda f: (-f[0], f[2], f[1])):
+            _, x, y, w, h = hit
+            if all(((x + w / 2 - a - c / 2) ** 2 + (y + h / 2 - b - d / 2) ** 2) ** 0.5 > 0.7 * max(w, h, c, d) for _, a, b, c, d in kept):
+                kept.append(hit)
+        return kept
+
+    def state(rgb: np.ndarray) -> tuple[bool, int, float]:
+        rows: list[list[tuple[float, int, int, int, int]]] = []
+        for hit in sorted(icons(np.rint(rgb.astype(float) @ np.array([0.299, 0.587, 0.114]))), key=lambda f: f[2] + f[4] / 2):
+            middle = hit[2] + hit[4] / 2
+            if rows and abs(np.mean([r[2] + r[4] / 2 for r in rows[-1]]) - middle) <= row_tolerance:
+                rows[-1].append(hit)
+            else:
+                rows.append([hit])
+        if not rows:
+            return False, 0, 0.0
+        best = max(rows, key=lambda r: (len(r), sum(h[0] for h in r)))
+        bounds = (min(h[1] for h in best), min(h[2] for h in best), max(h[1] + h[3] for h in best), max(h[2] + h[4] for h in best))
+        if structure > 0 and panel_structure(rgb, bounds) < structure:
+            return False, 0, 0.0
+        return True, len(best), float(np.mean([h[0] for h in best]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [state(np.frombuffer(p, np.uint8).reshape(h, w, 3)) for p, w, h in zip(pdf["pixels"], pdf["width"], pdf["height"])]
+            yield pdf[[*keys, "t"]].assign(**dict(zip(("present", "count", "confidence"), zip(*out) if out else ((),) * 3)))
+
+    return frames.select(*keys, "t", "width", "height", "pixels").mapInPandas(run, schema)
+
+
+def template_scores(frames: DataFrame, keys: list[str], templates: list[np.ndarray], bounds: tuple[float, float, float, float], scales: tuple[float, ...] = (0.8, 0.9, 1.0, 1.1, 1.2)) -> DataFrame:
+    """(keys, t, score) of RGB frames: the best match of any template at any scale in a region given in shares of the frame."""
+    kinds = dict(frames.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            grey = (np.frombuffer(p, np.uint8).reshape(h, w, 3) @ np.array([0.299, 0.587, 0.114]) for p, w, h in zip(pdf["pixels"], pdf["width"], pdf["height"]))
+            yield pdf[[*keys, "t"]].assign(score=[best_match(region(g, bounds), templates, scales) for g in grey])
+
+    return frames.select(*keys, "t", "width", "height", "pixels").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", t double, score double")
+
+
 def row_geometry(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row, n, y_score, size_score, spacing_score) of detections grouped into rows (row, x, y, size): how level, alike and
     evenly spaced they are."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .streams import sorted_scan
+from .tables import percentiles
 
 
 def greedy_match(detected: DataFrame, truth: DataFrame, keys: Sequence[str], t: str, tolerance: float) -> DataFrame:
@@ -58,8 +59,10 @@ def calibration(df: DataFrame, expected: Column, observed: Column, expected_coun
 def offset_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean, median, P90 and P95 of |value|; the last two by nearest rank, not interpolated."""
     x = F.abs(F.col(value))
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY abs({value}))")
-    return df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), rank(0.9).alias("p90"), rank(0.95).alias("p95"), F.count("*").alias("n"))
+    ranks = percentiles(df, keys, x, {"median": (0.5, True), "p90": (0.9, False), "p95": (0.95, False)}).drop("n")
+    means = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.count("*").alias("n"))
+    both = means.join(ranks, list(keys)) if keys else means.join(ranks)
+    return both.select(*keys, "mean", "median", "p90", "p95", "n")
 
 
 def transition_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str) -> DataFrame:

@@ -26,12 +26,16 @@ def score_candidates(df: DataFrame, weights: Mapping[str, float] = CANDIDATE_WEI
     return df.withColumn("final_score", F.round(weighted(weights), 6))
 
 
-def penalties(features: str | Column, payoff: Column) -> dict[str, Column]:
-    """Editorial penalties of a map of features; a moment with a payoff is forgiven most of them."""
-    f = S.col(features)
+def penalties(features: str | Column | Mapping[str, Column], payoff: Column) -> dict[str, Column]:
+    """Editorial penalties of features, given as columns by name or as a map column; a moment with a payoff is forgiven most of them."""
+
+    def one(name: str) -> list[Column]:
+        if isinstance(features, Mapping):
+            return [features[name]] if name in features else []
+        return [F.try_element_at(S.col(features), F.lit(name))]
 
     def get(*names: str) -> Column:
-        return S.clamp(F.coalesce(*[F.try_element_at(f, F.lit(n)) for n in names], F.lit(0.0)))
+        return S.clamp(F.coalesce(*[c for n in names for c in one(n)], F.lit(0.0)))
 
     paid = F.when(payoff, 1.0).otherwise(0.0)
     still = get("stationary_ads") * (1 - get("motion")) * (1 - get("visual_novelty", "visual_activity")) * (1 - get("danger_escalation", "danger_score"))
@@ -46,7 +50,7 @@ def penalties(features: str | Column, payoff: Column) -> dict[str, Column]:
     }
 
 
-def with_penalties(df: DataFrame, features: str, payoff: Column, weights: Mapping[str, float] | None = None) -> DataFrame:
+def with_penalties(df: DataFrame, features: str | Mapping[str, Column], payoff: Column, weights: Mapping[str, float] | None = None) -> DataFrame:
     """Adds one column per penalty, clamped, weighted and rounded, and their sum."""
     weights = weights or {}
     made = {k: F.round(S.clamp(v) * F.lit(float(weights.get(k.removesuffix("_penalty"), 1.0))), 6) for k, v in penalties(features, payoff).items()}

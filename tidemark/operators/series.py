@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import percentiles
+
 
 def over(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -32,12 +34,11 @@ def min_max(df: DataFrame, keys, value: str, out: str = "norm") -> DataFrame:
 
 def robust_normalise(df: DataFrame, keys, value: str, out: str = "norm", low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Between the 5th and 95th percentile, clamped; falls back to min and max, then to 0."""
-    ends = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    p = F.col("_p")
-    use = (p[1] - p[0]) > 1e-12
-    a, b = F.when(use, p[0]).otherwise(F.col("_lo")), F.when(use, p[1]).otherwise(F.col("_hi"))
+    ends = percentiles(df, keys, F.col(value), {"_lo": (0.0, False), "_p": (low, True), "_q": (high, True), "_hi": (1.0, False)}).drop("n")
+    use = F.col("_q") - F.col("_p") > 1e-12
+    a, b = F.when(use, F.col("_p")).otherwise(F.col("_lo")), F.when(use, F.col("_q")).otherwise(F.col("_hi"))
     x = (F.col(value) - a) / (b - a)
-    return df.join(ends, list(keys)).withColumn(out, F.when(b - a <= 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))).drop("_p", "_lo", "_hi")
+    return df.join(ends, list(keys), "left").withColumn(out, F.when(b - a <= 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))).drop("_p", "_q", "_lo", "_hi")
 
 
 def local_peaks(df: DataFrame, keys, order, value: str) -> DataFrame:
@@ -66,8 +67,8 @@ def activity_islands(df: DataFrame, keys, t: str, value: str, threshold: float,
     end, cut into pieces of `high`; pieces under `low` go. The step is the median positive distance of the clock."""
     w = over(keys, [t, *order])
     steps = df.withColumn("_d", F.col(t) - F.lag(t).over(w))
-    step = steps.groupBy(*keys).agg(F.coalesce(F.percentile(F.when(F.col("_d") > 0, F.col("_d")), 0.5), F.lit(1.0)).alias("_step"))
-    active = df.filter(F.col(value) >= threshold).join(step, list(keys))
+    step = percentiles(steps, keys, F.when(F.col("_d") > 0, F.col("_d")), {"_step": (0.5, True)}).drop("n")
+    active = df.filter(F.col(value) >= threshold).join(step, list(keys), "left").fillna(1.0, ["_step"])
     far = F.col(t) - F.lag(t).over(w) > F.lit(gap) + F.col("_step")
     marked = active.withColumn("_new", F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0))
     groups = marked.withColumn("_g", F.sum("_new").over(w)).groupBy(*keys, "_g").agg(F.min(t).alias("_s"), (F.max(t) + 2 * F.first("_step")).alias("_e"))
@@ -78,14 +79,19 @@ def activity_islands(df: DataFrame, keys, t: str, value: str, threshold: float,
     return pieces.select(*keys, start.alias("start"), end.alias("end")).filter(F.col("end") - F.col("start") >= low)
 
 
-def window_score(series: DataFrame, windows: DataFrame, keys, window_keys, t: str, value: str, high: bool = False) -> DataFrame:
-    """The mean (or 80th percentile) of a series within each closed window, clamped; of the whole series where no sample lies inside."""
-    agg = (lambda c: F.percentile(c, 0.8)) if high else F.avg
-    whole = series.groupBy(*keys).agg(agg(F.col(value)).alias("_all"))
-    inside = windows.join(series.select(*keys, F.col(t).alias("_t"), F.col(value).alias("_v")), list(keys)).filter((F.col("_t") >= F.col("start")) & (F.col("_t") <= F.col("end")))
-    own = inside.groupBy(*window_keys).agg(agg(F.col("_v")).alias("_own"))
+def window_score(series: DataFrame, windows: DataFrame, keys, window_keys, t: str, value: str, high: bool = False, width: float | None = None) -> DataFrame:
+    """The mean (or 80th percentile) of a series within each closed window, clamped; of the whole series where no sample lies inside.
+    `width`, about that of a window, makes the search an equi-join on bands of time; without it all samples of a key meet all its windows."""
+    own = F.percentile(F.col("_v"), 0.8) if high else F.avg("_v")  # of a window's samples
+    whole = percentiles(series, keys, F.col(value), {"_all": (0.8, True)}).drop("n") if high else series.groupBy(*keys).agg(F.avg(value).alias("_all"))
+    samples, on, w = series.select(*keys, F.col(t).alias("_t"), F.col(value).alias("_v")), list(keys), windows
+    if width:
+        samples, on = samples.withColumn("_band", F.floor(F.col("_t") / width).cast("long")), [*keys, "_band"]
+        w = windows.withColumn("_band", F.explode(F.sequence(F.floor(F.col("start") / width).cast("long"), F.floor(F.col("end") / width).cast("long"))))
+    inside = w.join(samples, on).filter((F.col("_t") >= F.col("start")) & (F.col("_t") <= F.col("end")))
+    found = inside.groupBy(*window_keys).agg(own.alias("_own"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_own", "_all")))
-    return windows.join(own, list(window_keys), "left").join(whole, list(keys), "left").withColumn("score", score).drop("_own", "_all")
+    return windows.join(found, list(window_keys), "left").join(whole, list(keys), "left").withColumn("score", score).drop("_own", "_all")
 
 
 def trim_edges(df: DataFrame, keys, order, dark: str, limit: float = 0.90) -> DataFrame:

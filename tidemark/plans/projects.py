@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import dedupe, events, fsm, intervals, metrics, scoring, selection, series
+from ..operators import dedupe, events, fsm, intervals, media, metrics, scoring, selection, series
+from ..operators.tables import percentiles, written
 from ..sources.config import Settings
 
 
 def candidates(samples: DataFrame, settings: Settings, key: str = "source_id", t: str = "t") -> DataFrame:
     """Activity windows of series (key, t, motion, visual, audio, continuity, activity) as candidates with the means of
     their channels. The threshold is a percentile of each source's own activity."""
-    level = samples.groupBy(key).agg(F.percentile("activity", settings.activity_threshold_percentile / 100).alias("_level"))
+    level = percentiles(samples, [key], F.col("activity"), {"_level": (settings.activity_threshold_percentile / 100, True)}).drop("n")
     hot = samples.join(level, key).withColumn("_hot", (F.col("activity") >= F.col("_level")).cast("double"))
     w = series.activity_islands(hot, [key], t, "_hot", 1.0, settings.activity_merge_gap, settings.highlight_min_duration, settings.highlight_max_duration)
     start, end = F.round(F.col("start") * 1000).cast("bigint"), F.round(F.col("end") * 1000).cast("bigint")
@@ -58,10 +59,9 @@ def variants(fused: DataFrame, settings: Settings, key: str = "source_id") -> Da
             "danger_score": F.lit(0.0),
             "uniqueness": F.lit(1.0),
             "rapid_score": S.clamp(F.col("n") / max(2, settings.rapid_multikill_min_events)),
-            "features": F.create_map(F.lit("motion"), F.lit(0.5), F.lit("visual_novelty"), F.lit(0.5)),
         }
     )
-    v = scoring.with_penalties(v, "features", F.col("payoff_score") > 0, settings.penalty_weights)
+    v = scoring.with_penalties(v, {"motion": F.col("motion"), "visual_novelty": F.col("visual_novelty")}, F.col("payoff_score") > 0, settings.penalty_weights)
     quality = settings.v5_profile == "quality"
     return scoring.score_variants(v, bonus=settings.rapid_multikill_bonus_weight, quality=quality, count_weight=settings.v5_kill_count_weight, density_weight=settings.v5_kill_density_weight, target=settings.v5_kill_density_target)
 
@@ -82,12 +82,42 @@ def count_truth(states: DataFrame, settings: Settings, key: str = "source_id") -
     changes = fsm.count_changes(states, [key], "t", "present", "count", settings.v6_panel_disappear_s)
     r = settings.v6_refinement_radius_s
     requests = changes.filter("kind = 'request'").select(key, F.concat_ws(":", key, "event_id").alias("request_id"), "before", "after", (F.col("t") - r).alias("start"), (F.col("t") + r).alias("end"))
-    refined = fsm.refine(requests, states.select(key, "t", "present", "count"), [key], "request_id").join(requests.select("request_id", key), "request_id")
+    refined = fsm.refine(requests, states.select(key, "t", "present", "count"), [key], "request_id", max(1.0, 2 * r)).join(requests.select("request_id", key), "request_id")
     steps = changes.filter("kind = 'event'").select(key, "t", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"), F.lit("OWN_KILL").alias("kind"))
     found = steps.unionByName(refined.select(key, "t", "before", "after", "kind")).dropDuplicates([key, "t", "after"])
     return found, events.sequences(found, [key], "t", 6.0, tie=("after",))
 
 
+def two_pass_scan(frames: DataFrame, templates: list, settings: Settings, key: str = "source_id", fps: float = 60.0, **detector) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, sequences, counters) of RGB frames (key, t, width, height, pixels) at the dense rate: every nth frame is
+    looked at first; where the count jumps, all frames of the window around the jump.
+
+    Frames of the second pass are found by bands of time, so a frame that no window wants is never looked at again. counters has
+    frames_scanned and dense_frames_scanned of each source."""
+    step = max(1, round(fps / settings.v6_coarse_fps))
+    coarse = media.count_states(frames.filter(F.pmod(F.round(F.col("t") * fps).cast("long"), F.lit(step)) == 0), [key], templates, **detector)
+    coarse = written(coarse)  # read for changes, and for the counters
+    changes = fsm.count_changes(coarse, [key], "t", "present", "count", settings.v6_panel_disappear_s)
+    r = settings.v6_refinement_radius_s
+    requests = changes.filter("kind = 'request'").select(key, F.concat_ws(":", key, "event_id").alias("request_id"), "before", "after", F.greatest(F.lit(0.0), F.col("t") - r).alias("start"), (F.col("t") + r).alias("end"))
+    wanted = intervals.points_within(frames, requests.select(key, "start", "end"), key, "t", max(1.0, 2 * r))
+    dense = written(media.count_states(wanted, [key], templates, **detector))
+    refined = fsm.refine(requests, dense.select(key, "t", "present", "count"), [key], "request_id", max(1.0, 2 * r)).join(requests.select("request_id", key), "request_id")
+    steps = changes.filter("kind = 'event'").select(key, "t", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"), F.lit("OWN_KILL").alias("kind"))
+    found = steps.unionByName(refined.select(key, "t", "before", "after", "kind")).dropDuplicates([key, "t", "after"])
+    counters = coarse.groupBy(key).agg(F.count("*").alias("frames_scanned")).join(dense.groupBy(key).agg(F.count("*").alias("dense_frames_scanned")), key, "left").fillna(0, ["dense_frames_scanned"])
+    return found, events.sequences(found, [key], "t", 6.0, tie=("after",)), counters
+
+
+def template_scan(frames: DataFrame, templates: list, bounds: tuple[float, float, float, float], threshold: float = 0.65, key: str = "source_id", reference_height: int | None = None, height: int | None = None, release: float = 0.5) -> DataFrame:
+    """Events (key, t, score) of RGB frames: where the best match in a region rises to the threshold after at least `release` below it.
+    Templates cut from a picture of `reference_height` are brought to frames of `height`."""
+    if reference_height and height:
+        templates = [media.resampled(t, height / reference_height) for t in templates]
+    scores = media.template_scores(frames, [key], templates, bounds)
+    return fsm.rising_edges(scores.withColumn("match", F.col("score") >= threshold), [key], "t", "match", release).drop("match")
+
+
 def truth_summary(found: DataFrame, records: DataFrame, key: str = "source_id") -> DataFrame:
     """Per recording, counts by kind; a recording without events is kept with zeros."""
     r = metrics.rollup(found, [key], "kind", ("OWN_KILL", "SIMULTANEOUS_MULTI_KILL"))

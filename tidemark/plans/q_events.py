@@ -146,7 +146,7 @@ def q_dense_refine(spark, d):
     s = states(spark, d)
     r = fsm.count_changes(s, ["source_id"], "t", "present", "count", 12.0).filter("kind = 'request'")
     r = r.select("source_id", F.col("event_id").alias("id"), "before", "after", (F.col("t") - 48).alias("start"), (F.col("t") + 48).alias("end"))
-    return fsm.refine(r, s.select("source_id", "t", "present", "count"), ["source_id"], "id").select("id", r6("t"), "before", "after", "kind")
+    return fsm.refine(r, s.select("source_id", "t", "present", "count"), ["source_id"], "id", 96.0).select("id", r6("t"), "before", "after", "kind")
 
 
 @query(f"""WITH {EVENTS_SQL}, n AS (SELECT source_id, event_id, t, confidence >= 0.3 AS hit, row_number() OVER w AS i, lead(t) OVER w AS nt FROM ev WINDOW w AS (PARTITION BY source_id ORDER BY t, event_id)),

@@ -73,8 +73,8 @@ SELECT w.id AS event_id, round(greatest(0, least(1, coalesce(own.m, al.m))), 6)
 def q_window_score(spark, d):
     e = events(spark, d)
     w = e.filter("type = 'kill'").select("event_id", "source_id", (F.col("t") - 6).alias("start"), (F.col("t") + 6).alias("end"))
-    mean = O.window_score(e, w, ["source_id"], ["event_id"], "t", "confidence").select("event_id", F.round("score", 6).alias("mean"))
-    high = O.window_score(e, w, ["source_id"], ["event_id"], "t", "confidence", True).select("event_id", F.round("score", 6).alias("high"))
+    mean = O.window_score(e, w, ["source_id"], ["event_id"], "t", "confidence", width=12.0).select("event_id", F.round("score", 6).alias("mean"))
+    high = O.window_score(e, w, ["source_id"], ["event_id"], "t", "confidence", True, width=12.0).select("event_id", F.round("score", 6).alias("high"))
     return mean.join(high, "event_id")
 
 

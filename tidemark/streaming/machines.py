@@ -6,7 +6,6 @@ have to arrive in order from one micro-batch to the next; within one they are so
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.tables import shared_dir
+
 
 def count_machine(states: DataFrame, vanish: float, key: str = "source_id") -> DataFrame:
     """Streaming form of operators.fsm.count_changes over (key, event_id, t, present, count)."""
@@ -81,8 +82,7 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now, into a table in the shared folder, and reads it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
-    where = f"{root}/stream-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{where}/out")
