@@ -155,3 +155,83 @@ def review_manifest(clips: DataFrame, keys: Sequence[str]) -> DataFrame:
 def clamp_context(setup: str, tail: str):
     """The lesser of a moment's setup and tail, each clamped."""
     return F.least(S.clamp(setup), S.clamp(tail))
+
+
+def output_checks(probe: DataFrame, shots: DataFrame, keys: Sequence[str], width: int, height: int, fps: float, seconds: tuple[float, float], least_context: float = 0.70) -> DataFrame:
+    """(keys, a column per check, valid) of rendered edits: what a probe says (has_video, has_audio, width, height, fps, duration, decoded:
+    whether all of it could be read) and the edit's shots (source_in, source_out, context, duplicate_group)."""
+    groups = shots.groupBy(*keys).agg(
+        F.bool_and((F.col("source_in") >= 0) & (F.col("source_out") > F.col("source_in"))).alias("ranges"),
+        F.bool_and(F.col("context") >= least_context).alias("integrity"),
+        (F.count("duplicate_group") == F.count_distinct("duplicate_group")).alias("dedupe"),
+    )
+    j = probe.join(groups, list(keys), "left")
+    checks = {
+        "streams": F.col("has_video") & F.col("has_audio"),
+        "size": (F.col("width") == width) & (F.col("height") == height),
+        "cadence": F.abs(F.col("fps") - fps) <= max(0.5, fps * 0.02),
+        "length": F.col("duration").between(*seconds),
+        "decoded": F.col("decoded"),
+        **{n: F.col(n) for n in ("ranges", "integrity", "dedupe")},
+    }
+    out = j.select(*keys, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
+    return out.withColumn("valid", F.forall(F.array(*checks), lambda c: c))
+
+
+def truth_index(results: DataFrame, records: DataFrame, found: DataFrame, sequences: DataFrame, key: str = "source_id") -> tuple[DataFrame, DataFrame]:
+    """(envelope, sources): one row of counts with the status of the whole, and a row for each record; the events and sequences themselves
+    stay tables of their own. `results` (key, status, profile_id, frames_scanned, dense_frames_scanned, requests, errors) are of
+    scanned sources; a record (key, width, height) without one is UNPROFILED."""
+    counts = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    numbers = ["frames_scanned", "dense_frames_scanned", "requests", "errors", "events", "sequences"]
+    s = records.select(key, "width", "height").join(results, key, "left").join(counts(found, "events"), key, "left").join(counts(sequences, "sequences"), key, "left")
+    s = s.withColumn("status", F.coalesce("status", F.lit("UNPROFILED"))).fillna(0, numbers)
+    total = s.agg(F.count("*").alias("source_count"), F.count_if(F.col("status") != "UNPROFILED").alias("scanned_source_count"), F.count_if(F.col("status") == "UNPROFILED").alias("unprofiled_source_count"), F.count_if(F.col("status") == "PARTIAL_ERROR").alias("error_source_count"), *[F.coalesce(F.sum(n), F.lit(0)).alias(f"{n[:-1]}_count") for n in ("events", "sequences")])
+    status = F.when(F.col("error_source_count") > 0, "PARTIAL_ERROR").when(F.col("unprofiled_source_count") > 0, "PARTIAL_UNPROFILED").otherwise("COMPLETE")
+    return total.withColumn("status", status), s
+
+
+def truth_report(envelope: DataFrame, found: DataFrame, sequences: DataFrame, key: str = "source_id", t: str = "t", gold: bool = False) -> DataFrame:
+    """One row: the index's counts, sequences by kind, the least interval between events of a source, and why a run stops:
+    sources without a profile, no gold set, or a review."""
+    gaps = found.withColumn("_d", F.col(t) - F.lag(t).over(Window.partitionBy(key).orderBy(t))).agg(F.min("_d").alias("shortest_interval"))
+    kinds = sequences.groupBy("kind").agg(F.count("*").alias("n")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n"))))).alias("sequence_kinds"))
+    stop = F.when(F.col("unprofiled_source_count") > 0, "STOP_PENDING_RESOLUTION_PROFILES_AND_GOLD_SET").when(~F.lit(gold), "STOP_PENDING_GOLD_SET").otherwise("STOP_AFTER_V6_TRUTH_REVIEW")
+    return envelope.join(gaps).join(kinds).withColumn("stop", stop)
+
+
+def preview_report(shots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ord, line): the readable report of edits, from their shots (ord, source, source_in, source_out, duration, score,
+    duplicate_group, sync, transition): counts, the list of shots, groups, lengths, transitions and distances from the beat."""
+    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY abs(sync))")
+    one = shots.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("duration").alias("sum"), F.avg("duration").alias("mean"), F.min("duration").alias("least"), F.max("duration").alias("most"), (F.avg(F.abs("sync")) * 1000).alias("off"), (p95 * 1000).alias("late"))
+    part = lambda section, place, text: F.struct(F.lit(section).alias("s"), F.lit(place).alias("p"), text.alias("line"))
+    head = one.select(
+        *keys,
+        F.explode(
+            F.array(
+                part(0, 0, F.lit("## Selection")),
+                part(0, 1, F.format_string("%d shots, %.3f s.", "n", "sum")),
+                part(1, -1, F.lit("## Shots")),
+                part(2, -1, F.lit("## Duplicate groups")),
+                part(3, 0, F.lit("## Lengths")),
+                part(3, 1, F.format_string("Average %.3f s, shortest %.3f s, longest %.3f s.", "mean", "least", "most")),
+                part(4, -1, F.lit("## Transitions")),
+                part(5, 0, F.lit("## Beat offsets")),
+                part(5, 1, F.format_string("Mean %.2f ms, P95 %.2f ms.", "off", "late")),
+            )
+        ).alias("x"),
+    )
+    each = shots.select(
+        *keys,
+        F.explode(
+            F.array(
+                F.struct(F.lit(1).alias("s"), F.col("ord").cast("int").alias("p"), F.format_string("- %s [%.3f, %.3f] score %.3f", "source", "source_in", "source_out", "score").alias("line")),
+                F.struct(F.lit(2).alias("s"), F.col("ord").cast("int").alias("p"), F.concat(F.lit("- "), F.coalesce("duplicate_group", F.lit("none")), F.lit(": "), F.col("source")).alias("line")),
+            )
+        ).alias("x"),
+    )
+    cuts = shots.filter("ord > 1").groupBy(*keys, "transition").agg(F.count("*").alias("n"))
+    cuts = cuts.withColumn("p", F.row_number().over(Window.partitionBy(*keys).orderBy("transition"))).select(*keys, F.struct(F.lit(4).alias("s"), F.col("p").alias("p"), F.format_string("- %s: %d", "transition", "n").alias("line")).alias("x"))
+    rows = head.unionByName(each).unionByName(cuts).select(*keys, "x.*")
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("s", "p"))).select(*keys, "ord", "line")

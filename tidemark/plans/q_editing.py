@@ -267,3 +267,99 @@ def q_row_geometry(spark, d):
     b = e.select("frame", i.cast("long").alias("id"), ((i * 37 + F.col("frame") * 11) % 61 + i / 8).alias("x"), F.floor(F.get("embedding", i - 1).cast("double") * 400).cast("double").alias("y"), (5.0 + i % 3).alias("size"))
     out = media.row_geometry(selection.row_groups(b, ["frame"], "y", 20.0, ["id"]), ["frame"])
     return out.select("frame", F.col("row").cast("long").alias("row"), "n", *[F.round(c, 5).alias(c) for c in ("y_score", "size_score", "spacing_score")])
+
+
+# -- indexes, reports, guards ---------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN '/lib/raw/a/b.mp4' WHEN 1 THEN '/lib/raw/../x/b.mp4' WHEN 2 THEN '/lib//raw/./c/../b.mp4' WHEN 3 THEN '/lib/rawest/b.mp4' WHEN 4 THEN '/lib/x/../raw' ELSE '/../../lib/raw/b.mp4' END AS path FROM orders)
+SELECT id, id % 6 NOT IN (1, 3) AS inside FROM p""")
+def q_path_guard(spark, d):
+    id_ = F.col("o_orderkey")
+    paths = F.array(*map(F.lit, ("/lib/raw/a/b.mp4", "/lib/raw/../x/b.mp4", "/lib//raw/./c/../b.mp4", "/lib/rawest/b.mp4", "/lib/x/../raw", "/../../lib/raw/b.mp4")))
+    return table(spark, d, "orders").select(id_.alias("id"), media_index.is_within(F.get(paths, (id_ % 6).cast("int")), "/lib/raw/").alias("inside"))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS ord, '/bin/t' || s_suppkey AS path, CASE WHEN s_suppkey % 5 = 0 THEN 'N-' || s_suppkey ELSE (s_suppkey % 3) || '.' || (s_suppkey % 12) END AS version, s_suppkey % 2 = 0 AS h264, s_suppkey % 4 = 0 AS hevc FROM supplier),
+r AS (SELECT *, CASE WHEN ord % 5 = 0 THEN [0] ELSE [ord % 3, ord % 12] END AS v FROM t)
+SELECT path, version, h264, hevc, CASE WHEN h264 THEN 'highest version that runs, with a hardware encoder' ELSE 'highest version that runs; software encoding' END AS reason FROM r ORDER BY v DESC, h264 DESC, hevc DESC, ord LIMIT 1""")
+def q_tool_pick(spark, d):
+    k = F.col("s_suppkey")
+    version = F.when(k % 5 == 0, F.concat(F.lit("N-"), k)).otherwise(F.concat(k % 3, F.lit("."), k % 12))
+    t = table(spark, d, "supplier").select(k.alias("ord"), F.concat(F.lit("/bin/t"), k).alias("path"), version.alias("version"), (k % 2 == 0).alias("h264"), (k % 4 == 0).alias("hevc"))
+    return render.pick_tool(t)
+
+
+@query("""SELECT doc_id, 'ffmpeg -hide_banner -loglevel error -y -i /lib/' || doc_id || '.mp4 -map 0:v:0 -map 0:a:0? -vf scale=640:360:force_original_aspect_ratio=decrease:flags=fast_bilinear,pad=640:360:(ow-iw)/2:(oh-ih)/2 -fps_mode passthrough -c:v libx264 -preset veryfast -crf 30 -c:a aac -ac 1 -ar 22050 -b:a 96k proxy/' || doc_id || '.mp4' AS command FROM documents WHERE n_chars > 300""")
+def q_proxy_commands(spark, d):
+    r = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/lib/"), "doc_id", F.lit(".mp4")).alias("file_path"), F.col("n_chars").cast("double").alias("duration"))
+    made = render.proxy_commands(r, "ffmpeg", F.concat(F.lit("proxy/"), "doc_id", F.lit(".mp4")))
+    return made.filter("argv is not null").select("doc_id", F.array_join("argv", " ").alias("command"))
+
+
+@query(f"""WITH {EVENTS_SQL}, g AS (SELECT source_id, bool_and(t >= 5) AS ranges, bool_and(confidence >= 0.01::DOUBLE) AS integrity, count(CASE WHEN k > 3 THEN k END) = count(DISTINCT CASE WHEN k > 3 THEN k END) AS dedupe FROM ev GROUP BY source_id),
+p AS (SELECT c_custkey AS source_id, c_custkey % 3 > 0 AS streams, c_custkey % 4 > 0 AS size, c_custkey % 5 > 0 AS cadence, c_custkey % 7 > 0 AS length, c_custkey % 2 > 0 AS decoded FROM customer),
+j AS (SELECT p.*, coalesce(ranges, false) AS ranges, coalesce(integrity, false) AS integrity, coalesce(dedupe, false) AS dedupe FROM p LEFT JOIN g USING (source_id))
+SELECT *, streams AND size AND cadence AND length AND decoded AND ranges AND integrity AND dedupe AS valid FROM j""")
+def q_output_checks(spark, d):
+    e = events(spark, d)
+    shots = e.select("source_id", (F.col("t") - 5).alias("source_in"), F.col("t").alias("source_out"), F.col("confidence").alias("context"), F.when(F.col("k") > 3, F.col("k")).alias("duplicate_group"))
+    c = F.col("c_custkey")
+    probe = table(spark, d, "customer").select(
+        c.alias("source_id"), F.lit(True).alias("has_video"), (c % 3 > 0).alias("has_audio"), F.when(c % 4 > 0, 1920).otherwise(1280).alias("width"), F.lit(1200).alias("height"),
+        F.when(c % 5 > 0, 59.0).otherwise(50.0).alias("fps"), F.when(c % 7 > 0, 60.0).otherwise(61.0).alias("duration"), (c % 2 > 0).alias("decoded"),
+    )
+    return reports.output_checks(probe, shots, ["source_id"], 1920, 1200, 60.0, (45.0, 60.0), 0.01)
+
+
+def truth_tables(spark, d):
+    from ..operators.events import sequences
+
+    found = events(spark, d).filter("type = 'kill'").select("source_id", "event_id", "t")
+    records = table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.lit(1920).alias("width"), F.lit(1200).alias("height"))
+    c = F.col("source_id")
+    results = records.filter("source_id % 3 > 0").select("source_id", F.when(c % 10 == 1, "PARTIAL_ERROR").otherwise("OK").alias("status"), F.lit("p").alias("profile_id"), (c * 12).alias("frames_scanned"), (c % 5).alias("dense_frames_scanned"), (c % 2).alias("requests"), F.when(c % 10 == 1, 1).otherwise(0).alias("errors"))
+    return results, records, found, sequences(found, ["source_id"], "t", 6.0)
+
+
+_TRUTH = f"""{EVENTS_SQL}, f AS (SELECT source_id, event_id, t, t - lag(t) OVER (PARTITION BY source_id ORDER BY t, event_id) AS d FROM ev WHERE type = 'kill'),
+q AS (SELECT source_id, count(*) AS n, sum(CASE WHEN d <= 6 THEN 0 ELSE 1 END) AS s FROM f GROUP BY source_id),
+src AS (SELECT c_custkey AS source_id, 1920 AS width, 1200 AS height, CASE WHEN c_custkey % 3 = 0 THEN 'UNPROFILED' WHEN c_custkey % 10 = 1 THEN 'PARTIAL_ERROR' ELSE 'OK' END AS status, CASE WHEN c_custkey % 3 > 0 THEN 'p' END AS profile_id,
+  CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 12 ELSE 0 END AS frames_scanned, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 5 ELSE 0 END AS dense_frames_scanned, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 2 ELSE 0 END AS requests, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 10 = 1 THEN 1 ELSE 0 END AS errors,
+  coalesce(n, 0) AS events, CAST(coalesce(s, 0) AS BIGINT) AS sequences FROM customer LEFT JOIN q ON q.source_id = c_custkey)"""
+
+
+@query(f"WITH {_TRUTH} SELECT * FROM src")
+def q_truth_sources(spark, d):
+    return reports.truth_index(*truth_tables(spark, d))[1]
+
+
+@query(f"""WITH {_TRUTH}, g AS (SELECT source_id, sum(CASE WHEN d <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY t, event_id) AS s FROM f), z AS (SELECT source_id, s, count(*) AS n FROM g GROUP BY ALL),
+k AS (SELECT CASE WHEN n = 1 THEN 'SINGLE_KILL' WHEN n = 2 THEN 'DOUBLE_KILL' WHEN n = 3 THEN 'TRIPLE_KILL' WHEN n = 4 THEN 'QUAD_KILL' ELSE 'MULTI_5_PLUS' END AS kind, count(*) AS n FROM z GROUP BY ALL)
+SELECT count(*) AS source_count, count(*) FILTER (status <> 'UNPROFILED') AS scanned_source_count, count(*) FILTER (status = 'UNPROFILED') AS unprofiled_source_count, count(*) FILTER (status = 'PARTIAL_ERROR') AS error_source_count, CAST(sum(events) AS BIGINT) AS event_count, CAST(sum(sequences) AS BIGINT) AS sequence_count,
+  'PARTIAL_ERROR' AS status, round((SELECT min(d) FROM f), 6) AS shortest_interval, (SELECT '{{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}}' FROM k) AS sequence_kinds, 'STOP_PENDING_RESOLUTION_PROFILES_AND_GOLD_SET' AS stop FROM src""")
+def q_truth_report(spark, d):
+    results, records, found, runs = truth_tables(spark, d)
+    envelope, _ = reports.truth_index(results, records, found, runs)
+    return reports.truth_report(envelope, found, runs).withColumn("shortest_interval", F.round("shortest_interval", 6))
+
+
+@query(f"""WITH {EVENTS_SQL}, v AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY t, event_id) AS ord, 's' || source_id AS source, event_id % 50 AS a, k % 7 + 1 AS len, CASE WHEN k % 2 = 0 THEN 'g' || k END AS grp, CASE WHEN k % 3 = 0 THEN 'fade' ELSE 'hard_cut' END AS tr, (k % 9)::DOUBLE / 1000 AS sync FROM ev),
+o AS (SELECT source_id, count(*) AS n, sum(len) AS s, avg(len) AS mean, min(len) AS least, max(len) AS most, avg(sync) * 1000 AS off, quantile_disc(sync, 0.95) * 1000 AS late FROM v GROUP BY source_id),
+c AS (SELECT source_id, tr, count(*) AS n, row_number() OVER (PARTITION BY source_id ORDER BY tr) AS p FROM v WHERE ord > 1 GROUP BY source_id, tr),
+l AS (SELECT source_id, 0 AS s, 0 AS p, '## Selection' AS line FROM o UNION ALL SELECT source_id, 0, 1, printf('%d shots, %.3f s.', n, s::DOUBLE) FROM o
+  UNION ALL SELECT source_id, 1, -1, '## Shots' FROM o UNION ALL SELECT source_id, 1, ord, printf('- %s [%.3f, %.3f] score %.3f', source, a::DOUBLE, (a + len)::DOUBLE, 0.5::DOUBLE) FROM v
+  UNION ALL SELECT source_id, 2, -1, '## Duplicate groups' FROM o UNION ALL SELECT source_id, 2, ord, '- ' || coalesce(grp, 'none') || ': ' || source FROM v
+  UNION ALL SELECT source_id, 3, 0, '## Lengths' FROM o UNION ALL SELECT source_id, 3, 1, printf('Average %.3f s, shortest %.3f s, longest %.3f s.', mean, least::DOUBLE, most::DOUBLE) FROM o
+  UNION ALL SELECT source_id, 4, -1, '## Transitions' FROM o UNION ALL SELECT source_id, 4, p, printf('- %s: %d', tr, n) FROM c
+  UNION ALL SELECT source_id, 5, 0, '## Beat offsets' FROM o UNION ALL SELECT source_id, 5, 1, printf('Mean %.2f ms, P95 %.2f ms.', off, late) FROM o)
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY s, p) AS INTEGER) AS ord, line FROM l""")
+def q_preview_report(spark, d):
+    from pyspark.sql import Window
+
+    k, a = F.col("k"), (F.col("event_id") % 50).cast("double")
+    s = events(spark, d).select(
+        "source_id", F.row_number().over(Window.partitionBy("source_id").orderBy("t", "event_id")).alias("ord"), F.concat(F.lit("s"), "source_id").alias("source"), a.alias("source_in"), (a + k % 7 + 1).alias("source_out"),
+        (k % 7 + 1).cast("double").alias("duration"), F.lit(0.5).alias("score"), F.when(k % 2 == 0, F.concat(F.lit("g"), k)).alias("duplicate_group"), ((k % 9) / 1000).alias("sync"), F.when(k % 3 == 0, "fade").otherwise("hard_cut").alias("transition"),
+    )
+    return reports.preview_report(s, ["source_id"])

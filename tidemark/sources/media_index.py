@@ -59,6 +59,19 @@ def incremental(current: DataFrame, previous: DataFrame, key: str = "file_path",
     return previous.join(current.select(*on), on, "left_semi"), current.join(previous.select(*on), on, "left_anti")
 
 
+def resolved(path):
+    """A path with an absolute root, without empty and ``.`` parts, and each ``..`` taking the part before it away."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def is_within(path, root: str):
+    """Whether a path, once resolved, is a folder or in it; a name that only starts alike is not."""
+    top = resolved(F.lit(root))
+    return (resolved(path) == top) | resolved(path).startswith(F.concat(top, F.when(top != "/", "/").otherwise("")))
+
+
 def select_sources(df: DataFrame, folder: str, explicit: Sequence[str] | None = None, path: str = "file_path") -> DataFrame:
     """Files inside `folder`, all or those named; a named file outside it is an error."""
     inside = F.col(path).startswith(folder.rstrip("/") + "/")
