@@ -99,7 +99,7 @@ def two_pass_scan(frames: DataFrame, templates: list, settings: Settings, key: s
     coarse = written(coarse)  # read for changes, and for the counters
     changes = fsm.count_changes(coarse, [key], "t", "present", "count", settings.v6_panel_disappear_s)
     r = settings.v6_refinement_radius_s
-    requests = changes.filter("kind = 'request'").select(key, F.concat_ws(":", key, "event_id").alias("request_id"), "before", "after", F.greatest(F.lit(0.0), F.col("t") - r).alias("start"), (F.col("t") + r).alias("end"))
+    requests = changes.filter("kind = 'request'").select(key, F.concat_ws(":", key, "t").alias("request_id"), "before", "after", F.greatest(F.lit(0.0), F.col("t") - r).alias("start"), (F.col("t") + r).alias("end"))
     wanted = intervals.points_within(frames, requests.select(key, "start", "end"), key, "t", max(1.0, 2 * r))
     dense = written(media.count_states(wanted, [key], templates, **detector))
     refined = fsm.refine(requests, dense.select(key, "t", "present", "count"), [key], "request_id", max(1.0, 2 * r)).join(requests.select("request_id", key), "request_id")
