@@ -215,10 +215,10 @@ def preview_report(shots: DataFrame, keys: Sequence[str]) -> DataFrame:
                 part(1, -1, F.lit("## Shots")),
                 part(2, -1, F.lit("## Duplicate groups")),
                 part(3, 0, F.lit("## Lengths")),
-                part(3, 1, F.format_string("Average %.3f s, shortest %.3f s, longest %.3f s.", "mean", "least", "most")),
+                part(3, 1, F.format_string("Average %.3f s, shortest %.3f s, longest %.3f s.", F.round("mean", 3), "least", "most")),
                 part(4, -1, F.lit("## Transitions")),
                 part(5, 0, F.lit("## Beat offsets")),
-                part(5, 1, F.format_string("Mean %.2f ms, P95 %.2f ms.", "off", "late")),
+                part(5, 1, F.format_string("Mean %.2f ms, P95 %.2f ms.", F.round("off", 2), F.round("late", 2))),
             )
         ).alias("x"),
     )

@@ -75,6 +75,13 @@ def second_edit(scored: DataFrame, settings: Settings, project: Column, key: str
     return selection.beam_edit(rows, ["project"], settings.beam_width, (settings.v2_min_shots, settings.v2_max_shots), (settings.preview_min_duration, settings.preview_max_duration), settings.beam_max_expansions, (settings.recent_source_window, settings.recent_environment_window), tuple(settings.preferred_macro_duration), max(settings.hero_max_duration, settings.preferred_macro_duration[1]), settings.v2_short_clip_max_duration, settings.minimum_context_integrity, settings.v5_min_verified_kills_per_shot, settings.hero_quality_margin, music, settings.anchor_sync_tolerance, dict(settings.beam_weights))
 
 
+def _events_of(changes: DataFrame, refined: DataFrame, key: str) -> DataFrame:
+    """(key, t, after, before, kind): steps and refined events, each time and count once; of several a step comes first, then the lowest."""
+    steps = changes.filter("kind = 'event'").select(key, "t", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"), F.lit("OWN_KILL").alias("kind"), F.lit(0).alias("o"))
+    both = steps.unionByName(refined.select(key, "t", "before", "after", "kind", F.lit(1).alias("o")))
+    return both.groupBy(key, "t", "after").agg(F.min(F.struct("o", "before", "kind")).alias("e")).select(key, "t", "after", "e.before", "e.kind")
+
+
 def count_truth(states: DataFrame, settings: Settings, key: str = "source_id") -> tuple[DataFrame, DataFrame]:
     """(events, sequences) of counted panels: steps seen at once, and jumps looked up in the dense states around them.
 
@@ -83,8 +90,7 @@ def count_truth(states: DataFrame, settings: Settings, key: str = "source_id") -
     r = settings.v6_refinement_radius_s
     requests = changes.filter("kind = 'request'").select(key, F.concat_ws(":", key, "event_id").alias("request_id"), "before", "after", (F.col("t") - r).alias("start"), (F.col("t") + r).alias("end"))
     refined = fsm.refine(requests, states.select(key, "t", "present", "count"), [key], "request_id", max(1.0, 2 * r)).join(requests.select("request_id", key), "request_id")
-    steps = changes.filter("kind = 'event'").select(key, "t", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"), F.lit("OWN_KILL").alias("kind"))
-    found = steps.unionByName(refined.select(key, "t", "before", "after", "kind")).dropDuplicates([key, "t", "after"])
+    found = _events_of(changes, refined, key)
     return found, events.sequences(found, [key], "t", 6.0, tie=("after",))
 
 
@@ -103,8 +109,7 @@ def two_pass_scan(frames: DataFrame, templates: list, settings: Settings, key: s
     wanted = intervals.points_within(frames, requests.select(key, "start", "end"), key, "t", max(1.0, 2 * r))
     dense = written(media.count_states(wanted, [key], templates, **detector))
     refined = fsm.refine(requests, dense.select(key, "t", "present", "count"), [key], "request_id", max(1.0, 2 * r)).join(requests.select("request_id", key), "request_id")
-    steps = changes.filter("kind = 'event'").select(key, "t", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"), F.lit("OWN_KILL").alias("kind"))
-    found = steps.unionByName(refined.select(key, "t", "before", "after", "kind")).dropDuplicates([key, "t", "after"])
+    found = _events_of(changes, refined, key)
     counters = coarse.groupBy(key).agg(F.count("*").alias("frames_scanned")).join(dense.groupBy(key).agg(F.count("*").alias("dense_frames_scanned")), key, "left").fillna(0, ["dense_frames_scanned"])
     return found, events.sequences(found, [key], "t", 6.0, tie=("after",)), counters
 

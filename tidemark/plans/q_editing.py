@@ -350,9 +350,9 @@ c AS (SELECT source_id, tr, count(*) AS n, row_number() OVER (PARTITION BY sourc
 l AS (SELECT source_id, 0 AS s, 0 AS p, '## Selection' AS line FROM o UNION ALL SELECT source_id, 0, 1, printf('%d shots, %.3f s.', n, s::DOUBLE) FROM o
   UNION ALL SELECT source_id, 1, -1, '## Shots' FROM o UNION ALL SELECT source_id, 1, ord, printf('- %s [%.3f, %.3f] score %.3f', source, a::DOUBLE, (a + len)::DOUBLE, 0.5::DOUBLE) FROM v
   UNION ALL SELECT source_id, 2, -1, '## Duplicate groups' FROM o UNION ALL SELECT source_id, 2, ord, '- ' || coalesce(grp, 'none') || ': ' || source FROM v
-  UNION ALL SELECT source_id, 3, 0, '## Lengths' FROM o UNION ALL SELECT source_id, 3, 1, printf('Average %.3f s, shortest %.3f s, longest %.3f s.', mean, least::DOUBLE, most::DOUBLE) FROM o
+  UNION ALL SELECT source_id, 3, 0, '## Lengths' FROM o UNION ALL SELECT source_id, 3, 1, printf('Average %.3f s, shortest %.3f s, longest %.3f s.', round(mean, 3), least::DOUBLE, most::DOUBLE) FROM o
   UNION ALL SELECT source_id, 4, -1, '## Transitions' FROM o UNION ALL SELECT source_id, 4, p, printf('- %s: %d', tr, n) FROM c
-  UNION ALL SELECT source_id, 5, 0, '## Beat offsets' FROM o UNION ALL SELECT source_id, 5, 1, printf('Mean %.2f ms, P95 %.2f ms.', off, late) FROM o)
+  UNION ALL SELECT source_id, 5, 0, '## Beat offsets' FROM o UNION ALL SELECT source_id, 5, 1, printf('Mean %.2f ms, P95 %.2f ms.', round(off, 2), round(late, 2)) FROM o)
 SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY s, p) AS INTEGER) AS ord, line FROM l""")
 def q_preview_report(spark, d):
     from pyspark.sql import Window

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..sources.config import Settings, quality_profile, settings
 from ..sources.tables import EVENTS_SQL, events
 from . import projects as P
-from .q_events import samples, states
+from .q_events import _FSM, samples, states
 from .q_series import r6
 from .registry import query
 
@@ -60,7 +60,15 @@ def q_quality_edit(spark, d):
     return P.summary(P.second_edit(v, s, F.col("source_id") % 10), ["project"])
 
 
-@query()
+@query(f"""WITH {_FSM.replace(">= 12", ">= 5")}, rq AS (SELECT source_id, source_id || ':' || event_id AS id, before AS f, after AS z, t - 5 AS a, t + 5 AS b FROM ch WHERE kind = 'request'),
+sn AS (SELECT rq.*, s.t, s.count, greatest(f, coalesce(max(s.count) OVER (PARTITION BY id ORDER BY s.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f)) AS high FROM rq JOIN st s ON s.source_id = rq.source_id AND s.present AND s.t BETWEEN a AND b),
+su AS (SELECT source_id, id, f, z, min(t) FILTER (count = z) AS target, max(greatest(high, count)) AS top, max(count - high) FILTER (count > high) AS jump FROM sn GROUP BY ALL),
+al AS (SELECT source_id, t, after, before, 'OWN_KILL' AS kind, 0 AS o FROM ch WHERE kind = 'event'
+  UNION ALL SELECT sn.source_id, t, count, high, 'OWN_KILL', 1 FROM sn JOIN su USING (id) WHERE target IS NOT NULL AND top = su.z AND coalesce(jump, 1) = 1 AND count > high
+  UNION ALL SELECT source_id, target, z, f, 'SIMULTANEOUS_MULTI_KILL', 1 FROM su WHERE target IS NOT NULL AND NOT (top = z AND coalesce(jump, 1) = 1)),
+fo AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY source_id, t, after ORDER BY o, before, kind) = 1),
+n AS (SELECT source_id, count(*) FILTER (kind = 'OWN_KILL') AS own, count(*) FILTER (kind <> 'OWN_KILL') AS sim, count(*) AS total FROM fo GROUP BY source_id)
+SELECT s.source_id, coalesce(own, 0) AS "OWN_KILL", coalesce(sim, 0) AS "SIMULTANEOUS_MULTI_KILL", coalesce(total, 0) AS total, CASE WHEN total > 0 THEN 'EVENTS' ELSE 'EMPTY' END AS status FROM (SELECT DISTINCT source_id FROM ev) s LEFT JOIN n USING (source_id)""")
 def q_count_truth(spark, d):
     found, _ = P.count_truth(states(spark, d), HOURS)
     return P.truth_summary(found, events(spark, d))
