@@ -6,7 +6,7 @@ r + 1 in each segment, that is by m (r + 1) at least: every code up to distance
 done as soon as its kth neighbour lies within that, and the next round goes on with the others, so that the result, ties by
 id included, is that of a scan of all codes.
 
-A round is an equi-join, split where a value is common. Equal codes are one entry of the index, with no more of their ids than any
+A round is an equi-join of two tables that grow with the data, so nothing is broadcast; it is split where a value is common. Equal codes are one entry of the index, with no more of their ids than any
 result can need. Values at distance r come from those at r - 1 by one more bit, above the ones already turned.
 """
 
@@ -80,7 +80,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     rows, rows_path = written_at(rows)
     asked = queries.filter("id is not null and code is not null").select("id", "code").distinct()
     # of each result, entries of the query's own id go: as many as that id has codes
-    own = rows.join(asked.select("id").distinct(), "id").groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    own = rows.join(asked.select("id").distinct().hint("merge"), "id").groupBy("id").count().agg(F.max("count")).first()[0] or 0
     want = k + int(own)
     order = Window.partitionBy("code").orderBy("id")
     some = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= want)
@@ -95,19 +95,19 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         probes = _by_segment(active, "asked", segments).withColumn("top", F.lit(-1))
         for _ in range(r):
             probes = _turned(probes)
-        hits = probes.join(entries, ["seg", "value"]).filter(_first_found(segments, r))
+        hits = probes.join(entries.hint("merge"), ["seg", "value"]).filter(_first_found(segments, r))
         hits = hits.select("asked", F.bit_count(F.col("asked").bitwiseXOR(F.col("code"))).alias("distance"), "code", F.explode("ids").alias("e"))
         hits = hits.select("asked", "distance", "code", "e.id", "e.many")
         hits = hits if near is None else near.drop("place").unionByName(hits)
         old = [p for p in (near_path, active_path) if p]
         near, near_path = written_at(hits.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= want))
         covered = near.filter((F.col("place") == want) & (F.col("distance") <= m * (r + 1) - 1)).select("asked")
-        active, active_path = written_at(active.join(covered, "asked", "left_anti"))
+        active, active_path = written_at(active.join(covered.hint("merge"), "asked", "left_anti"))
         drop(spark, old)
         if active.isEmpty():
             break
     drop(spark, [rows_path, codes_path, active_path])
-    found = asked.select(F.col("id").alias("query"), F.col("code").alias("asked")).join(near, "asked").filter("id <> query")
+    found = asked.select(F.col("id").alias("query"), F.col("code").alias("asked")).join(near.hint("merge"), "asked").filter("id <> query")
     found = found.select("query", "asked", "distance", "id", F.explode(F.array_repeat(F.lit(0), F.least("many", F.lit(k)).cast("int"))))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query", "asked").orderBy("distance", "id"))).filter(F.col("rank") <= k)
     return ranked.select("query", F.col("asked").alias("code"), "rank", F.col("id").alias("neighbour"), "distance")
