@@ -37,8 +37,8 @@ WORDS, PERCENT = 5, 80
 #: Slots of the sketch: 4 MB, whatever the corpus.
 SLOTS = 1 << 20
 _SLICE = 1 << 15
-#: Shingles of one block of the join (8 bytes each); larger ones are joined by parts.
-BLOCK_SHINGLES = 250_000
+#: Shingles of one block of the join (8 bytes each), a set counting as ROW_SHINGLES at least; larger ones are joined by parts.
+BLOCK_SHINGLES, ROW_SHINGLES = 250_000, 400
 #: Bits of the filter that says which texts the join needs: 16 for each, at most 16 MB; beyond that it lets more through.
 FILTER_BITS = 1 << 27
 #: Candidate pairs that a task gathers before it sends on what connects them.
@@ -513,11 +513,12 @@ def _blocks(members: DataFrame, percent: int, limit: int) -> DataFrame:
     that alone are too many are dealt into several parts by a hash. No component is in one task.
     """
     carried = ["node", "one", "check", "first", "docs"]
-    total = members.groupBy("label").agg(F.sum("n").alias("total"))
+    weight = F.greatest("n", F.lit(min(ROW_SHINGLES, limit // 8)))
+    total = members.groupBy("label").agg(F.sum(weight).alias("total"))
     sized = members.join(total, "label")
     small = sized.filter(F.col("total") <= limit).select(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"), F.lit(False).alias("both"), *carried)
     large = sized.filter(F.col("total") > limit)
-    counted = large.groupBy("label", "n").agg(F.sum("n").alias("held"))
+    counted = large.groupBy("label", "n").agg(F.sum(weight).alias("held"))
     before = F.sum("held").over(Window.partitionBy("label").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")
     cut = counted.select("label", "n", F.floor(before / F.lit(limit / 2)).alias("range"), F.ceil(F.col("held") / F.lit(limit / 2)).alias("hands"))
     part = F.col("range") * 2 * limit + F.pmod(F.xxhash64("one", "check"), F.col("hands"))
