@@ -18,11 +18,10 @@ def signed(x):
     return int(np.uint64(x).view(np.int64))
 
 
-@pytest.mark.parametrize("seed,bits", [(0, None), (1, 16), (2, 4), (3, 32)])
-def test_search_equals_brute_force(spark, seed, bits, monkeypatch):
-    if bits:  # segments of another size than the table suggests
-        monkeypatch.setattr(hamming, "LEAST_BITS", bits)
-        monkeypatch.setattr(hamming, "MOST_BITS", bits)
+@pytest.mark.parametrize("seed,parts", [(0, None), (1, 4), (2, 16), (3, 2)])
+def test_search_equals_brute_force(spark, seed, parts, monkeypatch):
+    if parts:  # another number of segments than the table suggests
+        monkeypatch.setattr(hamming, "_parts", lambda *_: parts)
     rng = np.random.default_rng(seed)
     codes = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
     codes[50:90] = codes[:40] ^ np.uint64(1)  # near ones
@@ -31,7 +30,7 @@ def test_search_equals_brute_force(spark, seed, bits, monkeypatch):
     index.append(index[7])
     queries = [x for x in index if x[0] % 9 == 0]
     make = lambda rows: spark.createDataFrame([(i, signed(c)) for i, c in rows], "id long, code long")
-    if bits == 32:  # far neighbours would need very many values of such long segments
+    if parts == 2:  # far neighbours would need very many values of such long segments
         index = [(i, c) for i, c in index if 90 <= i < 130 or i < 90 and i % 50 < 12]
         queries = [(i, c) for i, c in index if 90 <= i]
     out = hamming.top_k(make(index).selectExpr("*", "'x' value", "1 seg", "2 place"), make(queries).selectExpr("*", "0 rank"), 10)
@@ -65,6 +64,14 @@ def test_search_of_few_rows_and_nulls(spark):
     assert hamming.top_k(index, make([])).count() == 0 and hamming.top_k(make([]), index).count() == 0
 
 
+def test_segments_get_longer_with_the_index():
+    many = [hamming._parts(n, 10) for n in (10, 10**3, 10**5, 10**7, 10**9, 10**11)]
+    assert many == sorted(many, reverse=True) and many[-1] == 2
+    for n in (1, 100, 10**6):
+        cut = hamming._segments(n, 10)
+        assert cut[0][0] == 0 and sum(w for _, w in cut) == 64 and all(a + w == b for (a, w), (b, _) in zip(cut, cut[1:]))
+
+
 def test_codes(spark):
     v = spark.createDataFrame([(1, [1.0, -1.0, 0.0]), (2, None), (3, [None, 2.0])], "vec_id long, embedding array<float>")
     assert multiset(hamming.binarise(v), "id", "code") == sorted([(1, 0b101), (2, None), (3, 0b01)], key=repr)

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from ._tables import drop, written_at
 
 K = 10
-#: Bits of a segment, at least and at most; in between about the logarithm of the number of codes.
-LEAST_BITS, MOST_BITS = 4, 32
+BITS = 64
 
 
 def binarise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -33,10 +32,26 @@ def binarise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return vectors.select(F.col(id_col).alias("id"), F.when(v.isNotNull(), checked).alias("code"))
 
 
-def _segments(codes: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment, for an index of that many codes."""
-    many = -(-64 // min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, codes))))))
-    borders = [64 * j // many for j in range(many + 1)]
+def _parts(codes: int, want: int) -> int:
+    """The number of segments with the least work for a query: values looked up, and codes met and verified, until `want` are covered.
+
+    Both follow from the distance at which that many codes are expected, for codes of independent bits. Other codes change
+    the work alone, never the result."""
+    within, far = 0.0, 0
+    while far < BITS and (within := within + math.comb(BITS, far) / 2**BITS) * codes < want:
+        far += 1
+
+    def work(m: int) -> float:
+        values = m * sum(math.comb(round(BITS / m), r) for r in range(far // m + 1))
+        return values * (1 + codes / 2 ** (BITS / m))
+
+    return min(range(2, 17), key=work)
+
+
+def _segments(codes: int, want: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each segment."""
+    m = _parts(codes, want)
+    borders = [BITS * j // m for j in range(m + 1)]
     return [(a, b - a) for a, b in zip(borders, borders[1:])]
 
 
@@ -85,7 +100,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     order = Window.partitionBy("code").orderBy("id")
     some = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= want)
     codes, codes_path = written_at(some.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("id", "many"))).alias("ids")))
-    segments = _segments(codes.count())
+    segments = _segments(codes.count(), want)
     m = len(segments)
     entries = _by_segment(codes, "code", segments).drop("width")
     active, active_path = written_at(asked.select(F.col("code").alias("asked")).distinct())
