@@ -351,7 +351,10 @@ def brute_licence(text):
         elif part:
             parts.append(part)
             part = []
-    units = list(lines) + [sum(p, []) for p in parts if len(p) > 1] + ([sum(lines, [])] if len(parts) > 1 else [])
+    most = max(int(len(grams(low(t))) / (0.8 / 1.2) + 1e-9) for t in licences.TEMPLATES.values()) + 1
+    whole = [sum(p, []) for p in parts]
+    runs = [sum(whole[a:b], []) for a in range(len(whole)) for b in range(a + 2, len(whole) + 1)]
+    units = list(lines) + [w for w, p in zip(whole, parts) if len(p) > 1] + [r for r in runs if len(r) <= most]
     found = []
     for u in units:
         a = grams(u)
@@ -365,6 +368,18 @@ def brute_licence(text):
     return len(found), "|".join(sorted({n for _, n in found})), max((-s for s, _ in found), default=0.0)
 
 
+def test_templates_are_read_from_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "My Licence.txt").write_text("You may do as you like\n\nwith all of this text here")
+    (tmp_path / "Other").write_text("All rights are reserved by the owner of this")
+    templates = licences.read_templates(spark, str(tmp_path))
+    assert sorted(templates) == ["My Licence", "Other"]
+    out = licences.scan(docs(spark, [(1, "intro\n\nyou may do as you like\n\nwith all of this text here\n\nend")]), templates)
+    assert out.first()["licences"] == "My Licence"
+    monkeypatch.setattr(licences, "TEMPLATE_BYTES", 10)
+    with pytest.raises(ValueError):
+        licences.read_templates(spark, str(tmp_path))
+
+
 def test_licences_equal_brute_force(spark):
     rng = random.Random(3)
     rows = []
@@ -377,10 +392,14 @@ def test_licences_equal_brute_force(spark):
         if rng.random() < 0.4:
             t = t.replace(" ", "\n", rng.randrange(6))
         rows.append((i, "\n".join(rng.choice([["plain line of words", t], [t, "", "other words here"], [t, t], ["---", t, "  "]]))))
-    rows += [(90, None), (91, ""), (92, "one"), (0, rows[0][1])]
+    bsd = licences.TEMPLATES["BSD-3-Clause text"].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n 2. ").replace(" 3. ", "\n3. ").replace(" THIS", "\n\n\nTHIS")
+    mit = licences.TEMPLATES["MIT text"].replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n---\nTHE SOFTWARE IS")
+    rows += [(90, None), (91, ""), (92, "one"), (0, rows[0][1]), (93, f"a file\n\nof text\n\nCopyright (c) me\n\n{bsd}\n\nmore of it\n\nand more"), (94, mit), (95, "x y\n\n" * 40 + bsd + "\n\nz w" * 40)]
     out = licences.scan(docs(spark, rows))
     assert multiset(out, "doc_id", "n_units", "licences", "best_dice") == sorted([(i, *brute_licence(t)) for i, t in rows], key=repr)
     texts = dict(rows)
+    names = {r["doc_id"]: r["licences"] for r in out.collect()}
+    assert "BSD-3-Clause text" in names[93] and "MIT text" in names[94] and "BSD-3-Clause text" in names[95]
     for r in out.collect():
         for f in r["found"]:
             assert low(texts[r["doc_id"]][f["start"] : f["end"]])

@@ -1,7 +1,8 @@
 r"""Licence scan: Dice coefficient over word bigrams against licence templates.
 
-Units of a text are its lines, its paragraphs of more than one line, and, if there is more than one
-paragraph, the whole. Words are runs of ``[0-9A-Za-z]`` and non-ASCII characters, lower-cased. A unit
+Units of a text are its lines, its paragraphs of more than one line, and its runs of consecutive paragraphs, so that a
+licence of several paragraphs is found in a longer file; runs of more words than the longest template allows match
+nothing and are not looked at. Words are runs of ``[0-9A-Za-z]`` and non-ASCII characters, lower-cased. A unit
 matches a template when 2 |A & B| / (|A| + |B|) over their sets of bigrams is at least THRESHOLD.
 
 A template of b bigrams can only match a unit of a bigrams if t / (2 - t) <= a / b <= (2 - t) / t: units
@@ -12,10 +13,12 @@ others is compared with the templates inside its bounds, by way of the templates
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._text import LOWER, Words, byte_class, chunks, ngrams, tidy
 
@@ -37,12 +40,23 @@ TEMPLATES: dict[str, str] = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "AGPL header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "BSD-2-Clause text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "LGPL header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
     "MIT": "Released under the MIT License.",
-    "MIT text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "MIT grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "MIT text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 
+#: Bytes of all templates that are read from files, at most: they travel with every task.
+TEMPLATE_BYTES = 16 << 20
+
 WORD = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
 
@@ -71,9 +85,10 @@ class Matcher:
         ratio = threshold / (2 - threshold)
         self.least = np.ceil(ratio * self.sizes - 1e-9).astype(np.int64)
         self.most = np.floor(self.sizes / ratio + 1e-9).astype(np.int64)
+        self.longest = int(self.most.max(initial=0)) + 1  # words of a run
 
     def units(self, offsets: np.ndarray, raw: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """First word and last word + 1 of every unit that has two words at least, lines before paragraphs before wholes."""
+        """First word and last word + 1 of every unit that has two words at least, lines before paragraphs before runs."""
         n = len(words.start)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -82,14 +97,16 @@ class Matcher:
         other_doc = words.doc[1:] != words.doc[:-1]
         cut_line = np.concatenate([[True], other_doc | (line[1:] != line[:-1])])
         cut_part = np.concatenate([[True], other_doc | (line[1:] > line[:-1] + 1)])
-        cut_doc = np.concatenate([[True], other_doc])
-        edges = [np.append(np.flatnonzero(c), n) for c in (cut_line, cut_part, cut_doc)]
-        first, last = [edges[0][:-1]], [edges[0][1:]]
-        for small, large in ((edges[0], edges[1]), (edges[1], edges[2])):
-            inner = np.searchsorted(small, large)
-            several = np.diff(inner) > 1  # else the unit is the same as the smaller one
-            first.append(large[:-1][several])
-            last.append(large[1:][several])
+        edges = [np.append(np.flatnonzero(c), n) for c in (cut_line, cut_part)]
+        several = np.diff(np.searchsorted(edges[0], edges[1])) > 1  # else the paragraph is a line
+        first, last = [edges[0][:-1], edges[1][:-1][several]], [edges[0][1:], edges[1][1:][several]]
+        part, doc = edges[1], words.doc[edges[1][:-1]]
+        for k in range(1, len(doc)):  # runs of k + 1 paragraphs
+            run = np.flatnonzero((doc[k:] == doc[:-k]) & (part[k + 1 :] - part[: -k - 1] <= self.longest))
+            if not len(run):
+                break
+            first.append(part[run])
+            last.append(part[run + k + 1])
         first, last = np.concatenate(first), np.concatenate(last)
         use = last - first > 1
         return first[use], last[use]
@@ -127,12 +144,23 @@ class Matcher:
                 yield int(words.doc[first[u]]), int(words.start[first[u]]), int(words.end[last[u] - 1]), best, float(dice[best])
 
 
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates from the text files of a folder on any store that Spark reads, such as whole licences; each is named by its file without
+    the suffix. More than TEMPLATE_BYTES in all are an error."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "length")
+    if (files.agg(F.sum("length")).first()[0] or 0) > TEMPLATE_BYTES:
+        raise ValueError(f"templates have {TEMPLATE_BYTES} bytes at most")
+    rows = spark.read.option("wholetext", True).text(folder).select(F.input_file_name().alias("path"), "value").collect()
+    return {unquote(r["path"]).rsplit("/", 1)[-1].rsplit(".", 1)[0]: r["value"] for r in rows}
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_units matched, licences (distinct names, sorted, joined by ``|``), best_dice, found.
 
-    `found` has name, dice and the code points [start, end) of each matching unit. A null or empty text
-    matches nothing (best_dice 0); equal rows give equal rows; other columns are not looked at. Templates are few
-    and given by the caller; they travel with the function. One pass, no shuffle.
+    `found` has name, dice and the code points [start, end) of each matching unit; units may overlap. A null or empty text
+    matches nothing (best_dice 0); one of any length is scanned whole; equal rows give equal rows; other columns are not looked at,
+    whatever their names; an empty table gives an empty result. Templates are few and given by the caller (see
+    read_templates); they travel with the function. One pass, no shuffle.
     """
     matcher = Matcher(TEMPLATES if templates is None else templates, threshold)
     found_type = pa.list_(pa.struct([("name", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))

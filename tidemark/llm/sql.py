@@ -91,12 +91,14 @@ LICENCES = rf"""
 WITH templates(name, t) AS (VALUES {_TEMPLATES}),
 bigrams AS (SELECT name, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS b FROM (SELECT name, {_WORDS} AS w FROM templates)),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
-parts AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n(?:[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n)+')) AS t FROM documents),
-real_parts AS (SELECT doc_id, t FROM parts WHERE len({_WORDS}) > 0),
+parts AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\n(?:[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n)+') AS s FROM documents)),
+real_parts AS (SELECT doc_id, t, n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT doc_id, t, i, len({_WORDS}) AS n FROM parts) WHERE n > 0),
+reach AS (SELECT floor(max(len(b)) / (0.8::DOUBLE / 1.2::DOUBLE) + 1e-9) + 1 AS longest FROM bigrams),
+runs AS (SELECT a.doc_id, a.k, b.k AS z FROM real_parts a JOIN real_parts b ON a.doc_id = b.doc_id AND a.k < b.k AND b.upto - a.upto + a.n <= (SELECT longest FROM reach)),
 units AS (
   SELECT doc_id, t FROM lines
   UNION ALL SELECT doc_id, t FROM real_parts WHERE len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]'))) > 1
-  UNION ALL SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM real_parts GROUP BY doc_id HAVING count(*) > 1)),
+  UNION ALL SELECT doc_id, t FROM (SELECT r.doc_id, r.k, z, string_agg(t, ' ' ORDER BY p.k) AS t FROM runs r JOIN real_parts p ON p.doc_id = r.doc_id AND p.k BETWEEN r.k AND z GROUP BY ALL)),
 numbered AS (SELECT row_number() OVER () AS u, doc_id, {_WORDS} AS w FROM units),
 grams AS (SELECT u, doc_id, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS a FROM numbered WHERE len(w) > 1),
 scored AS (
