@@ -28,32 +28,37 @@ def _documents(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
+    """Documents whose toxicity score is below the threshold, all columns. A null or empty text is scored as one without words, equal texts
+    go together, repeated rows each for themselves; without labels of both classes, and of an empty table, all rows stay."""
     return toxicity.drop(_documents(spark, docs, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id. Rows that share an id are one
-    document; rows without an id all stay."""
+    """Of each component of near duplicates the document with the smallest id, all columns. Rows that share an id are one document and stay
+    or go together; rows without an id, and of an id of its own those without text, all stay. An empty table stays empty."""
     docs = _documents(spark, docs, sf_dir)
-    first = ngram_join.join(docs).filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi")
+    first = ngram_join.join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    named = docs.filter(F.col("doc_id").isNotNull())
+    # rows without an id are not joined: they would all meet in one partition
+    return named.join(first, named["doc_id"] == first["first"], "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item, all columns. A null or empty text has none; equal texts go together; with an empty
+    benchmark, and of an empty table, all rows stay."""
     return decontaminate.drop(_documents(spark, docs, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced; n_chars follows the text (and stays where there is none)."""
+    """All documents and columns, secrets replaced; n_chars follows the text (and stays where there is none). Null and empty texts stay, equal
+    rows stay equal."""
     docs = _documents(spark, docs, sf_dir)
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, n_chars of the decoded text, round_trip."""
+    """doc_id, n_tokens, ids, n_chars of the decoded text, round_trip, a row for each row; null and empty texts have no ids."""
     return pieces.encode(_documents(spark, docs, sf_dir), MODEL_PATH)
 
 
