@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from helpers import docs
 from test_join_and_dedup import brute_join
 from test_scans import brute_hits
 
@@ -49,3 +50,26 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
     assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty and long texts, repeated rows, and extra columns with names that operators use themselves."""
+    text = " ".join(f"w{k}" for k in range(60))
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(None, text), (None, text), (None, None), (5, text), (3, text + " x"), (5, text), (7, None), (8, ""), (8, ""), (9, f"a {item} b"), (10, "token = abcdefgh12"), (11, "x " * 60_000), (None, "plain")]
+    odd = docs(spark, rows).selectExpr("*", "'f' first", "1 check", "2 node", "3 row", "4 size", "5 t", "6 who").drop("t")
+    odd.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept, seen = odd, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, kept, str(tmp_path)).cache()
+        if name != "sentencepiece":
+            assert out.columns == odd.columns
+        seen.append(sorted((r["doc_id"] for r in out.collect()), key=repr))
+        kept = out
+    ids = sorted((i for i, _ in rows), key=repr)
+    once = sorted((i for i, _ in rows if i != 5), key=repr)
+    clean = sorted((i for i, _ in rows if i not in (5, 9)), key=repr)
+    assert seen == [ids, once, clean, clean, clean]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
