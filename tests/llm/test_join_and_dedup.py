@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from helpers import corpus, docs, multiset
+from helpers import corpus, docs, multiset, words
 
 from tidemark.llm import ngram_join, substring_dedup
 
@@ -155,6 +155,44 @@ def test_tree_join_equals_brute_force(sides):
         assert count == links.tolist() and [root(x) for x in range(len(sets))] == label.tolist()
 
 
+@pytest.mark.parametrize("percent", [40, 80])
+@pytest.mark.parametrize("sides", [False, True])
+def test_bitmaps_keep_all_links_and_tell_strangers_apart(percent, sides):
+    rng = np.random.default_rng(percent)
+    base = [rng.integers(0, 2**63, int(n)).astype(np.uint64) for n in (3, 40, 64, 150, 700, 720)]
+    sets = []
+    for b in base:
+        for _ in range(12):
+            kept = b[rng.random(len(b)) < rng.choice([1, 0.95, 0.85, 0.6])]
+            sets.append(np.unique(np.append(kept, rng.integers(0, 2**63, len(b) // 12 + 1).astype(np.uint64))))
+    group = np.repeat(np.arange(len(base)), 12)
+    side = rng.integers(0, 2, len(sets))
+    label = ngram_join.alike([ngram_join.bitmap(s) for s in sets], np.array([len(s) for s in sets]), side if sides else None, percent)
+    for a in range(len(sets)):
+        for b in range(a):
+            o = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * o >= percent * (len(sets[a]) + len(sets[b]) - o) and (not sides or side[a] != side[b]):
+                assert label[a] == label[b]
+    if percent == 80:
+        assert all(label[a] != label[b] for a in range(len(sets)) for b in range(a) if group[a] != group[b] and min(group[a], group[b]) > 0)
+
+
+@pytest.mark.parametrize("map_bytes", [1 << 12, 1 << 22])
+def test_texts_tied_by_chance_are_not_dealt_to_parts(spark, monkeypatch, map_bytes):
+    """Different texts with a passage in common, which no count puts last, are candidates but no block; of near copies all links are found."""
+    rng = random.Random(2)
+    passage = words(rng, 16, 10**6)
+    rows = [(k, " ".join(words(rng, 50, 10**6) + passage + words(rng, 50, 10**6))) for k in range(80)]
+    rows += [(100 + k, t + " more") for k, t in rows[:5]]
+    dealt, real = [], ngram_join._joined
+    monkeypatch.setattr(ngram_join, "_sketch", lambda *_: np.zeros(ngram_join.SLOTS, np.int32))
+    monkeypatch.setattr(ngram_join, "_joined", lambda members, *a: dealt.append(members.count()) or real(members, *a))
+    monkeypatch.setattr(ngram_join, "MAP_BYTES", map_bytes, raising=False)
+    out = ngram_join.join(docs(spark, rows), block_shingles=400)
+    assert multiset(out, "doc_id", "n_shingles", "component_id", "n_links") == brute_join(rows)
+    assert dealt == [10]
+
+
 def test_join_of_an_empty_table_and_of_null_ids(spark):
     assert ngram_join.join(docs(spark, [])).count() == 0
     out = ngram_join.join(docs(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (None, None)]))

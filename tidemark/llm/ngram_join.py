@@ -10,23 +10,26 @@ is one shingle of all of them. Two documents link when their Jaccard similarity
    ordered set into postings; two linked sets have their first common shingle in both prefixes.
 3. In a posting list, two classes are candidates if their sizes and their positions leave room
    for enough overlap. Only a forest over the candidates of a list leaves it.
-4. Connected candidates form a block. Each block's sets are stored in a prefix tree, shared shingles
+4. Connected candidates that chance alone has tied are told apart by parity bitmaps, a bit or two a shingle: two sets differ in
+   at least as many shingles as their bitmaps in bits. In a large corpus candidates grow into one component of most texts, and
+   bitmaps are all of them that is dealt to every pair of its parts.
+5. What remains connected forms a block. Each block's sets are stored in a prefix tree, shared shingles
    first. One traversal carries the overlaps of all sets of the block along the tree, adds the
    shingles of a node once for the whole subtree, and drops a set from a subtree as soon as the
    remaining lengths rule a link out. A block larger than BLOCK_SHINGLES is cut by size (and equal sizes by a hash) into
    parts, and every two of them whose sizes can link are joined, each pair of parts a task's work.
-5. Links become components by star rounds over a table of edges.
+6. Links become components by star rounds over a table of edges.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tables import components, written
@@ -39,6 +42,8 @@ SLOTS = 1 << 20
 _SLICE = 1 << 15
 #: Shingles of one block of the join (8 bytes each), a set counting as ROW_SHINGLES at least; larger ones are joined by parts.
 BLOCK_SHINGLES, ROW_SHINGLES = 250_000, 400
+#: Bytes of bitmaps that are compared in one block, a set counting as MAP_ROW at least; larger components are compared by parts.
+MAP_BYTES, MAP_ROW = 4 << 20, 512
 #: Bits of the filter that says which texts the join needs: 16 for each, at most 16 MB; beyond that it lets more through.
 FILTER_BITS = 1 << 27
 #: Candidate pairs that a task gathers before it sends on what connects them.
@@ -71,6 +76,64 @@ def identity(s: np.ndarray) -> tuple[int, int]:
     return int(x), int(y)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles in each of as many places as it has shingles, rounded up to a power of two, 64 at least."""
+    places = 1 << max(6, int(len(s) - 1).bit_length())
+    odd = np.bincount((mix(s) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(maps: np.ndarray) -> np.ndarray:
+    """Rows of bitmaps as they would be with half the places."""
+    half = maps.shape[1] // 2
+    return maps[:, :half] ^ maps[:, half:]
+
+
+def alike(maps: list[np.ndarray], n: np.ndarray, sides: np.ndarray | None, percent: int) -> np.ndarray:
+    """For each set the smallest index it is connected to, over the pairs whose sizes and bitmaps leave room for a link: all that link, and
+    few others. With `sides`, only pairs of different sides are looked at."""
+    order = np.argsort(n, kind="stable")
+    size = n[order]
+    width = np.array([len(maps[k]) for k in order], np.int64)
+    widths, first = np.unique(width, return_index=True)
+    groups = []  # (begin, end, the maps at their own width and at every lower one)
+    for w, begin, end in zip(widths.tolist(), first.tolist(), [*first[1:].tolist(), len(n)]):
+        levels = {w: np.array([maps[k] for k in order[begin:end]])}
+        while w > widths[0]:
+            levels[w // 2] = folded(levels[w])
+            w //= 2
+        groups.append((begin, end, levels))
+    label = np.arange(len(n))
+    side = None if sides is None else sides[order]
+    last = np.searchsorted(size, 100 * size // percent, side="right")
+    for i in range(len(n) - 1):
+        w, own = int(width[i]), None
+        for begin, end, levels in groups:
+            lo, hi = max(begin, i + 1), min(int(last[i]), end)
+            if end <= i or w not in levels:
+                continue
+            if begin <= i:
+                own = levels[w][i - begin]
+            if lo >= hi:
+                continue
+            others = levels[w]
+            open_ = label[lo:hi] != label[i]
+            if side is not None:
+                open_ &= side[lo:hi] != side[i]
+            at = np.flatnonzero(open_) + lo
+            if len(at):
+                differ = np.bitwise_count(others[at - begin] ^ own).sum(axis=1, dtype=np.int64)
+                met = np.unique(label[at[differ <= size[i] + size[at] - 2 * _need(size[i], size[at], percent)]])
+                if len(met):
+                    met = np.append(met, label[i])
+                    label[np.isin(label, met)] = met.min()
+    least = np.full(len(n), len(n), np.int64)
+    np.minimum.at(least, label, order)
+    out = np.empty(len(n), np.int64)
+    out[order] = least[label]
+    return out
+
+
 def in_order(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """A sorted set by (count of its slot, hash)."""
     return s[np.argsort(sketch[(s & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")]
@@ -108,13 +171,13 @@ def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, id_col: str, text: str, n: int, percent: int, sketch) -> DataFrame:
-    """Per row: id, size of its set, its two digests, the ordered prefix."""
+    """Per row: id, size of its set, its two digests, the ordered prefix and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sketch.value
         for batch in batches:
             for first, last, offsets, raw in chunks(batch.column(1)):
-                sizes, one, two, prefix = [], [], [], []
+                sizes, one, two, prefix, maps = [], [], [], [], []
                 for s in shingle_sets(offsets, raw, n):
                     size = len(s)
                     a, b = identity(s) if size else (0, 0)
@@ -122,9 +185,10 @@ def _described(docs: DataFrame, id_col: str, text: str, n: int, percent: int, sk
                     one.append(a)
                     two.append(b)
                     prefix.append(in_order(s, order)[: size - -(-percent * size // 100) + 1].tobytes() if size else b"")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.binary())], names=["id", "n", "one", "check", "prefix"])
+                    maps.append(bitmap(s).tobytes() if size else b"")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.binary()), pa.array(maps, pa.binary())], names=["id", "n", "one", "check", "prefix", "map"])
 
-    return docs.select(id_col, text).mapInArrow(tidy(run), f"id {dict(docs.dtypes)[id_col]}, n long, one long, check long, prefix binary")
+    return docs.select(id_col, text).mapInArrow(tidy(run), f"id {dict(docs.dtypes)[id_col]}, n long, one long, check long, prefix binary, map binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -169,7 +233,7 @@ def _ties(node: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> lis
 
 
 def _forest(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs that connect what `pairs` connects, without circles."""
+    """Pairs that connect what `pairs` connects, every node with the least one: the fewest rounds follow."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -177,13 +241,11 @@ def _forest(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
             parent[x] = x = parent[up]
         return x
 
-    out = []
     for a, b in pairs:
         x, y = root(a), root(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+    return [(root(x), x) for x in list(parent) if root(x) != x]
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
@@ -358,6 +420,41 @@ def tree_join(sets: list[np.ndarray], weights: np.ndarray, sides: np.ndarray | N
     return label, links
 
 
+def _refined(blocks: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(node, label) of the classes of candidate components (label, node, n, one, check, map) that may link with another one by their bitmaps,
+    in what is still connected of each component. A component in one block is settled there, the others' parts are tied by rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nodes = np.array([r[0] for r in rows], np.int64)
+            label = alike([np.frombuffer(r[4], np.uint64) for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[1] for r in rows]) if rows[0][2] else None, percent)
+            least = np.full(len(rows), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, nodes)
+            tied = np.bincount(label, minlength=len(rows))[label] > 1
+            if tied.any():
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(least[label][tied]), pa.array([r[5] for r, t in zip(rows, tied) if t], pa.bool_())], names=["node", "label", "split"])
+
+        for batch in batches:
+            for block, *row in zip(*[batch.column(k).to_pylist() for k in range(7)]):
+                if block != key:
+                    if rows:
+                        yield from finish()
+                    key, rows = block, []
+                rows.append(row)
+        if rows:
+            yield from finish()
+
+    weight = F.greatest(F.length("map"), F.lit(min(MAP_ROW, limit // 8)))
+    dealt = _blocks(blocks, percent, limit, weight, ["node", "n", "map"])
+    dealt = dealt.select("block", "node", "side", "both", "n", "map", "split").repartition("block").sortWithinPartitions("block")
+    found = written(dealt.mapInArrow(tidy(run), "node long, label long, split boolean"))
+    split = found.filter("split").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    whole = found.filter("not split").select("node", "label")
+    return whole if split.isEmpty() else whole.union(components(split))
+
+
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(hashes.view(np.uint64))
     return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
@@ -416,8 +513,8 @@ def _needed(docs: DataFrame, members: DataFrame, id_col: str, text: str) -> Data
 
 
 def _joined(members: DataFrame, docs: DataFrame, id_col: str, text: str, n: int, percent: int) -> DataFrame:
-    """(node, label, links) of every class in every block. `members`: block, side, both, node, one and check (a set's digests), first (a row's id), docs."""
-    found = members.join(_needed(docs, members, id_col, text), "first").select("block", "side", "both", "node", "one", "check", "docs", "z")
+    """(node, label, links, split) of every class in every block. `members`: block, side, both, split, node, one and check (a set's digests), first (a row's id), docs."""
+    found = members.join(_needed(docs, members, id_col, text), "first").select("block", "side", "both", "node", "one", "check", "docs", "z", "split")
 
     def sets(packed: list[bytes]) -> list[np.ndarray]:
         out = []
@@ -432,7 +529,7 @@ def _joined(members: DataFrame, docs: DataFrame, id_col: str, text: str, n: int,
 
         def finish() -> Iterator[pa.RecordBatch]:
             # rows may share an id: the text must be the one of the class; and may be repeated
-            got = {r[0]: (r, s) for r, s in zip(rows, sets([r[4] for r in rows])) if len(s) and identity(s) == r[5:]}
+            got = {r[0]: (r, s) for r, s in zip(rows, sets([r[4] for r in rows])) if len(s) and identity(s) == r[5:7]}
             if not got:
                 return
             nodes, own = list(got), [r for r, _ in got.values()]
@@ -441,18 +538,18 @@ def _joined(members: DataFrame, docs: DataFrame, id_col: str, text: str, n: int,
             least: dict[int, int] = {}
             for k, x in enumerate(label.tolist()):
                 least[x] = min(least.get(x, nodes[k]), nodes[k])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least[x] for x in label.tolist()], pa.int64()), pa.array(links, pa.int64())], names=["node", "label", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least[x] for x in label.tolist()], pa.int64()), pa.array(links, pa.int64()), pa.array([r[7] for r in own], pa.bool_())], names=["node", "label", "links", "split"])
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
-            for block, side, both, node, one, check, many, packed in zip(*columns):
+            columns = [batch.column(k).to_pylist() for k in range(9)]
+            for block, side, both, node, one, check, many, packed, split in zip(*columns):
                 if block != key:
                     yield from finish()
                     key, rows = block, []
-                rows.append((node, side, both, many, packed, one, check))
+                rows.append((node, side, both, many, packed, one, check, split))
         yield from finish()
 
-    return found.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(join), "node long, label long, links long")
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(join), "node long, label long, links long, split boolean")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -471,11 +568,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     meta = written(described)
     classes = _classes(meta)
     edges = _candidates(_postings(classes), percent)
-    blocks = components(edges)
-    heads = classes.drop("prefix")
+    blocks = _refined(components(edges).join(classes.select("node", "n", "one", "check", "map"), "node"), percent, MAP_BYTES)
+    heads = classes.drop("prefix", "map")
     members = written(_blocks(blocks.join(heads, "node"), percent, block_shingles))
-    parts = written(_joined(members, docs, id_col, text_col, words, percent).groupBy("node", "label").agg(F.sum("links").alias("links")))
-    labels = components(parts.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+    parts = written(_joined(members, docs, id_col, text_col, words, percent).groupBy("node", "label", "split").agg(F.sum("links").alias("links")))
+    # a component in one block is settled there
+    labels, ties = parts.filter("not split").select("node", "label"), parts.filter("split and node <> label")
+    if not ties.isEmpty():
+        labels = labels.union(components(ties.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     named = heads.join(labels, "node")
     first = named.groupBy("label").agg(F.min("first").alias("component"))
     named = named.join(first, "label").select("node", "component")
@@ -493,11 +593,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def _classes(meta: DataFrame) -> DataFrame:
-    """(node, one, check, n, first, prefix, docs) of each distinct set, by its 128 bits. Its node, the 64 bits that stand for it in edges,
+    """(node, one, check, n, first, prefix, map, docs) of each distinct set, by its 128 bits. Its node, the 64 bits that stand for it in edges,
     are the first of them; where sets share these (a few in 10^10 do) each has a number of its own."""
     known = meta.filter("n > 0 and id is not null")
-    classes = known.groupBy("one", "check", "n").agg(F.min(F.struct("id", "prefix")).alias("x"), F.count("*").alias("docs"))
-    classes = classes.select("one", "check", "n", F.col("x.id").alias("first"), F.col("x.prefix").alias("prefix"), "docs")
+    kept = [c for c in ("prefix", "map") if c in meta.columns]
+    classes = known.groupBy("one", "check", "n").agg(F.min(F.struct("id", *kept)).alias("x"), F.count("*").alias("docs"))
+    classes = classes.select("one", "check", "n", F.col("x.id").alias("first"), *[F.col(f"x.{c}").alias(c) for c in kept], "docs")
     shared = known.groupBy("one").agg((F.min("check") < F.max("check")).alias("shared")).filter("shared")
     if shared.isEmpty():
         return written(classes.withColumn("node", F.col("one")))
@@ -505,18 +606,17 @@ def _classes(meta: DataFrame) -> DataFrame:
     return written(classes.join(shared, "one", "left").withColumn("node", own).drop("shared"))
 
 
-def _blocks(members: DataFrame, percent: int, limit: int) -> DataFrame:
-    """(block, side, both, node, one, check, first, docs): a component of candidates whole if it is small; a large one by parts,
+def _blocks(members: DataFrame, percent: int, limit: int, weight: Column | None = None, carried: Sequence[str] = ("node", "one", "check", "first", "docs")) -> DataFrame:
+    """(block, side, both, split, and what is carried): a component of candidates whole if it is small; a large one by parts,
     every two parts whose sizes can link being a block.
 
     A part is a range of set sizes, ranges being cut by the running total of what was counted for each size; sets of one size
     that alone are too many are dealt into several parts by a hash. No component is in one task.
     """
-    carried = ["node", "one", "check", "first", "docs"]
-    weight = F.greatest("n", F.lit(min(ROW_SHINGLES, limit // 8)))
+    weight = F.greatest("n", F.lit(min(ROW_SHINGLES, limit // 8))) if weight is None else weight
     total = members.groupBy("label").agg(F.sum(weight).alias("total"))
     sized = members.join(total, "label")
-    small = sized.filter(F.col("total") <= limit).select(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"), F.lit(False).alias("both"), *carried)
+    small = sized.filter(F.col("total") <= limit).select(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"), F.lit(False).alias("both"), F.lit(False).alias("split"), *carried)
     large = sized.filter(F.col("total") > limit)
     counted = large.groupBy("label", "n").agg(F.sum(weight).alias("held"))
     before = F.sum("held").over(Window.partitionBy("label").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")
@@ -530,5 +630,5 @@ def _blocks(members: DataFrame, percent: int, limit: int) -> DataFrame:
     as_lower = large.join(reach.withColumnRenamed("lower", "part"), ["label", "part"]).withColumn("lower", F.col("part"))
     as_upper = large.join(reach.filter("lower < upper").withColumnRenamed("upper", "part"), ["label", "part"]).withColumn("upper", F.col("part"))
     pairs = as_lower.unionByName(as_upper, allowMissingColumns=True)
-    split = pairs.select(F.concat_ws(":", "label", "lower", "upper").alias("block"), F.when(F.col("part") == F.col("lower"), 0).otherwise(1).alias("side"), (F.col("lower") != F.col("upper")).alias("both"), *carried)
+    split = pairs.select(F.concat_ws(":", "label", "lower", "upper").alias("block"), F.when(F.col("part") == F.col("lower"), 0).otherwise(1).alias("side"), (F.col("lower") != F.col("upper")).alias("both"), F.lit(True).alias("split"), *carried)
     return small.unionByName(split)
