@@ -714,3 +714,9 @@ def test_rows_without_a_group_are_groups_of_their_own(spark):
     assert rows(selection.greedy_edit(c, ["k"], ["o"], "d", "g", 60.0), "id") == [(0,), (1,), (2,), (8,)]
     v = make(spark, [("p", f"v{n:02d}", 5.0, 0.9 - n / 100, None, f"s{n}", None) for n in range(30)], "project string, variant_id string, duration double, final_score double, duplicate_group string, source string, environment string")
     assert selection.beam_edit(v, ["project"]).count() >= 9
+
+
+def test_best_cluster_of_equal_strengths(spark):
+    """0.1 + 0.2 + 0.3 is larger than 0.3 + 0.2 + 0.1 by the last bit only: the tighter cluster is the better one."""
+    e = spark.createDataFrame([("a", 0.0, 0.1, 1), ("a", 2.0, 0.2, 2), ("a", 4.0, 0.3, 3), ("a", 100.0, 0.3, 4), ("a", 101.0, 0.2, 5), ("a", 102.0, 0.1, 6)], "k string, t double, strength double, event_id int")
+    assert [r["first_id"] for r in events.best_cluster(e, ["k"], "t", 4.0, 2).collect()] == [4]

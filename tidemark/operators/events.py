@@ -93,8 +93,9 @@ def clusters(df: DataFrame, keys: Sequence[str], t: str, window: float, minimum:
 
 
 def best_cluster(df: DataFrame, keys: Sequence[str], t: str, window: float, minimum: int) -> DataFrame:
-    """Per key the cluster with most events, then more strength, then the tighter, the earlier, the larger id."""
-    order = F.struct("n", "strength", -F.col("span"), -F.col("last_t"), "first_id")
+    """Per key the cluster with most events, then more strength (to 9 digits: sums of equal parts may differ in the last bit), then the tighter,
+    the one that ends earlier, the larger id."""
+    order = F.struct("n", F.round("strength", 9), -F.col("span"), -F.col("last_t"), "first_id")
     best = clusters(df, keys, t, window, minimum).groupBy(*keys).agg(F.max_by(F.struct("first_t", "last_t", "n", "strength", "first_id"), order).alias("b"))
     return best.select(*keys, "b.*")
 
