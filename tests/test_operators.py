@@ -720,3 +720,9 @@ def test_best_cluster_of_equal_strengths(spark):
     """0.1 + 0.2 + 0.3 is larger than 0.3 + 0.2 + 0.1 by the last bit only: the tighter cluster is the better one."""
     e = spark.createDataFrame([("a", 0.0, 0.1, 1), ("a", 2.0, 0.2, 2), ("a", 4.0, 0.3, 3), ("a", 100.0, 0.3, 4), ("a", 101.0, 0.2, 5), ("a", 102.0, 0.1, 6)], "k string, t double, strength double, event_id int")
     assert [r["first_id"] for r in events.best_cluster(e, ["k"], "t", 4.0, 2).collect()] == [4]
+
+
+def test_halves_in_the_preview_report(spark):
+    shots = spark.range(2000).select(F.lit("v").alias("k"), (F.col("id") + 1).alias("ord"), F.lit("s").alias("source"), F.lit(0.0).alias("source_in"), F.lit(2.0).alias("source_out"), F.when(F.col("id") < 7, 3.0).otherwise(2.0).alias("duration"), F.lit(0.5).alias("score"), F.lit(None).cast("string").alias("duplicate_group"), F.lit(0.001005).alias("sync"), F.lit("cut").alias("transition"))
+    lines = [r["line"] for r in reports.preview_report(shots, ["k"]).filter("line like 'Average%'").collect()]
+    assert lines == ["Average 2.003 s, shortest 2.000 s, longest 3.000 s."]
