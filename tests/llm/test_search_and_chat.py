@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from helpers import multiset
@@ -72,6 +74,31 @@ def test_segments_get_longer_with_the_index():
         assert cut[0][0] == 0 and sum(w for _, w in cut) == 64 and all(a + w == b for (a, w), (b, _) in zip(cut, cut[1:]))
 
 
+def test_a_query_looks_up_no_more_segments_than_its_neighbours_ask_for(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    codes, m, want = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64)), 6, 11
+    monkeypatch.setattr(hamming, "_parts", lambda *_: m)
+    looked_up, turned = [], hamming._turned
+    monkeypatch.setattr(hamming, "_turned", lambda probes: looked_up.append((out := turned(probes)).count()) or out)
+    index = [(i, int(c)) for i, c in enumerate(codes)]
+    queries = index[::40]
+    make = lambda rows: spark.createDataFrame([(i, signed(c)) for i, c in rows], "id long, code long")
+    out = hamming.top_k(make(index), make(queries), 10)
+    assert multiset(out, "query", "rank", "neighbour", "distance") == brute(index, queries, 10)
+    rounds, cut = [0] * 12, hamming._segments(len(codes), want)
+    for _, x in queries:
+        apart, bound, seen = codes ^ np.uint64(x), 64, np.zeros(len(codes), bool)
+        for r in range(12):
+            for j, (a, w) in enumerate(cut):
+                if m * r + j <= bound:
+                    rounds[r] += math.comb(w, r)
+                    seen |= np.bitwise_count((apart >> np.uint64(a)) & np.uint64((1 << w) - 1)) == r
+            near = np.sort(np.bitwise_count(apart[seen]).astype(int))
+            bound = int(near[want - 1]) if len(near) >= want else bound
+    last = [r * (r + 1) // 2 - 1 for r in range(1, 12) if rounds[r]]  # of round r, the last of r turns
+    assert [looked_up[k] for k in last] == [n for n in rounds[1:] if n] and len(looked_up) == last[-1] + 1
+
+
 def test_codes(spark):
     v = spark.createDataFrame([(1, [1.0, -1.0, 0.0]), (2, None), (3, [None, 2.0])], "vec_id long, embedding array<float>")
     assert multiset(hamming.binarise(v), "id", "code") == sorted([(1, 0b101), (2, None), (3, 0b01)], key=repr)

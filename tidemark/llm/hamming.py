@@ -1,10 +1,10 @@
 r"""Exact top-k search over binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into m segments, and the index is one table keyed by (segment, value). Round r looks up, for every
-segment of a query, all values at distance r from the query's. After it a code not yet seen differs by at least
-r + 1 in each segment, that is by m (r + 1) at least: every code up to distance m (r + 1) - 1 is verified. A query is
-done as soon as its kth neighbour lies within that, and the next round goes on with the others, so that the result, ties by
-id included, is that of a scan of all codes.
+A 64-bit code is cut into m segments, and the index is one table keyed by (segment, value). Round r looks up, for the segments
+of a query, all values at distance r from the query's. A code not yet seen differs by at least r + 1 in each segment looked
+up at r, and by r in each other one: with segments 0 to j done, every code up to distance m r + j is verified. A query needs
+the segments up to its kth neighbour so far, no more, and is done when that leaves none for the next round, so that the result,
+ties by id included, is that of a scan of all codes. Codes farther than that neighbour are dropped where they are met.
 
 A round is an equi-join of two tables that grow with the data, so nothing is broadcast; it is split where a value is common. Equal codes are one entry of the index, with no more of their ids than any
 result can need. Values at distance r come from those at r - 1 by one more bit, above the ones already turned.
@@ -32,6 +32,12 @@ def binarise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return vectors.select(F.col(id_col).alias("id"), F.when(v.isNotNull(), checked).alias("code"))
 
 
+def _cut(m: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each of m segments."""
+    borders = [BITS * j // m for j in range(m + 1)]
+    return [(a, b - a) for a, b in zip(borders, borders[1:])]
+
+
 def _parts(codes: int, want: int) -> int:
     """The number of segments with the least work for a query: values looked up, and codes met and verified, until `want` are covered.
 
@@ -42,17 +48,15 @@ def _parts(codes: int, want: int) -> int:
         far += 1
 
     def work(m: int) -> float:
-        values = m * sum(math.comb(round(BITS / m), r) for r in range(far // m + 1))
-        return values * (1 + codes / 2 ** (BITS / m))
+        widths = [w for _, w in _cut(m)]
+        return sum(math.comb(widths[t % m], t // m) * (1 + codes / 2 ** widths[t % m]) for t in range(far + 1))
 
     return min(range(2, 17), key=work)
 
 
 def _segments(codes: int, want: int) -> list[tuple[int, int]]:
     """(first bit, width) of each segment."""
-    m = _parts(codes, want)
-    borders = [BITS * j // m for j in range(m + 1)]
-    return [(a, b - a) for a, b in zip(borders, borders[1:])]
+    return _cut(_parts(codes, want))
 
 
 def _value(code: Column, first: int, width: int) -> Column:
@@ -69,7 +73,7 @@ def _turned(probes: DataFrame) -> DataFrame:
     """Probes with one more bit of their value turned, above `top`, the highest turned one."""
     bits = F.when(F.col("top") + 1 < F.col("width"), F.sequence(F.col("top") + 1, F.col("width") - 1))
     more = probes.select("*", F.explode(bits).alias("bit"))
-    return more.select("asked", "seg", "width", F.expr("value ^ shiftleft(1L, bit)").alias("value"), F.col("bit").alias("top"))
+    return more.select("asked", "bound", "seg", "width", F.expr("value ^ shiftleft(1L, bit)").alias("value"), F.col("bit").alias("top"))
 
 
 def _first_found(segments: list[tuple[int, int]], r: int) -> Column:
@@ -103,21 +107,24 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     segments = _segments(codes.count(), want)
     m = len(segments)
     entries = _by_segment(codes, "code", segments).drop("width")
-    active, active_path = written_at(asked.select(F.col("code").alias("asked")).distinct())
+    # bound: no neighbour of the query is farther than that
+    active, active_path = written_at(asked.select(F.col("code").alias("asked")).distinct().withColumn("bound", F.lit(BITS)))
     near, near_path = None, None
     nearest = Window.partitionBy("asked").orderBy("distance", "id", "code")
+    distance = F.bit_count(F.col("asked").bitwiseXOR(F.col("code")))
     for r in range(max(w for _, w in segments) + 1):
-        probes = _by_segment(active, "asked", segments).withColumn("top", F.lit(-1))
+        probes = _by_segment(active, "asked", segments).filter(F.col("seg") + m * r <= F.col("bound")).withColumn("top", F.lit(-1))
         for _ in range(r):
             probes = _turned(probes)
-        hits = probes.join(entries.hint("merge"), ["seg", "value"]).filter(_first_found(segments, r))
-        hits = hits.select("asked", F.bit_count(F.col("asked").bitwiseXOR(F.col("code"))).alias("distance"), "code", F.explode("ids").alias("e"))
+        hits = probes.join(entries.hint("merge"), ["seg", "value"]).filter((distance <= F.col("bound")) & _first_found(segments, r))
+        hits = hits.select("asked", distance.alias("distance"), "code", F.explode("ids").alias("e"))
         hits = hits.select("asked", "distance", "code", "e.id", "e.many")
         hits = hits if near is None else near.drop("place").unionByName(hits)
         old = [p for p in (near_path, active_path) if p]
         near, near_path = written_at(hits.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= want))
-        covered = near.filter((F.col("place") == want) & (F.col("distance") <= m * (r + 1) - 1)).select("asked")
-        active, active_path = written_at(active.join(covered.hint("merge"), "asked", "left_anti"))
+        last = near.filter(F.col("place") == want).select("asked", F.col("distance").alias("last"))
+        active = active.join(last.hint("merge"), "asked", "left").select("asked", F.least("bound", "last").alias("bound"))
+        active, active_path = written_at(active.filter(F.col("bound") >= m * (r + 1)))
         drop(spark, old)
         if active.isEmpty():
             break
