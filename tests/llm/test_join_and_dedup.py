@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from helpers import corpus, docs, multiset, words
 
 from tidemark.llm import ngram_join, substring_dedup
+from tidemark.llm._tables import components
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -290,3 +291,24 @@ def test_tree_of_random_words():
         for a, b, c in zip(tree.order, tree.order[1:], tree.common[1:]):
             same = words[a : a + depth] == words[b : b + depth]
             assert c == (depth if same.all() else int(np.argmin(same)))
+
+
+@pytest.mark.parametrize("task_edges,most_jobs", [(1 << 19, 12), (0, 1000)])
+def test_components_of_few_edges_take_few_jobs(spark, task_edges, most_jobs):
+    rng = np.random.default_rng(4)
+    path = rng.permutation(300) - 150
+    edges = [*zip(path[1:].tolist(), path[:-1].tolist()), *zip(*rng.integers(1000, 1400, (2, 150)).tolist()), (7_000, 7_000)]
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    spark.sparkContext.setJobGroup(f"components {task_edges}", "")
+    try:
+        out = components(spark.createDataFrame(edges, "a long, b long").repartition(3), task_edges=task_edges)
+        assert multiset(out, "node", "label") == sorted(least.items(), key=repr)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {task_edges}")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= most_jobs
+    assert multiset(components(spark.createDataFrame([], "a long, b long"), task_edges=task_edges), "node", "label") == []

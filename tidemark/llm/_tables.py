@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import shared_dir
+from ._text import tidy
 
+#: Edges (16 bytes each) that one task settles; of more, every task replaces its own by a forest and rounds do the rest.
+TASK_EDGES = 1 << 19
 #: Rounds of the component search; it needs about the logarithm of the longest path.
 MAX_ROUNDS = 60
 
@@ -54,15 +60,56 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
             _paths.remove(path)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): every node of `edges` with the smallest node it is connected to.
-
-    Alternating large-star and small-star rounds; each is an aggregation and an equi-join,
-    so that no neighbourhood is gathered in a task. Only two counters reach the driver.
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of edges, and for each the smallest node it is connected to."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while len(u):  # a root is tied to its least neighbour; at least half of those with neighbours go in two turns
+        x, y = label[u], label[v]
+        least = np.minimum(x, y)
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        while not np.array_equal(up := label[label], label):
+            label = up
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+    return nodes, nodes[label]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) of each node and the smallest one that the task's edges connect it to, other than itself; TASK_EDGES at a time."""
+    held, many = [], 0
+
+    def settled() -> pa.RecordBatch:
+        nodes, least = least_labels(*(np.concatenate(x) for x in zip(*held)))
+        own = nodes != least
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(least[own])], names=["u", "v"])
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        many += batch.num_rows
+        if many >= TASK_EDGES:
+            yield settled()
+            held, many = [], 0
+    if many:
+        yield settled()
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", task_edges: int = TASK_EDGES) -> DataFrame:
+    """(node, label): every node of `edges` (longs) with the smallest node it is connected to.
+
+    Up to `task_edges` edges are settled by one task. More go through alternating large-star and small-star rounds; each is an
+    aggregation and an equi-join, so that no neighbourhood is gathered in a task. Only two counters reach the driver.
     """
     u, v = F.col("u"), F.col("v")
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    (now, path), state = written_at(now), None
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v")
+    (now, path), state = written_at(now.mapInArrow(tidy(_forest), "u long, v long").distinct()), None
+    if now.count() <= task_edges:
+        old = path
+        now, path = written_at(now.coalesce(1).mapInArrow(tidy(_forest), "u long, v long"))
+        drop(edges.sparkSession, [old])
+        return _labels(now)
     for _ in range(MAX_ROUNDS):
         old = path
         # large star: every larger neighbour of a node is tied to the node's smallest neighbour
@@ -80,5 +127,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = tuple(row)
     else:
         raise RuntimeError("components did not settle")
-    roots = now.select(v.alias("node")).distinct()
-    return now.select(u.alias("node"), v.alias("label")).union(roots.select("node", F.col("node").alias("label")))
+    return _labels(now)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    """(node, label) of the ends of edges (u, v) from every node to the smallest one of its component, and of these."""
+    roots = stars.select(F.col("v").alias("node")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))

@@ -18,7 +18,7 @@ is one shingle of all of them. Two documents link when their Jaccard similarity
    shingles of a node once for the whole subtree, and drops a set from a subtree as soon as the
    remaining lengths rule a link out. A block larger than BLOCK_SHINGLES is cut by size (and equal sizes by a hash) into
    parts, and every two of them whose sizes can link are joined, each pair of parts a task's work.
-6. Links become components by star rounds over a table of edges.
+6. Links become components: few edges in one task, many by star rounds over a table of edges.
 """
 
 from __future__ import annotations
