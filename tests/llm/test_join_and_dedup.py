@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helpers import corpus, docs, multiset, words
 
 from tidemark.llm import ngram_join, substring_dedup
-from tidemark.llm._tables import components
+from tidemark.llm._tables import components, give_back
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -312,3 +312,7 @@ def test_components_of_few_edges_take_few_jobs(spark, task_edges, most_jobs):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) <= most_jobs
     assert multiset(components(spark.createDataFrame([], "a long, b long"), task_edges=task_edges), "node", "label") == []
+
+
+def test_the_driver_gives_freed_memory_back(spark):
+    assert give_back(spark).startswith("Trim native heap")

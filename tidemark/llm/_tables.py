@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +39,32 @@ def written_at(df: DataFrame) -> tuple[DataFrame, str]:
     """As written, and the table's path, for drop()."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back(df.sparkSession)
     _paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def give_back(spark: SparkSession) -> str:
+    """Returns to the system what the driver's JVM has freed outside its heap: the C library would keep it, which after some hundred small
+    jobs is a good part of the driver's memory. What the JVM answers; nothing, if it has no such command."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+
+    def filled(kind, *items):
+        out = array(kind, len(items))
+        for k, x in enumerate(items):
+            out[k] = x
+        return out
+
+    try:  # by reflection: the server's own class is not open to calls
+        named = jvm.java.lang.Class.forName
+        kinds = filled(jvm.java.lang.Class, *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given = filled(jvm.java.lang.Object, command, "systemTrimNativeHeap", array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0))
+        return str(named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given))
+    except Py4JError:
+        return ""
+
+
 #: Tables that this process has written and not dropped, in order.
 _paths: list[str] = []
 
